@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup as exact
-from cairn.llm import mixing, sharding
+from cairn.llm import html_text, mixing, near_dedup, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), 40)
 
@@ -22,12 +26,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix_sources(docs)
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op6_exact_dedup": op6_exact_dedup, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
+    "op4_sharding": op4_sharding,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op8_html_text": op8_html_text,
+    "op10_mixing": op10_mixing,
+}
 
 ORACLES = {
     "op6_exact_dedup": r"""
