@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup as exact
-from cairn.llm import html_text, mixing, near_dedup, sharding
+from cairn.llm import bpe, html_text, mixing, near_dedup, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), 40)
 
 
+def tokenizer() -> tuple[str, str]:
+    """Vocabulary file and pattern, as every executor has them installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), *tokenizer()))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(exact.normalised(F.col("text")), 256).alias("text_sha256")
     return exact.exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
@@ -38,6 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op4_sharding": op4_sharding,
+    "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_html_text": op8_html_text,
     "op10_mixing": op10_mixing,
