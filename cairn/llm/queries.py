@@ -6,17 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup as exact
-from cairn.llm import bpe, embedding_dedup, html_text, mixing, near_dedup, sharding
+from cairn.llm import bpe, embedding_dedup, html_text, mixing, near_dedup, quality, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.trainable(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"))
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> tuple:
+    """Fitted on the rated rows that op1 may learn from, too."""
+    rated = labels.filter(~toxicity.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.train(docs.select(F.col("doc_id").alias("id"), "text").join(rated.filter("grade IS NOT NULL"), "id"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_good"), F.col("tails")[1].alias("p_clean"), "kept")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), 40)
 
@@ -37,6 +56,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after its personal data is replaced."""
+    docs = token_counts.find_redactions(table(spark, sf_dir, "documents"))
+    return token_counts.count_edited(docs, *tokenizer()).select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "chars_encoded_again")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -51,10 +76,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_html_text": op8_html_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,

@@ -1,8 +1,61 @@
-"""The corpus pipeline: stages over `documents`."""
+"""The corpus pipeline: from `documents` to token counts and digests.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cairn.llm import bpe, exact_dedup, mixing, near_dedup, quality, queries
+from cairn.llm.common import stored
+
+#: No SQL: a fitted model decides the first stage. tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of a rating above the lowest is 0.5 or more."""
+    model = queries.quality_model(docs.select("doc_id", "text"), queries.table(spark, sf_dir, "labels"))
+    return quality.filter_docs(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix: files and rows follow it."""
+    mixed = mixing.mix_sources(docs)
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of each document."""
+    return bpe.digests(bpe.encode_decode(docs, *queries.tokenizer()))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("source mixing", mix),
+    ("BPE encoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`; each result is written as Parquet and read again."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage{k}")
+    return docs
