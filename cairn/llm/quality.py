@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
 
 import numpy as np
@@ -22,7 +23,7 @@ from cairn.llm.common import stored
 
 BUCKETS = 1 << 18
 SAMPLE = 2500  #: rows of each grade, by hash of the id, that the model is fitted on at most
-KNOWN_TOKENS = 200_000
+KNOWN_TOKENS = 400_000  #: that a worker remembers
 _KIND = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1{2,}"), r"\1\1\1"))
 _LETTER = np.array([chr(i).isalpha() or i >= 128 for i in range(256)])
 _SPACE = np.array([chr(i).isspace() and i < 128 for i in range(256)])
@@ -65,6 +66,7 @@ class Tokens(dict):
         return i
 
 
+_known = Tokens()  # a worker's tasks share what they have looked up
 _RATIO_AT = np.array([_bucket(f"r{k}") for k in RATIOS])
 _BIAS = _bucket("bias")
 
@@ -110,23 +112,27 @@ def grade_of(quality, toxic):
     return F.when(quality == 0, 0).when(quality == 1, F.when(toxic == 1, 1).otherwise(2))
 
 
-def train(rated: DataFrame, grades: int = 3, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) from `rated(id, text, grade)`, grades from 0. Rows
-    without a grade are left out. At most `SAMPLE` rows of each grade are
-    fitted, weighted for all of its rows. Grades that no row has keep a
-    threshold next to their neighbour's; without rows all texts score alike."""
-    rows = stored(rated.filter(F.col("grade").between(0, grades - 1)).select("id", "text", F.col("grade").cast("int").alias("grade")), "rated")
-    n = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
-    order = F.xxhash64("id", "text")
-    known, kept, grade, weight = Tokens(), [], [], []
-    for k in sorted(n):
-        for text in rows.filter(F.col("grade") == k).orderBy(order).limit(SAMPLE).toArrow().column("text").to_pylist():
-            kept.append(features(text, known))
-            grade.append(k)
-            weight.append(n[k] / min(SAMPLE, n[k]))
-    if not kept:
+def sample(ratings: DataFrame, grades: int) -> DataFrame:
+    """At most `SAMPLE` ids of each grade in `ratings(id, grade)`, by hash."""
+    rated = ratings.filter(F.col("grade").between(0, grades - 1) & F.col("id").isNotNull()).select("id", F.col("grade").cast("int").alias("grade"))
+    drawn = [rated.filter(F.col("grade") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for k in range(grades)]
+    return stored(reduce(DataFrame.unionByName, drawn), "sample")
+
+
+def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) from `docs(id, text)` and `ratings(id, grade)`,
+    grades from 0. Rows without an id or grade are left out. At most `SAMPLE`
+    ids of each grade are fitted, weighted for all of its ratings: so many are
+    broadcast to the scan of the texts, which therefore does not shuffle.
+    Without rows all texts score alike."""
+    n = {r["grade"]: r["count"] for r in ratings.filter(F.col("grade").between(0, grades - 1)).groupBy("grade").count().collect()}
+    rows = docs.join(F.broadcast(sample(ratings, grades)), "id").select("grade", "text").toArrow()
+    grade = rows.column("grade").to_numpy().astype(int)
+    if not len(grade):
         return np.zeros(BUCKETS, np.float32), np.zeros(grades - 1) - 30.0
-    return linear.fit(linear.Rows.of(kept), np.array(grade), np.array(weight), grades, BUCKETS, l2)
+    kept = [features(t.as_py(), _known) for t in rows.column("text")]
+    weight = np.array([n.get(k, 0) for k in range(grades)]) / np.maximum(1, np.bincount(grade, minlength=grades))
+    return linear.fit(linear.Rows.of(kept), grade, weight[grade], grades, BUCKETS, l2)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", least: int = 1, tail: float = 0.5) -> DataFrame:
@@ -138,7 +144,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = Tokens(), held.value
+        known, w = _known, held.value
         for b in batches:
             sums = np.zeros(b.num_rows)
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -160,7 +166,7 @@ def filter_docs(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col:
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = Tokens(), held.value
+        known, w = _known, held.value
         for b in batches:
             mask = []
             for text in b.column(b.schema.get_field_index(text_col)).to_pylist():

@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier on character n-grams of words, its features
 scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed n-grams that its words have, each once. For
-all labelled rows, r = log((p + 1) / |p|) / ((q + 1) / |q|) compares in how
+A text's features are the hashed n-grams that its words have, each once. Over
+labelled rows, r = log((p + 1) / |p|) / ((q + 1) / |q|) compares in how
 many toxic (p) and other texts (q) a feature is. Logistic regression then
-weighs the features times r, on a bounded sample of the rows.
+weighs the features times r. Both see bounded samples of the labelled rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ BUCKETS = 1 << 19  #: of hashed features: also what a model holds at most
 GRAMS = (3, 4, 5)
 SAMPLE = 2000  #: rows of each label, by hash of the id, that the regression is fitted on at most
 WORD = re.compile(r"[^\W_]+")
-KNOWN_WORDS = 200_000
+COUNTED = 20_000  #: rows of each label, by hash of the id, that the ratios are counted over at most
+KNOWN_WORDS = 300_000  #: that a worker remembers
 
 
 class Grams(dict):
@@ -44,12 +45,15 @@ class Grams(dict):
         return np.concatenate([self[w] for w in words]) if words else np.empty(0, np.int32)
 
 
+_known = Grams()  # a worker's tasks share what they have looked up
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """`bucket, pos, neg` of `rows(text, toxic)`: summed within a partition's
     batches first, so at most `BUCKETS` rows leave each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, tally = Grams(), np.zeros((2, BUCKETS), np.int64)
+        grams, tally = _known, np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tally[toxic][np.unique(grams.of(text))] += 1
@@ -61,46 +65,46 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def trainable(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """`id, text, toxic` of the labelled rows that may be learnt from: those
-    whose crc32(id as text) mod 5 is not 0."""
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("toxic IS NOT NULL")
-    return docs.select(F.col(id_col).alias("id"), "text").join(labels.filter(~held_out(F.col("id"))), "id")
-
-
 def held_out(id_: Column) -> Column:
+    """Whether crc32 of the id as text leaves 0 by 5."""
     return F.crc32(id_.cast("string").cast("binary")) % 5 == 0
 
 
-def train(labelled: DataFrame, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, threshold) from `labelled(id, text, toxic)`.
+def train(docs: DataFrame, labels: DataFrame, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, threshold) from `docs(id, text)` and
+    `labels(id, toxic)`.
 
-    Rows with a null label are left out. Counts cover all rows; the regression
-    sees at most `SAMPLE` rows of each label, weighted for all of them. With
-    only one label, or no rows, every score is that label's share (or 0).
+    Rows without an id or label are left out. Ratios are counted over at most
+    `COUNTED` rows of each label, the regression sees at most `SAMPLE` of them,
+    weighted for all labels: so many ids are broadcast to the scan of the
+    texts, which therefore does not shuffle. With one label only, or none,
+    every score is that label's share (or 0).
     """
-    rows = stored(labelled.filter("toxic IS NOT NULL").select("id", "text", F.col("toxic").cast("int").cast("boolean").cast("int").alias("toxic")), "labelled")
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        return np.zeros(BUCKETS, np.float32), -30.0 if n.get(1) else 30.0
+    known = labels.filter("toxic IS NOT NULL AND id IS NOT NULL").select("id", (F.col("toxic") != 0).cast("int").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    order = F.xxhash64("id")
+    drawn = [known.filter(F.col("toxic") == k).orderBy(order, "id").limit(COUNTED) for k in (0, 1)]
+    ids = stored(drawn[0].unionByName(drawn[1]), "drawn")
+    rows = stored(docs.join(F.broadcast(ids), "id").select("id", "text", "toxic"), "labelled")
+    seen = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(seen) < 2:
+        return np.zeros(BUCKETS, np.float32), -30.0 if seen.get(1) else 30.0
     counts = _counts(rows).toArrow()
     at, pos, neg = (counts.column(i).to_numpy() for i in range(3))
     ratio = np.zeros(BUCKETS)
-    p, q = (pos + 1.0) / (n[1] + 2), (neg + 1.0) / (n[0] + 2)
+    p, q = (pos + 1.0) / (seen[1] + 2), (neg + 1.0) / (seen[0] + 2)
     ratio[at] = np.log(p / (1 - p)) - np.log(q / (1 - q))
     ratio[at[pos + neg < 3]] = 0
-    order = F.xxhash64("id", "text")
-    sample = [rows.filter(F.col("toxic") == k).orderBy(order).limit(SAMPLE).toArrow() for k in (0, 1)]
-    grams, kept, grade = Grams(), [], []
-    for k, part in enumerate(sample):
-        for text in part.column("text").to_pylist():
-            ids = np.unique(grams.of(text))
-            ids = ids[ratio[ids] != 0]
-            kept.append((ids, ratio[ids]))
+    kept, grade, weight = [], [], []
+    for k in (0, 1):
+        part = rows.filter(F.col("toxic") == k).orderBy(order, "id").limit(SAMPLE).select("text").toArrow().column(0)
+        for text in part:
+            ids_ = np.unique(_known.of(text.as_py()))
+            ids_ = ids_[ratio[ids_] != 0]
+            kept.append((ids_, ratio[ids_]))
             grade.append(k)
-    grade = np.array(grade)
-    weight = np.array([n[k] / sample[k].num_rows for k in (0, 1)])[grade]
-    w, cut = linear.fit(linear.Rows.of(kept), grade, weight, 2, BUCKETS, l2)
+            weight.append(n[k] / len(part))
+    w, cut = linear.fit(linear.Rows.of(kept), np.array(grade), np.array(weight), 2, BUCKETS, l2)
     return (w * ratio).astype(np.float32), float(cut[0])
 
 
@@ -113,7 +117,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, w = Grams(), held.value
+        grams, w = _known, held.value
         seen = np.zeros(BUCKETS, np.float32)
         for b in batches:
             sums = np.zeros(b.num_rows)
