@@ -82,7 +82,8 @@ def shingle_hashes(text: str | None, known: dict, words: int = 5) -> np.ndarray:
     s = h[: len(h) - k + 1].copy()
     for i in range(1, k):
         s = mix64(s) + h[i : len(h) - k + 1 + i]
-    return np.unique(mix64(s + np.uint64(k)))
+    s = np.sort(mix64(s + np.uint64(k)))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def _multipliers(p: Params) -> tuple[np.ndarray, np.ndarray]:

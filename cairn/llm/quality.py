@@ -84,7 +84,7 @@ def features(text: str | None, known: Tokens) -> tuple[np.ndarray, np.ndarray]:
     shape = known.shape[number]
     alone, alone_n = np.unique(shape, return_counts=True)
     pair, pair_n = np.unique(shape[:-1] * 1_000_003 + shape[1:] + 1, return_counts=True)
-    distinct = np.unique(number)
+    distinct = linear.distinct(number)
     dark = max(1, len(raw) - int(_SPACE[raw].sum()))
     letters = int(_LETTER[raw].sum())
     # whole passages repeat too, so distinct pairs of tokens count besides distinct tokens
@@ -92,7 +92,7 @@ def features(text: str | None, known: Tokens) -> tuple[np.ndarray, np.ndarray]:
         [
             log2(1 + n) / 16,
             len(distinct) / max(1, n),
-            len(np.unique(number[:-1] * (1 << 32) + number[1:])) / max(1, n - 1),
+            len(linear.distinct(number[:-1] * (1 << 32) + number[1:])) / max(1, n - 1),
             len(set(lines)) / max(1, len(lines)),
             dark / max(1, len(raw)),
             min(1.0, dark / max(1, n) / 20),
@@ -100,7 +100,7 @@ def features(text: str | None, known: Tokens) -> tuple[np.ndarray, np.ndarray]:
             letters / dark,
         ]
     )
-    grams = np.unique(np.concatenate([known.grams[i] for i in distinct.tolist()])) if n else np.empty(0, np.int64)
+    grams = linear.distinct(np.concatenate([known.grams[i] for i in distinct.tolist()])) if n else np.empty(0, np.int64)
     bins = (_RATIO_AT + 7919 * np.minimum(9, (ratios * 10).astype(np.int64))) % BUCKETS
     ids = np.concatenate([alone % BUCKETS, pair % BUCKETS, bins, [_BIAS], grams])
     values = np.concatenate([np.sqrt(alone_n / max(1, n)), np.sqrt(pair_n / max(1, n)), np.ones(len(bins) + 1), np.full(len(grams), 0.2)])

@@ -15,7 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(toxicity.trainable(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    held_out = toxicity.held_out(F.col("id"))
+    model = toxicity.train(docs.withColumnsRenamed({"doc_id": "id"}), labels.filter(~held_out))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
@@ -27,7 +29,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(docs: DataFrame, labels: DataFrame) -> tuple:
     """Fitted on the rated rows that op1 may learn from, too."""
     rated = labels.filter(~toxicity.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
-    return quality.train(docs.select(F.col("doc_id").alias("id"), "text").join(rated.filter("grade IS NOT NULL"), "id"))
+    return quality.train(docs.select(F.col("doc_id").alias("id"), "text"), rated)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

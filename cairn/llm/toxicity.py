@@ -10,6 +10,7 @@ weighs the features times r. Both see bounded samples of the labelled rows.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ BUCKETS = 1 << 19  #: of hashed features: also what a model holds at most
 GRAMS = (3, 4, 5)
 SAMPLE = 2000  #: rows of each label, by hash of the id, that the regression is fitted on at most
 WORD = re.compile(r"[^\W_]+")
-COUNTED = 20_000  #: rows of each label, by hash of the id, that the ratios are counted over at most
+COUNTED = 10_000  #: rows of each label, by hash of the id, that the ratios are counted over at most
 KNOWN_WORDS = 300_000  #: that a worker remembers
 
 
@@ -45,6 +46,37 @@ class Grams(dict):
         return np.concatenate([self[w] for w in words]) if words else np.empty(0, np.int32)
 
 
+class Weighed(dict):
+    """word -> those of its features that a model weighs, None without any."""
+
+    _held: dict[str, Weighed] = {}  # the last model's, for a worker's tasks
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights, self.grams = weights, Grams()
+
+    @classmethod
+    def of_model(cls, name: str, held) -> Weighed:
+        if name not in cls._held:
+            cls._held.clear()
+            cls._held[name] = cls(held.value)
+        return cls._held[name]
+
+    def __missing__(self, word: str) -> np.ndarray | None:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        ids = self.grams.__missing__(word)
+        self.grams.clear()
+        ids = ids[self.weights[ids] != 0]
+        out = self[word] = ids if len(ids) else None
+        return out
+
+    def total(self, text: str | None) -> float:
+        """Sum of the weights of a text's features, each once."""
+        found = [ids for w in set(WORD.findall((text or "").lower())) if (ids := self[w]) is not None]
+        return float(self.weights[linear.distinct(np.concatenate(found))].sum(dtype=np.float64)) if found else 0.0
+
+
 _known = Grams()  # a worker's tasks share what they have looked up
 
 
@@ -56,7 +88,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         grams, tally = _known, np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tally[toxic][np.unique(grams.of(text))] += 1
+                tally[toxic][linear.distinct(grams.of(text))] += 1
         at = np.flatnonzero(tally.any(axis=0))
         for i in range(0, len(at), 50_000):
             part = at[i : i + 50_000]
@@ -94,12 +126,13 @@ def train(docs: DataFrame, labels: DataFrame, l2: float = 1e-3) -> tuple[np.ndar
     ratio = np.zeros(BUCKETS)
     p, q = (pos + 1.0) / (seen[1] + 2), (neg + 1.0) / (seen[0] + 2)
     ratio[at] = np.log(p / (1 - p)) - np.log(q / (1 - q))
-    ratio[at[pos + neg < 3]] = 0
+    # ratios within two standard errors of none, and of rare features, are noise
+    ratio[at[(pos + neg < 3) | (np.abs(ratio[at]) < 2 * np.sqrt(1 / (pos + 1) + 1 / (neg + 1)))]] = 0
     kept, grade, weight = [], [], []
     for k in (0, 1):
         part = rows.filter(F.col("toxic") == k).orderBy(order, "id").limit(SAMPLE).select("text").toArrow().column(0)
         for text in part:
-            ids_ = np.unique(_known.of(text.as_py()))
+            ids_ = linear.distinct(_known.of(text.as_py()))
             ids_ = ids_[ratio[ids_] != 0]
             kept.append((ids_, ratio[ids_]))
             grade.append(k)
@@ -115,17 +148,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     read. The model is an array of `BUCKETS` floats whatever the input."""
     weights, cut = model
     held = docs.sparkSession.sparkContext.broadcast(weights)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, w = _known, held.value
-        seen = np.zeros(BUCKETS, np.float32)
+        words = Weighed.of_model(name, held)
         for b in batches:
-            sums = np.zeros(b.num_rows)
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = grams.of(text)
-                seen[ids] = w[ids]  # each feature once
-                sums[i] = seen.sum(dtype=np.float64)
-                seen[ids] = 0
+            sums = np.fromiter(map(words.total, b.column(1).to_pylist()), np.float64, b.num_rows)
             p = linear.sigmoid(sums - cut)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["_id", "score", "predicted"])
 
