@@ -85,10 +85,12 @@ def _compare(least: float):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group["left"]], group[~group["left"]]
-        own = len(b) == 0  # a block with itself
+        own = bool((group["i"] == group["j"]).all())  # a block with itself
         b = a if own else b
+        if not len(a) or not len(b):  # a block that the hash left empty
+            return pd.DataFrame({"node": [], "links": [], "root": []})
         x, y = (np.frombuffer(b"".join(s["unit"])).reshape(len(s), -1) for s in (a, b))
-        hit = (x @ y.T >= least) if len(x) and len(y) else np.zeros((len(x), len(y)), bool)
+        hit = x @ y.T >= least
         if own:
             np.fill_diagonal(hit, False)
         names = np.concatenate([a["node"].to_numpy(), b["node"].to_numpy()])
