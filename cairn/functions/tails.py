@@ -6,14 +6,15 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_1df(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)))
 
@@ -31,6 +32,6 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(p) for p in every if p <= here + 1e-9))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_two_sided(*map(int, x)) for x in zip(a, b, c, d)])
