@@ -33,7 +33,7 @@ class Params:
     rows: int = 5  #: of a band: a pair at 0.75 shares none of 48 with probability 2e-6
     bits: int = 2048  #: of an odd sketch
     seed: int = 7
-    rounds: int = 1  #: of stars around drawn hubs, after the first
+    rounds: int = 0  #: of stars around drawn hubs, after the first
     block: int = 256  #: members of a crowded bucket compared at a time
 
     @property
@@ -323,8 +323,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = Sets(classes, docs, p)
 
     def star_links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "stars")
-        close = stored(pairs.join(side_a, "a").join(side_b, "b").filter(possible).select("a", "b"), "close")
+        close = stored(pairs.distinct().join(side_a, "a").join(side_b, "b").filter(possible).select("a", "b"), "close")
         return stored(sets.confirmed(close), "links")
 
     links = star_links(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))

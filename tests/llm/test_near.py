@@ -61,7 +61,7 @@ def brute(rows):
 def test_near_components(spark):
     rows = near_texts()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string")
-    for p in (near_dedup.Params(), near_dedup.Params(block=4, rounds=0)):
+    for p in (near_dedup.Params(), near_dedup.Params(block=4, rounds=2)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(df, p=p).collect()}
         assert got == brute(rows)
 
