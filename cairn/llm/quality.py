@@ -14,16 +14,19 @@ from functools import reduce
 from math import log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
 from cairn.llm import linear
 from cairn.llm.common import stored
 
 BUCKETS = 1 << 18
 SAMPLE = 2500  #: rows of each grade, by hash of the id, that the model is fitted on at most
-KNOWN_TOKENS = 400_000  #: that a worker remembers
+KNOWN_TOKENS = 250_000  #: that a worker remembers
 _KIND = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1{2,}"), r"\1\1\1"))
 _LETTER = np.array([chr(i).isalpha() or i >= 128 for i in range(256)])
 _SPACE = np.array([chr(i).isspace() and i < 128 for i in range(256)])
@@ -161,18 +164,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
 
 
 def filter_docs(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", least: int = 1, tail: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all their columns, that `score` would keep."""
+    """The rows of `docs`, with all their columns, that `score` would keep.
+    Only texts go to Python and only flags come back."""
     weights, cuts = model
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, w = _known, held.value
-        for b in batches:
-            mask = []
-            for text in b.column(b.schema.get_field_index(text_col)).to_pylist():
+        for part in parts:
+            sums = np.zeros(len(part))
+            for i, text in enumerate(part):
                 ids, values = features(text, known)
-                s = (w[ids] * values).sum(dtype=np.float64)
-                mask.append(bool(linear.at_least(np.array([s]), cuts)[0, least - 1] >= tail))
-            yield b.filter(pa.array(mask, pa.bool_()))
+                sums[i] = (w[ids] * values).sum(dtype=np.float64)
+            yield pd.Series(linear.at_least(sums, cuts)[:, least - 1] >= tail)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(F.pandas_udf(keep, T.BooleanType(), PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
