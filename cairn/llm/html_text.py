@@ -53,20 +53,20 @@ LINKS_MOST = 0.5
 
 
 class Block:
-    __slots__ = ("text", "linked", "off", "main", "label")
+    __slots__ = ("text", "linked", "off", "main", "home", "label")
 
-    def __init__(self, text: str, linked: int, off: bool, main: int):
-        self.text, self.linked, self.off, self.main, self.label = text, linked, off, main, None
+    def __init__(self, text: str, linked: int, off: bool, main: int, home: int):
+        self.text, self.linked, self.off, self.main, self.home, self.label = text, linked, off, main, home, None
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order. `off`: inside an element that is furniture
     by its tag or name; `main`: number of the article or main element around
-    it, 0 outside."""
+    it, 0 outside; `home`: number of the innermost container."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, off, main; of elements with an end tag of their own
+    stack: list[tuple[str, bool, int, int]] = []  # tag, off, main, home; of elements with an end tag of their own
     parts: list[str] = []
-    off, main, mains, links, linked, at = False, 0, 0, 0, 0, 0
+    off, main, home, opened, links, linked, at = False, 0, 0, 0, 0, 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -74,7 +74,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, linked, off, main))
+                out.append(Block(text, linked, off, main, home))
         linked = 0
 
     for m in TOKEN.finditer(page):
@@ -101,26 +101,27 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in BLOCK_TAGS:
             if (named or hidden) and tag not in VOID_TAGS and not attrs.endswith("/"):
                 close()
-                stack.append((tag, off, main))
+                stack.append((tag, off, main, home))
                 off = True
             elif ends and any(x[0] == tag for x in stack):
                 close()
-                off, main = _leave(stack, tag, off, main)
+                off, main, home = _leave(stack, tag, off, main, home)
             continue
         close()
         links = 0
         if ends:
-            off, main = _leave(stack, tag, off, main)
+            off, main, home = _leave(stack, tag, off, main, home)
         elif tag not in VOID_TAGS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "html", "tbody", "thead", "tfoot"):
-            stack.append((tag, off, main))
+            stack.append((tag, off, main, home))
+            opened += 1
+            home = opened
             if tag in MAIN_TAGS:
-                mains += 1
-                main = mains if not main else main
+                main = main or opened
             if hidden or (tag in OFF_TAGS and not (tag == "header" and main)) or (named and tag not in ("body", "main")):
                 off = True
         elif (named or hidden) and tag in ("p", "li", "tr", "td"):
             # no end tag to rely on: off until this element's own end, if it has one
-            stack.append((tag, off, main))
+            stack.append((tag, off, main, home))
             off = True
     if at < len(page):
         parts.append(page[at:])
@@ -128,13 +129,13 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _leave(stack: list, tag: str, off: bool, main: int) -> tuple[bool, int]:
+def _leave(stack: list, tag: str, off: bool, main: int, home: int) -> tuple[bool, int, int]:
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == tag:
-            _, off, main = stack[i]
+            _, off, main, home = stack[i]
             del stack[i:]
             break
-    return off, main
+    return off, main, home
 
 
 def decide(blocks: list[Block]) -> None:
@@ -159,11 +160,12 @@ def decide(blocks: list[Block]) -> None:
 
 
 def _nearest(blocks: list[Block], labels: list, inside: bool) -> list:
-    """(distance, label) of the last decided block before each; `inside`: in the same main element."""
+    """(distance, label) of the last decided block before each; `inside`: in
+    the same main element or, outside of any, the same container."""
     out, last = [], {}
     for i, (b, label) in enumerate(zip(blocks, labels, strict=True)):
-        key = b.main if inside else None
-        out.append((i - last[key][0], last[key][1]) if key in last and not (inside and not b.main) else None)
+        key = (b.main or -b.home) if inside else None
+        out.append((i - last[key][0], last[key][1]) if key in last else None)
         if label is not None and not (inside and b.off):
             last[key] = (i, label)
     return out
