@@ -19,7 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 400_000  #: kept by a worker; beyond it the memory starts anew
+from cairn.llm.common import remembered
+
+KNOWN_WORDS = 300_000  #: kept by a worker; beyond it the memory starts anew
 CHUNK_CHARS = 3_000_000  #: of texts cut into words at a time
 LONG_WORD = 512  #: bytes from which a word contracts all places of its pair at once
 
@@ -68,7 +70,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Words(dict):
     """word -> (ids as int32 bytes, decoded bytes), filled by SQL."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: str = "300MB"):
+    def __init__(self, ranks: dict[bytes, int], memory: str = "200MB"):
         super().__init__()
         rules = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*rules, strict=True)) if rules else (pa.array([], pa.int32()),) * 3
@@ -121,13 +123,9 @@ class Words(dict):
                 yield i, values[cuts[k] : cuts[k + 1]], text[bounds[k] : bounds[k + 1]]
 
 
-_held: dict[str, Words] = {}  # by vocabulary file: a worker's tasks share what it has learnt
-
-
 def words_of(path: str) -> Words:
-    if path not in _held:
-        _held[path] = Words(read_ranks(path))
-    return _held[path]
+    """What a worker's tasks have learnt of a vocabulary file."""
+    return remembered(path, lambda: Words(read_ranks(path)))
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:

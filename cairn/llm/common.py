@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,19 @@ from pyspark.sql import functions as F
 HASH_SPACE = 1 << 60
 
 
+_remembered: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks of one operator, such as words
+    looked up; another operator's goes first. Called inside tasks, so that it
+    is the worker's own and never shipped."""
+    if name not in _remembered:
+        _remembered.clear()
+        _remembered[name] = make()
+    return _remembered[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: `spark.checkpoint.dir`, or one of
     our own where the session names none (tests on one machine)."""

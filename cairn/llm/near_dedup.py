@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import components, stored
+from cairn.llm.common import components, remembered, stored
 
 _MIX1, _MIX2, _FOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,15 +62,12 @@ class _Words(dict):
     """64-bit hashes of words, kept while a task meets them again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-_known = _Words()  # a worker's tasks share what they have hashed
-
-
 def shingle_hashes(text: str | None, known: dict, words: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles. `bytes.lower` and
     `bytes.split` touch ASCII only: A-Z, and x20 x09-x0D."""
@@ -120,7 +117,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     hashes the set, equal for equal sets, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (a, b) = _known, _multipliers(p)
+        known, (a, b) = remembered("shingles", _Words), _multipliers(p)
         for batch in batches:
             sizes, keys, bands, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -153,7 +150,7 @@ def shingle_sets(texts: DataFrame, p: Params) -> DataFrame:
     """`node, shingles` of `texts(text)`; a node is the hash of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known
+        known = remembered("shingles", _Words)
         for batch in batches:
             sets = [shingle_hashes(t, known, p.words) for t in batch.column(0).to_pylist()]
             keys = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]

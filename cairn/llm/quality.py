@@ -22,11 +22,11 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import PandasUDFType
 
 from cairn.llm import linear
-from cairn.llm.common import stored
+from cairn.llm.common import remembered, stored
 
 BUCKETS = 1 << 18
 SAMPLE = 2500  #: rows of each grade, by hash of the id, that the model is fitted on at most
-KNOWN_TOKENS = 250_000  #: that a worker remembers
+KNOWN_TOKENS = 200_000  #: that a worker remembers
 _KIND = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1{2,}"), r"\1\1\1"))
 _LETTER = np.array([chr(i).isalpha() or i >= 128 for i in range(256)])
 _SPACE = np.array([chr(i).isspace() and i < 128 for i in range(256)])
@@ -69,7 +69,6 @@ class Tokens(dict):
         return i
 
 
-_known = Tokens()  # a worker's tasks share what they have looked up
 _RATIO_AT = np.array([_bucket(f"r{k}") for k in RATIOS])
 _BIAS = _bucket("bias")
 
@@ -133,7 +132,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, l2: float = 1e-4
     grade = rows.column("grade").to_numpy().astype(int)
     if not len(grade):
         return np.zeros(BUCKETS, np.float32), np.zeros(grades - 1) - 30.0
-    kept = [features(t.as_py(), _known) for t in rows.column("text")]
+    known = Tokens()
+    kept = [features(t.as_py(), known) for t in rows.column("text")]
     weight = np.array([n.get(k, 0) for k in range(grades)]) / np.maximum(1, np.bincount(grade, minlength=grades))
     return linear.fit(linear.Rows.of(kept), grade, weight[grade], grades, BUCKETS, l2)
 
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = _known, held.value
+        known, w = remembered("quality", Tokens), held.value
         for b in batches:
             sums = np.zeros(b.num_rows)
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -170,7 +170,7 @@ def filter_docs(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col:
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, w = _known, held.value
+        known, w = remembered("quality", Tokens), held.value
         for part in parts:
             sums = np.zeros(len(part))
             for i, text in enumerate(part):

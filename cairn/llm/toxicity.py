@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import linear
-from cairn.llm.common import stored
+from cairn.llm.common import remembered, stored
 
 BUCKETS = 1 << 19  #: of hashed features: also what a model holds at most
 GRAMS = (3, 4, 5)
@@ -49,19 +49,10 @@ class Grams(dict):
 class Weighed(dict):
     """word -> those of its features that a model weighs, None without any."""
 
-    _held: dict[str, Weighed] = {}  # the last model's, for a worker's tasks
-
     def __init__(self, weights: np.ndarray):
         super().__init__()
         self.weights, self.grams = weights, Grams()
 
-    @classmethod
-    def of_model(cls, name: str, held) -> Weighed:
-        if name not in cls._held:
-            cls._held.clear()
-            cls._held[name] = cls(held.value)
-        return cls._held[name]
-
     def __missing__(self, word: str) -> np.ndarray | None:
         if len(self) >= KNOWN_WORDS:
             self.clear()
@@ -77,15 +68,12 @@ class Weighed(dict):
         return float(self.weights[linear.distinct(np.concatenate(found))].sum(dtype=np.float64)) if found else 0.0
 
 
-_known = Grams()  # a worker's tasks share what they have looked up
-
-
 def _counts(rows: DataFrame) -> DataFrame:
     """`bucket, pos, neg` of `rows(text, toxic)`: summed within a partition's
     batches first, so at most `BUCKETS` rows leave each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, tally = _known, np.zeros((2, BUCKETS), np.int64)
+        grams, tally = remembered("grams", Grams), np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tally[toxic][linear.distinct(grams.of(text))] += 1
@@ -128,11 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, l2: float = 1e-3) -> tuple[np.ndar
     ratio[at] = np.log(p / (1 - p)) - np.log(q / (1 - q))
     # ratios within two standard errors of none, and of rare features, are noise
     ratio[at[(pos + neg < 3) | (np.abs(ratio[at]) < 2 * np.sqrt(1 / (pos + 1) + 1 / (neg + 1)))]] = 0
-    kept, grade, weight = [], [], []
+    grams, kept, grade, weight = Grams(), [], [], []
     for k in (0, 1):
         part = rows.filter(F.col("toxic") == k).orderBy(order, "id").limit(SAMPLE).select("text").toArrow().column(0)
         for text in part:
-            ids_ = linear.distinct(_known.of(text.as_py()))
+            ids_ = linear.distinct(grams.of(text.as_py()))
             ids_ = ids_[ratio[ids_] != 0]
             kept.append((ids_, ratio[ids_]))
             grade.append(k)
@@ -151,7 +139,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Weighed.of_model(name, held)
+        words = remembered(name, lambda: Weighed(held.value))
         for b in batches:
             sums = np.fromiter(map(words.total, b.column(1).to_pylist()), np.float64, b.num_rows)
             p = linear.sigmoid(sums - cut)

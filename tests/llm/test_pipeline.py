@@ -36,10 +36,10 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "MinHash near-dedup", "source mixing", "BPE encoding"]
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = quality_model(table, spark.read.parquet(f"{sf}/labels.parquet"))
-    w, cuts = model
+    (w, cuts), known = model, quality.Tokens()
 
     def good(text):
-        ids, values = quality.features(text, quality._known)
+        ids, values = quality.features(text, known)
         return float((w[ids] * values).sum(dtype="float64")) >= cuts[0]
 
     left = [(i, t) for i, t, *_ in docs if good(t)]
