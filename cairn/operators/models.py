@@ -216,3 +216,34 @@ def model_cards(models: DataFrame, tiers: DataFrame, cohort: DataFrame) -> DataF
 
 def fills(cohort: DataFrame) -> DataFrame:
     return cohort.groupBy("drug").agg(F.round(F.median("tb_depth"), 6).alias("depth_fill"))
+
+
+def mlp_sweep(rows: DataFrame, n_features: int, groups: Sequence[str], widths: Sequence[int] = (4, 16), iterations: Sequence[int] = (20, 60)) -> DataFrame:
+    """Perceptrons by width and iterations (Spark ML has no L2 knob for them):
+    mean AUC on held-out lineages, the best first."""
+    out = None
+    for width in widths:
+        for steps in iterations:
+            learner = MultilayerPerceptronClassifier(layers=[max(1, n_features), width, 2], maxIter=steps, seed=7)
+            for g in groups:
+                part = fit_score(learner)(rows.filter(F.col("lineage") != g), rows.filter(F.col("lineage") == g)).withColumn("model", F.lit(f"{width}x{steps}"))
+                out = part if out is None else out.unionByName(part)
+    a = auc(out, "score", F.col("y") == 1, ["model", "lineage"])
+    return a.groupBy("model").agg(F.round(F.avg("auc"), 6).alias("mean_auc")).orderBy(F.desc("mean_auc"), "model")
+
+
+def cv_random(rows: DataFrame, learner: str, n_features: int, k: int = 3, seed: int = 7) -> DataFrame:
+    """Pooled out-of-fold AUC of stratified folds in seeded hash order."""
+    from cairn.operators.evaluate import cv_folds
+
+    w = Window.partitionBy("drug", "label").orderBy(F.md5(F.concat("uid", F.lit(f"|{seed}"))), "uid")
+    folded = rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    scored = cv_folds(folded, "fold", fit_score(learners(n_features)[learner]), range(k))
+    return auc(scored, "score", F.col("y") == 1, ["drug"])
+
+
+def impute_confounders(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("drug",)) -> DataFrame:
+    """Missing confounders as the median of their group, exact."""
+    med = df.groupBy(*by).agg(*[F.median(c).alias(f"_{c}") for c in columns])
+    out = df.join(F.broadcast(med), list(by))  # a row for each drug
+    return out.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])

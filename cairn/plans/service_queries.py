@@ -310,3 +310,22 @@ def model_cards(s, d):
     return M.model_cards(models, E.tier_report(_folds(s, d)), cohort(s, d))
 
 
+@query("mlp_sweep")
+def mlp_sweep(s, d):
+    rows, index = _rows(s, d)
+    return M.mlp_sweep(rows, index.count(), ["lineage1"], iterations=(20,))
+
+
+@query("cv_random")
+def cv_random(s, d):
+    rows, index = _rows(s, d)
+    return M.cv_random(rows, "logistic_l2", index.count())
+
+
+@query(
+    "confounders",
+    sql("""SELECT drug, uid, coalesce(x, median(x) OVER (PARTITION BY drug)) AS tb_depth FROM (SELECT drug, uid, CASE WHEN quality <> 'LOW' THEN tb_depth END AS x FROM cohort)""", "cohort"),
+)
+def confounders(s, d):
+    c = cohort(s, d).select("drug", "uid", F.when(F.col("quality") != "LOW", F.col("tb_depth")).alias("tb_depth"))
+    return M.impute_confounders(c, ["tb_depth"])
