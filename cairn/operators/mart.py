@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def raw_summary(mutations: DataFrame) -> DataFrame:
     """Per isolate over all its mutations."""
     return mutations.groupBy("uid").agg(
-        F.count(F.lit(1)).alias("n_mutations"), F.round(F.avg("frs"), 6).alias("mean_frs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.count_if("is_minor").alias("n_minor")
+        F.count(F.lit(1)).alias("n_mutations"), F.avg("frs").alias("mean_frs"), F.avg("coverage").alias("mean_coverage"), F.count_if("is_minor").alias("n_minor")
     )
 
 

@@ -93,8 +93,8 @@ def contributions(vectors: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def score(vectors: DataFrame, model: DataFrame, intercept: float) -> DataFrame:
-    s = contributions(vectors, model).groupBy("uid").agg(F.round(F.sum("contribution"), 6).alias("x"))
-    return s.select("uid", F.round(F.col("x") + intercept, 5).alias("logit"), F.round(1 / (1 + F.exp(-(F.col("x") + intercept))), 5).alias("p_resistant"))
+    s = contributions(vectors, model).groupBy("uid").agg((F.sum("contribution") + intercept).alias("logit"))
+    return s.select("uid", "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("p_resistant"))
 
 
 def explain(vectors: DataFrame, model: DataFrame, evidence: DataFrame, determinants: DataFrame, drug: str) -> DataFrame:

@@ -346,9 +346,14 @@ def gene_flags(s, d):
     return K.gene_flags(carried(s, d))
 
 
-@query("raw_summary", sql("SELECT uid, count(*) AS n_mutations, round(avg(frs),6) AS mean_frs, round(avg(coverage),6) AS mean_coverage, count(*) FILTER (is_minor) AS n_minor FROM mutations GROUP BY uid", "mutations"))
+def _even(df):
+    """Means rounded, ties upwards whatever the order of the sum."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("mean_frs", "mean_coverage")})
+
+
+@query("raw_summary", sql("SELECT uid, count(*) AS n_mutations, round(avg(frs)+1e-9,6) AS mean_frs, round(avg(coverage)+1e-9,6) AS mean_coverage, count(*) FILTER (is_minor) AS n_minor FROM mutations GROUP BY uid", "mutations"))
 def raw_summary(s, d):
-    return M.raw_summary(X.mutations(s, d))
+    return _even(M.raw_summary(X.mutations(s, d)))
 
 
 _COUNTS = "SELECT uid, drug, " + ", ".join(f"count(*) FILTER (prediction='{c}') AS n_{c.lower()}" for c in "RSUF") + " FROM effects GROUP BY uid, drug"
@@ -389,11 +394,11 @@ def core(s, d):
     "mart_core",
     sql(
         f"""SELECT c.*, coalesce(n_mutations,0) AS n_mutations, mean_frs, mean_coverage, coalesce(n_minor,0) AS n_minor, coalesce(n_r,0) AS n_r, coalesce(n_s,0) AS n_s, coalesce(n_u,0) AS n_u, coalesce(n_f,0) AS n_f
-  FROM ({_CORE}) c LEFT JOIN (SELECT uid, count(*) AS n_mutations, round(avg(frs),6) AS mean_frs, round(avg(coverage),6) AS mean_coverage, count(*) FILTER (is_minor) AS n_minor FROM mutations GROUP BY uid) s USING (uid)
+  FROM ({_CORE}) c LEFT JOIN (SELECT uid, count(*) AS n_mutations, round(avg(frs)+1e-9,6) AS mean_frs, round(avg(coverage)+1e-9,6) AS mean_coverage, count(*) FILTER (is_minor) AS n_minor FROM mutations GROUP BY uid) s USING (uid)
   LEFT JOIN ({_COUNTS}) e USING (uid, drug)""", "cohort", "mutations", "effects"),
 )
 def mart_core(s, d):
-    return M.assemble(M.core(cohort(s, d)), M.raw_summary(X.mutations(s, d)), M.cat_counts(X.effects(s, d)))
+    return _even(M.assemble(M.core(cohort(s, d)), M.raw_summary(X.mutations(s, d)), M.cat_counts(X.effects(s, d))))
 
 
 WIDE = [f"B1_K{k}E" for k in range(1, 11)] + [f"B1_{k}_del_a" for k in range(1, 11)]

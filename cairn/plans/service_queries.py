@@ -89,9 +89,13 @@ def roundtrip(s, d):
 _X = "SELECT uid, round(sum(coef*(value::DOUBLE-mean)/scale),6) AS x FROM ({v}) JOIN md USING (feature) GROUP BY uid".format(v=_VECTOR.replace("feature, kind, (CASE", "feature, (CASE"))
 
 
-@query("score_contributions", sql(f"SELECT uid, round(x-0.5,5) AS logit, round(1/(1+exp(-(x-0.5))),5) AS p_resistant FROM ({_X})", "isolates", "carriage", md=_MODEL))
+_RAW = _X.replace("round(sum(coef*(value::DOUBLE-mean)/scale),6)", "sum(coef::DOUBLE*(value::DOUBLE-mean)/scale)")
+
+
+@query("score_contributions", sql(f"SELECT uid, round(x-0.5+1e-9,5) AS logit, round(1/(1+exp(-(x-0.5)))+1e-9,5) AS p_resistant FROM ({_RAW})", "isolates", "carriage", md=_MODEL))
 def score_contributions(s, d):
-    return R.score(vectors(s, d), model(s, d)[1], -0.5)
+    out = R.score(vectors(s, d), model(s, d)[1], -0.5)
+    return out.select("uid", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("logit", "p_resistant")])
 
 
 @query(
