@@ -6,7 +6,8 @@ before it kept; all but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from cairn.llm import bpe, exact_dedup, mixing, near_dedup, quality, queries
 from cairn.llm.common import stored
@@ -38,8 +39,25 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of ids and decoded text of each document."""
-    return bpe.digests(bpe.encode_decode(docs, *queries.tokenizer()))
+    """Token count and digests of ids and decoded text of each document, and
+    its `mix_position`: the place that the stage before gave it, from 0."""
+    rows = placed(docs).select(F.struct("doc_id", "mix_position").alias("_key"), "text")
+    encoded = bpe.digests(bpe.encode_decode(rows, *queries.tokenizer(), id_col="_key"), id_col="_key")
+    return encoded.select("_key.doc_id", *encoded.columns[1:], "_key.mix_position")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """`docs`, a scan of a stored stage, with `mix_position`: the row's place
+    in its file after the rows of the files before. Files are in the order of
+    the tasks that wrote them, however the scan packs and splits them. Only
+    counts of files meet in one task."""
+    name, number = F.col("_metadata.file_name"), F.regexp_extract("_file", r"^part-(\d+)", 1)
+    counts = docs.groupBy(name.alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(F.expr("try_cast(_number AS long)"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn("_number", number).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rows = docs.select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.join(F.broadcast(firsts), "_file")  # a row for each file
+    return rows.withColumn("mix_position", F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
 
 
 STAGES = [

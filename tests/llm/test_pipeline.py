@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import bpe, quality
+from cairn.llm import bpe, mixing, quality
 from cairn.llm.queries import quality_model, tokenizer
 from tests.llm.test_near import brute
 
@@ -69,3 +69,28 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_reaches_the_result(spark, tmp_path, monkeypatch):
+    make(spark, tmp_path)
+    same = lambda s, docs, d: docs
+    stages = [("none", same), ("source mixing", corpus_pipeline.mix), ("BPE encoding", corpus_pipeline.encode)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(3)
+    docs.write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    want = {r.doc_id: r.mix_position for r in mixing.mix_sources(docs).collect()}
+
+    def positions():
+        rows = corpus_pipeline.run(spark, str(tmp_path / "many")).collect()
+        assert len(rows) == len(want)
+        return {r.doc_id: r.mix_position for r in rows}
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    # several files, which the scan packs by size
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert positions() == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert positions() == want
+    stages[1] = ("source mixing", same)
+    assert positions() != want
