@@ -4,6 +4,8 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,5 +149,44 @@ def test_mixing_defaults(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def fair(order, weights):
+    """Whether after every slot each source has its share of the given
+    weights, give or take less than one."""
+    total, done = sum(Fraction(str(w)) for w in weights.values()), dict.fromkeys(weights, 0)
+    share = {s: Fraction(str(w)) / total for s, w in weights.items()}
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        if t % 7 == 0 or t < 300:
+            assert all(abs(done[x] - t * w) < 1 for x, w in share.items()), t
+    return True
+
+
+HOT = {"hot": 1 / 3} | {f"s{k:02}": 2 / 57 for k in range(19)}
+
+
+def test_mix_is_fair_to_the_given_weights():
+    assert fair(islice(mixing.dealt(mixing.quotas(HOT)), 60_000), HOT)
+    rare = {"a": 0.61, "b": 0.3, "c": 0.05, "d": 0.04, "rare": 1e-6}
+    assert fair(islice(mixing.dealt(mixing.quotas(rare)), 20_000), rare)
+    assert mixing.quotas({"a": 0.61, "b": 0.3, "c": 0.05, "d": 0.04}) == {"a": 61, "b": 30, "c": 5, "d": 4}
+    with pytest.raises(ValueError):
+        mixing.quotas({"a": 1, "b": 2}, 100)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixed_rows_are_fair_to_the_given_weights(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    short = {"a": 0.61, "b": 0.3, "c": 0.09}
+    for weights, sizes in [(HOT, {s: 2000 if s == "hot" else 150 for s in HOT}), (short, {"a": 1300, "b": 600, "c": 500}), (None, {"a": 3000, "b": 500, "c": 77})]:
+        rows = [(i, s) for s, n in sizes.items() for i in range(n)] + [(1, None)]
+        out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1).collect()
+        assert sorted(r.mix_position for r in out) == list(range(len(rows)))
+        mixed = sorted((r.mix_slot, r.source) for r in out if r.mix_phase is not None)
+        assert [t for t, _ in mixed] == list(range(len(rows) - 1))
+        first = [r.mix_slot for r in out if r.mix_phase == 0]
+        assert fair([s for _, s in mixed[: len(first)]], weights or mixing.tempered(sizes, 0.5))
+
+
 def test_white_space_is_ascii_only():
     assert re.fullmatch(exact.WHITE, "\x0b\x0c\r\n\t ") and not re.fullmatch(exact.WHITE, " ")
