@@ -37,7 +37,7 @@ def cv_folds(rows: DataFrame, fold: str, fit_score: Callable[[DataFrame, DataFra
 def usable_for_logo(rows: DataFrame, group: str, least: int = 20) -> list[str]:
     """Groups with enough rows of both labels, few by nature."""
     g = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n_r"))
-    return sorted(r[0] for r in g.filter((F.col("n") >= least) & (F.col("n_r") > 0) & (F.col("n_r") < F.col("n"))).limit(1000).collect())
+    return sorted(r[0] for r in g.filter((F.col("n") >= least) & (F.col("n_r") > 0) & (F.col("n_r") < F.col("n"))).collect())
 
 
 def cv_logo(rows: DataFrame, group: str, fit_score, least: int = 20, named_only: bool = True) -> DataFrame:

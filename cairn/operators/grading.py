@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,18 +34,19 @@ def graded(solos: DataFrame, background: float, strict: bool = False) -> DataFra
     return solos.withColumn("prediction", F.when(low > background, "R").when(susceptible, "S").otherwise("U"))
 
 
-def grade(samples: DataFrame, mutations: DataFrame, background: float = 0.05, strict: bool = False, rounds: int = 10) -> DataFrame:
+def grade(samples: DataFrame, mutations: DataFrame, background: float = 0.05, strict: bool = False) -> DataFrame:
     """Our own definition of grading by solos: mutations graded S leave, which
-    makes others solo, until no more are S. Then R and U of the last counts.
+    makes others solo, until no more are S, however many rounds that takes (each
+    has one mutation at least). Then R and U of the last counts.
     `samples(drug, uid, phenotype)`, `mutations(drug, uid, mutation)`."""
     left, benign = mutations.select("drug", "uid", "mutation").distinct(), None
-    for k in range(rounds):
+    for k in count():
         found = _cut(graded(solo_counts(samples, left), background, strict).withColumn("round", F.lit(k)))
         s = found.filter("prediction = 'S'")
         if s.isEmpty():
             break
         benign = s if benign is None else benign.unionByName(s)
-        left = left.join(s.select("drug", "mutation"), ["drug", "mutation"], "left_anti")
+        left = _cut(left.join(s.select("drug", "mutation"), ["drug", "mutation"], "left_anti"))
     rest = found.filter("prediction <> 'S'")
     return rest if benign is None else benign.unionByName(rest)
 

@@ -17,16 +17,16 @@ from cairn.operators.stats import auc
 FEATURE = ["gene", "mutation"]
 
 
-def feature_index(pool: DataFrame, most: int = 5000) -> DataFrame:
-    """`i, gene, mutation` of a bounded pool, in name order from 0."""
+def feature_index(pool: DataFrame) -> DataFrame:
+    """`i, gene, mutation` of the whole pool, in name order from 0."""
     w = Window.orderBy(*FEATURE)
-    return pool.select(*FEATURE).distinct().orderBy(*FEATURE).limit(most).withColumn("i", F.row_number().over(w) - 1)
+    return pool.select(*FEATURE).distinct().withColumn("i", F.row_number().over(w) - 1)
 
 
 def sparse(cohort: DataFrame, carried: DataFrame, index: DataFrame) -> DataFrame:
     """(drug, uid, lineage, label, features): a sparse 0/1 vector of the pool."""
     n = index.count()
-    on = carried.join(F.broadcast(index), FEATURE).groupBy("uid").agg(F.array_sort(F.collect_set("i")).alias("on"))  # index: a bounded pool
+    on = carried.join(index, FEATURE).groupBy("uid").agg(F.array_sort(F.collect_set("i")).alias("on"))  # broadcast where it is small
 
     @F.udf(VectorUDT())
     def vector(at):

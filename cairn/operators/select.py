@@ -84,12 +84,12 @@ def vote_residual(cohort: DataFrame, carried: DataFrame, candidates: DataFrame,
 def vote_importance(cohort: DataFrame, carried: DataFrame, candidates: DataFrame, drug: str, max_iter: int = 50) -> DataFrame:
     """Importance of each candidate in one additive logistic model of the
     drug's cohort: |coef| times the mean absolute deviation of a 0/1 column.
-    The vote is for the upper half. The candidate list is a bounded pool."""
-    names = [tuple(r) for r in candidates.filter(F.col("drug") == drug).select(*FEATURE).distinct().orderBy(*FEATURE).limit(5000).collect()]
+    The vote is for the upper half. The driver holds the candidates' names."""
+    names = [tuple(r) for r in candidates.filter(F.col("drug") == drug).select(*FEATURE).distinct().orderBy(*FEATURE).collect()]
     spark = cohort.sparkSession
     index = spark.createDataFrame([(g, m, i) for i, (g, m) in enumerate(names)], "gene string, mutation string, i int")
     mine = cohort.filter(F.col("drug") == drug).select("uid", (F.col("phenotype") == "R").cast("double").alias("label"))
-    held = mine.join(carried, "uid").join(F.broadcast(index), FEATURE).groupBy("uid").agg(F.collect_set("i").alias("on"))
+    held = mine.join(carried, "uid").join(index, FEATURE).groupBy("uid").agg(F.collect_set("i").alias("on"))
     slots = F.sequence(F.lit(0), F.lit(len(names) - 1))
     wide = mine.join(held, "uid", "left").select("label", array_to_vector(F.transform(slots, lambda i: F.coalesce(F.array_contains("on", i), F.lit(False)).cast("double"))).alias("features"))
     model = LogisticRegression(regParam=0.01, maxIter=max_iter, standardization=False).fit(wide)

@@ -126,8 +126,8 @@ def predict(instances: DataFrame, schema: DataFrame, model: DataFrame, intercept
 
 
 def _terms(schema: DataFrame, model: DataFrame) -> list[Column]:
-    """A model's terms as expressions: its features are few, read on the driver."""
-    rows: Sequence[Mapping] = schema.join(model, "feature").orderBy("pos").limit(5000).collect()
+    """A model's terms as expressions: all its features, read on the driver."""
+    rows: Sequence[Mapping] = schema.join(model, "feature").orderBy("pos").collect()
     out = []
     for r in rows:
         if r["kind"] == "mutation":

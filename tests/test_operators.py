@@ -14,6 +14,7 @@ from cairn.operators import evaluate as E
 from cairn.operators import grading as G
 from cairn.operators import integrity as V
 from cairn.operators import mart as M
+from cairn.operators import models
 from cairn.operators import serve as R
 from cairn.operators import stats as S
 from cairn.operators import steps as P
@@ -220,3 +221,22 @@ def test_entry_registers_queries():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_grade_peels_to_the_end(spark):
+    rows = [(f"u{i}{c}", i) for i in range(13) for c in ("abcde" if i == 12 else "a")]
+    samples = spark.createDataFrame([("D", u, "R" if i == 12 else "S") for u, i in rows], "drug string, uid string, phenotype string")
+    mutations = spark.createDataFrame([("D", u, f"m{k:02}") for u, i in rows for k in range(i + 1)], "drug string, uid string, mutation string")
+    got = {r.mutation: (r.prediction, r.round) for r in G.grade(samples, mutations).collect()}
+    assert got == {f"m{k:02}": ("S", k) for k in range(12)} | {"m12": ("R", 12)}
+
+
+def test_no_group_or_feature_is_cut(spark):
+    pool = spark.range(5005).select(F.lit("g").alias("gene"), F.format_string("m%05d", "id").alias("mutation"))
+    index = models.feature_index(pool)
+    assert index.count() == 5005 and index.filter("mutation = 'm05004'").first().i == 5004
+    groups = spark.range(1005).select(F.format_string("g%04d", "id").alias("g"), F.lit(2).alias("n"), F.lit("D").alias("drug"))
+    left = P.leave_one_out(groups, "g", ["n"], ["drug"], groups)
+    assert left.count() == 1005 and left.filter("n <> 2008").isEmpty()
+    rows = groups.select("g", F.explode(F.array(F.lit(0), F.lit(1))).alias("y"))
+    assert len(E.usable_for_logo(rows, "g", 2)) == 1005
