@@ -4,6 +4,10 @@ A page is cut into blocks at block-level tags. The first pass decides each
 block from its place, link density, stop-word density and length; the second
 gives blocks too short to decide the label of the nearest decided neighbours,
 those of the same container before others.
+
+Names only hint at furniture: an element switched off by its class, id or role
+is read after all where the page has next to no prose elsewhere and the element
+holds most of its text, or an article that outweighs what is left.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ OFF_NAMES = re.compile(
     r"related|recommend\w*|popup|modal|overlay|login|search|widget|toolbar|pagination|pager|skip|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+# Words that make the name after them a state of the page ("with-sidebar"), not what the element is.
+STATE = re.compile(r"(?:^|(?<=\s))\S*?(?<![^\s_-])(?:with|without|has|have|no|not|show|hide|is)[_-]\S*")
 MAIN_TAGS = frozenset(("article", "main"))
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
@@ -50,23 +56,35 @@ SHORT = 70  #: characters under which a block is too short to decide alone
 LONG = 200  #: and from which one with few stop words is decided against
 STOPS_HIGH, STOPS_LOW = 0.2, 0.1
 LINKS_MOST = 0.5
+MAIN_LEAST = 0.2  #: share of a page's prose from which articles and main are all that counts
 
 
 class Block:
-    __slots__ = ("text", "linked", "off", "main", "home", "label")
+    __slots__ = ("text", "linked", "off", "main", "home", "label", "names", "stops")
+
+    def __init__(self, text: str, linked: int, off: bool, main: int, home: int, names: tuple[int, ...] = ()):
+        self.text, self.linked, self.off, self.main, self.home, self.label, self.names = text, linked, off, main, home, None, names
+        words = WORD.findall(text.lower())
+        self.stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
-    def __init__(self, text: str, linked: int, off: bool, main: int, home: int):
-        self.text, self.linked, self.off, self.main, self.home, self.label = text, linked, off, main, home, None
+    def prose(self, any_language: bool) -> int:
+        """Characters, if the block is sure to be running text."""
+        n = len(self.text)
+        sure = (n >= SHORT and self.stops >= STOPS_HIGH) or (any_language and n >= LONG)
+        return n if sure and self.linked <= LINKS_MOST * n else 0
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order. `off`: inside an element that is furniture
-    by its tag or name; `main`: number of the article or main element around
+    by its tag or hidden; `names`: numbers of the elements around it that are
+    furniture by name only, outermost first, before 0 those outside its
+    article or main; `main`: number of the article or main element around
     it, 0 outside; `home`: number of the innermost container."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, off, main, home; of elements with an end tag of their own
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # tag, off, main, home, names; of elements with an end tag of their own
     parts: list[str] = []
     off, main, home, opened, links, linked, at = False, 0, 0, 0, 0, 0, 0
+    names: tuple[int, ...] = ()
 
     def close() -> None:
         nonlocal linked
@@ -74,7 +92,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, linked, off, main, home))
+                out.append(Block(text, linked, off, main, home, names))
         linked = 0
 
     for m in TOKEN.finditer(page):
@@ -96,57 +114,102 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         attrs = m[4] or m[7] or ""
-        named = not ends and attrs and OFF_NAMES.search(" ".join(x for y in NAMED.findall(attrs) for x in y if x)) is not None
+        named = not ends and attrs and _furniture(attrs)
         hidden = not ends and attrs and HIDDEN.search(attrs) is not None
         if tag not in BLOCK_TAGS:
             if (named or hidden) and tag not in VOID_TAGS and not attrs.endswith("/"):
                 close()
-                stack.append((tag, off, main, home))
-                off = True
+                stack.append((tag, off, main, home, names))
+                opened += 1
+                off, names = off or hidden, (*names, opened) if named else names
             elif ends and any(x[0] == tag for x in stack):
                 close()
-                off, main, home = _leave(stack, tag, off, main, home)
+                off, main, home, names = _leave(stack, tag, off, main, home, names)
             continue
         close()
         links = 0
         if ends:
-            off, main, home = _leave(stack, tag, off, main, home)
+            off, main, home, names = _leave(stack, tag, off, main, home, names)
         elif tag not in VOID_TAGS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "html", "tbody", "thead", "tfoot"):
-            stack.append((tag, off, main, home))
+            stack.append((tag, off, main, home, names))
             opened += 1
             home = opened
-            if tag in MAIN_TAGS:
-                main = main or opened
-            if hidden or (tag in OFF_TAGS and not (tag == "header" and main)) or (named and tag not in ("body", "main")):
+            if tag in MAIN_TAGS and not main:
+                main, names = opened, (*names, 0) if names else names
+            if hidden or (tag in OFF_TAGS and not (tag == "header" and main)):
                 off = True
+            if named and tag not in ("body", "main"):
+                names = (*names, opened)
         elif (named or hidden) and tag in ("p", "li", "tr", "td"):
             # no end tag to rely on: off until this element's own end, if it has one
-            stack.append((tag, off, main, home))
-            off = True
+            stack.append((tag, off, main, home, names))
+            opened += 1
+            off, names = off or hidden, (*names, opened) if named else names
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
-def _leave(stack: list, tag: str, off: bool, main: int, home: int) -> tuple[bool, int, int]:
+def _furniture(attrs: str) -> bool:
+    said = " ".join(x for y in NAMED.findall(attrs) for x in y if x)
+    return OFF_NAMES.search(said) is not None and OFF_NAMES.search(STATE.sub(" ", said)) is not None
+
+
+def _leave(stack: list, tag: str, off: bool, main: int, home: int, names: tuple[int, ...]) -> tuple[bool, int, int, tuple[int, ...]]:
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == tag:
-            _, off, main, home = stack[i]
+            _, off, main, home, names = stack[i]
             del stack[i:]
             break
-    return off, main, home
+    return off, main, home, names
+
+
+def _read_after_all(blocks: list[Block], any_language: bool) -> set[int]:
+    """Numbers of the elements whose names are not held against them."""
+    read = {0}
+    seen = [b for b in blocks if not b.off]
+    named = [b for b in seen if b.names]
+    if not named:
+        return read
+    kept = sum(b.prose(any_language) for b in seen if not b.names)
+    inside: dict[tuple[int, ...], int] = {}  # prose of articles that have no such name, in elements that have
+    for b in named:
+        if b.main and b.names[-1] == 0:
+            inside[b.names] = inside.get(b.names, 0) + b.prose(any_language)
+    best = max(inside, key=inside.get, default=())
+    if inside.get(best, 0) > kept:
+        read.update(best)
+    total = sum(len(b.text) - b.linked for b in seen)
+    while sum(b.prose(any_language) for b in seen if read.issuperset(b.names)) < LONG:
+        share: dict[int, list[int]] = {}
+        for b in named:
+            for k in {*b.names} - read:
+                x = share.setdefault(k, [0, 0])
+                x[0] += len(b.text) - b.linked
+                x[1] += b.prose(any_language)
+        most = [k for k, (n, prose) in share.items() if prose >= LONG and 2 * n > total]
+        if not most:
+            break
+        read.add(min(most))
+    return read
 
 
 def decide(blocks: list[Block]) -> None:
     """Both passes: sets every block's label, True for main text."""
-    has_main = any(b.main and not b.off for b in blocks)
+    foreign = not any(b.prose(False) for b in blocks if not b.off)  # none of the four languages
+    read = _read_after_all(blocks, foreign)
+    for b in blocks:
+        b.off = b.off or not read.issuperset(b.names)
+    if not foreign:
+        foreign = not any(b.prose(False) for b in blocks if not b.off)
+    in_main = sum(b.prose(foreign) for b in blocks if b.main and not b.off)
+    has_main = any(b.main and not b.off for b in blocks) and in_main >= MAIN_LEAST * sum(b.prose(foreign) for b in blocks if not b.off)
     for b in blocks:
-        words = WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        stops = b.stops
         if b.off or (has_main and not b.main) or b.linked > LINKS_MOST * len(b.text):
             b.label = False
-        elif len(b.text) >= SHORT and stops >= STOPS_HIGH:
+        elif b.prose(foreign):
             b.label = True
         elif len(b.text) >= LONG:
             b.label = stops >= STOPS_LOW or None if b.main else stops >= STOPS_LOW
@@ -184,7 +247,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """One row per row of `pages`: id, url, `text`, `n_chars` (code points).
 
     Null or empty HTML, and pages all furniture, have the empty text; nothing
-    is capped. Broken markup is read on: an unclosed tag ends with its block,
+    is capped. Where no block has the stop words of the four languages, length
+    and links decide. Broken markup is read on: an unclosed tag ends with its block,
     an unclosed script or comment with the page. A page without any decided
     block keeps its undecided ones. Repeated rows and null ids stay as they
     are; other columns are not read. Pages are independent: one narrow pass,

@@ -35,6 +35,37 @@ def test_odd_markup(spark):
     assert sorted(r.n_chars for r in out.collect())[0] == 0 and html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+BODY = "\n".join([PROSE] * 4)
+PARAGRAPHS = "".join(f"<p>{PROSE}</p>" for _ in range(4))
+
+
+def test_names_do_not_lose_the_main_text():
+    menu, note = "<div class=menu><a href=a>One</a> <a href=b>Two</a></div>", f"<div class='comments-area'><p>{PROSE}</p></div>"
+    for page in (
+        f'<div class="layout with-sidebar">{menu}<article>{PARAGRAPHS}</article></div>',
+        f'<article class="post has-comments">{PARAGRAPHS}{note}</article>',
+        f'<div id="page" class="no-sidebar">{menu}<div>{PARAGRAPHS}</div>{note}</div>',
+        f'<div class="page-header-fixed">{menu}<div>{PARAGRAPHS}</div>{note}</div>',
+        f'<div class="sidebar-layout">{menu}<main>{PARAGRAPHS}</main></div><div><p>{PROSE}</p></div>{note}',
+    ):
+        assert html_text.main_text(f"<body>{page}</body>") == BODY, page
+    assert html_text.main_text(f"<body><div>{PARAGRAPHS}</div><div class=sidebar><article><p>{PROSE}</p></article></div>{note * 20}</body>") == BODY
+    assert html_text.main_text(f"<body><div class=menu><a href=a>{PROSE}</a></div></body>") == ""
+
+
+def test_a_card_is_not_the_main_text():
+    card = "<article><h3>Card</h3><p>Short teaser.</p></article>"
+    assert BODY in html_text.main_text(f"<body><div id=content>{PARAGRAPHS}</div>{card}</body>")
+    long_card = f"<article><p>{PROSE}</p></article>"
+    assert html_text.main_text(f"<body><div id=content>{PARAGRAPHS}{PARAGRAPHS}</div>{long_card}</body>").startswith(f"{BODY}\n{BODY}")
+
+
+def test_a_page_of_another_language():
+    text = "Joki virtaa kaupungin halki ja talot seisovat sen rannalla, missä ihmiset kulkevat joka aamu töihin ja koulun pihalla lapset leikkivät. " * 2
+    page = f"<body><nav><a href=a>Koti</a></nav><div><h1>Otsikko</h1><p>{text}</p><p>{text}</p></div><footer>{text}</footer></body>"
+    assert html_text.main_text(page) == f"Otsikko\n{text.strip()}\n{text.strip()}"
+
+
 def random_text(rng, n):
     return "".join(rng.choice(["the", "a ", "  ", "\n", "x9", "'s", "é", "!!", " word", "\t", "12"]) for _ in range(n))
 
