@@ -28,14 +28,24 @@ def remembered(name: str, make: Callable[[], object]):
     return _remembered[name]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it one that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: `spark.checkpoint.dir`, or one of
-    our own where the session names none (tests on one machine)."""
+    our own where the session names none and all of it runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -50,6 +60,30 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`_row` (all columns of `docs`), `_text` and `_key`, a key of the row's
+    own that sorts by id, null ids last. Stored, so that keys hold."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored(docs.select(row.alias("_row"), F.col(text_col).alias("_text"), key.alias("_key")), "keyed")
+
+
+#: Groups that `spread_join` broadcasts, at most.
+HOT_GROUPS = 10_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """`rows` with the columns of `groups`, one row for each key with `size`,
+    the number of its rows. Groups of a ten-thousandth of all rows or more, of
+    which there can't be more than `HOT_GROUPS`, are broadcast, so that no task
+    gets a hot one; the others meet their rows in a shuffle. Both stored."""
+    n = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) * HOT_GROUPS >= n)
+    cold = groups.filter(F.col(size) * HOT_GROUPS < n)
+    by_task = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(by_task)
+
+
 def hash60(key: Column) -> Column:
     """60 uniform bits of a key of any type, equal in every SQL engine that
     has md5. Null counts as the empty string."""
@@ -67,20 +101,21 @@ def gapless(df: DataFrame, part: str, order: list[str], out: str, rows_per_block
     """
     n = df.count()
     blocks = max(1, math.ceil(n / rows_per_block))
-    cut = df.withColumn("_block", F.floor(F.col(order[0]) / F.lit(HASH_SPACE / blocks)).cast("long"))
-    before = Window.partitionBy(part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    block, rank, same, other, offset = (unused(df, c) for c in ("_block", "_rank", "_part", "_other", "_offset"))
+    cut = df.withColumn(block, F.floor(F.col(order[0]) / F.lit(HASH_SPACE / blocks)).cast("long"))
+    before = Window.partitionBy(part).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(part, "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(F.col(part).alias("_part"), F.col("_block").alias("_b"), "_offset")
+        cut.groupBy(part, block)
+        .agg(F.count(F.lit(1)).alias(rank))
+        .withColumn(offset, F.coalesce(F.sum(rank).over(before), F.lit(0)))
+        .select(F.col(part).alias(same), F.col(block).alias(other), offset)
     )
-    inside = Window.partitionBy(part, "_block").orderBy(*order)
+    inside = Window.partitionBy(part, block).orderBy(*order)
     return (
-        cut.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-        .join(offsets, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_block") == F.col("_b")), "left")
-        .withColumn(out, F.col("_rank") + F.col("_offset"))
-        .drop("_block", "_rank", "_part", "_b", "_offset")
+        cut.withColumn(rank, F.row_number().over(inside).cast("long") - 1)
+        .join(offsets, F.col(part).eqNullSafe(F.col(same)) & (F.col(block) == F.col(other)), "left")
+        .withColumn(out, F.col(rank) + F.col(offset))
+        .drop(block, rank, same, other, offset)
     )
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import components, stored
+from cairn.llm.common import components, spread_join, stored
 
 MOST_PIVOTS = 256  #: what every task holds of pivots: at most so many vectors
 BLOCK = 1024  #: vectors of a cell compared with as many at a time
@@ -166,9 +166,10 @@ def near_vectors(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = stored(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "labels")
     named = nodes.select("node", "size", "rep").join(links, "node", "left").join(labels.withColumnsRenamed({"id": "node"}), "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "component").select("node", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    linked = valid.select("id", "node").join(named, "node").select("id", "n_links", "component_id")
+    named = stored(named.withColumn("component", F.coalesce("component", "node")), "named")
+    smallest = stored(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "smallest")
+    named = spread_join(named, smallest, ["component"], "nodes")
+    named = stored(named.select("node", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "named")
+    linked = spread_join(valid.select("id", "node"), named, ["node"], "size").select("id", "n_links", "component_id")
     alone = rows.filter("node IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

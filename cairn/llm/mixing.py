@@ -135,12 +135,13 @@ def mix_sources(
     and deals one slot for each block of a period or, if less, of the table.
     """
     added = ["mix_block", "mix_phase", "mix_slot", "mix_position"]
-    rows = docs.drop(*added)
-    keep = rows.columns
+    keep = [c for c in docs.columns if c not in added]
     named = F.col(source_col).cast("string")
     if weights is not None:
         named = F.when(named.isin([s for s, w in weights.items() if w > 0]), named)
-    rows = rows.withColumn("_source", named).withColumn("_h", hash60(F.col(id_col)))
+    # one column holds those of `docs`, so that no name can clash
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(row.alias("_row"), named.alias("_source"), hash60(F.col(id_col)).alias("_h"), F.col(id_col).alias("_id"))
     tally = rows.groupBy("_source").count().limit(SOURCES + 2).collect()
     sizes = {r["_source"]: r["count"] for r in tally}
     rest = sizes.pop(None, 0)
@@ -149,7 +150,7 @@ def mix_sources(
     quota = quotas(tempered(sizes, alpha) if weights is None else {s: w for s, w in weights.items() if s in sizes})
     phases, slots = timetable(quota, {s: -(-n // block_rows) for s, n in sizes.items()})
 
-    rows = gapless(rows, "_source", ["_h", id_col], "_index")
+    rows = gapless(rows, "_source", ["_h", "_id"], "_index")
     rows = rows.withColumn("mix_block", F.floor(F.col("_index") / block_rows).cast("long"))
     places = _chunks(phases)
     table = json.dumps([{"source": s, "phases": [{k: v for k, v in p.items() if k != "slots"} for p in own]} for s, own in phases.items()])
@@ -167,7 +168,7 @@ def mix_sources(
     slot = F.col("_p.base") + F.floor(local / F.col("_p.quota")).cast("long") * F.col("_p.period") + F.element_at("_slots", (F.col("_k") % CHUNK + 1).cast("int"))
     rows = rows.withColumn("mix_phase", F.col("_p.phase")).withColumn("mix_slot", F.coalesce(slot, F.lit(slots) + F.col("mix_block")))
     position = F.col("mix_slot") * block_rows + F.col("_index") % block_rows - _gaps(phases, sizes, block_rows, F.col("mix_slot"))
-    return rows.withColumn("mix_position", position).select(*[F.col(f"`{c}`") for c in keep], *added)
+    return rows.withColumn("mix_position", position).select(*[F.col("_row").getField(c).alias(c) for c in keep], *added)
 
 
 def _chunks(phases: Mapping[str, list[dict]]) -> pa.Table:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import components, remembered, stored
+from cairn.llm.common import components, keyed, remembered, spread_join, stored
 
 _MIX1, _MIX2, _FOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,7 +143,8 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 ["id", "n", "node", "bands", "sketch"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, node binary, bands array<long>, sketch array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, node binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(texts: DataFrame, p: Params) -> DataFrame:
@@ -303,7 +304,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are compared with each other in blocks, so that a crowded bucket is never
     one task's, and of those comparisons only links become rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sig = stored(signatures(docs, p), "signatures")
     known = sig.filter("node IS NOT NULL")
     # one row of equal sets gives the node its bands: equal sets have equal ones
@@ -353,9 +354,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nodes = classes.select("node", "rep").join(labels.withColumnsRenamed({"id": "node"}), "node", "left")
     nodes = nodes.select("node", "rep", F.coalesce("component", "node").alias("component"))
-    smallest = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    nodes = stored(nodes.join(smallest, "component").select("node", "component_id"), "nodes")
-    found = known.select("id", "n", "node").join(nodes, "node").select("id", "n", "component_id")
+    nodes = stored(nodes, "placed")
+    smallest = stored(nodes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "smallest")
+    nodes = spread_join(nodes, smallest, ["component"], "nodes").select("node", "component_id")
+    nodes = stored(known.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).join(nodes, "node"), "nodes")
+    found = spread_join(known.select("id", "n", "node"), nodes, ["node"], "rows").select("id", "n", "component_id")
     alone = sig.filter("node IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return found.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
@@ -363,7 +366,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """The rows of `docs` that stay, one of each component, with all columns.
-    Ids must be unique here; rows without an id stay."""
-    gone = near_components(docs, id_col, text_col, p).filter("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that stay, with all columns: one of each component,
+    with its smallest id; null ids lose to any other, and of rows equal in both
+    any one stays. Rows without words stay."""
+    rows = keyed(docs, id_col, text_col)
+    gone = near_components(rows, "_key", "_text", p).filter("not kept").select(F.col("_key.n").alias("_n"))
+    return rows.join(gone, rows["_key.n"] == gone["_n"], "left_anti").select("_row.*")

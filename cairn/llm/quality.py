@@ -56,13 +56,13 @@ class Tokens(dict):
         if word.isalpha():
             shape = ("A" if word.isupper() else "Aa" if word[0].isupper() else "a") + mark
         else:
-            shape = token[:64]
+            shape = token
             for pattern, to in _KIND:
                 shape = pattern.sub(to, shape)
             word = "".join(filter(str.isalpha, token))
         if i >= len(self.shape):
             self.shape = np.concatenate([self.shape, np.zeros_like(self.shape)])
-        self.shape[i] = zlib.crc32(shape[:12].encode())
+        self.shape[i] = zlib.crc32(shape.encode())
         raw = f"<{word.lower()}>".encode()
         grams = {zlib.crc32(raw[k : k + 4], 1) % BUCKETS for k in range(max(1, len(raw) - 3))}
         self.grams.append(np.fromiter(grams, np.int32, len(grams)))

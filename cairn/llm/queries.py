@@ -54,8 +54,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.sha2(exact.normalised(F.col("text")), 256).alias("text_sha256")
-    return exact.exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
+    return exact.exact_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import HASH_SPACE, gapless, hash60
+from cairn.llm.common import HASH_SPACE, gapless, hash60, unused
 
 
 def _scores(key: Column, weights: Sequence[float]) -> Column:
@@ -28,17 +28,18 @@ def rendezvous(df: DataFrame, key: Column, weights: Sequence[float], grown: Sequ
     """`df` with `out`, the shard of `key` among `weights` (all above 0), and
     `grown_<out>`, its shard once the shards of weight `grown` are added: a
     row keeps its shard or goes to an added one. Null keys act as the empty
-    string; equal keys share a shard. `df` needs no column of these names.
+    string; equal keys share a shard. Columns of these two names are replaced.
     One projection: nothing is shuffled."""
     if not weights or min([*weights, *grown]) <= 0:
         raise ValueError("each shard needs a weight above 0")
     n = len(weights)
-    scored = df.withColumn("_scores", _scores(key, [*weights, *grown]))
-    old = F.array_max(F.slice("_scores", 1, n))
+    scores = unused(df, "_scores")
+    scored = df.withColumn(scores, _scores(key, [*weights, *grown]))
+    old = F.array_max(F.slice(scores, 1, n))
     return scored.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns if c not in (out, f"grown_{out}")],
         (-old["rank"]).alias(out),
-        (-F.array_max("_scores")["rank"]).alias(f"grown_{out}"),
+        (-F.array_max(scores)["rank"]).alias(f"grown_{out}"),
     )
 
 

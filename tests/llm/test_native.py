@@ -47,7 +47,36 @@ def test_drop_copies_keeps_columns_and_null_ids(spark):
     docs = spark.createDataFrame(ROWS, DOCS)
     out = exact.drop_copies(docs)
     assert out.columns == docs.columns
-    assert sorted((str(r.doc_id) for r in out.collect())) == sorted(["3", "3", "4", "7", "8", "10", "11", "None"])
+    assert sorted((str(r.doc_id) for r in out.collect())) == sorted(["3", "4", "7", "8", "10", "11", "None"])
+    twice = docs.filter("doc_id < 5 OR doc_id > 8").unionByName(docs.filter("doc_id < 5 OR doc_id > 8"))
+    assert sorted(r.doc_id for r in exact.drop_copies(twice).collect()) == [3, 4, 10, 11]
+
+
+NAMES = ["_h", "_digest", "phases", "_source", "_index", "_p", "_s", "_block", "_rank", "_part", "_b", "_offset", "_row", "_key", "_text", "_id", "_n", "_len", "_pre", "_scores", "keep_id", "slot", "node", "component"]
+
+
+def test_names_that_clash(spark):
+    """Columns named like those that operators work with come back as they were."""
+    from cairn.llm import near_dedup
+
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 7}", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in NAMES])
+    for out, n in ((exact.drop_copies(docs), 7), (near_dedup.drop_near_copies(docs), 7), (mixing.mix_sources(docs), 40), (sharding.rendezvous(docs, F.col("doc_id"), [1.0, 2.0]), 40)):
+        rows = out.collect()
+        assert len(rows) == n and out.columns[: len(docs.columns)] == docs.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in NAMES)
+    assert sharding.shard_records(docs, 4).count() == exact.exact_dedup(docs, digests=True).count() == 40
+
+
+def test_spread_join(spark):
+    from cairn.llm import common
+
+    rows = spark.range(20_050).select(F.when(F.col("id") < 20_000, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    rows = common.stored(rows)
+    groups = common.stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m")))
+    got = common.spread_join(rows, groups, ["k"], "n")
+    assert sorted(got.columns) == ["id", "k", "m", "n"]
+    assert got.count() == 20_050 and got.filter("k <> 'hot' AND n = 1 AND m = id").count() == 50 and got.filter("k = 'hot' AND m = 19999").count() == 20_000
 
 
 def test_exact_dedup_empty(spark):

@@ -133,3 +133,11 @@ def test_near_vectors(spark):
         got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, block=block).collect()}
         assert got == want
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_drop_near_copies_keeps_one_row_of_each_text(spark):
+    a, b = "one two three four five six seven", "red green blue black white brown"
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, "alone here now"), (3, None), (3, None), (4, ""), (4, a)]
+    out = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, "alone here now"), (3, None), (3, None), (4, "")], key=str)
