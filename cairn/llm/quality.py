@@ -121,6 +121,24 @@ def sample(ratings: DataFrame, grades: int) -> DataFrame:
     return stored(reduce(DataFrame.unionByName, drawn), "sample")
 
 
+def _featured(rows: DataFrame) -> DataFrame:
+    """`grade, ids, values` of `rows(grade, text)`, each id once: what the
+    driver gets of a sampled text, however long, is at most `BUCKETS` pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = remembered("quality", Tokens)
+        for b in batches:
+            ids, values = [], []
+            for text in b.column(1).to_pylist():
+                i, v = features(text, known)
+                at, inverse = np.unique(i, return_inverse=True)
+                ids.append(at.astype(np.int32))
+                values.append(np.bincount(inverse, weights=v).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["grade", "ids", "values"])
+
+    return rows.select("grade", "text").mapInArrow(run, "grade int, ids array<int>, values array<float>")
+
+
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) from `docs(id, text)` and `ratings(id, grade)`,
     grades from 0. Rows without an id or grade are left out. At most `SAMPLE`
@@ -128,12 +146,11 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, l2: float = 1e-4
     broadcast to the scan of the texts, which therefore does not shuffle.
     Without rows all texts score alike."""
     n = {r["grade"]: r["count"] for r in ratings.filter(F.col("grade").between(0, grades - 1)).groupBy("grade").count().collect()}
-    rows = docs.join(F.broadcast(sample(ratings, grades)), "id").select("grade", "text").toArrow()
+    rows = _featured(docs.join(F.broadcast(sample(ratings, grades)), "id")).toArrow()
     grade = rows.column("grade").to_numpy().astype(int)
     if not len(grade):
         return np.zeros(BUCKETS, np.float32), np.zeros(grades - 1) - 30.0
-    known = Tokens()
-    kept = [features(t.as_py(), known) for t in rows.column("text")]
+    kept = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(rows.column("ids"), rows.column("values"), strict=True)]
     weight = np.array([n.get(k, 0) for k in range(grades)]) / np.maximum(1, np.bincount(grade, minlength=grades))
     return linear.fit(linear.Rows.of(kept), grade, weight[grade], grades, BUCKETS, l2)
 

@@ -2,9 +2,11 @@
 scaled by naive Bayes log-count ratios.
 
 A text's features are the hashed n-grams that its words have, each once. Over
-labelled rows, r = log((p + 1) / |p|) / ((q + 1) / |q|) compares in how
-many toxic (p) and other texts (q) a feature is. Logistic regression then
-weighs the features times r. Both see bounded samples of the labelled rows.
+labelled rows, the log-count ratio r = log (p + 1) / (P + 2) - log (q + 1) / (Q + 2)
+compares in how many of P toxic (p) and of Q other texts (q) a feature is; a
+ratio within two standard errors of 0, or of a feature in fewer than three
+texts, counts as 0. Logistic regression then weighs the features times r. Both
+see bounded samples of the labelled rows.
 """
 
 from __future__ import annotations
@@ -85,6 +87,20 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _scaled(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """`ids` of the features of `rows(text)` that have a ratio: what the driver
+    gets of a sampled text, however long, is at most `BUCKETS` numbers."""
+    held = rows.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = remembered("grams", Grams)
+        for b in batches:
+            found = [linear.distinct(grams.of(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[held.value[x]] for x in found], pa.list_(pa.int32()))], ["ids"])
+
+    return rows.select("text").mapInArrow(run, "ids array<int>")
+
+
 def held_out(id_: Column) -> Column:
     """Whether crc32 of the id as text leaves 0 by 5."""
     return F.crc32(id_.cast("string").cast("binary")) % 5 == 0
@@ -112,16 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, l2: float = 1e-3) -> tuple[np.ndar
     counts = _counts(rows).toArrow()
     at, pos, neg = (counts.column(i).to_numpy() for i in range(3))
     ratio = np.zeros(BUCKETS)
-    p, q = (pos + 1.0) / (seen[1] + 2), (neg + 1.0) / (seen[0] + 2)
-    ratio[at] = np.log(p / (1 - p)) - np.log(q / (1 - q))
-    # ratios within two standard errors of none, and of rare features, are noise
+    ratio[at] = np.log((pos + 1) / (seen[1] + 2)) - np.log((neg + 1) / (seen[0] + 2))
     ratio[at[(pos + neg < 3) | (np.abs(ratio[at]) < 2 * np.sqrt(1 / (pos + 1) + 1 / (neg + 1)))]] = 0
-    grams, kept, grade, weight = Grams(), [], [], []
+    kept, grade, weight = [], [], []
     for k in (0, 1):
-        part = rows.filter(F.col("toxic") == k).orderBy(order, "id").limit(SAMPLE).select("text").toArrow().column(0)
-        for text in part:
-            ids_ = linear.distinct(grams.of(text.as_py()))
-            ids_ = ids_[ratio[ids_] != 0]
+        part = _scaled(rows.filter(F.col("toxic") == k).orderBy(order, "id").limit(SAMPLE), ratio).toArrow().column(0)
+        for own in part:
+            ids_ = own.values.to_numpy()
             kept.append((ids_, ratio[ids_]))
             grade.append(k)
             weight.append(n[k] / len(part))
