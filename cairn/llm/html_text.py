@@ -35,21 +35,22 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW_TAGS = "script|style|noscript|template|iframe|title|textarea|select|button|svg|math|object|canvas|audio|video"
 OFF_TAGS = frozenset("nav footer aside form dialog menu head header".split())
+# What class, id and role call furniture: a whole token, or a part of one between hyphens or underscores.
 OFF_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w*|signup|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|replies|reply|disqus|share|sharing|social|"
-    r"related|recommend\w*|popup|modal|overlay|login|search|widget|toolbar|pagination|pager|skip|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+    r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|"
+    r"sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|share|sharing|social|"
+    r"related|recommend\w*|popup|modal|overlay|pagination|complementary|contentinfo)(?:$|[_-])"
 )
-# Words that make the name after them a state of the page ("with-sidebar"), not what the element is.
-STATE = re.compile(r"(?:^|(?<=\s))\S*?(?<![^\s_-])(?:with|without|has|have|no|not|show|hide|is)[_-]\S*")
+# These are whole tokens or nothing, and switch off only what is not running text.
+WEAK_NAMES = frozenset("alert login pager reply search side signup skip toolbar widget".split())
+# Parts that make the name after them a state of the page ("with-sidebar"), not what the element is.
+STATE = re.compile(r"(?:^|[_-])(?:with|without|has|have|no|not|show|hide|is)[_-]")
 MAIN_TAGS = frozenset(("article", "main"))
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b{_ATTRS}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)({_ATTRS})>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S | re.I
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"\w+")
 
 SHORT = 70  #: characters under which a block is too short to decide alone
@@ -74,8 +75,9 @@ class Block:
         return n if sure and self.linked <= LINKS_MOST * n else 0
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order. `off`: inside an element that is furniture
+def blocks_of(page: str) -> tuple[list[Block], set[int]]:
+    """The page's blocks in order, and the numbers of elements whose name is
+    weak. `off`: inside an element that is furniture
     by its tag or hidden; `names`: numbers of the elements around it that are
     furniture by name only, outermost first, before 0 those outside its
     article or main; `main`: number of the article or main element around
@@ -85,6 +87,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     off, main, home, opened, links, linked, at = False, 0, 0, 0, 0, 0, 0
     names: tuple[int, ...] = ()
+    weak: set[int] = set()
 
     def close() -> None:
         nonlocal linked
@@ -114,14 +117,15 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         attrs = m[4] or m[7] or ""
-        named = not ends and attrs and _furniture(attrs)
-        hidden = not ends and attrs and HIDDEN.search(attrs) is not None
+        named, hidden = _said(attrs) if attrs and not ends else ("", False)
         if tag not in BLOCK_TAGS:
             if (named or hidden) and tag not in VOID_TAGS and not attrs.endswith("/"):
                 close()
                 stack.append((tag, off, main, home, names))
                 opened += 1
                 off, names = off or hidden, (*names, opened) if named else names
+                if named == "weak":
+                    weak.add(opened)
             elif ends and any(x[0] == tag for x in stack):
                 close()
                 off, main, home, names = _leave(stack, tag, off, main, home, names)
@@ -134,6 +138,8 @@ def blocks_of(page: str) -> list[Block]:
             stack.append((tag, off, main, home, names))
             opened += 1
             home = opened
+            if named == "weak":
+                weak.add(opened)
             if tag in MAIN_TAGS and not main:
                 main, names = opened, (*names, 0) if names else names
             if hidden or (tag in OFF_TAGS and not (tag == "header" and main)):
@@ -145,15 +151,29 @@ def blocks_of(page: str) -> list[Block]:
             stack.append((tag, off, main, home, names))
             opened += 1
             off, names = off or hidden, (*names, opened) if named else names
+            if named == "weak":
+                weak.add(opened)
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
-
-
-def _furniture(attrs: str) -> bool:
-    said = " ".join(x for y in NAMED.findall(attrs) for x in y if x)
-    return OFF_NAMES.search(said) is not None and OFF_NAMES.search(STATE.sub(" ", said)) is not None
+    return out, weak
+
+
+def _said(attrs: str) -> tuple[str, bool]:
+    """Whether an element's attributes name it furniture ("strong", "weak" or
+    ""), and whether they hide it."""
+    named, hidden = "", False
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                if OFF_NAMES.search(token) and not STATE.search(token):
+                    named = "strong"
+                elif token in WEAK_NAMES:
+                    named = named or "weak"
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            hidden = True
+    return named, hidden
 
 
 def _leave(stack: list, tag: str, off: bool, main: int, home: int, names: tuple[int, ...]) -> tuple[bool, int, int, tuple[int, ...]]:
@@ -165,14 +185,18 @@ def _leave(stack: list, tag: str, off: bool, main: int, home: int, names: tuple[
     return off, main, home, names
 
 
-def _read_after_all(blocks: list[Block], any_language: bool) -> set[int]:
+def _read_after_all(blocks: list[Block], weak: set[int], any_language: bool) -> set[int]:
     """Numbers of the elements whose names are not held against them."""
     read = {0}
+    for k in weak:
+        own = [b for b in blocks if k in b.names]
+        if 2 * sum(b.prose(any_language) for b in own) > sum(len(b.text) for b in own):
+            read.add(k)
     seen = [b for b in blocks if not b.off]
     named = [b for b in seen if b.names]
     if not named:
         return read
-    kept = sum(b.prose(any_language) for b in seen if not b.names)
+    kept = sum(b.prose(any_language) for b in seen if read.issuperset(b.names))
     inside: dict[tuple[int, ...], int] = {}  # prose of articles that have no such name, in elements that have
     for b in named:
         if b.main and b.names[-1] == 0:
@@ -195,10 +219,10 @@ def _read_after_all(blocks: list[Block], any_language: bool) -> set[int]:
     return read
 
 
-def decide(blocks: list[Block]) -> None:
+def decide(blocks: list[Block], weak: set[int] = frozenset()) -> None:
     """Both passes: sets every block's label, True for main text."""
     foreign = not any(b.prose(False) for b in blocks if not b.off)  # none of the four languages
-    read = _read_after_all(blocks, foreign)
+    read = _read_after_all(blocks, weak, foreign)
     for b in blocks:
         b.off = b.off or not read.issuperset(b.names)
     if not foreign:
@@ -238,8 +262,8 @@ def main_text(page: str | None) -> str:
     """The main text of one page: its blocks joined by a line feed."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    decide(blocks)
+    blocks, weak = blocks_of(page)
+    decide(blocks, weak)
     return "\n".join(b.text for b in blocks if b.label)
 
 

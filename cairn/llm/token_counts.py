@@ -5,7 +5,8 @@ no word of the tokenizer's pattern spans such a place, so leaves can be counted
 on their own. A segment tree over the leaves holds sums of characters and
 tokens. An edit is found by descending the character sums; only the leaves
 that it touches, and the next one where it touches a leaf's edge, are encoded
-again, and the sums above them change.
+again, and the sums above them change. Trees are results: a later edit takes the
+tree that an earlier one left.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], count: Callab
     out, again = [], 0
     regions: list[list] = []  # first leaf, last leaf, start, end, edits
     size = len(text)
-    for at, cut, put in sorted(edits):
+    for at, cut, put in sorted(edits, key=lambda e: e[0]):
         if not size:
             regions = regions or [[0, 0, 0, 0, []]]
             regions[0][4].append((at, cut, put))
@@ -151,34 +152,64 @@ def find_redactions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumnsRenamed({"_id": id_col, "_text": text_col})
 
 
-def count_edited(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+def in_order(edits: list[dict | None] | None, size: int) -> list[tuple[int, int, str]]:
+    """Edits by position, inside the text: what lies outside is moved to its
+    nearest end, negative cuts are none, and of a place that two edits cut the
+    first has it: the later starts where the earlier ends."""
+    out, end = [], 0
+    for e in sorted((e for e in edits or [] if e), key=lambda e: e["at"] or 0):
+        at = min(max(0, e["at"] or 0), size)
+        stop = min(at + max(0, e["cut"] or 0), size)
+        at = max(at, end)
+        end = max(at, stop)
+        out.append((at, end - at, e["put"] or ""))
+    return out
+
+
+def count_edited(
+    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tree_cols: tuple[str, str] | None = None, with_text: bool = False
+) -> DataFrame:
     """One row per row of `docs`: id, `n_tokens` before and `n_tokens_edited`
     after the `edits` (array of at, cut, put; positions in code points of the
-    text, without overlap), `n_chars_edited`, `chars_encoded_again`, and the
-    tree after it (`tree_chars`, `tree_tokens`: sums, root at 1).
-
-    Null texts count as empty and have 0 tokens; null edits are none; edits
-    past the end add there. Rows are independent: repeated rows and null ids
-    stay as they are, other columns are not read, an empty table gives no
-    rows. One narrow pass; memory holds one Arrow batch and one tree.
+    text), `n_chars_edited`, `chars_encoded_again`, the tree after it
+    (`tree_chars`, `tree_tokens`: sums, root at 1), and, `with_text`, the
+    `text_edited`.
+
+    `tree_cols` names the columns of a tree that an earlier call returned for
+    this text: then only what the edits touch is encoded at all. A null tree is
+    built from the text; one whose characters are not the text's raises.
+
+    Null texts count as empty and have 0 tokens; null edits are none;
+    `in_order` says what overlapping, negative and far edits do. Rows are
+    independent: repeated rows and null ids stay as they are, other columns are
+    not read, an empty table gives no rows. One narrow pass; memory holds one
+    Arrow batch and one tree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary, pattern)
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in range(7)]
+            for text, edits, chars, tokens in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
                 text = text or ""
-                tree = Tree.of(text, count)
+                if chars.is_valid and tokens.is_valid:
+                    tree = Tree(*(np.array(x.values.to_numpy()) for x in (chars, tokens)))
+                    if tree.chars[1] != len(text):
+                        raise ValueError("a kept tree belongs to another text")
+                else:
+                    tree = Tree.of(text, count)
                 before = int(tree.tokens[1])
-                asked = [(min(e["at"] or 0, len(text)), min(e["cut"] or 0, len(text) - min(e["at"] or 0, len(text))), e["put"] or "") for e in edits or [] if e]
+                asked = in_order(edits, len(text))
                 new, again = edit(text, tree, asked, count) if asked else (text, 0)
-                for c, v in zip(cols, (before, int(tree.tokens[1]), len(new), again, tree.chars, tree.tokens), strict=True):
+                for c, v in zip(cols, (before, int(tree.tokens[1]), len(new), again, tree.chars, tree.tokens, new if with_text else None), strict=True):
                     c.append(v)
-            arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.list_(pa.int64())) for c in cols[4:]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "chars_encoded_again", "tree_chars", "tree_tokens"])
+            arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.list_(pa.int64())) for c in cols[4:6]] + [pa.array(cols[6], pa.string())]
+            names = ["_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "chars_encoded_again", "tree_chars", "tree_tokens", "text_edited"]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names)
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(edits_col).cast(EDITS).alias("_edits"))
+    kept = [F.col(c).cast("array<long>") for c in tree_cols] if tree_cols else [F.lit(None).cast("array<long>")] * 2
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(edits_col).cast(EDITS).alias("_edits"), kept[0].alias("_c"), kept[1].alias("_t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, n_tokens long, n_tokens_edited long, n_chars_edited long, chars_encoded_again long, tree_chars array<long>, tree_tokens array<long>"
-    return rows.mapInArrow(run, schema).withColumnsRenamed({"_id": id_col})
+    schema = f"_id {kind}, n_tokens long, n_tokens_edited long, n_chars_edited long, chars_encoded_again long, tree_chars array<long>, tree_tokens array<long>, text_edited string"
+    out = rows.mapInArrow(run, schema)
+    return (out if with_text else out.drop("text_edited")).withColumnsRenamed({"_id": id_col})

@@ -2,7 +2,9 @@
 
 import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 
@@ -141,3 +143,20 @@ def test_drop_near_copies_keeps_one_row_of_each_text(spark):
     out = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(1, a), (2, b), (None, "alone here now"), (3, None), (3, None), (4, "")], key=str)
+
+
+def test_recall_on_given_documents(spark):
+    """All pairs of sf0.01 that share a shingle, against the operator's classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holders = {}, defaultdict(list)
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or ""))
+        k = min(5, len(words))
+        sets[r.doc_id] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+        for s in sets[r.doc_id]:
+            holders[s].append(r.doc_id)
+    common = Counter(pair for own in holders.values() for pair in combinations(sorted(own), 2))
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    want = union_find(sets, links)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs).collect()}
+    assert links and got == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}

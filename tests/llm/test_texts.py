@@ -1,6 +1,7 @@
 """HTML extraction and edit-aware counts."""
 
 import random
+from html.parser import HTMLParser
 
 from cairn.llm import html_text, token_counts
 from cairn.llm.queries import tokenizer
@@ -66,6 +67,67 @@ def test_a_page_of_another_language():
     assert html_text.main_text(page) == f"Otsikko\n{text.strip()}\n{text.strip()}"
 
 
+def test_attributes_go_by_name():
+    other = "In the morning the men of the village went down to the shore with the nets that had been mended, and they did not come back."
+    for element in ('<p title="a hidden gem">', '<p data-id="share">', '<section id="side-effects">', '<section id="search">', '<div class="elementor-widget">', '<div data-hidden=x>'):
+        assert html_text.main_text(f"<body><article>{PARAGRAPHS}{element}{other}</article></body>") == f"{BODY}\n{other}", element
+    for element in ('<p hidden="">', '<p aria-hidden=true>', '<p style="display : none">', '<section class="x post-comments">', '<section role=navigation>'):
+        assert html_text.main_text(f"<body><article>{PARAGRAPHS}{element}{other}</article></body>") == BODY, element
+    assert html_text.main_text(f"<body><article><a href=x>Read on</a></article><div>{PARAGRAPHS}</div></body>").endswith(BODY)
+    assert html_text.main_text(f"<body><div class=search>Find it</div><div>{PARAGRAPHS}</div></body>") == BODY
+
+
+def test_density_decides_where_no_place_does():
+    """Without article, main or names, stop words, length and links decide, and
+    short blocks follow their neighbours."""
+    codes = " ".join(f"QX{k}-ZT" for k in range(60))
+    page = f"<body><div><p>{codes}</p><p>Top list</p></div><div><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><div><p>{codes}</p><p>End list</p></div></body>"
+    assert html_text.main_text(page) == f"{PROSE}\nShort.\n{PROSE}"
+
+
+class Articles(HTMLParser):
+    """Blocks inside `article` of a given page, without asides and comments."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.parts = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCK_TAGS:
+            self.cut()
+        elif tag == "br":
+            self.handle_data(" ")
+        if tag in ("article", "aside", "nav", "form", "div", "section", "footer", "script", "style", "header"):
+            self.stack.append((tag, tag in ("aside", "nav", "form", "footer", "script", "style") or dict(attrs).get("class") in ("ad", "comments", "cookie", "sidebar", "share", "newsletter", "related")))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK_TAGS:
+            self.cut()
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(off for _, off in self.stack):
+            self.parts.append(data)
+
+
+def test_given_pages_against_a_plain_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_main_text(rows).collect()}
+    for r in rows.collect():
+        plain = Articles()
+        plain.feed(r.html or "")
+        plain.cut()
+        assert got[r.page_id] == "\n".join(plain.blocks), r.page_id
+
+
 def random_text(rng, n):
     return "".join(rng.choice(["the", "a ", "  ", "\n", "x9", "'s", "é", "!!", " word", "\t", "12"]) for _ in range(n))
 
@@ -106,3 +168,25 @@ def test_counts_on_spark(spark):
     assert r.n_tokens == count(rows[0][1]) and r.n_tokens_edited == count(far + "[removed] " + far)
     assert r.chars_encoded_again < 2000 and r.tree_tokens[1] == r.n_tokens_edited
     assert token_counts.count_edited(df.limit(0), *tokenizer()).count() == 0
+
+
+def test_kept_trees_follow_many_edits(spark):
+    count, rng = token_counts.counter(*tokenizer()), random.Random(8)
+    texts = {i: random_text(rng, 3000) for i in range(8)} | {8: "", 9: "one line"}
+    kept = spark.createDataFrame([(i, t, None) for i, t in texts.items()], f"doc_id long, text string, edits {token_counts.EDITS}")
+    kept = {r.doc_id: (r.tree_chars, r.tree_tokens) for r in token_counts.count_edited(kept, *tokenizer()).collect()}
+    for turn in range(3):
+        edits = {i: [(rng.randint(-5, 3100), rng.randint(-3, 90), rng.choice(["", "new", " the\n"])) for _ in range(3)] for i in texts}
+        rows = [(i, t, edits[i], *kept[i], "clash") for i, t in texts.items()]
+        df = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}, tree_chars array<long>, tree_tokens array<long>, text_edited string")
+        out = token_counts.count_edited(df, *tokenizer(), tree_cols=("tree_chars", "tree_tokens"), with_text=True).collect()
+        for r in out:
+            want, done, old = [], 0, texts[r.doc_id]
+            for at, cut, put in token_counts.in_order([{"at": a, "cut": c, "put": p} for a, c, p in edits[r.doc_id]], len(old)):
+                want += [old[done:at], put]
+                done = at + cut
+            assert r.text_edited == "".join(want) + old[done:]
+            assert r.n_tokens == count(old) and r.n_tokens_edited == count(r.text_edited)
+        texts = {r.doc_id: r.text_edited for r in out}
+        kept = {r.doc_id: (r.tree_chars, r.tree_tokens) for r in out}
+    assert token_counts.in_order([{"at": 4, "cut": 9, "put": "b"}, {"at": 2, "cut": 4, "put": "a"}, None, {"at": -1, "cut": -1, "put": None}], 8) == [(0, 0, ""), (2, 4, "a"), (6, 2, "b")]
