@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.shared import stored
+
 Z95 = 1.959963984540054
 
 
@@ -41,30 +42,16 @@ def grade(samples: DataFrame, mutations: DataFrame, background: float = 0.05, st
     `samples(drug, uid, phenotype)`, `mutations(drug, uid, mutation)`."""
     left, benign = mutations.select("drug", "uid", "mutation").distinct(), None
     for k in count():
-        found = _cut(graded(solo_counts(samples, left), background, strict).withColumn("round", F.lit(k)))
+        found = stored(graded(solo_counts(samples, left), background, strict).withColumn("round", F.lit(k)))
         s = found.filter("prediction = 'S'")
         if s.isEmpty():
             break
         benign = s if benign is None else benign.unionByName(s)
-        left = _cut(left.join(s.select("drug", "mutation"), ["drug", "mutation"], "left_anti"))
+        left = stored(left.join(s.select("drug", "mutation"), ["drug", "mutation"], "left_anti"))
     rest = found.filter("prediction <> 'S'")
     return rest if benign is None else benign.unionByName(rest)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A written table in the session's shared folder cuts the lineage."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/grade-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def grade_sweep(samples: DataFrame, mutations: DataFrame, taus: Sequence[float], background: float = 0.05) -> DataFrame:
     """First-round grades at each threshold of support (`frs`): the setting is
     a key of one job, `drug@tau`, not a loop."""

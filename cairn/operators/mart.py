@@ -98,15 +98,12 @@ FEATURE_SETS = {"de_novo": ("cat__", "cov__coresist_"), "models": ("cov__coresis
 STRINGS = ("cov__lineage_raw", "cov__sublineage", "cov__country", "cov__dataset_version")
 
 
-def feature_set(columns: Sequence[str], name: str, held_out: str | None = None) -> list[str]:
-    """Columns that a model may read: the leakage boundary. Lineage one-hots go
-    when a lineage is held out."""
-    out = [c for c in columns if c.startswith(("raw__", "cat__", "cov__")) and not c.startswith(FEATURE_SETS[name] or ("\0",)) and c not in STRINGS]
-    return [c for c in out if not (held_out and re_lineage(c))]
-
-
-def re_lineage(column: str) -> bool:
-    return column.startswith("cov__lineage_L")
+def in_feature_set(column: Column, name: str, held_out: bool) -> Column:
+    """Whether a model may read the column of this name: the leakage boundary.
+    Lineage one-hots go when a lineage is held out."""
+    starts = lambda prefixes: F.coalesce(*[F.when(column.startswith(p), True) for p in prefixes], F.lit(False)) if prefixes else F.lit(False)
+    gone = (*FEATURE_SETS[name], *(("cov__lineage_L",) if held_out else ()))
+    return starts(("raw__", "cat__", "cov__")) & ~starts(gone) & ~column.isin(*STRINGS)
 
 
 def multidrug_universe(correlated: DataFrame, k: int, least: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.carriage import FEATURE, top_n, two_by_two
+from cairn.operators.shared import stored
 from cairn.operators.stats import phi
 
 KEY = ["drug", *FEATURE]
@@ -34,12 +35,23 @@ def strata(cohort: DataFrame, quantiles: int = 4) -> DataFrame:
     isolates, ties by uid."""
     w = Window.partitionBy("drug").orderBy("tb_depth", "uid")
     return cohort.select(
-        "drug", "uid", (F.col("phenotype") == "R").cast("int").alias("y"),
+        "drug", "uid", F.coalesce("lineage", F.lit("unknown")).alias("lineage"), (F.col("phenotype") == "R").cast("int").alias("y"),
         F.concat_ws("/", F.coalesce("lineage", F.lit("unknown")), F.ntile(quantiles).over(w).cast("string")).alias("stratum"),
     )
 
 
-def vote_effect(strata_: DataFrame, carried: DataFrame, candidates: DataFrame) -> DataFrame:
+def counts(strata_: DataFrame, carried: DataFrame) -> DataFrame:
+    """`n1` carriers and `r1` resistant ones of each feature by drug, lineage
+    and stratum: pairs, pools, votes and weights are all sums of these."""
+    rows = strata_.join(carried, "uid")
+    return rows.groupBy(*KEY, "lineage", "stratum").agg(F.count(F.lit(1)).alias("n1"), F.sum("y").alias("r1"))
+
+
+def pairs_of(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return counted.groupBy(*KEY, *by).agg(F.sum("n1").alias("carriers"), F.sum("r1").alias("carriers_r"))
+
+
+def vote_effect(strata_: DataFrame, counted: DataFrame, candidates: DataFrame) -> DataFrame:
     """Post-stratified risk difference of carriers, its 95 % interval and vote.
 
     Strata without carriers, or without others, say nothing of the difference
@@ -47,8 +59,8 @@ def vote_effect(strata_: DataFrame, carried: DataFrame, candidates: DataFrame) -
     """
     n = strata_.groupBy("drug", "stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_r"))
     whole = n.groupBy("drug").agg(F.sum("n").alias("n_all"))
-    rows = strata_.join(carried, "uid").join(candidates.select(*KEY), KEY, "left_semi")
-    t = rows.groupBy(*KEY, "stratum").agg(F.count(F.lit(1)).alias("n1"), F.sum("y").alias("r1"))
+    rows = counted.join(candidates.select(*KEY), KEY, "left_semi")
+    t = rows.groupBy(*KEY, "stratum").agg(F.sum("n1").alias("n1"), F.sum("r1").alias("r1"))
     t = t.join(n, ["drug", "stratum"]).filter("n1 < n")
     p1, n0 = F.col("r1") / F.col("n1"), F.col("n") - F.col("n1")
     p0 = (F.col("n_r") - F.col("r1")) / n0
@@ -59,16 +71,16 @@ def vote_effect(strata_: DataFrame, carried: DataFrame, candidates: DataFrame) -
     return out.withColumn("effect_significant", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
 
 
-def vote_residual(cohort: DataFrame, carried: DataFrame, candidates: DataFrame, least_r: float = 0.05) -> DataFrame:
-    """Partial correlation of feature and label given lineage: both centred
-    within lineages (what projecting on the one-hots does), then correlated.
+def vote_residual(strata_: DataFrame, counted: DataFrame, candidates: DataFrame, least_r: float = 0.05) -> DataFrame:
+    """Partial correlation of feature and label given lineage and coverage
+    quarter: both centred within strata (what projecting on their one-hots
+    does), then correlated.
 
-    From counts: of each lineage n, n_r, carriers and resistant carriers give
+    From counts: of each stratum n, n_r, carriers and resistant carriers give
     the within sums of squares and products.
     """
-    base = cohort.select("drug", "uid", F.coalesce("lineage", F.lit("unknown")).alias("g"), (F.col("phenotype") == "R").cast("long").alias("y"))
-    n = base.groupBy("drug", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_r"))
-    t = base.join(carried, "uid").join(candidates.select(*KEY), KEY, "left_semi").groupBy(*KEY, "g").agg(F.count(F.lit(1)).alias("n1"), F.sum("y").alias("r1"))
+    n = strata_.groupBy("drug", "stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_r")).withColumnRenamed("stratum", "g")
+    t = counted.join(candidates.select(*KEY), KEY, "left_semi").groupBy(*KEY, F.col("stratum").alias("g")).agg(F.sum("n1").alias("n1"), F.sum("r1").alias("r1"))
     sxy = F.sum(F.col("r1") - F.col("n1") * F.col("n_r") / F.col("n"))
     sxx = F.sum(F.col("n1") - F.col("n1") * F.col("n1") / F.col("n"))
     within = t.join(n, ["drug", "g"]).groupBy(*KEY).agg(sxy.alias("sxy"), sxx.alias("sxx"))
@@ -108,7 +120,8 @@ def placebo(cohort: DataFrame, carried: DataFrame, candidates: DataFrame, seed:
     ranked = cohort.withColumn("_a", F.row_number().over(w1))
     drawn = cohort.select("drug", F.col("phenotype").alias("_p"), F.row_number().over(w2).alias("_a"))
     shuffled = ranked.join(drawn, ["drug", "_a"]).drop("phenotype", "_a").withColumnRenamed("_p", "phenotype")
-    votes = vote_effect(strata(shuffled), carried, candidates)
+    base = stored(strata(shuffled), "strata")
+    votes = vote_effect(base, counts(base, carried), candidates)
     return votes.groupBy("drug").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("effect_significant").alias("n_significant"))
 
 

@@ -10,6 +10,7 @@ from cairn.operators import derive as D
 from cairn.operators import evaluate as E
 from cairn.operators import grading as G
 from cairn.operators import select as L
+from cairn.operators.shared import stored
 from cairn.operators import stats as S
 from cairn.operators import steps as P
 from cairn.plans import fixtures as X
@@ -195,12 +196,21 @@ _EFFECT = """SELECT drug, gene, mutation, round(d/n_used,6) AS ate, round(d/n_us
 _CTES = {"t": T, "q": _Q, "po": _POOL, "s": _STRATA}
 
 
+def counted(s, d):
+    """Strata, counts and pool, each stored once for all votes on them."""
+    base = stored(L.strata(cohort(s, d)), "strata")
+    n = stored(L.counts(base, carried(s, d)), "counts")
+    t = base.groupBy("drug").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_r"))
+    candidates = stored(L.pool(L.feature_corr(L.pairs_of(n), t), 30, X.determinants(s)), "pool")
+    return base, n, candidates
+
+
 def effect(s, d):
-    return L.vote_effect(L.strata(cohort(s, d)), carried(s, d), pool(s, d))
+    return L.vote_effect(*counted(s, d))
 
 
 def residual(s, d):
-    return L.vote_residual(cohort(s, d), carried(s, d), pool(s, d))
+    return L.vote_residual(*counted(s, d))
 
 
 @query("vote_effect", sql(f"SELECT *, ci_lower > 0 OR ci_upper < 0 AS effect_significant FROM ({_EFFECT})", "pairs", "totals", "determinants", "carriage", **_CTES))
@@ -209,14 +219,14 @@ def vote_effect(s, d):
 
 
 _RESIDUAL = """SELECT drug, gene, mutation, round(r,6) AS partial_r, round(r*sqrt((n-k-1)/(1-r*r)),5) AS t_stat FROM (SELECT *, CASE WHEN sxx > 1e-12 AND syy > 1e-12 THEN sxy/sqrt(sxx*syy) END AS r
-  FROM (SELECT drug, gene, mutation, sum(r1-n1*n_r/n) AS sxy, sum(n1-n1*n1/n) AS sxx FROM (SELECT drug, lineage, gene, mutation, count(*)::DOUBLE AS n1, sum(y)::DOUBLE AS r1 FROM labelled JOIN po USING (drug, gene, mutation) GROUP BY ALL)
-    JOIN (SELECT drug, lineage, count(*)::DOUBLE AS n, count(*) FILTER (phenotype='R')::DOUBLE AS n_r FROM cohort GROUP BY ALL) USING (drug, lineage) GROUP BY ALL)
-  JOIN (SELECT drug, sum(n_r-n_r*n_r/n) AS syy, sum(n) AS n, count(*) AS k FROM (SELECT drug, lineage, count(*)::DOUBLE AS n, count(*) FILTER (phenotype='R')::DOUBLE AS n_r FROM cohort GROUP BY ALL) GROUP BY drug) USING (drug))"""
+  FROM (SELECT drug, gene, mutation, sum(r1-n1*n_r/n) AS sxy, sum(n1-n1*n1/n) AS sxx FROM (SELECT s.drug, s.stratum, gene, mutation, count(*)::DOUBLE AS n1, sum(y)::DOUBLE AS r1 FROM s JOIN carriage USING (uid) JOIN po USING (drug, gene, mutation) GROUP BY ALL)
+    JOIN (SELECT drug, stratum, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS n_r FROM s GROUP BY ALL) USING (drug, stratum) GROUP BY ALL)
+  JOIN (SELECT drug, sum(n_r-n_r*n_r/n) AS syy, sum(n) AS n, count(*) AS k FROM (SELECT drug, stratum, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS n_r FROM s GROUP BY ALL) GROUP BY drug) USING (drug))"""
 
 
 @query(
     "vote_residual",
-    sql(f"SELECT *, coalesce(abs(t_stat) > 1.959963984540054 AND abs(partial_r) >= 0.05, false) AS residual_survives FROM ({_RESIDUAL})", "labelled", "pairs", "totals", "determinants", "carriage", t=T, q=_Q, po=_POOL),
+    sql(f"SELECT *, coalesce(abs(t_stat) > 1.959963984540054 AND abs(partial_r) >= 0.05, false) AS residual_survives FROM ({_RESIDUAL})", "labelled", "pairs", "totals", "determinants", "carriage", **_CTES),
 )
 def vote_residual(s, d):
     return residual(s, d)
@@ -229,7 +239,8 @@ _NEED = ("labelled", "pairs", "totals", "determinants", "carriage")
 
 
 def votes(s, d):
-    return L.concordance(effect(s, d), residual(s, d))
+    c = counted(s, d)
+    return stored(L.concordance(L.vote_effect(*c), L.vote_residual(*c)), "votes")
 
 
 @query("concordance", sql(_VOTED, *_NEED, **_CTES, vo=_VOTES))

@@ -71,11 +71,11 @@ def catalogues(s, d):
 
 
 _COVERAGE = """SELECT uid, coalesce(w,false) AS in_wgs, coalesce(x,false) AS in_dst, uid IN (SELECT uid FROM mutations) AS has_mutations, uid IN (SELECT uid FROM phenotypes) AS has_phenotypes
-  FROM (SELECT DISTINCT uid, true AS w FROM isolates WHERE ck % 5 <> 0) FULL JOIN (SELECT DISTINCT uid, true AS x FROM dst WHERE drug <> 'D1') USING (uid)"""
+  FROM (SELECT DISTINCT uid, true AS w FROM isolates) FULL JOIN (SELECT DISTINCT uid, true AS x FROM dst) USING (uid)"""
 
 
 def _coverage(s, d):
-    anchors = {"wgs": X.isolates(s, d).filter("ck % 5 <> 0"), "dst": X.dst(s, d).filter("drug <> 'D1'")}
+    anchors = {"wgs": X.isolates(s, d), "dst": X.dst(s, d)}
     return V.sample_coverage(anchors, {"mutations": X.mutations(s, d), "phenotypes": X.phenotypes(s, d)})
 
 
@@ -460,10 +460,27 @@ def multidrug_mart(s, d):
     return M.multidrug_mart(cohort(s, d), CLASSES)
 
 
-@query("leakage_boundary", sql("""SELECT DISTINCT 'raw__'||gene||'_'||mutation AS column_name FROM carriage WHERE gene = 'B1' UNION ALL SELECT 'cov__median_coverage'""", "carriage"))
+_COLUMNS = """SELECT DISTINCT 'raw__'||gene||'_'||mutation AS column_name FROM carriage UNION ALL SELECT DISTINCT 'cat__n_per_mut_'||prediction FROM effects UNION ALL SELECT DISTINCT 'cov__coresist_'||drug FROM cohort
+  UNION ALL SELECT DISTINCT 'cov__lineage_L'||right(lineage,1) FROM cohort UNION ALL SELECT DISTINCT 'y__'||phenotype FROM cohort UNION ALL SELECT 'cov__country' FROM cohort GROUP BY 1"""
+
+
+@query(
+    "leakage_boundary",
+    sql(
+        f"""SELECT column_name, column_name LIKE 'raw\\_\\_%' ESCAPE '\\' AS in_de_novo, column_name[1:5] IN ('raw__','cat__') AS in_models, column_name[1:5] IN ('raw__','cat__') OR column_name LIKE 'cov%' AND column_name NOT IN ('cov__country') AS in_all FROM ({_COLUMNS})""",
+        "carriage", "effects", "cohort"),
+)
 def leakage_boundary(s, d):
-    """Columns of a de novo set with a lineage held out, as a filter of the feature dimension."""
-    raw = carried(s, d).filter("gene = 'B1'").select(F.concat(F.lit("raw__"), "gene", F.lit("_"), "mutation").alias("column_name")).distinct()
-    other = ["cov__median_coverage", "cov__lineage_L1", "cov__coresist_D2", "cov__country", "cat__n_per_mut_R"]
-    rest = M.feature_set(other, "de_novo", "lineage1")
-    return raw.unionByName(raw.limit(1).select(F.explode(F.array(*map(F.lit, rest))).alias("column_name")))
+    """Every column of the mart and which feature sets may read it: those of
+    evaluation with a lineage held out, `all` without."""
+    c = cohort(s, d)
+    name = lambda df, prefix, col: df.select(F.concat(F.lit(prefix), col).alias("column_name"))
+    parts = [
+        name(carried(s, d), "raw__", F.concat("gene", F.lit("_"), "mutation")), name(X.effects(s, d), "cat__n_per_mut_", F.col("prediction")), name(c, "cov__coresist_", F.col("drug")),
+        name(c, "cov__lineage_L", F.right("lineage", F.lit(1))), name(c, "y__", F.col("phenotype")), c.select(F.lit("cov__country").alias("column_name")),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    x = F.col("column_name")
+    return every.distinct().select(x, M.in_feature_set(x, "de_novo", True).alias("in_de_novo"), M.in_feature_set(x, "models", True).alias("in_models"), M.in_feature_set(x, "all", False).alias("in_all"))

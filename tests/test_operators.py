@@ -126,7 +126,15 @@ def test_folds_do_not_split(spark):
     M.assert_no_split(M.stratified_group_folds(c, 4, 1))
     with pytest.raises(ValueError):
         M.assert_no_split(c.select("uid", F.col("drug").alias("fold")))
-    assert M.feature_set(["raw__a", "cat__r", "cov__coresist_D2", "cov__lineage_L1", "y__b"], "de_novo", "L1") == ["raw__a"]
+    names = spark.createDataFrame([(x,) for x in ("raw__a", "cat__r", "cov__coresist_D2", "cov__lineage_L1", "y__b", "cov__country")], "c string")
+    kept = lambda name, held: [r.c for r in names.filter(M.in_feature_set(F.col("c"), name, held)).collect()]
+    assert kept("de_novo", True) == ["raw__a"] and kept("models", False) == ["raw__a", "cat__r", "cov__lineage_L1"] and len(kept("all", False)) == 4
+
+
+def test_missing_anchors(spark):
+    ids = lambda *x: spark.createDataFrame([(v,) for v in x], "uid string")
+    got = {r.uid: (r.in_wgs, r.in_dst, r.has_m) for r in V.sample_coverage({"wgs": ids("a", "b", "b"), "dst": ids("b", "c")}, {"m": ids("a", "z")}).collect()}
+    assert got == {"a": (True, False, True), "b": (True, True, False), "c": (False, True, False)}
 
 
 def test_phenotypes_in_conflict(spark):
