@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.stats import auc
 
+# The tiers and their floors.
 TIERS = ((0.88, "usable"), (0.80, "moderate"), (0.0, "at chance"))  #: thresholds are a parameter, these the default
 
 

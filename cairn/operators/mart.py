@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.ranks import by_hash
+from cairn.operators.shared import stored
+
 
 def raw_summary(mutations: DataFrame) -> DataFrame:
     """Per isolate over all its mutations."""
@@ -58,14 +61,10 @@ def down_cast(df: DataFrame, presence: Sequence[str], counts: Sequence[str] = ()
     return df.select(*[F.coalesce(F.col(c), F.lit(0)).cast(cast[c]).alias(c) if c in cast else F.col(c) for c in df.columns])
 
 
-def _drawn(seed: int) -> Column:
-    return F.md5(F.concat(F.col("uid"), F.lit(f"|{seed}")))
-
-
 def stratified_folds(cohort: DataFrame, n: int, seed: int) -> DataFrame:
     """Within each drug and class, dealt round robin in seeded hash order."""
-    w = Window.partitionBy("drug", "phenotype").orderBy(_drawn(seed), "uid")
-    return cohort.select("drug", "uid", "phenotype", ((F.row_number().over(w) - 1) % n).cast("int").alias("fold"))
+    ranked = by_hash(stored(cohort.select("drug", "uid", "phenotype"), "folds"), ["drug", "phenotype"], seed, "_k")
+    return ranked.select("drug", "uid", "phenotype", ((F.col("_k") - 1) % n).cast("int").alias("fold"))
 
 
 def group_folds(cohort: DataFrame, group: str, known: Sequence[str]) -> DataFrame:
@@ -80,8 +79,8 @@ def stratified_group_folds(cohort: DataFrame, n: int, seed: int) -> DataFrame:
     """One fold for each isolate over all drugs, stratified by its number of
     resistant drugs: no isolate is in two folds."""
     own = cohort.groupBy("uid").agg(F.count_if(F.col("phenotype") == "R").alias("n_r"))
-    w = Window.partitionBy("n_r").orderBy(_drawn(seed), "uid")
-    return own.select("uid", "n_r", ((F.row_number().over(w) - 1) % n).cast("int").alias("fold"))
+    ranked = by_hash(stored(own, "folds"), ["n_r"], seed, "_k")
+    return ranked.select("uid", "n_r", ((F.col("_k") - 1) % n).cast("int").alias("fold"))
 
 
 def assert_no_split(folds: DataFrame) -> None:

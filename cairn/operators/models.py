@@ -2,47 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.shared import stored
 from cairn.operators.stats import auc
 
 FEATURE = ["gene", "mutation"]
 
 
-def feature_index(pool: DataFrame) -> DataFrame:
-    """`i, gene, mutation` of the whole pool, in name order from 0."""
-    w = Window.orderBy(*FEATURE)
-    return pool.select(*FEATURE).distinct().withColumn("i", F.row_number().over(w) - 1)
-
-
-def sparse(cohort: DataFrame, carried: DataFrame, index: DataFrame) -> DataFrame:
-    """(drug, uid, lineage, label, features): a sparse 0/1 vector of the pool."""
-    n = index.count()
-    on = carried.join(index, FEATURE).groupBy("uid").agg(F.array_sort(F.collect_set("i")).alias("on"))  # broadcast where it is small
-
-    @F.udf(VectorUDT())
-    def vector(at):
-        return SparseVector(n, at or [], np.ones(len(at or [])))
-
-    base = cohort.select("drug", "uid", "lineage", (F.col("phenotype") == "R").cast("double").alias("label"))
-    return base.join(on, "uid", "left").withColumn("features", vector("on")).drop("on")
-
-
-def learners(n_features: int, seed: int = 7) -> dict[str, Callable]:
+def design(cohort: DataFrame, carried: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (drug, uid, lineage, y, label, weight, features) and the index
+    (i, drug, gene, mutation) of their columns, of all drugs at once.
+
+    Each drug has columns of its own, one for each feature of its pool and a
+    constant (null gene), so one linear fit is a fit of every drug; weights give
+    each drug the same say. The vectors are made in the JVM; the driver holds
+    the pool's names, as many as a model has coefficients.
+    """
+    constant = cohort.select("drug", F.lit(None).cast("string").alias("gene"), F.lit(None).cast("string").alias("mutation")).distinct()
+    named = pool.select("drug", *FEATURE).distinct().unionByName(constant)
+    name = F.concat_ws("@", "drug", "gene", "mutation")
+    vocabulary = [tuple(r) for r in named.select(name.alias("k"), "drug", *FEATURE).orderBy("k").collect()]
+    spark = cohort.sparkSession
+    index = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(vocabulary)], "i int, drug string, gene string, mutation string")
+    on = cohort.select("drug", "uid").join(carried, "uid").join(F.broadcast(index), ["drug", *FEATURE])  # a pool's names
+    on = on.groupBy("drug", "uid").agg(F.collect_list(name).alias("on"))
+    n = cohort.groupBy("drug").agg(F.count(F.lit(1)).alias("n"))
+    total, drugs = n.agg(F.sum("n"), F.count("n")).first()
+    base = cohort.select("drug", "uid", F.coalesce("lineage", F.lit("unknown")).alias("lineage"), (F.col("phenotype") == "R").cast("int").alias("y"))
+    base = base.join(F.broadcast(n.select("drug", (F.lit(float(total or 0)) / drugs / F.col("n")).alias("weight"))), "drug")  # a row for each drug
+    rows = base.join(on, ["drug", "uid"], "left").withColumn("_names", F.array_append(F.coalesce("on", F.array().cast("array<string>")), F.col("drug")))
+    counter = CountVectorizerModel.from_vocabulary([r[0] for r in vocabulary] or ["none"], inputCol="_names", outputCol="features").setBinary(True)
+    out = counter.transform(rows).withColumn("label", F.col("y").cast("double")).select("drug", "uid", "lineage", "y", "label", "weight", "features")
+    return stored(out, "design"), index
+
+
+def logistic(reg: float = 0.05, l1: float = 0.0, drugs: int = 1, steps: int = 40) -> LogisticRegression:
+    """`reg` is what each drug's own fit has: the joint loss averages drugs. The
+    constant of a single drug does not vary, which the solver leaves out: there
+    an intercept takes its place."""
+    return LogisticRegression(regParam=reg / max(1, drugs), elasticNetParam=l1, maxIter=steps, standardization=False, fitIntercept=drugs < 2, weightCol="weight")
+
+
+def learners(n_features: int, drugs: int = 1, seed: int = 7) -> dict[str, Callable]:
     """The panel. Spark ML has no extremely randomised trees: no such row."""
     return {
-        "logistic_l2": LogisticRegression(regParam=0.05, maxIter=40),
-        "elastic_net": LogisticRegression(regParam=0.05, elasticNetParam=0.5, maxIter=40),
-        "forest": RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed),
-        "boosted": GBTClassifier(maxIter=8, maxDepth=3, seed=seed),
+        "logistic_l2": logistic(0.01, 0.0, drugs),
+        "elastic_net": logistic(0.01, 0.5, drugs),
+        "forest": RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed, weightCol="weight"),
+        "boosted": GBTClassifier(maxIter=8, maxDepth=5, seed=seed, weightCol="weight"),
         "mlp": MultilayerPerceptronClassifier(layers=[max(1, n_features), 8, 2], maxIter=30, seed=seed),
     }
 
@@ -50,80 +66,133 @@ def learners(n_features: int, seed: int = 7) -> dict[str, Callable]:
 def fit_score(learner) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         out = learner.fit(train).transform(test)
-        return out.select("drug", "uid", "lineage", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
+        return out.select("drug", "uid", "lineage", "y", vector_to_array("probability")[1].alias("score"))
 
     return run
 
 
-def out_of_fold(rows: DataFrame, names: Sequence[str], folds: Sequence[str], n_features: int) -> DataFrame:
-    """Scores of each model on each lineage by what the others fit."""
-    from cairn.operators.evaluate import cv_folds
+def out_of_fold(rows: DataFrame, panel: Mapping[str, object], group: str = "lineage") -> DataFrame:
+    """Scores of each model on each usable group by what the others fit."""
+    from cairn.operators.evaluate import cv_logo
 
     out = None
-    for name in names:
-        part = cv_folds(rows, "lineage", fit_score(learners(n_features)[name]), folds).withColumn("model", F.lit(name))
+    for name, learner in panel.items():
+        part = cv_logo(rows, group, fit_score(learner)).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    return stored(out, "oof")
 
 
 def leaderboard(scored: DataFrame) -> DataFrame:
-    return auc(scored, "score", F.col("y") == 1, ["drug", "model"]).orderBy(F.desc("auc"), "model")
+    return auc(scored, "score", F.col("y") == 1, ["drug", "model"]).withColumn("auc", F.round("auc", 6)).orderBy("drug", F.desc("auc"), "model")
 
 
-def stack(oof: DataFrame, models: Sequence[str]) -> DataFrame:
-    """A logistic metalearner on the models' out-of-fold scores: its scores of
-    the same rows, and each model's weight as (model, weight)."""
+def stack(oof: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFrame:
+    """A logistic metalearner on the out-of-fold scores of each set of models,
+    itself scored out of fold: weights, its AUC, and the lift over the best of
+    its bases."""
     from pyspark.ml.feature import VectorAssembler
 
-    wide = oof.groupBy("drug", "uid", "lineage", "y").pivot("model", list(models)).agg(F.max("score")).na.fill(0.5, list(models))
-    rows = VectorAssembler(inputCols=list(models), outputCol="features").transform(wide).withColumn("label", F.col("y").cast("double"))
-    fitted = LogisticRegression(regParam=0.01).fit(rows)
-    weights = fitted.coefficients.toArray().tolist()
-    return oof.sparkSession.createDataFrame([(m, float(w)) for m, w in zip(models, weights, strict=True)], "model string, weight double")
-
-
-def coefficients(rows: DataFrame, index: DataFrame, reg: float = 0.05) -> DataFrame:
-    """Signed coefficients of an L2 logistic model, largest first."""
-    fitted = LogisticRegression(regParam=reg, maxIter=40).fit(rows)
-    coef = rows.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(fitted.coefficients.toArray())], "i int, coef double")
-    out = index.join(coef, "i").select(*FEATURE, "coef", F.when(F.col("coef") > 0, "R+").otherwise("S-").alias("direction"))
-    return out.orderBy(F.desc(F.abs("coef")), *FEATURE)
+    out = []
+    for name, models in sets.items():
+        wide = oof.groupBy("drug", "uid", "lineage", "fold", "y").pivot("model", list(models)).agg(F.max("score")).na.fill(0.5, list(models))
+        rows = stored(VectorAssembler(inputCols=list(models), outputCol="features").transform(wide).withColumn("label", F.col("y").cast("double")), "stack")
+        meta = LogisticRegression(regParam=0.01)
+        weights = meta.fit(rows).coefficients.toArray().tolist()
+        whole = F.lit("all").alias("g")
+        folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # groups, few
+        from cairn.operators.evaluate import cv_folds
+
+        own = auc(cv_folds(rows, "fold", fit_score(meta), folds).select("*", whole), "score", F.col("y") == 1, ["g"]).first()["auc"]
+        base = {r["model"]: r["auc"] for r in auc(oof.filter(F.col("model").isin(list(models))), "score", F.col("y") == 1, ["model"]).collect()}
+        out += [(name, m, float(w), own, base[m], own - max(base.values())) for m, w in zip(models, weights, strict=True)]
+    return oof.sparkSession.createDataFrame(out, "model_set string, model string, weight double, stack_auc double, base_auc double, lift double")
+
+
+def _named(spark, values: Sequence[float], name: str) -> DataFrame:
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"i int, {name} double")
+
+
+def coefficients(rows: DataFrame, index: DataFrame, reg: float = 0.01, l1: float = 0.0) -> DataFrame:
+    """(drug, gene, mutation, coef) of one fit of all drugs; a drug's constant
+    has no gene."""
+    drugs = index.filter("gene IS NULL").count()
+    fitted = logistic(reg, l1, drugs).fit(rows)
+    out = index.join(_named(rows.sparkSession, fitted.coefficients.toArray(), "coef"), "i").drop("i")
+    return out.withColumn("coef", F.when(F.col("gene").isNull(), F.col("coef") + F.lit(float(fitted.intercept))).otherwise(F.col("coef")))
+
+
+def deployable(coefs: DataFrame, pairs: DataFrame, totals: DataFrame) -> DataFrame:
+    """A model as serving reads it: (drug, feature, kind, gene, mutation, fill,
+    coef, mean, scale, direction). Features are centred on their share and
+    scaled by its deviation; the row of kind `intercept` takes that up."""
+    share = pairs.join(F.broadcast(totals), "drug").select("drug", *FEATURE, (F.col("carriers") / F.col("n")).alias("mean"))  # a row for each drug
+    m = coefs.filter("gene IS NOT NULL").join(share, ["drug", *FEATURE])
+    scale = F.sqrt(F.col("mean") * (1 - F.col("mean")))
+    m = m.select("drug", F.concat("gene", F.lit("@"), "mutation").alias("feature"), F.lit("mutation").alias("kind"), *FEATURE, F.lit(0.0).alias("fill"), "mean", F.when(scale > 0, scale).otherwise(1.0).alias("scale"), F.col("coef").alias("raw"))
+    moved = m.groupBy("drug").agg(F.sum(F.col("raw") * F.col("mean")).alias("moved"))
+    base = coefs.filter("gene IS NULL").join(moved, "drug", "left").select("drug", (F.col("coef") + F.coalesce("moved", F.lit(0.0))).alias("coef"))
+    none = F.lit(None).cast("string")
+    base = base.select("drug", F.lit("intercept").alias("feature"), F.lit("intercept").alias("kind"), none.alias("gene"), none.alias("mutation"), F.lit(0.0).alias("fill"), "coef", F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale"))
+    m = m.select("drug", "feature", "kind", *FEATURE, "fill", (F.col("raw") * F.col("scale")).alias("coef"), "mean", "scale")
+    return m.unionByName(base).withColumn("direction", F.when(F.col("coef") > 0, "R+").otherwise("S-"))
+
+
+def _top(df: DataFrame, by: Column, n: int) -> DataFrame:
+    """The first `n` features of each drug: a drug has a pool's features."""
+    w = Window.partitionBy("drug").orderBy(by, *FEATURE)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def variable_importance(rows: DataFrame, index: DataFrame, top: int = 30) -> DataFrame:
     fitted = learners(1)["forest"].fit(rows)
-    imp = rows.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(fitted.featureImportances.toArray())], "i int, importance double")
-    return index.join(imp, "i").select(*FEATURE, "importance").orderBy(F.desc("importance"), *FEATURE).limit(top)
+    imp = index.join(_named(rows.sparkSession, fitted.featureImportances.toArray(), "importance"), "i").filter("gene IS NOT NULL").drop("i")
+    return _top(imp, F.desc("importance"), top)
 
 
-def cross_model(rows: DataFrame, index: DataFrame, n: int, mode: str = "intersect") -> DataFrame:
-    """Features in the top `n` of a forest and (or: union) of a linear model."""
-    a = variable_importance(rows, index, n).select(*FEATURE)
-    b = coefficients(rows, index).limit(n).select(*FEATURE)
-    return a.intersect(b) if mode == "intersect" else a.union(b).distinct()
-
-
-def nested_logo(rows: DataFrame, grid: Sequence[float], groups: Sequence[str]) -> DataFrame:
-    """Regularisation chosen inside the training lineages only: for each
-    held-out one, the value with the best mean inner AUC, and its outer AUC."""
-    out = []
-    for held in groups:
-        train, test = rows.filter(F.col("lineage") != held), rows.filter(F.col("lineage") == held)
-        best = None
-        for reg in grid:
-            inner = [_auc_of(train.filter(F.col("lineage") != g), train.filter(F.col("lineage") == g), reg) for g in groups if g != held]
-            inner = [x for x in inner if x is not None]
-            mean = sum(inner) / len(inner) if inner else 0.0
-            if best is None or mean > best[0]:
-                best = (mean, reg)
-        out.append((held, best[1], best[0], _auc_of(train, test, best[1])))
-    return rows.sparkSession.createDataFrame(out, "held_out string, reg double, inner_auc double, outer_auc double")
+def importance_vote(coefs: DataFrame, pairs: DataFrame, totals: DataFrame) -> DataFrame:
+    """|coef| times the mean absolute deviation of a 0/1 column; the vote is
+    for the upper half of each drug's candidates."""
+    p = pairs.join(F.broadcast(totals), "drug").select("drug", *FEATURE, (F.col("carriers") / F.col("n")).alias("p"))  # a row for each drug
+    out = coefs.filter("gene IS NOT NULL").join(p, ["drug", *FEATURE]).withColumn("importance", F.abs("coef") * 2 * F.col("p") * (1 - F.col("p")))
+    by = Window.partitionBy("drug")
+    rank, n = F.row_number().over(by.orderBy(F.desc("importance"), *FEATURE)), F.count(F.lit(1)).over(by)
+    return out.select("drug", *FEATURE, "importance", (rank <= F.greatest(F.lit(1), F.floor(n / 2))).alias("important"))
 
 
-def _auc_of(train: DataFrame, test: DataFrame, reg: float) -> float | None:
-    scored = fit_score(LogisticRegression(regParam=reg, maxIter=20))(train, test)
-    r = auc(scored, "score", F.col("y") == 1, ["drug"]).first()
-    return None if r is None else r["auc"]
+def cross_model(rows: DataFrame, index: DataFrame, n: int, mode: str = "intersect") -> DataFrame:
+    """Features in the top `n` of a forest and (or: union) of a linear model,
+    with the share of `n` that both have."""
+    key = ["drug", *FEATURE]
+    a = variable_importance(rows, index, n).select(*key, F.lit(True).alias("in_forest"))
+    b = _top(coefficients(rows, index).filter("gene IS NOT NULL"), F.desc(F.abs("coef")), n).select(*key, F.lit(True).alias("in_linear"))
+    both = a.join(b, key, "full_outer").na.fill(False)
+    agree = F.count_if(F.col("in_forest") & F.col("in_linear")).over(Window.partitionBy("drug")) / F.lit(n)
+    both = both.withColumn("agreement", F.round(agree, 6))
+    return both.filter("in_forest AND in_linear") if mode == "intersect" else both
+
+
+def nested_logo(rows: DataFrame, grid: Sequence[float], drugs: int, group: str = "lineage") -> DataFrame:
+    """Regularisation chosen inside the training groups only: for each drug and
+    held-out group, the value with the best mean inner AUC, and its outer AUC.
+    A fit without two groups serves both orders of the pair."""
+    from cairn.operators.evaluate import usable_for_logo
+
+    groups = usable_for_logo(rows, group)
+    out = None
+    for reg in grid:
+        for k, a in enumerate(groups):
+            for b in groups[k:]:
+                part = fit_score(logistic(reg, 0.0, drugs, 20))(rows.filter(~F.col(group).isin(a, b)), rows.filter(F.col(group).isin(a, b)))
+                # held out `a`, scored on `b`, and the other way round; a pair of one group is the outer fit
+                other = F.when(F.col("lineage") == a, b).otherwise(a)
+                part = part.withColumns({"held_out": other if a != b else F.lit(a), "outer": F.lit(a == b), "reg": F.lit(reg)})
+                out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "drug string, held_out string, reg double, inner_auc double, outer_auc double")
+    each = auc(stored(out, "nested"), "score", F.col("y") == 1, ["drug", "held_out", "outer", "reg", "lineage"])
+    inner = each.filter("NOT outer").groupBy("drug", "held_out", "reg").agg(F.round(F.avg("auc"), 9).alias("inner_auc"))
+    best = inner.groupBy("drug", "held_out").agg(F.max(F.struct("inner_auc", (-F.col("reg")).alias("less"))).alias("b")).select("drug", "held_out", (-F.col("b.less")).alias("reg"), "b.inner_auc")
+    return best.join(each.filter("outer").select("drug", "held_out", "reg", F.col("auc").alias("outer_auc")), ["drug", "held_out", "reg"], "left")
 
 
 def class_weights(cohort: DataFrame) -> DataFrame:
@@ -133,34 +202,40 @@ def class_weights(cohort: DataFrame) -> DataFrame:
     return g.select("drug", "phenotype", F.round(F.sum("n_class").over(w) / (2 * F.col("n_class")), 6).alias("weight"))
 
 
-def surrogate(rows: DataFrame, index: DataFrame, scores: DataFrame, top: int = 20) -> tuple[DataFrame, float]:
-    """An additive model of another model's probabilities: terms and R2."""
-    data = rows.select("uid", "features").join(scores.select("uid", F.col("score").alias("label")), "uid")
-    fitted = LinearRegression(regParam=0.001).fit(data)
-    coef = rows.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(fitted.coefficients.toArray())], "i int, term double")
-    return index.join(coef, "i").select(*FEATURE, "term").orderBy(F.desc(F.abs("term")), *FEATURE).limit(top), fitted.summary.r2
+def surrogate(rows: DataFrame, index: DataFrame, scores: DataFrame, top: int = 20) -> DataFrame:
+    """Additive models of another model's scores (drug, uid, score): the
+    largest terms of each drug and how much of its scores they explain."""
+    data = stored(rows.select("drug", "uid", "features").join(scores.select("drug", "uid", F.col("score").alias("label")), ["drug", "uid"]), "surrogate")
+    fitted = LinearRegression(regParam=0.001, fitIntercept=False, standardization=False).fit(data)
+    e = F.col("label") - F.col("prediction")
+    r2 = fitted.transform(data).groupBy("drug").agg((1 - F.sum(e * e) / (F.var_pop("label") * F.count(F.lit(1)))).alias("r2"))
+    terms = index.join(_named(rows.sparkSession, fitted.coefficients.toArray(), "term"), "i").filter("gene IS NOT NULL").drop("i")
+    return _top(terms, F.desc(F.abs("term")), top).join(F.broadcast(r2), "drug")  # a row for each drug
+
 
+def graded_regression(rows: DataFrame, graded: DataFrame) -> DataFrame:
+    """Out-of-lineage predictions of a graded phenotype (drug, uid, value) by
+    boosted trees."""
+    from cairn.operators.evaluate import usable_for_logo
 
-def graded_regression(rows: DataFrame, graded: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Out-of-lineage predictions of a graded phenotype by boosted trees."""
-    data = rows.drop("label").join(graded.select("uid", F.col("value").alias("label")), "uid")
+    data = stored(rows.drop("label").join(graded.select("drug", "uid", F.col("value").alias("label")), ["drug", "uid"]), "graded")
     out = None
-    for g in groups:
-        fitted = GBTRegressor(maxIter=8, maxDepth=3, seed=7).fit(data.filter(F.col("lineage") != g))
-        part = fitted.transform(data.filter(F.col("lineage") == g)).select("drug", "uid", "lineage", "label", "prediction")
+    for g in usable_for_logo(data, "lineage"):
+        fitted = GBTRegressor(maxIter=8, maxDepth=5, seed=7).fit(data.filter(F.col("lineage") != g))
+        part = fitted.transform(data.filter(F.col("lineage") == g)).select("drug", "uid", "lineage", "y", "label", "prediction")
         out = part if out is None else out.unionByName(part)
-    return out
+    return stored(out, "graded")
 
 
 def firth(rows: DataFrame, n_features: int, ridge: float = 1e-8, steps: int = 25, tolerance: float = 1e-6) -> np.ndarray:
     """Firth's bias-reduced logistic regression by iterated weighted least
     squares: X'WX and the corrected score are summed over partitions, only the
-    p x p system (a bounded pool's p) is solved on the driver."""
+    p x p system (a bounded pool's p, constants included) is solved on the driver."""
     data = rows.select(vector_to_array("features").alias("x"), "label")
-    beta = np.zeros(n_features + 1)
+    beta = np.zeros(n_features)
     for _ in range(steps):
         info = _summed(data, beta, None, n_features)
-        inverse = np.linalg.inv(info + ridge * np.eye(n_features + 1))
+        inverse = np.linalg.inv(info + ridge * np.eye(n_features))
         score = _summed(data, beta, inverse, n_features)
         step = inverse @ score
         beta = beta + np.clip(step, -2, 2)
@@ -174,10 +249,10 @@ def _summed(data: DataFrame, beta: np.ndarray, inverse: np.ndarray | None, p: in
     import pandas as pd
 
     def run(parts):
-        total = np.zeros((p + 1, p + 1) if inverse is None else p + 1)
+        total = np.zeros((p, p) if inverse is None else p)
         for pdf in parts:
             if len(pdf):
-                x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"])])
+                x = np.stack(pdf["x"])
                 mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
                 w = mu * (1 - mu)
                 if inverse is None:
@@ -189,22 +264,26 @@ def _summed(data: DataFrame, beta: np.ndarray, inverse: np.ndarray | None, p: in
 
     sums = data.mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     flat = np.array([r["v"] for r in sums])
-    return flat.reshape(p + 1, p + 1) if inverse is None else flat
-
-
-def transfer(rows: DataFrame, index: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One boosted model over (isolate, drug), the drug a category beside the
-    features: its per-drug AUC on held-out lineages."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-
-    coded = StringIndexer(inputCol="drug", outputCol="_d", handleInvalid="keep").fit(rows).transform(rows)
-    coded = OneHotEncoder(inputCol="_d", outputCol="_h").fit(coded).transform(coded).withColumnRenamed("features", "_x")
-    data = VectorAssembler(inputCols=["_x", "_h"], outputCol="features").transform(coded)
-    out = None
-    for g in groups:
-        part = fit_score(learners(1)["logistic_l2"])(data.filter(F.col("lineage") != g), data.filter(F.col("lineage") == g))
-        out = part if out is None else out.unionByName(part)
-    return auc(out, "score", F.col("y") == 1, ["drug", "lineage"]).groupBy("drug").agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.count("auc").alias("n_groups"))
+    return flat.reshape(p, p) if inverse is None else flat
+
+
+def transfer(rows: DataFrame, cohort: DataFrame, carried: DataFrame, pool: DataFrame, classes: Mapping[str, str], drugs: int) -> DataFrame:
+    """One boosted model over (isolate, drug): features that drugs share, the
+    drug and its class as categories. Its mean AUC on held-out lineages for
+    each drug, and how far that is from the drugs' own linear models."""
+    shared = pool.select(*FEATURE).distinct()
+    names = [r[0] for r in shared.select(F.concat_ws("@", *FEATURE).alias("k")).orderBy("k").collect()]  # the pool's
+    on = carried.join(F.broadcast(shared), FEATURE).groupBy("uid").agg(F.collect_list(F.concat_ws("@", *FEATURE)).alias("on"))
+    named = F.create_map(*[F.lit(x) for kv in sorted(classes.items()) for x in kv])
+    kinds = F.array(F.concat(F.lit("drug "), "drug"), F.concat(F.lit("class "), F.coalesce(named[F.col("drug")], F.lit("other"))))
+    data = rows.drop("features").join(on, "uid", "left").withColumn("_names", F.concat(F.coalesce("on", F.array().cast("array<string>")), kinds))
+    extra = sorted({f"drug {r[0]}" for r in cohort.select("drug").distinct().collect()} | {f"class {c}" for c in [*classes.values(), "other"]})
+    counter = CountVectorizerModel.from_vocabulary(names + extra, inputCol="_names", outputCol="features").setBinary(True)
+    data = stored(counter.transform(data).drop("_names", "on"), "transfer")
+    both = out_of_fold(data, {"joint": GBTClassifier(maxIter=10, maxDepth=5, seed=7, weightCol="weight")}).unionByName(out_of_fold(rows, {"own": logistic(0.01, 0.0, drugs)}))
+    mean = auc(both, "score", F.col("y") == 1, ["drug", "model", "lineage"]).groupBy("drug", "model").agg(F.avg("auc").alias("m"), F.count("auc").alias("n"))
+    wide = mean.groupBy("drug").agg(*[F.max(F.when(F.col("model") == m, F.col("m"))).alias(m) for m in ("joint", "own")], F.max("n").alias("n_groups"))
+    return wide.select("drug", F.round("joint", 6).alias("mean_auc"), F.round(F.col("joint") - F.col("own"), 6).alias("delta"), "n_groups")
 
 
 def model_cards(models: DataFrame, tiers: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -218,28 +297,28 @@ def fills(cohort: DataFrame) -> DataFrame:
     return cohort.groupBy("drug").agg(F.round(F.median("tb_depth"), 6).alias("depth_fill"))
 
 
-def mlp_sweep(rows: DataFrame, n_features: int, groups: Sequence[str], widths: Sequence[int] = (4, 16), iterations: Sequence[int] = (20, 60)) -> DataFrame:
+def mlp_sweep(rows: DataFrame, n_features: int, widths: Sequence[int] = (4, 16), iterations: Sequence[int] = (20, 40)) -> DataFrame:
     """Perceptrons by width and iterations (Spark ML has no L2 knob for them):
-    mean AUC on held-out lineages, the best first."""
-    out = None
-    for width in widths:
-        for steps in iterations:
-            learner = MultilayerPerceptronClassifier(layers=[max(1, n_features), width, 2], maxIter=steps, seed=7)
-            for g in groups:
-                part = fit_score(learner)(rows.filter(F.col("lineage") != g), rows.filter(F.col("lineage") == g)).withColumn("model", F.lit(f"{width}x{steps}"))
-                out = part if out is None else out.unionByName(part)
-    a = auc(out, "score", F.col("y") == 1, ["model", "lineage"])
-    return a.groupBy("model").agg(F.round(F.avg("auc"), 6).alias("mean_auc")).orderBy(F.desc("mean_auc"), "model")
+    mean AUC over drugs and held-out lineages, the best first."""
+    panel = {f"{w}x{i}": MultilayerPerceptronClassifier(layers=[max(1, n_features), w, 2], maxIter=i, seed=7) for w in widths for i in iterations}
+    a = auc(out_of_fold(rows, panel), "score", F.col("y") == 1, ["model", "drug", "lineage"])
+    return a.groupBy("model").agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.count("auc").alias("n_folds")).orderBy(F.desc("mean_auc"), "model")
+
+
+def tuned(rows: DataFrame, grid: Sequence[tuple[float, float]], drugs: int) -> DataFrame:
+    """Elastic nets by (reg, l1): mean AUC over drugs and held-out lineages."""
+    panel = {f"{reg},{l1}": logistic(reg, l1, drugs, 20) for reg, l1 in grid}
+    a = auc(out_of_fold(rows, panel), "score", F.col("y") == 1, ["model", "drug", "lineage"]).groupBy("model").agg(F.round(F.avg("auc"), 6).alias("mean_auc"))
+    part = F.split("model", ",")
+    return a.select(part[0].cast("double").alias("reg"), part[1].cast("double").alias("l1"), "mean_auc").orderBy(F.desc("mean_auc"), "reg", "l1")
 
 
-def cv_random(rows: DataFrame, learner: str, n_features: int, k: int = 3, seed: int = 7) -> DataFrame:
-    """Pooled out-of-fold AUC of stratified folds in seeded hash order."""
+def cv_random(rows: DataFrame, learner, folds: DataFrame, k: int) -> DataFrame:
+    """Pooled out-of-fold AUC of given random folds (drug, uid, fold)."""
     from cairn.operators.evaluate import cv_folds
 
-    w = Window.partitionBy("drug", "label").orderBy(F.md5(F.concat("uid", F.lit(f"|{seed}"))), "uid")
-    folded = rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
-    scored = cv_folds(folded, "fold", fit_score(learners(n_features)[learner]), range(k))
-    return auc(scored, "score", F.col("y") == 1, ["drug"])
+    folded = stored(rows.join(folds.select("drug", "uid", "fold"), ["drug", "uid"]), "folded")
+    return auc(cv_folds(folded, "fold", fit_score(learner), range(k)), "score", F.col("y") == 1, ["drug"])
 
 
 def impute_confounders(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("drug",)) -> DataFrame:

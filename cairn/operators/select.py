@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.carriage import FEATURE, top_n, two_by_two
+from cairn.operators.ranks import by_hash, numbered, tile
 from cairn.operators.shared import stored
 from cairn.operators.stats import phi
 
@@ -33,10 +32,12 @@ def pool(correlated: DataFrame, k: int, determinants: DataFrame, least: int = 10
 def strata(cohort: DataFrame, quantiles: int = 4) -> DataFrame:
     """Lineage by coverage quarter within each drug. Ranks are of distinct
     isolates, ties by uid."""
-    w = Window.partitionBy("drug").orderBy("tb_depth", "uid")
-    return cohort.select(
+    base = stored(cohort.select("drug", "uid", "lineage", "phenotype", "tb_depth"), "cohort")
+    n = base.groupBy("drug").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = numbered(base, ["drug"], [F.col("tb_depth"), F.col("uid")], F.col("tb_depth"), "_k").join(F.broadcast(n), "drug")  # a row for each drug
+    return ranked.select(
         "drug", "uid", F.coalesce("lineage", F.lit("unknown")).alias("lineage"), (F.col("phenotype") == "R").cast("int").alias("y"),
-        F.concat_ws("/", F.coalesce("lineage", F.lit("unknown")), F.ntile(quantiles).over(w).cast("string")).alias("stratum"),
+        F.concat_ws("/", F.coalesce("lineage", F.lit("unknown")), tile(F.col("_k"), F.col("_n"), quantiles).cast("string")).alias("stratum"),
     )
 
 
@@ -93,32 +94,12 @@ def vote_residual(strata_: DataFrame, counted: DataFrame, candidates: DataFrame,
     )
 
 
-def vote_importance(cohort: DataFrame, carried: DataFrame, candidates: DataFrame, drug: str, max_iter: int = 50) -> DataFrame:
-    """Importance of each candidate in one additive logistic model of the
-    drug's cohort: |coef| times the mean absolute deviation of a 0/1 column.
-    The vote is for the upper half. The driver holds the candidates' names."""
-    names = [tuple(r) for r in candidates.filter(F.col("drug") == drug).select(*FEATURE).distinct().orderBy(*FEATURE).collect()]
-    spark = cohort.sparkSession
-    index = spark.createDataFrame([(g, m, i) for i, (g, m) in enumerate(names)], "gene string, mutation string, i int")
-    mine = cohort.filter(F.col("drug") == drug).select("uid", (F.col("phenotype") == "R").cast("double").alias("label"))
-    held = mine.join(carried, "uid").join(index, FEATURE).groupBy("uid").agg(F.collect_set("i").alias("on"))
-    slots = F.sequence(F.lit(0), F.lit(len(names) - 1))
-    wide = mine.join(held, "uid", "left").select("label", array_to_vector(F.transform(slots, lambda i: F.coalesce(F.array_contains("on", i), F.lit(False)).cast("double"))).alias("features"))
-    model = LogisticRegression(regParam=0.01, maxIter=max_iter, standardization=False).fit(wide)
-    share = wide.select(F.posexplode(vector_to_array("features")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("p"))
-    coef = spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients.toArray())], "i int, coef double")
-    out = index.join(coef, "i").join(share, "i").withColumn("importance", F.abs("coef") * 2 * F.col("p") * (1 - F.col("p")))
-    rank = F.row_number().over(Window.orderBy(F.desc("importance"), *FEATURE))
-    return out.select(F.lit(drug).alias("drug"), *FEATURE, "importance", (rank <= max(1, len(names) // 2)).alias("important"))
-
-
 def placebo(cohort: DataFrame, carried: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
     """The effect vote under labels permuted within each drug: how many
     candidates it still calls significant."""
-    w1 = Window.partitionBy("drug").orderBy("uid")
-    w2 = Window.partitionBy("drug").orderBy(F.md5(F.concat("uid", F.lit(f"|{seed}"))), "uid")
-    ranked = cohort.withColumn("_a", F.row_number().over(w1))
-    drawn = cohort.select("drug", F.col("phenotype").alias("_p"), F.row_number().over(w2).alias("_a"))
+    held = stored(cohort.select("drug", "uid", "lineage", "phenotype", "tb_depth"), "cohort")
+    ranked = by_hash(held, ["drug"], seed, "_a")
+    drawn = by_hash(held, ["drug"], seed + 1, "_a").select("drug", F.col("phenotype").alias("_p"), "_a")
     shuffled = ranked.join(drawn, ["drug", "_a"]).drop("phenotype", "_a").withColumnRenamed("_p", "phenotype")
     base = stored(strata(shuffled), "strata")
     votes = vote_effect(base, counts(base, carried), candidates)
@@ -141,7 +122,7 @@ def sensitivity(votes: DataFrame) -> DataFrame:
     n = F.col("n_votes")
     return votes.groupBy("drug").agg(
         F.count_if(n >= 1).alias("n_any"), F.count_if(n >= 2).alias("n_two"), F.count_if(F.col("effect_significant")).alias("n_effect"),
-        F.count_if(F.col("effect_significant") & F.col("residual_survives")).alias("n_pair"), F.count(F.lit(1)).alias("n_candidates"),
+        F.count_if(F.col("effect_significant") & F.col("residual_survives")).alias("n_pair"), F.count_if(n >= 3).alias("n_three"), F.count(F.lit(1)).alias("n_candidates"),
     )
 
 

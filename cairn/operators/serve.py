@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INSTANCE = "uid string, covariates struct<lineage: string, tb_depth: double>, variants array<struct<gene: string, mutation: string>>"
 LINEAGES = ("lineage1", "lineage2", "lineage3", "lineage4")
-ROLES = {"primary_driver": 0, "co-selected passenger (MDR linkage)": 1, "weak/lineage-linked passenger": 2}
+# The roles, first to last, and the least effect of a passenger.
+ROLES = ("primary_driver", "co-selected passenger (MDR linkage)", "weak/lineage-linked passenger")
+PASSENGER = 0.2
 
 
 def assemble_instances(isolates: DataFrame, mutations: DataFrame, uids: DataFrame | None = None) -> DataFrame:
@@ -50,32 +52,41 @@ def validate(instances: DataFrame, lineages: Sequence[str] = LINEAGES) -> DataFr
     return instances.select("uid", F.explode(broken).alias("rule"))
 
 
-def vectorize(instances: DataFrame, schema: DataFrame) -> DataFrame:
-    """(uid, feature, value) of every feature in `schema(feature, kind, gene,
-    mutation, fill, pos)`: mutation presence (an unresolved X call is absent),
-    lineage equality, coverage or its fill. The schema is a model's feature
-    list, so every document meets every row of it: it is broadcast."""
+NAMES = "array<string>"
+
+
+def _present() -> Column:
+    """Names of what a document has: its variants (an unresolved X call is
+    absent), its lineage, and its coverage."""
     on = F.transform(F.filter("variants", lambda x: ~x["mutation"].rlike("[Xx]$")), lambda x: F.concat(x["gene"], F.lit("@"), x["mutation"]))
-    docs = instances.select("uid", "covariates", F.coalesce(on, F.array().cast("array<string>")).alias("on"))
-    both = docs.join(F.broadcast(schema))  # schema: as many rows as a model has features
-    value = (
-        F.when(F.col("kind") == "mutation", F.array_contains("on", F.concat("gene", F.lit("@"), "mutation")).cast("double"))
-        .when(F.col("kind") == "lineage", F.coalesce(F.col("covariates.lineage") == F.col("feature"), F.lit(False)).cast("double"))
-        .otherwise(F.coalesce("covariates.tb_depth", "fill"))
-    )
-    return both.select("uid", "feature", "kind", "pos", value.cast("float").alias("value"))
+    return F.array_compact(F.array_distinct(F.concat(F.coalesce(on, F.array().cast(NAMES)), F.array(F.col("covariates.lineage"), F.lit("tb_depth")))))
+
+
+def vectorize(instances: DataFrame, model: DataFrame) -> DataFrame:
+    """(uid, drug, feature, kind, value) of the features of each drug's model
+    that are not 0 in a document: mutations and lineage 1, coverage its value or
+    the model's fill. Features that are not there are 0, so a document makes as
+    many rows as it has features, whatever the model's size: an equality join.
+    `model(drug, feature, kind, gene, mutation, fill, coef, mean, scale)`."""
+    docs = instances.select("uid", F.col("covariates.tb_depth").alias("depth"), F.explode(_present()).alias("feature"))
+    both = docs.join(model.filter("kind <> 'intercept'").select("drug", "feature", "kind", "fill"), "feature")
+    value = F.when(F.col("kind") == "coverage", F.coalesce("depth", "fill")).otherwise(1.0)
+    return both.select("uid", "drug", "feature", "kind", value.cast("float").alias("value"))
 
 
 def feature_schema(selected: DataFrame, mart_features: DataFrame, fill: float) -> DataFrame:
-    """Ordered features of a model; one that the mart lacks is an error."""
+    """(drug, feature, kind, gene, mutation, fill) of each drug's model: its
+    selected features, the lineages and coverage. A feature that the mart lacks
+    is an error."""
     gone = selected.join(mart_features, ["gene", "mutation"], "left_anti")
     if not gone.isEmpty():
         raise ValueError(f"features missing in the mart: {gone.limit(5).collect()}")
-    w = Window.orderBy("gene", "mutation")  # a model's features: few
-    m = selected.select(F.concat("gene", F.lit("@"), "mutation").alias("feature"), F.lit("mutation").alias("kind"), "gene", "mutation", F.lit(0.0).alias("fill"), F.row_number().over(w).alias("pos"))
-    spark, none = selected.sparkSession, F.lit(None).cast("string")
-    extra = spark.createDataFrame([(x, "lineage", 0.0, 10_000 + i) for i, x in enumerate(LINEAGES)] + [("tb_depth", "coverage", float(fill), 20_000)], "feature string, kind string, fill double, pos int")
-    return m.unionByName(extra.withColumn("gene", none).withColumn("mutation", none))
+    m = selected.select("drug", F.concat("gene", F.lit("@"), "mutation").alias("feature"), F.lit("mutation").alias("kind"), "gene", "mutation", F.lit(0.0).alias("fill"))
+    rest = [F.struct(F.lit(x).alias("feature"), F.lit("lineage").alias("kind"), F.lit(0.0).alias("fill")) for x in LINEAGES]
+    rest.append(F.struct(F.lit("tb_depth").alias("feature"), F.lit("coverage").alias("kind"), F.lit(float(fill)).alias("fill")))
+    none = F.lit(None).cast("string")
+    extra = selected.select("drug").distinct().select("drug", F.inline(F.array(*rest))).withColumns({"gene": none, "mutation": none})
+    return m.unionByName(extra)
 
 
 def roundtrip(served: DataFrame, trained: DataFrame) -> DataFrame:
@@ -85,56 +96,66 @@ def roundtrip(served: DataFrame, trained: DataFrame) -> DataFrame:
 
 
 def contributions(vectors: DataFrame, model: DataFrame) -> DataFrame:
-    """coef * (value - mean) / scale of each feature; a missing value is 0 for a
-    mutation and the mean for a covariate."""
-    v = vectors.join(F.broadcast(model), "feature")  # a model's coefficients
-    x = F.coalesce(F.col("value").cast("double"), F.when(F.col("kind") == "mutation", 0.0).otherwise(F.col("mean")))
-    return v.select("uid", "feature", "kind", (F.col("coef") * (x - F.col("mean")) / F.col("scale")).alias("contribution"), F.col("value"))
-
-
-def score(vectors: DataFrame, model: DataFrame, intercept: float) -> DataFrame:
-    s = contributions(vectors, model).groupBy("uid").agg((F.sum("contribution") + intercept).alias("logit"))
-    return s.select("uid", "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("p_resistant"))
-
-
-def explain(vectors: DataFrame, model: DataFrame, evidence: DataFrame, determinants: DataFrame, drug: str) -> DataFrame:
-    """Fired mutations of each document with role and order: primary drivers,
-    then co-selected passengers, then weak ones, by coefficient."""
-    fired = vectors.filter("kind = 'mutation' AND value > 0").select("uid", "feature")
-    own = determinants.filter(F.col("drug") == drug).select("gene", F.lit(True).alias("t"))
-    rows = fired.join(F.broadcast(model.select("feature", "coef")), "feature").withColumn("gene", F.split_part("feature", F.lit("@"), F.lit(1)))
-    rows = rows.join(F.broadcast(own), "gene", "left").join(F.broadcast(evidence.select("feature", "effect_significant", "ate")), "feature", "left")
-    sure = F.coalesce("effect_significant", F.lit(False))
-    names = list(ROLES)
-    role = F.when(F.coalesce("t", F.lit(False)) & sure, names[0]).when(sure & (F.abs("ate") >= 0.2), names[1]).otherwise(names[2])
-    out = rows.select("uid", "feature", F.round("coef", 3).alias("coef"), F.when(F.col("coef") > 0, "resistance").otherwise("protective").alias("direction"), role.alias("role"))
-    order = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("role")]
-    w = Window.partitionBy("uid").orderBy(order, F.desc(F.abs("coef")), "feature")
+    """coef * value / scale of each feature that is not 0; a missing value
+    counts as the mean. What centring takes off is in `bases`."""
+    v = vectors.select("uid", "drug", "feature", "value").join(model.select("drug", "feature", "kind", "coef", "mean", "scale"), ["drug", "feature"])
+    return v.select("uid", "drug", "feature", "kind", (F.col("coef") * F.coalesce(F.col("value").cast("double"), "mean") / F.col("scale")).alias("contribution"), "value")
+
+
+def bases(model: DataFrame) -> dict[str, float]:
+    """Each drug's score of a document whose features are all 0."""
+    term = F.when(F.col("kind") == "intercept", F.col("coef")).otherwise(-F.col("coef") * F.col("mean") / F.col("scale"))
+    return {r["drug"]: r["b"] for r in model.groupBy("drug").agg(F.sum(term).alias("b")).orderBy("drug").collect()}
+
+
+def score(vectors: DataFrame, instances: DataFrame, model: DataFrame) -> DataFrame:
+    """(uid, drug, logit, p_resistant) of every document and drug."""
+    base = F.array(*[F.struct(F.lit(k).alias("drug"), F.lit(float(v)).alias("base")) for k, v in bases(model).items()])  # a row for each drug
+    every = instances.select("uid", F.inline(base))
+    sums = contributions(vectors, model).groupBy("uid", "drug").agg(F.sum("contribution").alias("x"))
+    out = every.join(sums, ["uid", "drug"], "left").select("uid", "drug", (F.col("base") + F.coalesce("x", F.lit(0.0))).alias("logit"))
+    return out.withColumn("p_resistant", 1 / (1 + F.exp(-F.col("logit"))))
+
+
+def explain(vectors: DataFrame, model: DataFrame, evidence: DataFrame, determinants: DataFrame) -> DataFrame:
+    """Fired mutations of each document and drug with role and order: primary
+    drivers, then co-selected passengers, then weak ones, by coefficient.
+    `evidence(drug, feature, effect_significant, ate)`."""
+    key = ["drug", "feature"]
+    rows = vectors.filter("kind = 'mutation' AND value > 0").select("uid", *key).join(model.select(*key, "coef"), key)
+    rows = rows.join(evidence.select(*key, "effect_significant", "ate"), key, "left").withColumn("gene", F.split_part("feature", F.lit("@"), F.lit(1)))
+    rows = rows.join(F.broadcast(determinants.select("drug", "gene", F.lit(True).alias("known"))), ["drug", "gene"], "left")  # curated genes
+    sure, known = F.coalesce("effect_significant", F.lit(False)), F.coalesce("known", F.lit(False))
+    held = [sure & known, sure & (F.abs("ate") >= PASSENGER), F.lit(True)]
+    role = F.coalesce(*[F.when(c, name) for c, name in zip(held, ROLES, strict=True)])
+    out = rows.select("uid", *key, F.round("coef", 3).alias("coef"), F.when(F.col("coef") > 0, "resistance").otherwise("protective").alias("direction"), role.alias("role"))
+    order = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    w = Window.partitionBy("uid", "drug").orderBy(order, F.desc(F.abs("coef")), "feature")
     return out.withColumn("rank", F.row_number().over(w))
 
 
-def predict(instances: DataFrame, schema: DataFrame, model: DataFrame, intercept: float) -> DataFrame:
-    """Valid documents scored, invalid ones with their first broken rule. Only
-    narrow steps and broadcasts of the model: the same for a stream."""
-    wide = F.aggregate(
-        F.array(*_terms(schema, model)), F.lit(float(intercept)), lambda a, x: a + x
-    )
-    on = F.coalesce(F.transform(F.filter("variants", lambda x: ~x["mutation"].rlike("[Xx]$")), lambda x: F.concat(x["gene"], F.lit("@"), x["mutation"])), F.array().cast("array<string>"))
-    docs = instances.withColumn("_on", on).withColumn("_logit", wide)
-    bad = F.col("uid").isNull() | F.col("covariates").isNull() | F.col("variants").isNull()
-    return docs.select("uid", F.when(~bad, F.round("_logit", 5)).alias("logit"), F.when(~bad, F.round(1 / (1 + F.exp(-F.col("_logit"))), 5)).alias("p_resistant"), (~bad).alias("is_valid"))
-
-
-def _terms(schema: DataFrame, model: DataFrame) -> list[Column]:
-    """A model's terms as expressions: all its features, read on the driver."""
-    rows: Sequence[Mapping] = schema.join(model, "feature").orderBy("pos").collect()
-    out = []
-    for r in rows:
-        if r["kind"] == "mutation":
-            x = F.array_contains("_on", f"{r['gene']}@{r['mutation']}").cast("double")
-        elif r["kind"] == "lineage":
-            x = F.coalesce(F.col("covariates.lineage") == r["feature"], F.lit(False)).cast("double")
+def _adding(weights: Column):
+    return lambda total, name: total + F.coalesce(weights[name], F.lit(0.0))
+
+
+def predict(instances: DataFrame, model: DataFrame) -> DataFrame:
+    """(uid, drug, logit, p_resistant, is_valid) of every document and drug;
+    documents that break a rule have no score. Only narrow steps, the model as
+    literals: the same for a stream. The driver reads the whole model."""
+    base, weights, depths = bases(model), {}, {}
+    for r in model.filter("kind <> 'intercept'").orderBy("drug", "feature").collect():
+        if r["kind"] == "coverage":
+            depth = F.coalesce(F.col("covariates.tb_depth"), F.lit(r["fill"]), F.lit(r["mean"])).cast("float").cast("double")
+            depths[r["drug"]] = F.lit(r["coef"]) * depth / F.lit(r["scale"])
         else:
-            x = F.coalesce(F.col("covariates.tb_depth"), F.lit(r["fill"]))
-        out.append(F.lit(r["coef"]) * (x - F.lit(r["mean"])) / F.lit(r["scale"]))
-    return out or [F.lit(0.0)]
+            weights.setdefault(r["drug"], {})[r["feature"]] = r["coef"] / r["scale"]
+    scores = []
+    for drug, b in base.items():
+        own = F.create_map(*[F.lit(x) for kv in weights.get(drug, {"": 0.0}).items() for x in kv])
+        total = F.aggregate("_on", F.lit(float(b)), _adding(own))
+        scores.append(F.struct(F.lit(drug).alias("drug"), (total + depths.get(drug, F.lit(0.0))).alias("logit")))
+    none = F.struct(F.lit(None).cast("string").alias("drug"), F.lit(None).cast("double").alias("logit"))
+    valid = ~(F.col("uid").isNull() | F.col("covariates").isNull() | F.col("variants").isNull())
+    out = instances.withColumn("_on", _present()).select("uid", valid.alias("is_valid"), F.inline(F.array(*(scores or [none]))))
+    x = F.when(F.col("is_valid"), F.col("logit"))
+    return out.select("uid", "drug", F.round(x, 5).alias("logit"), F.round(1 / (1 + F.exp(-x)), 5).alias("p_resistant"), "is_valid")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.ranks import running
+from cairn.operators.shared import stored
+
 
 def _abcd() -> tuple[Column, ...]:
     return tuple(F.col(c).cast("double") for c in "abcd")
@@ -49,9 +52,9 @@ def log_odds(p: Column) -> Column:
 def score_steps(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Distinct scores of each group with their counts and average rank: ties
     share one, so the window runs over distinct scores, not rows."""
-    steps = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("n_pos"))
-    w = Window.partitionBy(*by).orderBy(score) if by else Window.orderBy(score)
-    return steps.withColumn("avg_rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    steps = stored(df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("n_pos")), "steps")
+    ranked = running(steps, by, score, "n", "_upto")
+    return ranked.withColumn("avg_rank", F.col("_upto") - (F.col("n") - 1) / 2).drop("_upto")
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: Sequence[str], least_rows: int = 0) -> DataFrame:
@@ -64,9 +67,8 @@ def auc(df: DataFrame, score: str, positive: Column, by: Sequence[str], least_ro
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
-    steps = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranks = steps.select(*by, value, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(out))
+    steps = stored(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "steps")
+    ranks = running(steps, by, value, "_n", "_upto").select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 

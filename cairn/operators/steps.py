@@ -127,8 +127,8 @@ def leave_one_out(grouped: DataFrame, group: str, values: Sequence[str], keys: S
     groups to hold out, few by nature (lineages, countries)."""
     whole = grouped.groupBy(*keys).agg(*[F.sum(v).alias(f"_{v}") for v in values])
     left = grouped.select(*keys, F.col(group).alias("held_out"), *values)
-    names = groups.select(F.col(group).alias("held_out")).filter("held_out IS NOT NULL").distinct()
-    every = whole.crossJoin(names)
+    names = [r[0] for r in groups.select(F.col(group).alias("g")).filter("g IS NOT NULL").distinct().orderBy("g").collect()]
+    every = whole.withColumn("held_out", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
     out = every.join(left, [*keys, "held_out"], "left")
     return out.select(*keys, "held_out", *[(F.col(f"_{v}") - F.coalesce(v, F.lit(0))).alias(v) for v in values])
 

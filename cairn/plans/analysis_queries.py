@@ -252,7 +252,7 @@ def concordance(s, d):
     "sensitivity",
     sql(
         f"""SELECT drug, count(*) FILTER (n_votes>=1) AS n_any, count(*) FILTER (n_votes>=2) AS n_two, count(*) FILTER (effect_significant) AS n_effect,
-  count(*) FILTER (effect_significant AND residual_survives) AS n_pair, count(*) AS n_candidates FROM ({_VOTED}) GROUP BY drug""", *_NEED, **_CTES, vo=_VOTES),
+  count(*) FILTER (effect_significant AND residual_survives) AS n_pair, count(*) FILTER (n_votes>=3) AS n_three, count(*) AS n_candidates FROM ({_VOTED}) GROUP BY drug""", *_NEED, **_CTES, vo=_VOTES),
 )
 def sensitivity(s, d):
     return L.sensitivity(votes(s, d))
@@ -291,11 +291,6 @@ def arms(s, d):
     return L.with_arm(pool(s, d).select("drug", "gene", "mutation"), "lineage1")
 
 
-@query("vote_importance")
-def vote_importance(s, d):
-    return L.vote_importance(cohort(s, d), carried(s, d), pool(s, d), "D1")
-
-
 @query("placebo")
 def placebo(s, d):
     return L.placebo(cohort(s, d), carried(s, d), pool(s, d), 11)
@@ -486,17 +481,100 @@ def stability(s, d):
     return E.stability(E.auc_by(scored(s, d), ["drug", "lineage"], 20).withColumnRenamed("lineage", "group"))
 
 
-@query("logo_risk_score")
+def fold_ctes(x, folds, keep=""):
+    """CTEs of fold-internal risk scores: `{x}s` has (drug, uid, fold, y, score)."""
+    held = "SELECT DISTINCT fold AS held FROM {x}t".format(x=x)
+    part = lambda v, k: f"{v} - coalesce(sum({k}) FILTER (fold = held), 0) AS {k}"
+    return {
+        f"{x}r": folds,
+        f"{x}p": f"SELECT drug, gene, mutation, fold, count(*) AS n1, sum(y) AS r1 FROM {x}r JOIN carriage USING (uid) {keep} GROUP BY ALL",
+        f"{x}t": f"SELECT drug, fold, count(*) AS n, sum(y) AS n_r FROM {x}r GROUP BY ALL",
+        f"{x}h": held,
+        f"{x}a": f"SELECT drug, gene, mutation, held, {part('sum(n1)', 'n1')}, {part('sum(r1)', 'r1')} FROM {x}p, {x}h GROUP BY ALL",
+        f"{x}b": f"SELECT drug, held, {part('sum(n)', 'n')}, {part('sum(n_r)', 'n_r')} FROM {x}t, {x}h GROUP BY ALL",
+        f"{x}w": f"SELECT drug, gene, mutation, held AS fold, {LO.format(p='(r1::DOUBLE/n1)')} - {LO.format(p='(n_r::DOUBLE/n)')} AS w FROM {x}a JOIN {x}b USING (drug, held) WHERE n1 >= 10 AND n - n1 >= 10",
+        f"{x}s": f"SELECT r.drug, r.uid, r.fold, r.y, round(coalesce(s,0),4) AS score FROM {x}r r LEFT JOIN (SELECT drug, uid, sum(w) AS s FROM {x}r JOIN carriage USING (uid) JOIN {x}w USING (drug, fold, gene, mutation) GROUP BY ALL) q ON q.drug=r.drug AND q.uid=r.uid",
+    }
+
+
+def _auc_of(x, by="drug, fold"):
+    return AUC.format(by=by).replace("FROM sc)", f"FROM {x}s)")
+
+
+def _summary(x):
+    return f"""SELECT drug, count(auc) AS n_groups, round(avg(auc),5) AS mean_auc, round(stddev_pop(auc),5) AS std_auc, any_value(pooled_auc) AS pooled_auc FROM ({_auc_of(x)}) JOIN (SELECT drug, round(auc,5) AS pooled_auc FROM ({_auc_of(x, "drug")})) USING (drug) GROUP BY drug"""
+
+
+BY_LINEAGE = "SELECT drug, uid, (phenotype='R')::INT AS y, lineage AS fold FROM cohort"
+BY_SITE = "SELECT drug, uid, (phenotype='R')::INT AS y, regexp_extract(uid,'^site\\.(\\d+)\\.',1) AS fold FROM cohort"
+AT_RANDOM = "SELECT drug, uid, (phenotype='R')::INT AS y, ((row_number() OVER (PARTITION BY drug, phenotype ORDER BY md5(uid||'|7'), uid) - 1) % 5)::VARCHAR AS fold FROM cohort"
+
+
+def fold_scored(s, d, regime, only=None):
+    """Fold-internal scores: each fold by weights of the others, all folds and
+    drugs at once by subtraction. `regime`: `random`, or a column of groups."""
+    c = cohort(s, d).withColumn("site", F.regexp_extract("uid", r"^site\.(\d+)\.", 1))
+    if regime == "random":
+        from cairn.operators.mart import stratified_folds
+
+        c = c.join(stratified_folds(c, 5, 7).select("drug", "uid", "fold"), ["drug", "uid"])
+    else:
+        c = c.withColumn("fold", F.col(regime))
+    base = stored(c.select("drug", "uid", "phenotype", (F.col("phenotype") == "R").cast("int").alias("y"), F.col("fold").cast("string").alias("fold")), "folds")
+    rows = base.join(carried(s, d), "uid")
+    rows = rows if only is None else rows.join(only.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"], "left_semi")
+    rows = stored(rows, "rows")
+    p = P.leave_one_out(K.pair_counts(rows, ("fold",)), "fold", ["carriers", "carriers_r"], ["drug", "gene", "mutation"], base).filter("carriers > 0")
+    t = P.leave_one_out(K.totals(base, ["fold"]), "fold", ["n", "n_r"], ["drug"], base)
+    w = D.risk_weights(p, t, ["held_out"]).withColumnRenamed("held_out", "fold")
+    found = rows.join(w, ["drug", "fold", "gene", "mutation"]).groupBy("drug", "uid").agg(F.sum("w").alias("s"))
+    out = base.join(found, ["drug", "uid"], "left").select("drug", "uid", "fold", "y", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("score"))
+    return stored(out, "scored")
+
+
+def fold_summary(s, d, regime, only=None):
+    out = E.logo_summary(fold_scored(s, d, regime, only))
+    return out.select("drug", "n_groups", *[F.round(c, 5).alias(c) for c in ("mean_auc", "std_auc", "pooled_auc")])
+
+
+@query("logo_risk_score", sql(_summary("l"), "cohort", "carriage", **fold_ctes("l", BY_LINEAGE)))
 def logo_risk_score(s, d):
-    """Fold-internal weights: each lineage scored by weights of the others, all
-    folds at once by subtraction."""
-    lineages = X.table(s, d, "region").select(F.concat(F.lit("lineage"), (F.col("r_regionkey") + 1).cast("string")).alias("lineage"))
-    p = P.leave_one_out(pairs(s, d, ("lineage",)), "lineage", ["carriers", "carriers_r"], ["drug", "gene", "mutation"], lineages).filter("carriers > 0")
-    t = P.leave_one_out(totals(s, d, ["lineage"]), "lineage", ["n", "n_r"], ["drug"], lineages)
-    w = D.risk_weights(p, t, ["held_out"]).withColumnRenamed("held_out", "lineage")
-    rows = labelled(s, d).join(w, ["drug", "lineage", "gene", "mutation"]).groupBy("drug", "uid").agg(F.sum("w").alias("s"))
-    base = cohort(s, d).select("drug", "uid", F.col("lineage").alias("fold"), (F.col("phenotype") == "R").cast("int").alias("y"))
-    return E.logo_summary(base.join(rows, ["drug", "uid"], "left").select("drug", "fold", "y", F.coalesce("s", F.lit(0.0)).alias("score")))
+    return fold_summary(s, d, "lineage")
+
+
+@query("logo_country", sql(_summary("l"), "cohort", "carriage", **fold_ctes("l", BY_LINEAGE.replace("lineage", "country"))))
+def logo_country(s, d):
+    return fold_summary(s, d, "country")
+
+
+@query("logo_site", sql(_summary("l"), "cohort", "carriage", **fold_ctes("l", BY_SITE)))
+def logo_site(s, d):
+    return fold_summary(s, d, "site")
+
+
+@query("random_risk_score", sql(_summary("r"), "cohort", "carriage", **fold_ctes("r", AT_RANDOM)))
+def random_risk_score(s, d):
+    return fold_summary(s, d, "random")
+
+
+_SELECTED = "JOIN (SELECT drug, gene, mutation FROM vo WHERE effect_significant AND residual_survives) USING (drug, gene, mutation)"
+
+
+@query(
+    "headline",
+    sql(
+        "SELECT drug, round(cr - cl, 4) AS leakage, round(cl - dl, 4) AS gain FROM "
+        + " JOIN ".join(f"(SELECT drug, mean_auc AS {c} FROM ({_summary(x)})){'' if c == 'cr' else ' USING (drug)'}" for c, x in (("cr", "cr"), ("cl", "cl"), ("dl", "dl"))),
+        *_NEED, "cohort", **_CTES, vo=_VOTES, **fold_ctes("cr", AT_RANDOM, _SELECTED), **fold_ctes("cl", BY_LINEAGE, _SELECTED), **fold_ctes("dl", BY_LINEAGE)),
+)
+def headline(s, d):
+    """AUC of two feature sets (concordant, all) under two regimes, all fold
+    internal: leakage = random - held-out lineages, gain = concordant - all."""
+    only = votes(s, d).filter("is_concordant")
+    cells = [("concordant_random", "random", only), ("concordant_logo", "lineage", only), ("de_novo_random", "random", None), ("de_novo_logo", "lineage", None)]
+    parts = [fold_summary(s, d, regime, chosen).select("drug", F.lit(cell).alias("cell"), F.col("mean_auc").alias("auc")) for cell, regime, chosen in cells]
+    out = E.headline(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    return out.select("drug", *[F.round(c, 4).alias(c) for c in ("leakage", "gain")])
 
 
 @query(
@@ -512,20 +590,25 @@ def spearman_rmse(s, d):
     return out.select("drug", "n", F.round("spearman", 6).alias("spearman"), F.round("rmse", 4).alias("rmse"))
 
 
-_FOLDS = f"""SELECT drug, lineage AS "group", h AS held_out, auc, 0.9 AS random_auc, 0.7 AS mean_group_auc FROM ({AUC.format(by='drug, lineage')}), (SELECT DISTINCT lineage AS h FROM cohort)"""
+_FOLDS = f"""SELECT drug, fold AS "group", fold AS held_out, auc, random_auc, mean_group_auc FROM ({_auc_of("l")}) JOIN (SELECT drug, mean_auc AS random_auc FROM ({_summary("r")})) USING (drug)
+  JOIN (SELECT drug, round(avg(auc),5) AS mean_group_auc FROM ({AUC.format(by='drug, lineage')}) GROUP BY drug) USING (drug)"""
 
 
 def _folds(s, d):
-    a = E.auc_by(scored(s, d), ["drug", "lineage"])
-    h = F.explode(F.array(*[F.lit(f"lineage{i}") for i in range(1, 6)])).alias("held_out")
-    return a.select("drug", F.col("lineage").alias("group"), h, "auc", F.lit(0.9).alias("random_auc"), F.lit(0.7).alias("mean_group_auc"))
+    """Each held-out lineage's AUC, beside the random folds' and the mean over
+    lineages with weights of all rows."""
+    own = E.auc_by(fold_scored(s, d, "lineage"), ["drug", "fold"]).select("drug", F.col("fold").alias("group"), F.col("fold").alias("held_out"), "auc")
+    random = fold_summary(s, d, "random").select("drug", F.col("mean_auc").alias("random_auc"))
+    seen = E.auc_by(scored(s, d), ["drug", "lineage"]).groupBy("drug").agg(F.round(F.avg("auc"), 5).alias("mean_group_auc"))
+    return own.join(random, "drug").join(seen, "drug")
 
 
 @query(
     "tier_report",
     sql(
         """SELECT drug, count(*) AS n_folds, round(avg(auc),4) AS auc, CASE WHEN avg(auc) >= 0.88 THEN 'usable' WHEN avg(auc) >= 0.8 THEN 'moderate' ELSE 'at chance' END AS tier, CASE WHEN count(*) > 1 THEN round(stddev_pop(auc),4) END AS stability_std,
-  round(avg(random_auc) - avg(auc),4) AS inflation_vs_random, round(avg(mean_group_auc) - avg(auc),4) AS selection_leakage FROM f WHERE "group" = held_out AND auc IS NOT NULL GROUP BY drug""", *_RISK, t=T, w=_W, sc=_SCORED, f=_FOLDS),
+  round(avg(random_auc) - avg(auc),4) AS inflation_vs_random, round(avg(mean_group_auc) - avg(auc),4) AS selection_leakage FROM f WHERE "group" = held_out AND auc IS NOT NULL GROUP BY drug""",
+        *_RISK, "carriage", t=T, w=_W, sc=_SCORED, **fold_ctes("l", BY_LINEAGE), **fold_ctes("r", AT_RANDOM), f=_FOLDS),
 )
 def tier_report(s, d):
     return E.tier_report(_folds(s, d))

@@ -4,32 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.operators import carriage as K
+from cairn.operators import derive as D
 from cairn.operators import evaluate as E
 from cairn.operators import models as M
+from cairn.operators import select as L
 from cairn.operators import serve as R
+from cairn.operators.shared import new_path, stored
 from cairn.plans import fixtures as X
-from cairn.plans.analysis_queries import corr, pool, scored, votes
+from cairn.plans.analysis_queries import _EFFECT, _POOL, _Q, _STRATA, _W, T, _folds, corr, counted, effect, scored, totals, votes
 from cairn.plans.fixtures import sql
 from cairn.plans.registry import query
-from cairn.plans.release_queries import carried, cohort
+from cairn.plans.release_queries import CLASSES, carried, cohort
 from cairn.sources import deposit as P
 from cairn.sources import release as S
 
-FIRST = "(SELECT uid FROM isolates WHERE ck % 3 = 0)"
-
-
-def some(s, d):
-    return X.isolates(s, d).filter("ck % 3 = 0").select("uid")
-
 
 def instances(s, d):
-    return R.assemble_instances(X.isolates(s, d), X.mutations(s, d), some(s, d))
+    return R.assemble_instances(X.isolates(s, d), X.mutations(s, d))
 
 
-@query("assemble_instances", sql(f"SELECT uid, lineage, round(tb_depth,4) AS tb_depth, string_agg(gene||'@'||mutation, ';' ORDER BY gene, mutation) AS variants FROM isolates JOIN carriage USING (uid) WHERE uid IN {FIRST} GROUP BY ALL", "isolates", "carriage"))
+@query("assemble_instances", sql("SELECT uid, lineage, round(tb_depth,4) AS tb_depth, string_agg(gene||'@'||mutation, ';' ORDER BY gene, mutation) AS variants FROM isolates LEFT JOIN carriage USING (uid) GROUP BY ALL", "isolates", "carriage"))
 def assemble_instances(s, d):
     text = F.array_join(F.transform("variants", lambda v: F.concat(v["gene"], F.lit("@"), v["mutation"])), ";")
-    return instances(s, d).filter("size(variants) > 0").select("uid", "covariates.lineage", F.round("covariates.tb_depth", 4).alias("tb_depth"), text.alias("variants"))
+    return instances(s, d).select("uid", "covariates.lineage", F.round("covariates.tb_depth", 4).alias("tb_depth"), F.nullif(text, F.lit("")).alias("variants"))
 
 
 @query(
@@ -40,91 +38,102 @@ def exemplars(s, d):
     return R.exemplars(X.mutations(s, d), F.col("gene") == "B1", F.col("gene") == "B2", 2, 60)
 
 
-@query("validate", sql(f"SELECT uid, 'unknown lineage' AS rule FROM isolates WHERE lineage='lineage5' AND uid IN {FIRST}", "isolates"))
+@query(
+    "validate",
+    sql(
+        """SELECT uid, 'unknown lineage' AS rule FROM isolates WHERE lineage='lineage5' AND dataset <> 'MACHINERY' UNION ALL SELECT uid, 'covariates missing' FROM isolates WHERE dataset='MACHINERY'
+  UNION ALL SELECT uid, 'variants missing' FROM isolates WHERE dataset='FURNITURE' UNION ALL SELECT uid, 'variant without mutation' FROM isolates WHERE dataset='HOUSEHOLD' AND uid IN (SELECT uid FROM carriage)""", "isolates", "carriage"),
+)
 def validate(s, d):
-    return R.validate(R.read_instances(instances(s, d).select(F.to_json(F.struct("uid", "covariates", "variants")).alias("value"))))
-
-
-# a model of fixed coefficients: ten features of two genes, the lineages, coverage
-_MODEL = """SELECT gene||'@'||mutation AS feature, 'mutation' AS kind, 0.0 AS fill, (substr(gene,2)::INT)/10 AS coef, 0.1 AS mean, 0.3 AS scale FROM (SELECT DISTINCT gene, mutation FROM carriage WHERE gene IN ('B1','B6') AND mutation LIKE 'K%')
-  UNION ALL SELECT unnest(['lineage1','lineage2','lineage3','lineage4']), 'lineage', 0.0, 0.25, 0.2, 0.4 UNION ALL SELECT 'tb_depth', 'coverage', 40.0, -0.5, 40.0, 20.0"""
-_VECTOR = f"""SELECT i.uid, feature, kind, (CASE kind WHEN 'mutation' THEN (feature IN (SELECT gene||'@'||mutation FROM carriage k WHERE k.uid=i.uid))::INT WHEN 'lineage' THEN (feature=lineage)::INT ELSE tb_depth END)::FLOAT AS value
-  FROM isolates i, md WHERE i.uid IN {FIRST}"""
+    """Documents of all isolates; those of three segments lose a part."""
+    segment = X.isolates(s, d).select("uid", "dataset")
+    blank = F.transform("variants", lambda v: F.struct(v["gene"].alias("gene"), F.lit(None).cast("string").alias("mutation")))
+    variants = F.when(F.col("dataset") == "FURNITURE", None).when(F.col("dataset") == "HOUSEHOLD", blank).otherwise(F.col("variants"))
+    docs = instances(s, d).join(segment, "uid").select("uid", F.when(F.col("dataset") != "MACHINERY", F.col("covariates")).alias("covariates"), variants.alias("variants"))
+    return R.validate(R.read_instances(docs.select(F.to_json(F.struct("uid", "covariates", "variants")).alias("value"))))
+
+
+# Every drug's model in closed form, so that both engines agree: risk weights of its pool's features, their share and
+# its deviation; lineages, coverage and the intercept have fixed coefficients.
+_REST = ",".join([f"('lineage{i}','lineage',0.0,0.25,0.2,0.4)" for i in range(1, 5)] + ["('tb_depth','coverage',40.0,-0.5,40.0,20.0)", "('intercept','intercept',0.0,-0.5,0.0,1.0)"])
+_MODEL = f"""SELECT drug, gene||'@'||mutation AS feature, 'mutation' AS kind, 0.0::DOUBLE AS fill, w AS coef, p AS mean, sqrt(p*(1-p)) AS scale FROM (SELECT *, carriers::DOUBLE/(a+b+c+d) AS p FROM w JOIN t USING (drug, gene, mutation) JOIN po USING (drug, gene, mutation))
+  UNION ALL SELECT drug, f, k, l, c, m, z FROM (SELECT DISTINCT drug FROM cohort), (VALUES {_REST}) x(f, k, l, c, m, z)"""
+_SERVED = {"t": T, "q": _Q, "po": _POOL, "w": _W, "md": _MODEL}
+_NEEDS = ("isolates", "carriage", "cohort", "pairs", "totals", "determinants")
+_VECTOR = """SELECT uid, drug, feature, kind, 1.0::DOUBLE AS value FROM carriage JOIN md ON feature = gene||'@'||mutation UNION ALL SELECT uid, drug, feature, kind, 1.0 FROM isolates JOIN md ON kind='lineage' AND feature=lineage
+  UNION ALL SELECT uid, drug, feature, kind, tb_depth::FLOAT::DOUBLE FROM isolates JOIN md ON kind='coverage'"""
+_LOGIT = f"""SELECT uid, drug, base + sum(coef*value/scale) AS x FROM ({_VECTOR}) JOIN md USING (drug, feature, kind) JOIN (SELECT drug, sum(CASE WHEN kind='intercept' THEN coef ELSE -coef*mean/scale END) AS base FROM md GROUP BY drug) USING (drug) GROUP BY uid, drug, base"""
 
 
 def model(s, d):
-    f = carried(s, d).filter("gene IN ('B1','B6') AND mutation LIKE 'K%'").select("gene", "mutation").distinct()
-    schema = R.feature_schema(f, f, 40.0)
+    """One table with all that serving reads."""
+    base, counts, candidates = counted(s, d)
+    p = stored(L.pairs_of(counts), "pairs")
+    t = totals(s, d)
+    weights = D.risk_weights(p, t).join(candidates.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"])
+    share = p.join(F.broadcast(t), "drug").select("drug", "gene", "mutation", (F.col("carriers") / F.col("n")).alias("mean"))  # a row for each drug
+    schema = R.feature_schema(weights, carried(s, d).select("gene", "mutation").distinct(), 40.0)
+    m = schema.join(weights, ["drug", "gene", "mutation"], "left").join(share, ["drug", "gene", "mutation"], "left")
     is_m, is_l = F.col("kind") == "mutation", F.col("kind") == "lineage"
-    coef = F.when(is_m, F.substring("gene", 2, 9).cast("int") / 10).when(is_l, 0.25).otherwise(-0.5)
     pick = lambda a, b, c: F.when(is_m, a).when(is_l, b).otherwise(c)
-    return schema, schema.select("feature", coef.alias("coef"), pick(0.1, 0.2, 40.0).alias("mean"), pick(0.3, 0.4, 20.0).alias("scale"))
-
-
-def vectors(s, d):
-    return R.vectorize(instances(s, d), model(s, d)[0])
+    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")))
+    m = m.select("drug", "feature", "kind", "gene", "mutation", "fill", pick(F.col("w"), 0.25, -0.5).alias("coef"), pick(F.col("mean"), 0.2, 40.0).alias("mean"), pick(sd, 0.4, 20.0).alias("scale"))
+    none = F.lit(None).cast("string")
+    extra = t.select("drug", F.lit("intercept").alias("feature"), F.lit("intercept").alias("kind"), none.alias("gene"), none.alias("mutation"), F.lit(0.0).alias("fill"), F.lit(-0.5).alias("coef"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale"))
+    return stored(m.unionByName(extra), "model")
 
 
-@query("vectorize", sql(f"SELECT uid, feature, round(value::DOUBLE,3) AS value FROM ({_VECTOR})", "isolates", "carriage", md=_MODEL))
+@query("vectorize", sql(f"SELECT uid, drug, feature, round(value,3) AS value FROM ({_VECTOR})", *_NEEDS, **_SERVED))
 def vectorize(s, d):
-    return vectors(s, d).select("uid", "feature", F.round(F.col("value").cast("double"), 3).alias("value"))
+    return R.vectorize(instances(s, d), model(s, d)).select("uid", "drug", "feature", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
-@query("feature_schema", sql("SELECT feature, kind, fill::DOUBLE AS fill FROM md", "carriage", md=_MODEL))
+@query("feature_schema", sql("SELECT drug, feature, kind, fill::DOUBLE AS fill, round(coef+1e-9,5) AS coef FROM md", *_NEEDS, **_SERVED))
 def feature_schema(s, d):
-    return model(s, d)[0].select("feature", "kind", F.round("fill", 4).alias("fill"))
+    return model(s, d).select("drug", "feature", "kind", F.round("fill", 4).alias("fill"), F.round(F.col("coef") + 1e-9, 5).alias("coef"))
 
 
-@query("roundtrip", sql("SELECT 0::BIGINT AS n_mismatches", "isolates"))
+@query("roundtrip", sql("SELECT drug, feature, count(*) AS n_served, count(*) AS n_trained, 0::BIGINT AS n_mismatches FROM carriage JOIN md ON feature = gene||'@'||mutation GROUP BY ALL", *_NEEDS, **_SERVED))
 def roundtrip(s, d):
-    """Served presence against carriage: nothing may differ."""
-    served = vectors(s, d).filter("kind = 'mutation'").select("uid", "feature", "value")
-    f = model(s, d)[0].filter("kind = 'mutation'").select("feature")
-    on = carried(s, d).select("uid", F.concat("gene", F.lit("@"), "mutation").alias("feature"), F.lit(1.0).cast("float").alias("v"))
-    grid = some(s, d).withColumn("k", F.lit(1)).join(F.broadcast(f.withColumn("k", F.lit(1))), "k").drop("k")  # a model's features
-    trained = grid.join(on, ["uid", "feature"], "left").select("uid", "feature", F.coalesce("v", F.lit(0.0).cast("float")).alias("value"))
-    return R.roundtrip(served, trained).agg(F.count(F.lit(1)).alias("n_mismatches"))
-
-
-_X = "SELECT uid, round(sum(coef*(value::DOUBLE-mean)/scale),6) AS x FROM ({v}) JOIN md USING (feature) GROUP BY uid".format(v=_VECTOR.replace("feature, kind, (CASE", "feature, (CASE"))
-
-
-_RAW = _X.replace("round(sum(coef*(value::DOUBLE-mean)/scale),6)", "sum(coef::DOUBLE*(value::DOUBLE-mean)/scale)")
-
-
-@query("score_contributions", sql(f"SELECT uid, round(x-0.5+1e-9,5) AS logit, round(1/(1+exp(-(x-0.5)))+1e-9,5) AS p_resistant FROM ({_RAW})", "isolates", "carriage", md=_MODEL))
+    """What documents, written as JSON and read again, serve of each feature
+    against the mart's long form written to a deposit: nothing may differ."""
+    m = model(s, d)
+    docs = R.read_instances(instances(s, d).select(F.to_json(F.struct("uid", "covariates", "variants")).alias("value")))
+    served = stored(R.vectorize(docs, m).filter("kind = 'mutation'").select("uid", "drug", "feature", "value"), "served")
+    grid = X.isolates(s, d).select("uid").join(K.carriage(X.mutations(s, d)), "uid")
+    mart = grid.join(m.filter("kind = 'mutation'").select("drug", "gene", "mutation", "feature"), ["gene", "mutation"])
+    trained = stored(mart.select("uid", "drug", "feature", F.lit(1.0).cast("float").alias("value")), "mart")
+    key = lambda df: df.select(F.concat_ws("|", "uid", "drug").alias("uid"), "feature", "value")
+    wrong = R.roundtrip(key(served), key(trained)).groupBy(F.split_part("uid", F.lit("|"), F.lit(2)).alias("drug"), "feature").agg(F.count(F.lit(1)).alias("n_mismatches"))
+    n = lambda df, name: df.groupBy("drug", "feature").agg(F.count(F.lit(1)).alias(name))
+    return n(served, "n_served").join(n(trained, "n_trained"), ["drug", "feature"], "full_outer").join(wrong, ["drug", "feature"], "left").na.fill(0)
+
+
+@query("score_contributions", sql(f"SELECT uid, drug, round(x+1e-9,5) AS logit, round(1/(1+exp(-x))+1e-9,5) AS p_resistant FROM ({_LOGIT})", *_NEEDS, **_SERVED))
 def score_contributions(s, d):
-    out = R.score(vectors(s, d), model(s, d)[1], -0.5)
-    return out.select("uid", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("logit", "p_resistant")])
+    docs, m = instances(s, d), model(s, d)
+    out = R.score(R.vectorize(docs, m), docs, m)
+    return out.select("uid", "drug", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("logit", "p_resistant")])
 
 
 @query(
     "explain",
     sql(
-        """SELECT uid, feature, round(coef,3) AS coef, direction, role, row_number() OVER (PARTITION BY uid ORDER BY CASE role WHEN 'primary_driver' THEN 0 WHEN 'co-selected passenger (MDR linkage)' THEN 1 ELSE 2 END, abs(coef) DESC, feature)::INT AS rank
-  FROM (SELECT uid, feature, coef, 'resistance' AS direction, CASE WHEN feature LIKE 'B1@%' AND sig THEN 'primary_driver' WHEN sig AND abs(ate) >= 0.2 THEN 'co-selected passenger (MDR linkage)' ELSE 'weak/lineage-linked passenger' END AS role
-    FROM carriage JOIN (SELECT *, substr(split_part(feature,'@',2),2,1)::INT % 2 = 1 AS sig, 0.3 AS ate FROM md WHERE kind='mutation') ON feature = gene||'@'||mutation WHERE uid IN (SELECT uid FROM isolates WHERE ck % 3 = 0))""",
-        "isolates", "carriage", md=_MODEL),
+        f"""SELECT uid, drug, feature, coef, direction, role, row_number() OVER (PARTITION BY uid, drug ORDER BY CASE role WHEN 'primary_driver' THEN 0 WHEN 'co-selected passenger (MDR linkage)' THEN 1 ELSE 2 END, abs(coef) DESC, feature)::INT AS rank
+  FROM (SELECT uid, drug, feature, round(coef,3) AS coef, CASE WHEN coef > 0 THEN 'resistance' ELSE 'protective' END AS direction,
+      CASE WHEN sig AND (drug, gene) IN (SELECT (drug, gene) FROM determinants) THEN 'primary_driver' WHEN sig AND abs(ate) >= 0.2 THEN 'co-selected passenger (MDR linkage)' ELSE 'weak/lineage-linked passenger' END AS role
+    FROM carriage JOIN md ON feature = gene||'@'||mutation LEFT JOIN (SELECT drug, gene, mutation, ate, ci_lower > 0 OR ci_upper < 0 AS sig FROM ({_EFFECT})) USING (drug, gene, mutation))""".replace("FROM carriage JOIN md ON feature = gene||'@'||mutation", "FROM carriage JOIN (SELECT *, split_part(feature,'@',1) AS gene, split_part(feature,'@',2) AS mutation FROM md WHERE kind='mutation') USING (gene, mutation)"),
+        *_NEEDS, **_SERVED, s=_STRATA),
 )
 def explain(s, d):
-    m = model(s, d)[1]
-    evidence = m.filter(F.col("feature").contains("@")).select("feature", (F.substring(F.split_part("feature", F.lit("@"), F.lit(2)), 2, 1).cast("int") % 2 == 1).alias("effect_significant"), F.lit(0.3).alias("ate"))
-    own = X.determinants(s).filter("gene = 'B1'")
-    return R.explain(vectors(s, d), m, evidence, own, "D1")
+    m = model(s, d)
+    evidence = effect(s, d).select("drug", F.concat("gene", F.lit("@"), "mutation").alias("feature"), "effect_significant", "ate")
+    return R.explain(R.vectorize(instances(s, d), m), m, evidence, X.determinants(s))
 
 
-@query("predict", sql(f"SELECT uid, round(x-0.5,2) AS logit, true AS is_valid FROM ({_X})", "isolates", "carriage", md=_MODEL))
+@query("predict", sql(f"SELECT uid, drug, round(x+1e-9,4) AS logit, true AS is_valid FROM ({_LOGIT})", *_NEEDS, **_SERVED))
 def predict(s, d):
-    schema, m = model(s, d)
-    return R.predict(instances(s, d), schema, m, -0.5).select("uid", F.round("logit", 2).alias("logit"), "is_valid")
-
-
-@query("headline", sql("SELECT drug, 0.1::DOUBLE AS leakage, 0.05::DOUBLE AS gain FROM cohort GROUP BY drug", "cohort"))
-def headline(s, d):
-    cells = {"concordant_random": 0.9, "concordant_logo": 0.8, "de_novo_random": 0.85, "de_novo_logo": 0.75}
-    rows = cohort(s, d).select("drug").distinct()
-    cell = F.explode(F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(v).alias("auc")) for k, v in cells.items()])).alias("c")
-    return E.headline(rows.select("drug", cell).select("drug", "c.cell", "c.auc"))
+    return R.predict(instances(s, d), model(s, d)).select("uid", "drug", F.round(F.col("logit") + 1e-9, 4).alias("logit"), "is_valid")
 
 
 @query("class_weights", sql("SELECT drug, phenotype, round(sum(count(*)) OVER (PARTITION BY drug)/(2*count(*)),6) AS weight FROM cohort GROUP BY drug, phenotype", "cohort"))
@@ -146,8 +155,14 @@ def flatten_metrics(s, d):
 
 @query("best_candidate")
 def best_candidate(s, d):
-    a = scored(s, d).withColumn("model", F.lit("risk"))
-    return E.best_candidate(a.unionByName(a.withColumn("model", F.lit("constant")).withColumn("score", F.lit(0.0))))
+    """The closed-form risk score against two fitted models on held-out lineages."""
+    from cairn.plans.analysis_queries import fold_scored
+
+    rows, _, drugs, _ = _rows(s, d)
+    oof = M.out_of_fold(rows, {"logistic_l2": M.logistic(0.01, 0.0, drugs), "elastic_net": M.logistic(0.01, 0.5, drugs)})
+    risk = fold_scored(s, d, "lineage").withColumn("model", F.lit("risk"))
+    cols = ["drug", "uid", "y", "score", "model"]
+    return E.best_candidate(risk.select(*cols).unionByName(oof.select(*cols)))
 
 
 _INDEX = "SELECT drug, lineage AS held_out, count(*) AS n_rows, count(*) FILTER (phenotype='R') AS n_r, count(DISTINCT uid) AS n_uid FROM cohort GROUP BY ALL"
@@ -164,7 +179,20 @@ def marts_index(s, d):
 
 @query("open_deposit", sql("SELECT drug, lineage AS held_out, uid, (phenotype='R')::INT AS y FROM cohort WHERE drug IN ('D1','D3')", "cohort"))
 def open_deposit(s, d):
-    return P.require_arm(marts(s, d).filter(F.col("drug").isin("D1", "D3")), "evaluation")
+    """A deposit written to the shared folder, then two drugs of it read back."""
+    path = new_path(s, "deposit")
+    chosen = carried(s, d).join(F.broadcast(X.determinants(s)), "gene").select("drug", "gene", "mutation", F.lit("none").alias("held_out")).distinct()
+    P.create_deposit(marts(s, d), chosen, path, {"release": "v1"}, {"least": 10})
+    rows = P.open_deposit(s, path, "marts", ["D1", "D3"], "evaluation")
+    return P.require_arm(rows.select("drug", "held_out", "uid", "y"), "evaluation")
+
+
+@query("deposit_manifest", sql("SELECT drug, 'none' AS held_out, count(DISTINCT (gene, mutation)) AS n_features FROM carriage JOIN determinants USING (gene) GROUP BY drug", "carriage", "determinants"))
+def deposit_manifest(s, d):
+    path = new_path(s, "deposit")
+    chosen = carried(s, d).join(F.broadcast(X.determinants(s)), "gene").select("drug", "gene", "mutation", F.lit("none").alias("held_out")).distinct()
+    P.create_deposit(marts(s, d), chosen, path, {"release": "v1"}, {"least": 10})
+    return s.read.parquet(f"{path}/selection_manifests").select("drug", "held_out", "n_features")
 
 
 @query("selections_union", sql("SELECT drug, gene, mutation, 'deployment' AS arm, 'none' AS held_out FROM determinants JOIN carriage USING (gene) GROUP BY ALL UNION ALL SELECT drug, gene, mutation, 'evaluation', 'lineage2' FROM determinants JOIN carriage USING (gene) WHERE gene='B1' GROUP BY ALL", "determinants", "carriage"))
@@ -225,105 +253,163 @@ def table_checksum(s, d):
     return S.table_checksum(X.mutations(s, d))
 
 
-def _rows(s, d, drug="D1"):
-    index = M.feature_index(pool(s, d).filter(F.col("drug") == drug))
-    return M.sparse(cohort(s, d).filter(F.col("drug") == drug), carried(s, d), index).cache(), index
+def _rows(s, d):
+    """Rows and column index of all drugs' models, and how many drugs."""
+    base, counts, candidates = counted(s, d)
+    rows, index = M.design(cohort(s, d), carried(s, d), candidates)
+    return rows, index, index.filter("gene IS NULL").count(), L.pairs_of(counts)
+
+
+def fitted(s, d):
+    rows, index, _, p = _rows(s, d)
+    return M.deployable(stored(M.coefficients(rows, index), "coefficients"), p, totals(s, d))
 
 
 @query("train_logistic")
 def train_logistic(s, d):
-    return M.coefficients(*_rows(s, d))
+    """Every drug's model as serving reads it."""
+    return fitted(s, d)
+
+
+@query("coefficient_catalogue")
+def coefficient_catalogue(s, d):
+    return fitted(s, d).filter("kind = 'mutation'").select("drug", "feature", F.round("coef", 4).alias("coef"), "direction").orderBy("drug", F.desc(F.abs("coef")), "feature")
+
+
+@query("predict_fitted")
+def predict_fitted(s, d):
+    """Every isolate's documents scored by every drug's fitted model."""
+    docs, m = instances(s, d), stored(fitted(s, d), "model")
+    return R.score(R.vectorize(docs, m), docs, m)
+
+
+@query("vote_importance")
+def vote_importance(s, d):
+    rows, index, _, p = _rows(s, d)
+    return M.importance_vote(M.coefficients(rows, index), p, totals(s, d))
+
+
+@query("concordance_three")
+def concordance_three(s, d):
+    """All three votes; two of them make a feature concordant."""
+    base, counts, candidates = counted(s, d)
+    rows, index = M.design(cohort(s, d), carried(s, d), candidates)
+    important = stored(M.importance_vote(M.coefficients(rows, index), L.pairs_of(counts), totals(s, d)), "importance")
+    return L.concordance(L.vote_effect(base, counts, candidates), L.vote_residual(base, counts, candidates), important)
 
 
 @query("variable_importance")
 def variable_importance(s, d):
-    return M.variable_importance(*_rows(s, d))
+    rows, index, _, _ = _rows(s, d)
+    return M.variable_importance(rows, index)
 
 
 @query("select_cross_model")
 def select_cross_model(s, d):
-    return M.cross_model(*_rows(s, d), n=20)
+    rows, index, _, _ = _rows(s, d)
+    return M.cross_model(rows, index, n=20)
+
+
+def _panel(s, d):
+    rows, index, drugs, _ = _rows(s, d)
+    return M.out_of_fold(rows, M.learners(index.count(), drugs))
 
 
 @query("model_panel")
 def model_panel(s, d):
-    rows, index = _rows(s, d)
-    return M.leaderboard(M.out_of_fold(rows, ["logistic_l2", "elastic_net", "forest", "boosted", "mlp"], ["lineage1", "lineage2"], index.count()))
+    return M.leaderboard(_panel(s, d))
 
 
 @query("stack_weights")
 def stack_weights(s, d):
-    rows, index = _rows(s, d)
-    return M.stack(M.out_of_fold(rows, ["logistic_l2", "forest"], ["lineage1", "lineage2", "lineage3"], index.count()), ["logistic_l2", "forest"])
+    """All models of the panel, and the four best by pooled AUC."""
+    oof = _panel(s, d)
+    best = [r["model"] for r in S_auc(oof, ["model"]).orderBy(F.desc("auc"), "model").limit(4).collect()]
+    return M.stack(oof, {"full": ["logistic_l2", "elastic_net", "forest", "boosted", "mlp"], "top4": sorted(best)})
+
+
+def S_auc(scored_rows, by):
+    from cairn.operators.stats import auc
+
+    return auc(scored_rows, "score", F.col("y") == 1, by)
 
 
 @query("nested_logo")
 def nested_logo(s, d):
-    return M.nested_logo(_rows(s, d)[0], [0.01, 0.1], ["lineage1", "lineage2", "lineage3"])
+    rows, _, drugs, _ = _rows(s, d)
+    return M.nested_logo(rows, [0.001, 0.01], drugs)
 
 
 @query("surrogate")
 def surrogate(s, d):
-    rows, index = _rows(s, d)
-    return M.surrogate(rows, index, scored(s, d).filter("drug = 'D1'"))[0]
+    rows, index, _, _ = _rows(s, d)
+    return M.surrogate(rows, index, scored(s, d))
 
 
 @query("eval_mic")
 def eval_mic(s, d):
+    """Regressor of the graded phenotype on held-out lineages: rank agreement
+    and error, and its AUC for resistance beside a classifier's."""
     from cairn.operators.stats import spearman_rmse
 
-    rows, _ = _rows(s, d)
-    graded = X.dst(s, d).filter("drug = 'D1'").groupBy("uid").agg((F.median("mic") / 1000).alias("value"))
-    return spearman_rmse(M.graded_regression(rows, graded, ["lineage1", "lineage2"]), "label", "prediction", ["lineage"])
+    rows, _, drugs, _ = _rows(s, d)
+    graded = X.dst(s, d).groupBy("drug", "uid").agg((F.median("mic") / 1000).alias("value"))
+    out = M.graded_regression(rows, graded)
+    own = S_auc(out.withColumn("score", F.col("prediction")), ["drug"]).select("drug", F.round("auc", 6).alias("regressor_auc"))
+    other = S_auc(M.out_of_fold(rows, {"own": M.logistic(0.01, 0.0, drugs)}), ["drug"]).select("drug", F.round("auc", 6).alias("classifier_auc"))
+    return spearman_rmse(out, "label", "prediction", ["drug"]).join(own, "drug").join(other, "drug")
 
 
 @query("firth")
 def firth(s, d):
-    """Bias-reduced coefficients of the drug's few strongest features."""
-    best = corr(s, d).filter("drug = 'D1'").orderBy(F.desc(F.abs("r")), "gene", "mutation").limit(5)
-    index = M.feature_index(best)
-    rows = M.sparse(cohort(s, d).filter("drug = 'D1'"), carried(s, d), index)
-    beta = M.firth(rows.cache(), 5)
-    coef = s.createDataFrame([(i, float(b)) for i, b in enumerate(beta[1:])], "i int, coef double")
-    return index.join(coef, "i").select("gene", "mutation", "coef")
+    """Bias-reduced coefficients of each drug's five strongest features: a
+    small model is the feature."""
+    best = K.top_n(corr(s, d).filter("r IS NOT NULL"), 5, F.desc(F.abs("r")))
+    rows, index = M.design(cohort(s, d), carried(s, d), best)
+    beta = M.firth(rows, index.count())
+    coef = s.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "i int, coef double")
+    return index.join(coef, "i").select("drug", "gene", "mutation", "coef")
 
 
 @query("transfer_eval")
 def transfer_eval(s, d):
-    index = M.feature_index(pool(s, d))
-    return M.transfer(M.sparse(cohort(s, d), carried(s, d), index).cache(), index, ["lineage1", "lineage2"])
+    base, counts, candidates = counted(s, d)
+    rows, index = M.design(cohort(s, d), carried(s, d), candidates)
+    return M.transfer(rows, cohort(s, d), carried(s, d), candidates, CLASSES, index.filter("gene IS NULL").count())
 
 
 @query("elastic_net_overlap")
 def elastic_net_overlap(s, d):
-    """Jaccard overlap of the elastic net's features with the concordant ones."""
-    rows, index = _rows(s, d)
-    fitted = M.learners(1)["elastic_net"].fit(rows)
-    on = s.createDataFrame([(i, float(c)) for i, c in enumerate(fitted.coefficients.toArray())], "i int, coef double").filter("coef <> 0")
-    a = index.join(on, "i").select("gene", "mutation", F.lit(True).alias("a"))
-    b = votes(s, d).filter("drug = 'D1' AND is_concordant").select("gene", "mutation", F.lit(True).alias("b"))
-    n = a.join(b, ["gene", "mutation"], "full_outer").agg(F.count_if("a").alias("n_net"), F.count_if("b").alias("n_concordant"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count(F.lit(1)).alias("n_any"))
-    return n.withColumn("jaccard", F.round(F.col("n_both") / F.col("n_any"), 6))
+    """The elastic net tuned over both its penalties, and the Jaccard overlap
+    of its features with the concordant ones."""
+    rows, index, drugs, _ = _rows(s, d)
+    best = M.tuned(rows, [(r, l) for r in (0.003, 0.03) for l in (0.2, 0.8)], drugs).first()
+    if best is None:
+        raise ValueError("no lineage to hold out")
+    a = M.coefficients(rows, index, best["reg"], best["l1"]).filter("gene IS NOT NULL AND coef <> 0").select("drug", "gene", "mutation", F.lit(True).alias("a"))
+    b = votes(s, d).filter("is_concordant").select("drug", "gene", "mutation", F.lit(True).alias("b"))
+    n = a.join(b, ["drug", "gene", "mutation"], "full_outer").groupBy("drug").agg(F.count_if("a").alias("n_net"), F.count_if("b").alias("n_concordant"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count(F.lit(1)).alias("n_any"))
+    return n.withColumns({"jaccard": F.round(F.col("n_both") / F.col("n_any"), 6), "reg": F.lit(best["reg"]), "l1": F.lit(best["l1"])})
 
 
 @query("model_cards")
 def model_cards(s, d):
-    from cairn.plans.analysis_queries import _folds
-
     models = cohort(s, d).select("drug").distinct().withColumn("model", F.lit("risk score"))
     return M.model_cards(models, E.tier_report(_folds(s, d)), cohort(s, d))
 
 
 @query("mlp_sweep")
 def mlp_sweep(s, d):
-    rows, index = _rows(s, d)
-    return M.mlp_sweep(rows, index.count(), ["lineage1"], iterations=(20,))
+    rows, index, _, _ = _rows(s, d)
+    return M.mlp_sweep(rows, index.count())
 
 
 @query("cv_random")
 def cv_random(s, d):
-    rows, index = _rows(s, d)
-    return M.cv_random(rows, "logistic_l2", index.count())
+    from cairn.operators.mart import stratified_folds
+
+    rows, _, drugs, _ = _rows(s, d)
+    return M.cv_random(rows, M.logistic(0.01, 0.0, drugs), stratified_folds(cohort(s, d), 3, 7), 3)
 
 
 @query(

@@ -13,8 +13,8 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return serve.read_instances(spark.readStream.format("text").load(path))
 
 
-def predict_stream(instances: DataFrame, schema: DataFrame, model: DataFrame, intercept: float) -> DataFrame:
-    return serve.predict(instances, schema, model, intercept)
+def predict_stream(instances: DataFrame, model: DataFrame) -> DataFrame:
+    return serve.predict(instances, model)
 
 
 def start(predicted: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,7 +1,9 @@
 """Closed forms, contracts and gates on small frames."""
 
+import hashlib
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from cairn.operators import evaluate as E
 from cairn.operators import grading as G
 from cairn.operators import integrity as V
 from cairn.operators import mart as M
-from cairn.operators import models
+from cairn.operators import models, ranks
 from cairn.operators import serve as R
 from cairn.operators import stats as S
 from cairn.operators import steps as P
@@ -159,21 +161,23 @@ def test_documents(spark, tmp_path):
     raw = spark.read.text(str(tmp_path / "d.json"))
     inst = R.read_instances(raw)
     assert {(r.uid, r.rule) for r in R.validate(inst).collect()} == {("b", "unknown lineage"), ("c", "covariates missing"), ("c", "variant without mutation")}
-    f = spark.createDataFrame([("B1", "K1E"), ("B1", "K2X")], "gene string, mutation string")
+    f = spark.createDataFrame([("D", "B1", "K1E"), ("D", "B1", "K2X")], "drug string, gene string, mutation string")
     schema = R.feature_schema(f, f, 40.0)
     with pytest.raises(ValueError):
         R.feature_schema(f, f.limit(1), 40.0)
-    v = {(r.uid, r.feature): r.value for r in R.vectorize(inst, schema).collect()}
-    assert v["a", "B1@K1E"] == 1 and v["a", "B1@K2X"] == 0 and v["b", "tb_depth"] == 40 and v["a", "lineage1"] == 1
-    model = schema.select("feature", F.lit(1.0).alias("coef"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale"))
-    batch = {r.uid: (r.logit, r.is_valid) for r in R.predict(inst, schema, model, 0.0).collect()}
-    assert batch == {"a": (52.0, True), "b": (40.0, True), "c": (None, False)}
+    model = schema.select("*", F.lit(1.0).alias("coef"), F.lit(0.25).alias("mean"), F.lit(1.0).alias("scale"))
+    v = {(r.uid, r.feature): r.value for r in R.vectorize(inst, model).collect()}
+    assert v == {("a", "B1@K1E"): 1, ("a", "lineage1"): 1, ("a", "tb_depth"): 50, ("b", "tb_depth"): 40, ("c", "tb_depth"): 40}
+    batch = {r.uid: (r.logit, r.is_valid) for r in R.predict(inst, model).collect()}
+    assert batch == {"a": (52.0 - 7 * 0.25, True), "b": (40.0 - 7 * 0.25, True), "c": (None, False)}
+    scores = {r.uid: round(r.logit, 5) for r in R.score(R.vectorize(inst, model), inst, model).collect()}
+    assert scores["a"] == batch["a"][0] and scores["b"] == batch["b"][0]
 
     from cairn.streaming import predict as stream
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "d.json").write_text("\n".join(map(json.dumps, docs)))
-    out = stream.predict_stream(stream.read_stream(spark, str(tmp_path / "in")), schema, model, 0.0)
+    out = stream.predict_stream(stream.read_stream(spark, str(tmp_path / "in")), model)
     stream.start(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert {r.uid: (r.logit, r.is_valid) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
 
@@ -209,7 +213,11 @@ def test_sources(spark, tmp_path):
 
 def test_deposit(spark, tmp_path):
     marts = spark.createDataFrame([("D1", "none", "u", 1), ("D1", "L1", "u", 1), ("D2", "L1", "v", 0)], "drug string, held_out string, uid string, y int")
-    deposit.create_deposit(marts, marts.drop("y"), str(tmp_path / "d"))
+    deposit.create_deposit(marts, marts.drop("y"), str(tmp_path / "d"), {"release": "v1"}, {"k": 3}, ["class_filter"])
+    table = lambda name: spark.read.parquet(str(tmp_path / "d" / name))
+    assert {r.key: r.value for r in table("provenance").collect()}["release"] == "v1" and table("marts_index").count() == 3
+    assert table("fe_identity").first().fe_id == deposit.fe_id({"release": "v1"}, {"k": 3}, ["class_filter"])
+    assert json.loads(table("selection_manifests").first().producer)["settings"] == {"k": 3}
     assert deposit.open_deposit(spark, str(tmp_path / "d"), "marts", ["D1"], "deployment").count() == 1
     assert deposit.open_deposit(spark, str(tmp_path / "d"), "marts", ["D1", "D2"], "evaluation").count() == 2
     with pytest.raises(ValueError):
@@ -240,11 +248,58 @@ def test_grade_peels_to_the_end(spark):
 
 
 def test_no_group_or_feature_is_cut(spark):
-    pool = spark.range(5005).select(F.lit("g").alias("gene"), F.format_string("m%05d", "id").alias("mutation"))
-    index = models.feature_index(pool)
-    assert index.count() == 5005 and index.filter("mutation = 'm05004'").first().i == 5004
+    pool = spark.range(5005).select(F.lit("D").alias("drug"), F.lit("g").alias("gene"), F.format_string("m%05d", "id").alias("mutation"))
+    cohort = spark.createDataFrame([("D", "u", None, "R"), ("D", "v", "l", "S"), ("E", "u", "l", "S")], "drug string, uid string, lineage string, phenotype string")
+    carried = spark.createDataFrame([("u", "g", "m05004"), ("u", "g", "other")], "uid string, gene string, mutation string")
+    rows, index = models.design(cohort, carried, pool)
+    assert index.count() == 5007
+    last = index.filter("mutation = 'm05004'").first().i
+    got = {(r.drug, r.uid): (r.lineage, len(r.features.indices), last in r.features.indices, r.features.size, r.weight) for r in rows.collect()}
+    assert got == {("D", "u"): ("unknown", 2, True, 5007, 0.75), ("D", "v"): ("l", 1, False, 5007, 0.75), ("E", "u"): ("l", 1, False, 5007, 1.5)}
     groups = spark.range(1005).select(F.format_string("g%04d", "id").alias("g"), F.lit(2).alias("n"), F.lit("D").alias("drug"))
     left = P.leave_one_out(groups, "g", ["n"], ["drug"], groups)
     assert left.count() == 1005 and left.filter("n <> 2008").isEmpty()
     rows = groups.select("g", F.explode(F.array(F.lit(0), F.lit(1))).alias("y"))
     assert len(E.usable_for_logo(rows, "g", 2)) == 1005
+
+
+def test_numbers_and_sums_over_blocks(spark):
+    rows = [("ab"[i % 3 == 0], f"u{i:04}", float((i * 37) % 101) if i % 11 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, uid string, v double")
+    for per in (50, 10_000):
+        got = ranks.numbered(df, ["g"], [F.col("v"), F.col("uid")], F.col("v"), "k", per).collect()
+        for g in "ab":
+            own = sorted((r.v is not None, r.v or 0.0, r.uid, r.k) for r in got if r.g == g)
+            assert [k for *_, k in own] == list(range(1, len(own) + 1))
+        drawn = ranks.by_hash(df, ["g"], 3, "k", per).collect()
+        for g in "ab":
+            own = sorted((hashlib.md5(f"{r.uid}|3".encode()).hexdigest(), r.uid, r.k) for r in drawn if r.g == g)
+            assert [k for *_, k in own] == list(range(1, len(own) + 1))
+        steps = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+        for g in "ab":
+            own = sorted(((r.v is not None, r.v or 0.0), r.n, r.s) for r in ranks.running(steps, ["g"], "v", "n", "s", per // 10).collect() if r.g == g)
+            total = 0
+            for _, n, s in own:
+                total += n
+                assert s == total
+    tiles = spark.range(1, 11).select(ranks.tile(F.col("id"), F.lit(10), 4).alias("t"), ranks.tile(F.col("id"), F.lit(3), 4).alias("few")).collect()
+    assert [r.t for r in tiles] == [1, 1, 1, 2, 2, 2, 3, 3, 4, 4] and [r.few for r in tiles[:3]] == [1, 2, 3]
+
+
+def test_one_fit_is_a_fit_of_each_drug(spark):
+    """Coefficients of a joint fit against those of each drug alone."""
+    rng = random.Random(4)
+    rows, carried = [], []
+    for d, n in (("D", 150), ("E", 60)):
+        for i in range(n):
+            on = [f"m{k}" for k in range(4) if rng.random() < 0.4]
+            carried += [(f"{d}{i}", "g", m) for m in on]
+            rows.append((d, f"{d}{i}", "l", "R" if (("m0" in on) != (rng.random() < 0.2)) else "S"))
+    cohort = spark.createDataFrame(rows, "drug string, uid string, lineage string, phenotype string")
+    carriage = spark.createDataFrame(carried, "uid string, gene string, mutation string")
+    pool = spark.createDataFrame([(d, "g", f"m{k}") for d in "DE" for k in range(4)], "drug string, gene string, mutation string")
+    both = {(r.drug, r.mutation): r.coef for r in models.coefficients(*models.design(cohort, carriage, pool)).collect()}
+    for d in "DE":
+        one = models.coefficients(*models.design(cohort.filter(F.col("drug") == d), carriage, pool.filter(F.col("drug") == d))).collect()
+        assert len(one) == 5 and all(abs(r.coef - both[r.drug, r.mutation]) < 0.15 for r in one)
+    assert both["D", "m0"] > 1 and both["E", "m0"] > 0.5
