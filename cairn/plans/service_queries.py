@@ -131,9 +131,9 @@ def explain(s, d):
     return R.explain(R.vectorize(instances(s, d), m), m, evidence, X.determinants(s))
 
 
-@query("predict", sql(f"SELECT uid, drug, round(x+1e-9,4) AS logit, true AS is_valid FROM ({_LOGIT})", *_NEEDS, **_SERVED))
+@query("predict", sql(f"SELECT uid, drug, round(x,5) AS logit, true AS is_valid FROM ({_LOGIT})", *_NEEDS, **_SERVED))
 def predict(s, d):
-    return R.predict(instances(s, d), model(s, d)).select("uid", "drug", F.round(F.col("logit") + 1e-9, 4).alias("logit"), "is_valid")
+    return R.predict(instances(s, d), model(s, d)).select("uid", "drug", "logit", "is_valid")
 
 
 @query("class_weights", sql("SELECT drug, phenotype, round(sum(count(*)) OVER (PARTITION BY drug)/(2*count(*)),6) AS weight FROM cohort GROUP BY drug, phenotype", "cohort"))
