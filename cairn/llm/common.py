@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +63,19 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`_row` (all columns of `docs`), `_text` and `_key`, a key of the row's
-    own that sorts by id, null ids last. Stored, so that keys hold."""
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return stored(docs.select(row.alias("_row"), F.col(text_col).alias("_text"), key.alias("_key")), "keyed")
+    own that sorts by id, null ids last. A scan of stored files has keys
+    already, file and place in it; other rows are stored first."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    at = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
+    try:
+        if unused(docs, "_metadata") != "_metadata":
+            raise AnalysisException("docs have a column of that name")
+        rows = docs.select(row, at.alias("_n"))
+    except AnalysisException:  # not a scan
+        rows = stored(docs.select(row, F.monotonically_increasing_id().cast("string").alias("_n")), "keyed")
+    id_ = F.col("_row").getField(id_col)
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("_n").alias("n"))
+    return rows.select("_row", F.col("_row").getField(text_col).alias("_text"), key.alias("_key"))
 
 
 #: Groups that `spread_join` broadcasts, at most.
