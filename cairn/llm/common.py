@@ -94,6 +94,22 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) ->
     return rows.join(F.broadcast(hot), on).unionByName(by_task)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, pieces: int = 1000) -> DataFrame:
+    """`rows` with the columns of `table`, one row for each `key`. A key with
+    more than a `pieces`-th of the rows is dealt by the hash of `by` into parts
+    of that size, and its row of `table` goes to each: no task gets a hot key,
+    and no row of `table` is broadcast, however large it is. At most `pieces`
+    keys are hot, which bounds both the copies and the broadcast of their
+    counts. `rows` stored."""
+    share = max(64, math.ceil(rows.count() / pieces))
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def hash60(key: Column) -> Column:
     """60 uniform bits of a key of any type, equal in every SQL engine that
     has md5. Null counts as the empty string."""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import components, keyed, remembered, spread_join, stored
+from cairn.llm.common import components, keyed, remembered, salted_join, spread_join, stored
 
 _MIX1, _MIX2, _FOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,13 +186,14 @@ class Sets:
         return self.rows
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The `pairs(a, b)` whose full sets are similar enough."""
+        """The `pairs(a, b)`, stored, whose full sets are similar enough; `a` may
+        be a hub of any number of them."""
         sets = self.add(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         if sets is None:
             return pairs.limit(0)
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").filter(_linked(F.col("sa"), F.col("sb"), self.p)).select("a", "b")
+        return salted_join(pairs, left, "a", "b").join(right, "b").filter(_linked(F.col("sa"), F.col("sb"), self.p)).select("a", "b")
 
 
 def _linked(a: Column, b: Column, p: Params) -> Column:
@@ -321,7 +322,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = Sets(classes, docs, p)
 
     def star_links(pairs: DataFrame) -> DataFrame:
-        close = stored(pairs.distinct().join(side_a, "a").join(side_b, "b").filter(possible).select("a", "b"), "close")
+        pairs = stored(pairs.distinct(), "pairs")
+        close = stored(salted_join(pairs, side_a, "a", "b").join(side_b, "b").filter(possible).select("a", "b"), "close")
         return stored(sets.confirmed(close), "links")
 
     links = star_links(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))

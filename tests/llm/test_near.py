@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 
 from cairn.llm import embedding_dedup, near_dedup
-from cairn.llm.common import components
+from cairn.llm.common import components, salted_join, stored
 
 
 def union_find(nodes, links):
@@ -160,3 +160,13 @@ def test_recall_on_given_documents(spark):
     want = union_find(sets, links)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs).collect()}
     assert links and got == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
+
+
+def test_salted_join(spark):
+    rows = [("hub", i) for i in range(700)] + [(f"k{i % 50}", i) for i in range(300)] + [("none", 1), (None, 2)]
+    left = stored(spark.createDataFrame(rows, "a string, b long"))
+    right = spark.createDataFrame([("hub", "h")] + [(f"k{i}", str(i)) for i in range(60)], "a string, v string")
+    found = sorted(tuple(r) for r in salted_join(left, right, "a", "b").select("a", "b", "v").collect())
+    names = dict(tuple(r) for r in right.collect())
+    assert found == sorted((a, b, names[a]) for a, b in rows if a in names)
+    assert salted_join(left.limit(0), right, "a", "b").isEmpty()
