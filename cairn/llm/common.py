@@ -148,19 +148,19 @@ def gapless(df: DataFrame, part: str, order: list[str], out: str, rows_per_block
 def components(edges: DataFrame) -> DataFrame:
     """`(id, component)` for every id in `edges(a, b)`: the smallest id that it
     reaches. Alternating large-star and small-star steps, each a min per node
-    and a join back, so a hub of any degree is pre-aggregated and splittable.
+    and a salted join back, so a hub of any degree is pre-aggregated and split.
     """
     now = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
     while not _are_stars(now):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.unionByName(up).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = salted_join(up, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.filter("a <> b").distinct(), "cc")
-        lower = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(lower, F.col("a") == F.col("k"))
+            salted_join(large, lower, "a", "b")
             .select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
             .select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         )
