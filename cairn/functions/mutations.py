@@ -20,6 +20,10 @@ RESIDUES = {
 }
 
 
+#: What `mut_class` returns.
+CLASSES = ("minor_indel", "indel", "other", "promoter_nt", "nonsense_Z", "synonymous", "nonsynonymous")
+
+
 def mut_class(mutation: Column) -> Column:
     """Consequence class: an insertion or deletion first, then single
     substitutions by case and letters, `other` for the rest."""

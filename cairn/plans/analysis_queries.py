@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.functions.mutations import RESIDUES
+from cairn.functions.mutations import CLASSES, REGIONS, RESIDUES
 from cairn.operators import carriage as K
 from cairn.operators import derive as D
 from cairn.operators import evaluate as E
@@ -42,7 +42,10 @@ def mut_class(s, d):
     return features(s, d).select("gene", "mutation", "mut_class")
 
 
-@query("region", sql("SELECT gene, count(*) AS n, 'core' AS region FROM (SELECT DISTINCT gene, mutation FROM carriage) GROUP BY gene", "carriage"))
+_REGION = "CASE " + " ".join(f"WHEN regexp_matches(gene, '{p}') THEN '{n}'" for n, p in REGIONS.items()) + " ELSE 'core' END"
+
+
+@query("region", sql(f"SELECT gene, count(*) AS n, {_REGION} AS region FROM (SELECT DISTINCT gene, mutation FROM carriage) GROUP BY gene", "carriage"))
 def region(s, d):
     return features(s, d).groupBy("gene", "region").agg(F.count(F.lit(1)).alias("n"))
 
@@ -513,6 +516,21 @@ AT_RANDOM = "SELECT drug, uid, (phenotype='R')::INT AS y, ((row_number() OVER (P
 def fold_scored(s, d, regime, only=None):
     """Fold-internal scores: each fold by weights of the others, all folds and
     drugs at once by subtraction. `regime`: `random`, or a column of groups."""
+    base = _with_folds(s, d, regime)
+    rows = base.join(carried(s, d), "uid")
+    return _fold_scores(base, rows if only is None else rows.join(only.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"], "left_semi"))
+
+
+def set_scored(s, d, regime, by, names):
+    """The same for each set of features, `by` a column of the feature
+    dimension with one of `names`: the set is a key of one job, `drug@set`."""
+    base = _with_folds(s, d, regime).withColumn("set", F.explode(F.array(*map(F.lit, names))))
+    base = base.withColumn("drug", F.concat_ws("@", "drug", "set"))
+    rows = base.join(carried(s, d).join(features(s, d).withColumnRenamed(by, "set"), ["gene", "mutation"]).select("uid", "gene", "mutation", "set"), ["uid", "set"])
+    return _fold_scores(base.drop("set"), rows.drop("set"))
+
+
+def _with_folds(s, d, regime):
     c = cohort(s, d).withColumn("site", F.regexp_extract("uid", r"^site\.(\d+)\.", 1))
     if regime == "random":
         from cairn.operators.mart import stratified_folds
@@ -520,9 +538,10 @@ def fold_scored(s, d, regime, only=None):
         c = c.join(stratified_folds(c, 5, 7).select("drug", "uid", "fold"), ["drug", "uid"])
     else:
         c = c.withColumn("fold", F.col(regime))
-    base = stored(c.select("drug", "uid", "phenotype", (F.col("phenotype") == "R").cast("int").alias("y"), F.col("fold").cast("string").alias("fold")), "folds")
-    rows = base.join(carried(s, d), "uid")
-    rows = rows if only is None else rows.join(only.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"], "left_semi")
+    return stored(c.select("drug", "uid", "phenotype", (F.col("phenotype") == "R").cast("int").alias("y"), F.col("fold").cast("string").alias("fold")), "folds")
+
+
+def _fold_scores(base, rows):
     rows = stored(rows, "rows")
     p = P.leave_one_out(K.pair_counts(rows, ("fold",)), "fold", ["carriers", "carriers_r"], ["drug", "gene", "mutation"], base).filter("carriers > 0")
     t = P.leave_one_out(K.totals(base, ["fold"]), "fold", ["n", "n_r"], ["drug"], base)
@@ -557,6 +576,35 @@ def random_risk_score(s, d):
     return fold_summary(s, d, "random")
 
 
+def _set_sql(by, names, value):
+    folds = lambda f: f"SELECT drug||'@'||name AS drug, uid, y, fold FROM ({f}), unnest([{', '.join(repr(n) for n in names)}]) x(name)"
+    keep = f"JOIN features USING (gene, mutation) WHERE {value} = split_part(drug, '@', 2)"
+    return sql(
+        f"""SELECT split_part(drug, '@', 1) AS drug, split_part(drug, '@', 2) AS {by}, round(r.mean_auc, 4) AS random_auc, round(l.mean_auc, 4) AS logo_auc FROM ({_summary("r")}) r JOIN ({_summary("l")}) l USING (drug)""",
+        "cohort", "carriage", "features", **fold_ctes("r", folds(AT_RANDOM), keep), **fold_ctes("l", folds(BY_LINEAGE), keep))
+
+
+def _set_aucs(s, d, by, names):
+    """Mean AUC of each set of features under random folds and held-out lineages."""
+    mean = lambda regime, out: E.logo_summary(set_scored(s, d, regime, by, names)).select("drug", F.round(F.round("mean_auc", 5), 4).alias(out))
+    both = mean("random", "random_auc").join(mean("lineage", "logo_auc"), "drug")
+    part = lambda k: F.split_part("drug", F.lit("@"), F.lit(k))
+    return both.select(part(1).alias("drug"), part(2).alias(by), "random_auc", "logo_auc")
+
+
+@query("class_set_auc", _set_sql("mut_class", CLASSES, "mut_class"))
+def class_set_auc(s, d):
+    return _set_aucs(s, d, "mut_class", CLASSES)
+
+
+_REGION_NAMES = [*REGIONS, "core"]
+
+
+@query("region_set_auc", _set_sql("region", _REGION_NAMES, _REGION))
+def region_set_auc(s, d):
+    return _set_aucs(s, d, "region", _REGION_NAMES)
+
+
 _SELECTED = "JOIN (SELECT drug, gene, mutation FROM vo WHERE effect_significant AND residual_survives) USING (drug, gene, mutation)"
 
 
@@ -644,7 +692,10 @@ def call_distribution(s, d):
     return G.call_distribution(X.catalogue_b(s, d))
 
 
-@query("vocabulary_diff", sql("SELECT 'F,U' AS only_built, '' AS only_ref", "catalogue_b"))
+_ONLY = "SELECT coalesce(string_agg(prediction, ',' ORDER BY prediction), '') FROM (SELECT prediction FROM {a} EXCEPT SELECT prediction FROM {b})"
+
+
+@query("vocabulary_diff", sql(f"SELECT ({_ONLY.format(a='effects', b='catalogue_b')}) AS only_built, ({_ONLY.format(a='catalogue_b', b='effects')}) AS only_ref", "effects", "catalogue_b"))
 def vocabulary_diff(s, d):
     return G.vocabulary_diff(X.effects(s, d), X.catalogue_b(s, d))
 
@@ -671,7 +722,14 @@ def grade(s, d):
     return G.grade(cohort(s, d).select("drug", "uid", "phenotype"), _gm(s, d))
 
 
-@query("grade_sweep")
+_SWEPT = "SELECT DISTINCT drug, tau, uid, gene||'@'||mutation AS mutation FROM mutations JOIN determinants USING (gene), (VALUES (0.0::DOUBLE), (0.5), (0.95)) x(tau) WHERE coalesce(frs, 0) >= tau"
+_SWEPT_SOLO = "SELECT drug, tau, mutation, count(*) AS n, count(*) FILTER (phenotype='R') AS n_r FROM (SELECT drug, tau, uid, min(mutation) AS mutation FROM gm GROUP BY ALL HAVING count(*) = 1) JOIN cohort USING (drug, uid) GROUP BY ALL"
+
+
+@query(
+    "grade_sweep",
+    sql(f"SELECT drug, tau, CASE WHEN low > 0.05 THEN 'R' WHEN low <= 0.05 AND n_r <= 0.05*n THEN 'S' ELSE 'U' END AS prediction, count(*) AS n FROM (SELECT *, {_LOWB} AS low FROM (SELECT *, n_r/n AS p FROM so)) GROUP BY ALL", "mutations", "determinants", "cohort", gm=_SWEPT, so=_SWEPT_SOLO),
+)
 def grade_sweep(s, d):
     m = X.mutations(s, d).join(F.broadcast(X.determinants(s)), "gene").select("drug", "uid", F.concat("gene", F.lit("@"), "mutation").alias("mutation"), F.coalesce("frs", F.lit(0.0)).alias("frs"))
     return G.grade_sweep(cohort(s, d), m, [0.0, 0.5, 0.95])
