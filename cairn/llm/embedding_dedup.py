@@ -53,20 +53,38 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str)
     return rows.mapInArrow(run, "id long, part string, node binary, unit binary")
 
 
-def in_cells(nodes: DataFrame, pivots: list[bytes], reach: float) -> DataFrame:
+def pivots_of(nodes: DataFrame, block: int) -> dict[str, list[bytes]]:
+    """Pivots of each part that is worth cutting: by its size, no more than its
+    share of `MOST_PIVOTS`. They are drawn by hash, about twice as many as are
+    wanted, so neither many parts nor a large one bring more to the driver."""
+    counts = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    wanted = F.least(F.ceil(F.col("n") / (2 * block)), F.floor(F.col("n") * MOST_PIVOTS / F.lit(max(1, total)))).cast("long")
+    worth = counts.withColumn("wanted", wanted).filter("wanted > 1")  # half of MOST_PIVOTS at most
+    draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("n") < F.col("wanted") * F.lit(2 << 30)
+    held: dict[str, list[bytes]] = {}
+    for r in nodes.join(F.broadcast(worth), "part").filter(draw).select("part", "wanted", "node", "unit").collect():
+        held.setdefault(r.part, []).append((bytes(r.node), bytes(r.unit), r.wanted))
+    return {part: [unit for _, unit, _ in sorted(rows)[: rows[0][2]]] for part, rows in held.items()}
+
+
+def in_cells(nodes: DataFrame, pivots: dict[str, list[bytes]], reach: float) -> DataFrame:
     """`nodes` with `cell` and `guest`: one row at home, one for each cell that
-    is visited. Vectors of another dimension than the pivots share cell -1."""
+    is visited. A part without pivots is one cell, -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = np.frombuffer(b"".join(pivots)).reshape(len(pivots), -1) if pivots else np.empty((0, 0))
-        apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
+        held = {}
+        for part, units in pivots.items():
+            p = np.frombuffer(b"".join(units)).reshape(len(units), -1)
+            held[part] = p, np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
         for b in batches:
-            units = b.column(b.schema.get_field_index("unit"))
+            parts, units = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "unit"))
             take, cells, guest = [], [], []
-            for i, raw in enumerate(units.to_pylist()):
-                if p.shape[1] * 8 != len(raw):
+            for i, (part, raw) in enumerate(zip(parts, units, strict=True)):
+                if part not in held:
                     take.append(i), cells.append(-1), guest.append(False)
                     continue
+                p, apart = held[part]
                 square = 2 - 2 * (p @ np.frombuffer(raw))
                 home = int(square.argmin())
                 take.append(i), cells.append(home), guest.append(False)
@@ -134,18 +152,14 @@ def near_vectors(
     Equal unit vectors collapse into one node with a count, so a vector that
     fills a third of the table is one row of a cell. Cells are cut into blocks
     and only pairs of blocks meet in a task; from those come a sum and one edge
-    for each vector, never its pairs. The pivots are the driver's one list, of
-    `MOST_PIVOTS` vectors at most; their number follows the largest label.
+    for each vector, never its pairs. Each label of two blocks or more has pivots of
+    its own, all together `MOST_PIVOTS` at most.
     """
     rows = stored(unit_vectors(vectors, id_col, vec_col, label_col), "units")
     valid = rows.filter("node IS NOT NULL")
     nodes = valid.groupBy("node", "part", "unit").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep"))
     nodes = stored(nodes, "nodes")
-    largest = nodes.groupBy("part").count().orderBy(F.desc("count"), "part").first()
-    pivots = []
-    if largest:
-        wanted = min(MOST_PIVOTS, math.ceil(largest["count"] / (2 * block)))
-        pivots = [bytes(r.unit) for r in nodes.filter(F.col("part") == largest["part"]).orderBy("node").limit(wanted).collect()]
+    pivots = pivots_of(nodes, block)
     reach = math.sqrt(max(0.0, 2 - 2 * least))
     cells = stored(in_cells(nodes.select("node", "part", "unit", "size"), pivots, reach), "cells")
 
