@@ -137,6 +137,17 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_pivots_of_each_label(spark):
+    """By size, labels of less than two blocks none, all within the bound."""
+    rows = [(f"{i:04}".encode(), "8:a" if i % 3 else "4:b" if i % 2 else "8:c", bytes(8)) for i in range(900)] + [(b"x", "8:d", bytes(8))]
+    nodes = spark.createDataFrame(rows, "node binary, part string, unit binary")
+    few = embedding_dedup.pivots_of(nodes, 25)
+    assert {k for k, v in few.items() if v} == {"8:a", "4:b", "8:c"}
+    assert 2 <= len(few["8:a"]) <= 12 and len(few["4:b"]) <= 3
+    assert sum(map(len, embedding_dedup.pivots_of(nodes, 1).values())) <= embedding_dedup.MOST_PIVOTS
+    assert embedding_dedup.pivots_of(nodes, 1000) == {} == embedding_dedup.pivots_of(nodes.limit(0), 1)
+
+
 def test_drop_near_copies_keeps_one_row_of_each_text(spark):
     a, b = "one two three four five six seven", "red green blue black white brown"
     rows = [(1, a), (2, a), (2, b), (None, b), (None, "alone here now"), (3, None), (3, None), (4, ""), (4, a)]
