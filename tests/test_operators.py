@@ -303,3 +303,16 @@ def test_one_fit_is_a_fit_of_each_drug(spark):
         one = models.coefficients(*models.design(cohort.filter(F.col("drug") == d), carriage, pool.filter(F.col("drug") == d))).collect()
         assert len(one) == 5 and all(abs(r.coef - both[r.drug, r.mutation]) < 0.15 for r in one)
     assert both["D", "m0"] > 1 and both["E", "m0"] > 0.5
+
+
+def test_a_set_of_features_scores_as_alone(spark):
+    from cairn.functions.mutations import CLASSES
+    from cairn.plans import analysis_queries as A
+
+    sf = "/root/testdata/sf0.001"
+    every = A.set_scored(spark, sf, "lineage", "mut_class", CLASSES).filter("drug LIKE '%@nonsynonymous'")
+    only = A.features(spark, sf).filter("mut_class = 'nonsynonymous'")
+    drugs = A.cohort(spark, sf).select("drug").distinct()
+    alone = A.fold_scored(spark, sf, "lineage", drugs.join(only))
+    got = {(r.drug.split("@")[0], r.uid): (r.fold, r.y, r.score) for r in every.collect()}
+    assert got == {(r.drug, r.uid): (r.fold, r.y, r.score) for r in alone.collect()} and got
