@@ -50,10 +50,11 @@ def cv_logo(rows: DataFrame, group: str, fit_score, least: int = 20, named_only:
 
 
 def logo_summary(scored: DataFrame, by: Sequence[str] = ("drug",)) -> DataFrame:
-    """Unweighted mean of group AUCs beside the pooled one."""
+    """Unweighted mean of group AUCs beside the pooled one, not rounded: what
+    is made of them is rounded once, at its end."""
     groups = auc(scored, "score", F.col("y") == 1, [*by, "fold"])
-    pooled = auc(scored, "score", F.col("y") == 1, list(by)).select(*by, F.round("auc", 6).alias("pooled_auc"))
-    return groups.groupBy(*by).agg(F.count("auc").alias("n_groups"), F.round(F.avg("auc"), 6).alias("mean_auc"), F.round(F.stddev_pop("auc"), 6).alias("std_auc")).join(pooled, list(by))
+    pooled = auc(scored, "score", F.col("y") == 1, list(by)).select(*by, F.col("auc").alias("pooled_auc"))
+    return groups.groupBy(*by).agg(F.count("auc").alias("n_groups"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc")).join(pooled, list(by))
 
 
 def headline(results: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def headline(results: DataFrame) -> DataFrame:
     set; gain = logo of the concordant set - logo of the de novo one."""
     wide = results.groupBy("drug").pivot("cell", ["concordant_random", "concordant_logo", "de_novo_random", "de_novo_logo"]).agg(F.max("auc"))
     return wide.select(
-        "drug", F.round(F.col("concordant_random") - F.col("concordant_logo"), 6).alias("leakage"), F.round(F.col("concordant_logo") - F.col("de_novo_logo"), 6).alias("gain")
+        "drug", F.round(F.col("concordant_random") - F.col("concordant_logo"), 4).alias("leakage"), F.round(F.col("concordant_logo") - F.col("de_novo_logo"), 4).alias("gain")
     )
 
 

@@ -34,7 +34,7 @@ def strata(cohort: DataFrame, quantiles: int = 4) -> DataFrame:
     isolates, ties by uid."""
     base = stored(cohort.select("drug", "uid", "lineage", "phenotype", "tb_depth"), "cohort")
     n = base.groupBy("drug").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = numbered(base, ["drug"], [F.col("tb_depth"), F.col("uid")], F.col("tb_depth"), "_k").join(F.broadcast(n), "drug")  # a row for each drug
+    ranked = numbered(base, ["drug"], [F.col("tb_depth"), F.col("uid")], "_k").join(F.broadcast(n), "drug")  # a row for each drug
     return ranked.select(
         "drug", "uid", F.coalesce("lineage", F.lit("unknown")).alias("lineage"), (F.col("phenotype") == "R").cast("int").alias("y"),
         F.concat_ws("/", F.coalesce("lineage", F.lit("unknown")), tile(F.col("_k"), F.col("_n"), quantiles).cast("string")).alias("stratum"),

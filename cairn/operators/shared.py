@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,18 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A group that holds more than one row of so many is hot.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """`rows` with the columns of `groups`, one row for each key, `size` its
+    number of rows. Hot groups, of which there can be no more than `HOT`, are
+    broadcast, so no task gets one whole; the others meet their rows in a
+    shuffle. Both stored. Null keys meet nothing."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col(size) * HOT > total))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(groups.filter(F.col(size) * HOT <= total), on)
+    return rows.join(hot, on).unionByName(cold)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.ranks import running
-from cairn.operators.shared import stored
+from cairn.operators.shared import hot_join, stored
 
 
 def _abcd() -> tuple[Column, ...]:
@@ -52,7 +52,7 @@ def log_odds(p: Column) -> Column:
 def score_steps(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Distinct scores of each group with their counts and average rank: ties
     share one, so the window runs over distinct scores, not rows."""
-    steps = stored(df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("n_pos")), "steps")
+    steps = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("n_pos"))
     ranked = running(steps, by, score, "n", "_upto")
     return ranked.withColumn("avg_rank", F.col("_upto") - (F.col("n") - 1) / 2).drop("_upto")
 
@@ -67,9 +67,12 @@ def auc(df: DataFrame, score: str, positive: Column, by: Sequence[str], least_ro
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
-    steps = stored(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "steps")
-    ranks = running(steps, by, value, "_n", "_upto").select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, [*by, value])
+    """`df` with `out`: the rank of `value` in its group, ties share the mean.
+    A value may be that of any share of the rows."""
+    rows = stored(df, "ranked")
+    ranks = running(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), by, value, "_n", "_upto")
+    ranks = stored(ranks.select(*by, value, "_n", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), "ranks")
+    return hot_join(rows, ranks, [*by, value], "_n").drop("_n")
 
 
 def spearman_rmse(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:

@@ -465,8 +465,9 @@ def usable_sites(s, d):
     return D.usable_groups(cohort(s, d), 20, 5)
 
 
-AUC = """SELECT {by}, n, n_pos, CASE WHEN n_pos > 0 AND n > n_pos THEN round((ranks - n_pos*(n_pos+1)/2)/(n_pos*(n-n_pos)),6) END AS auc FROM (SELECT {by}, count(*) AS n, sum(y)::BIGINT AS n_pos, sum(CASE WHEN y=1 THEN r ELSE 0 END) AS ranks
+EXACT_AUC = """SELECT {by}, n, n_pos, CASE WHEN n_pos > 0 AND n > n_pos THEN (ranks - n_pos*(n_pos+1)/2)/(n_pos*(n-n_pos)) END AS auc FROM (SELECT {by}, count(*) AS n, sum(y)::BIGINT AS n_pos, sum(CASE WHEN y=1 THEN r ELSE 0 END) AS ranks
   FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY score) + (count(*) OVER (PARTITION BY {by}, score) - 1)/2 AS r FROM sc) GROUP BY {by})"""
+AUC = f"SELECT * REPLACE (round(auc, 6) AS auc) FROM ({EXACT_AUC})"
 
 
 @query("auc", sql(AUC.format(by="drug"), *_RISK, t=T, w=_W, sc=_SCORED))
@@ -501,11 +502,16 @@ def fold_ctes(x, folds, keep=""):
 
 
 def _auc_of(x, by="drug, fold"):
-    return AUC.format(by=by).replace("FROM sc)", f"FROM {x}s)")
+    return EXACT_AUC.format(by=by).replace("FROM sc)", f"FROM {x}s)")
+
+
+def _means(x):
+    """Of folds' AUCs; not rounded, so that what is made of them is rounded once."""
+    return f"""SELECT drug, count(auc) AS n_groups, avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc, any_value(pooled_auc) AS pooled_auc FROM ({_auc_of(x)}) JOIN (SELECT drug, auc AS pooled_auc FROM ({_auc_of(x, "drug")})) USING (drug) GROUP BY drug"""
 
 
 def _summary(x):
-    return f"""SELECT drug, count(auc) AS n_groups, round(avg(auc),5) AS mean_auc, round(stddev_pop(auc),5) AS std_auc, any_value(pooled_auc) AS pooled_auc FROM ({_auc_of(x)}) JOIN (SELECT drug, round(auc,5) AS pooled_auc FROM ({_auc_of(x, "drug")})) USING (drug) GROUP BY drug"""
+    return f"SELECT * REPLACE (round(mean_auc,5) AS mean_auc, round(std_auc,5) AS std_auc, round(pooled_auc,5) AS pooled_auc) FROM ({_means(x)})"
 
 
 BY_LINEAGE = "SELECT drug, uid, (phenotype='R')::INT AS y, lineage AS fold FROM cohort"
@@ -513,12 +519,11 @@ BY_SITE = "SELECT drug, uid, (phenotype='R')::INT AS y, regexp_extract(uid,'^sit
 AT_RANDOM = "SELECT drug, uid, (phenotype='R')::INT AS y, ((row_number() OVER (PARTITION BY drug, phenotype ORDER BY md5(uid||'|7'), uid) - 1) % 5)::VARCHAR AS fold FROM cohort"
 
 
-def fold_scored(s, d, regime, only=None):
+def fold_scored(s, d, regime):
     """Fold-internal scores: each fold by weights of the others, all folds and
     drugs at once by subtraction. `regime`: `random`, or a column of groups."""
     base = _with_folds(s, d, regime)
-    rows = base.join(carried(s, d), "uid")
-    return _fold_scores(base, rows if only is None else rows.join(only.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"], "left_semi"))
+    return _fold_scores(base, base.join(carried(s, d), "uid"))
 
 
 def set_scored(s, d, regime, by, names):
@@ -530,6 +535,16 @@ def set_scored(s, d, regime, by, names):
     return _fold_scores(base.drop("set"), rows.drop("set"))
 
 
+def chosen_scored(s, d, regime, sets, names):
+    """The same for sets of each drug's own features, (drug, gene, mutation,
+    set): a carried feature meets the sets that have it."""
+    base = _with_folds(s, d, regime)
+    rows = base.join(carried(s, d), "uid").join(sets, ["drug", "gene", "mutation"])
+    key = F.concat_ws("@", "drug", "set").alias("drug")
+    base = base.withColumn("set", F.explode(F.array(*map(F.lit, names))))
+    return _fold_scores(*[x.select(key, *[c for c in x.columns if c not in ("drug", "set")]) for x in (base, rows)])
+
+
 def _with_folds(s, d, regime):
     c = cohort(s, d).withColumn("site", F.regexp_extract("uid", r"^site\.(\d+)\.", 1))
     if regime == "random":
@@ -551,8 +566,8 @@ def _fold_scores(base, rows):
     return stored(out, "scored")
 
 
-def fold_summary(s, d, regime, only=None):
-    out = E.logo_summary(fold_scored(s, d, regime, only))
+def fold_summary(s, d, regime):
+    out = E.logo_summary(fold_scored(s, d, regime))
     return out.select("drug", "n_groups", *[F.round(c, 5).alias(c) for c in ("mean_auc", "std_auc", "pooled_auc")])
 
 
@@ -580,13 +595,13 @@ def _set_sql(by, names, value):
     folds = lambda f: f"SELECT drug||'@'||name AS drug, uid, y, fold FROM ({f}), unnest([{', '.join(repr(n) for n in names)}]) x(name)"
     keep = f"JOIN features USING (gene, mutation) WHERE {value} = split_part(drug, '@', 2)"
     return sql(
-        f"""SELECT split_part(drug, '@', 1) AS drug, split_part(drug, '@', 2) AS {by}, round(r.mean_auc, 4) AS random_auc, round(l.mean_auc, 4) AS logo_auc FROM ({_summary("r")}) r JOIN ({_summary("l")}) l USING (drug)""",
+        f"""SELECT split_part(drug, '@', 1) AS drug, split_part(drug, '@', 2) AS {by}, round(r.mean_auc, 4) AS random_auc, round(l.mean_auc, 4) AS logo_auc FROM ({_means("r")}) r JOIN ({_means("l")}) l USING (drug)""",
         "cohort", "carriage", "features", **fold_ctes("r", folds(AT_RANDOM), keep), **fold_ctes("l", folds(BY_LINEAGE), keep))
 
 
 def _set_aucs(s, d, by, names):
     """Mean AUC of each set of features under random folds and held-out lineages."""
-    mean = lambda regime, out: E.logo_summary(set_scored(s, d, regime, by, names)).select("drug", F.round(F.round("mean_auc", 5), 4).alias(out))
+    mean = lambda regime, out: E.logo_summary(set_scored(s, d, regime, by, names)).select("drug", F.round("mean_auc", 4).alias(out))
     both = mean("random", "random_auc").join(mean("lineage", "logo_auc"), "drug")
     part = lambda k: F.split_part("drug", F.lit("@"), F.lit(k))
     return both.select(part(1).alias("drug"), part(2).alias(by), "random_auc", "logo_auc")
@@ -612,17 +627,22 @@ _SELECTED = "JOIN (SELECT drug, gene, mutation FROM vo WHERE effect_significant
     "headline",
     sql(
         "SELECT drug, round(cr - cl, 4) AS leakage, round(cl - dl, 4) AS gain FROM "
-        + " JOIN ".join(f"(SELECT drug, mean_auc AS {c} FROM ({_summary(x)})){'' if c == 'cr' else ' USING (drug)'}" for c, x in (("cr", "cr"), ("cl", "cl"), ("dl", "dl"))),
+        + " JOIN ".join(f"(SELECT drug, mean_auc AS {c} FROM ({_means(x)})){'' if c == 'cr' else ' USING (drug)'}" for c, x in (("cr", "cr"), ("cl", "cl"), ("dl", "dl"))),
         *_NEED, "cohort", **_CTES, vo=_VOTES, **fold_ctes("cr", AT_RANDOM, _SELECTED), **fold_ctes("cl", BY_LINEAGE, _SELECTED), **fold_ctes("dl", BY_LINEAGE)),
 )
 def headline(s, d):
     """AUC of two feature sets (concordant, all) under two regimes, all fold
     internal: leakage = random - held-out lineages, gain = concordant - all."""
-    only = votes(s, d).filter("is_concordant")
-    cells = [("concordant_random", "random", only), ("concordant_logo", "lineage", only), ("de_novo_random", "random", None), ("de_novo_logo", "lineage", None)]
-    parts = [fold_summary(s, d, regime, chosen).select("drug", F.lit(cell).alias("cell"), F.col("mean_auc").alias("auc")) for cell, regime, chosen in cells]
-    out = E.headline(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
-    return out.select("drug", *[F.round(c, 4).alias(c) for c in ("leakage", "gain")])
+    chosen = votes(s, d).filter("is_concordant").select("drug", "gene", "mutation", F.lit("concordant").alias("set"))
+    every = pairs(s, d).select("drug", "gene", "mutation", F.lit("de_novo").alias("set"))
+    sets = stored(chosen.unionByName(every), "sets")
+    part = lambda k: F.split_part("drug", F.lit("@"), F.lit(k))
+    cells = None
+    for regime, name in (("random", "random"), ("lineage", "logo")):
+        means = E.logo_summary(chosen_scored(s, d, regime, sets, ["concordant", "de_novo"]))
+        means = means.select(part(1).alias("drug"), F.concat_ws("_", part(2), F.lit(name)).alias("cell"), F.col("mean_auc").alias("auc"))
+        cells = means if cells is None else cells.unionByName(means)
+    return E.headline(cells)
 
 
 @query(
@@ -638,16 +658,17 @@ def spearman_rmse(s, d):
     return out.select("drug", "n", F.round("spearman", 6).alias("spearman"), F.round("rmse", 4).alias("rmse"))
 
 
-_FOLDS = f"""SELECT drug, fold AS "group", fold AS held_out, auc, random_auc, mean_group_auc FROM ({_auc_of("l")}) JOIN (SELECT drug, mean_auc AS random_auc FROM ({_summary("r")})) USING (drug)
-  JOIN (SELECT drug, round(avg(auc),5) AS mean_group_auc FROM ({AUC.format(by='drug, lineage')}) GROUP BY drug) USING (drug)"""
+_FOLDS = f"""SELECT drug, fold AS "group", fold AS held_out, auc, random_auc, mean_group_auc FROM ({_auc_of("l")}) JOIN (SELECT drug, mean_auc AS random_auc FROM ({_means("r")})) USING (drug)
+  JOIN (SELECT drug, avg(auc) AS mean_group_auc FROM ({EXACT_AUC.format(by='drug, lineage')}) GROUP BY drug) USING (drug)"""
 
 
 def _folds(s, d):
     """Each held-out lineage's AUC, beside the random folds' and the mean over
     lineages with weights of all rows."""
-    own = E.auc_by(fold_scored(s, d, "lineage"), ["drug", "fold"]).select("drug", F.col("fold").alias("group"), F.col("fold").alias("held_out"), "auc")
-    random = fold_summary(s, d, "random").select("drug", F.col("mean_auc").alias("random_auc"))
-    seen = E.auc_by(scored(s, d), ["drug", "lineage"]).groupBy("drug").agg(F.round(F.avg("auc"), 5).alias("mean_group_auc"))
+    of = lambda rows, by: S.auc(rows, "score", F.col("y") == 1, ["drug", by])
+    own = of(fold_scored(s, d, "lineage"), "fold").select("drug", F.col("fold").alias("group"), F.col("fold").alias("held_out"), "auc")
+    random = E.logo_summary(fold_scored(s, d, "random")).select("drug", F.col("mean_auc").alias("random_auc"))
+    seen = of(scored(s, d), "lineage").groupBy("drug").agg(F.avg("auc").alias("mean_group_auc"))
     return own.join(random, "drug").join(seen, "drug")
 
 

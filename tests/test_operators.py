@@ -263,25 +263,34 @@ def test_no_group_or_feature_is_cut(spark):
     assert len(E.usable_for_logo(rows, "g", 2)) == 1005
 
 
-def test_numbers_and_sums_over_blocks(spark):
+def test_numbers_and_sums_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rows = [("ab"[i % 3 == 0], f"u{i:04}", float((i * 37) % 101) if i % 11 else None) for i in range(1000)]
     df = spark.createDataFrame(rows, "g string, uid string, v double")
-    for per in (50, 10_000):
-        got = ranks.numbered(df, ["g"], [F.col("v"), F.col("uid")], F.col("v"), "k", per).collect()
+    for per in (7, 1):
+        spark.conf.set("spark.sql.shuffle.partitions", per)
+        got = ranks.numbered(df, ["g"], [F.col("v"), F.col("uid")], "k").collect()
         for g in "ab":
             own = sorted((r.v is not None, r.v or 0.0, r.uid, r.k) for r in got if r.g == g)
             assert [k for *_, k in own] == list(range(1, len(own) + 1))
-        drawn = ranks.by_hash(df, ["g"], 3, "k", per).collect()
+        drawn = ranks.by_hash(df, ["g"], 3, "k").collect()
         for g in "ab":
             own = sorted((hashlib.md5(f"{r.uid}|3".encode()).hexdigest(), r.uid, r.k) for r in drawn if r.g == g)
             assert [k for *_, k in own] == list(range(1, len(own) + 1))
         steps = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
         for g in "ab":
-            own = sorted(((r.v is not None, r.v or 0.0), r.n, r.s) for r in ranks.running(steps, ["g"], "v", "n", "s", per // 10).collect() if r.g == g)
+            own = sorted(((r.v is not None, r.v or 0.0), r.n, r.s) for r in ranks.running(steps, ["g"], "v", "n", "s").collect() if r.g == g)
             total = 0
             for _, n, s in own:
                 total += n
                 assert s == total
+    whole = ranks.numbered(df, [], [F.col("v"), F.col("uid")], "k").collect()
+    assert [r.k for r in sorted(whole, key=lambda r: (r.v is not None, r.v or 0.0, r.uid))] == list(range(1, 1001))
+    assert ranks.numbered(df.limit(0), ["g"], [F.col("v")], "k").count() == 0
+    plan = lambda n: ranks.numbered(df.limit(n), ["g"], [F.col("v")], "k")._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(10) == plan(1000)  # no plan grows with the rows
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     tiles = spark.range(1, 11).select(ranks.tile(F.col("id"), F.lit(10), 4).alias("t"), ranks.tile(F.col("id"), F.lit(3), 4).alias("few")).collect()
     assert [r.t for r in tiles] == [1, 1, 1, 2, 2, 2, 3, 3, 4, 4] and [r.few for r in tiles[:3]] == [1, 2, 3]
 
