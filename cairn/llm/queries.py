@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup as exact
-from cairn.llm import bpe, embedding_dedup, html_text, mixing, near_dedup, quality, sharding, token_counts, toxicity
+from cairn.llm import bpe, embedding_dedup, html_text, merkle, mixing, near_dedup, quality, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row proven against the manifest's root, a fifth of them tampered with."""
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -108,4 +114,34 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT *, concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, coalesce('=' || source, '') AS t FROM documents),
+leaves AS (
+  SELECT doc_id, t, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS low,
+    list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+      lambda h, b: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, xor(h, b)), 4294967295::BIGINT) AS crc FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY t) AS n FROM leaves),
+nodes(t, k, rank, digest, n) AS (
+  SELECT t, 0, rank, leaf, n FROM ranked
+  UNION ALL SELECT t, k + 1, rank // 16, sha256(string_agg(digest, '' ORDER BY rank)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY t, k, rank // 16, n),
+subroots AS (SELECT t, digest, row_number() OVER (ORDER BY t) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(k, rank, digest, n) AS (
+  SELECT 0, place, digest, n FROM subroots
+  UNION ALL SELECT k + 1, rank // 16, sha256(string_agg(digest, '' ORDER BY rank)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY k, rank // 16, n),
+every AS (SELECT 0 AS phase, t, k, rank, digest, n FROM nodes UNION ALL SELECT 1, NULL, k, rank, digest, n FROM tops),
+beside AS (
+  SELECT phase, t, k, rank, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM every WHERE n > 1 WINDOW w AS (PARTITION BY phase, t, k, rank // 16 ORDER BY rank)),
+paths AS (
+  SELECT a.t, a.rank, list({'l': b.l, 'h': '', 'r': b.r} ORDER BY b.phase, b.k) AS p FROM ranked a JOIN subroots s ON s.t = a.t
+  JOIN beside b ON (b.phase = 0 AND b.t = a.t AND b.rank = a.rank // (16 ** b.k)::BIGINT) OR (b.phase = 1 AND b.rank = s.place // (16 ** b.k)::BIGINT) GROUP BY a.t, a.rank),
+proven AS (
+  SELECT a.*, s.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root, coalesce(p, []) AS p, CASE WHEN xor(crc, 4294967295::BIGINT) % 5 = 0 THEN low ELSE leaf END AS again
+  FROM ranked a JOIN subroots s USING (t) LEFT JOIN paths USING (t, rank))
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(p, lambda x: x.l || x.r)), 'string_agg', '')) AS proof_sha256,
+  list_reduce(p, lambda a, x: {'l': '', 'h': sha256(x.l || a.h || x.r), 'r': ''}, {'l': '', 'h': again, 'r': ''}).h AS folded_root, folded_root = root AS verified FROM proven""",
 }
