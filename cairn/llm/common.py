@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +60,16 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, scanned: bool = False) -> DataFrame:
     """`_row` (all columns of `docs`), `_text` and `_key`, a key of the row's
-    own that sorts by id, null ids last. A scan of stored files has keys
-    already, file and place in it; other rows are stored first."""
+    own that sorts by id, null ids last. Rows are stored with a number first.
+    `scanned` says that `docs` is a plain scan of stored files, each row of
+    which comes once: then file and place in it are the key, and no copy of the
+    texts is made. Not so after an explode, a union or a join."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    at = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
-    try:
-        if unused(docs, "_metadata") != "_metadata":
-            raise AnalysisException("docs have a column of that name")
-        rows = docs.select(row, at.alias("_n"))
-    except AnalysisException:  # not a scan
+    if scanned and unused(docs, "_metadata") == "_metadata":
+        rows = docs.select(row, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("_n"))
+    else:
         rows = stored(docs.select(row, F.monotonically_increasing_id().cast("string").alias("_n")), "keyed")
     id_ = F.col("_row").getField(id_col)
     key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("_n").alias("n"))

@@ -60,10 +60,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), *digest)
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanned: bool = False) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: of equal texts one
     row, with the smallest id; null ids lose to any other, and of rows equal in
-    both any one stays."""
-    rows = keyed(docs, id_col, text_col)
+    both any one stays. `scanned`: see `keyed`."""
+    rows = keyed(docs, id_col, text_col, scanned)
     gone = exact_dedup(rows, "_key", "_text").filter("not kept").select(F.col("_key.n").alias("_n"))
     return rows.join(gone, rows["_key.n"] == gone["_n"], "left_anti").select("_row.*")

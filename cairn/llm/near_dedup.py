@@ -367,10 +367,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params(), scanned: bool = False) -> DataFrame:
     """The rows of `docs` that stay, with all columns: one of each component,
     with its smallest id; null ids lose to any other, and of rows equal in both
-    any one stays. Rows without words stay."""
-    rows = keyed(docs, id_col, text_col)
+    any one stays. Rows without words stay. `scanned`: see `keyed`."""
+    rows = keyed(docs, id_col, text_col, scanned)
     gone = near_components(rows, "_key", "_text", p).filter("not kept").select(F.col("_key.n").alias("_n"))
     return rows.join(gone, rows["_key.n"] == gone["_n"], "left_anti").select("_row.*")

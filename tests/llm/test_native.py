@@ -52,6 +52,24 @@ def test_drop_copies_keeps_columns_and_null_ids(spark):
     assert sorted(r.doc_id for r in exact.drop_copies(twice).collect()) == [3, 4, 10, 11]
 
 
+def test_no_row_of_an_exploded_or_unioned_scan_is_lost(spark, tmp_path):
+    from cairn.llm import near_dedup
+
+    tail = " ".join(f"w{k}" for k in range(40))
+    rows = [(2, ["x " + tail, "y"]), (1, ["x " + tail]), (3, ["z", "z", "q " + tail]), (4, [None, ""])]
+    spark.createDataFrame(rows, "doc_id long, texts array<string>").coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    exploded = scan.select("doc_id", F.explode("texts").alias("text"))
+    shown = lambda df: sorted((r.doc_id, (r.text or "")[:1]) for r in df.select("doc_id", "text").collect())
+    assert shown(exact.drop_copies(exploded)) == [(1, "x"), (2, "y"), (3, "q"), (3, "z"), (4, "")]
+    assert shown(near_dedup.drop_near_copies(exploded)) == [(1, "x"), (2, "y"), (3, "z"), (4, ""), (4, "")]
+    both = exploded.unionByName(exploded.withColumn("text", F.concat(F.col("text"), F.lit("!"))))
+    kept = shown(exact.drop_copies(both))
+    assert kept == sorted([(1, "x"), (2, "y"), (3, "q"), (3, "z"), (4, ""), (1, "x"), (2, "y"), (3, "q"), (3, "z"), (4, "!")])
+    plain = spark.read.parquet(str(tmp_path / "t")).select("doc_id", F.element_at("texts", 1).alias("text"))
+    assert shown(exact.drop_copies(plain, scanned=True)) == [(1, "x"), (3, "z"), (4, "")]
+
+
 NAMES = ["_h", "_digest", "phases", "_source", "_index", "_p", "_s", "_block", "_rank", "_part", "_b", "_offset", "_row", "_key", "_text", "_id", "_n", "_len", "_pre", "_scores", "keep_id", "slot", "node", "component"]
 
 
