@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.tails import lower_tail, upper_tail
 from cairn.operators.shared import stored
 
 Z95 = 1.959963984540054
@@ -35,21 +36,66 @@ def graded(solos: DataFrame, background: float, strict: bool = False) -> DataFra
     return solos.withColumn("prediction", F.when(low > background, "R").when(susceptible, "S").otherwise("U"))
 
 
-def grade(samples: DataFrame, mutations: DataFrame, background: float = 0.05, strict: bool = False) -> DataFrame:
+#: A tail is below 1 - p only by more than this: what doubles make of 1 - 0.95
+#: is not 0.05, and a tail of exactly 1 - p is not below it.
+SLACK = 1e-12
+
+
+def graded_exact(solos: DataFrame, background: float = 0.05, p: float | Column = 0.9, strict: bool = True) -> DataFrame:
+    """Grades by the exact binomial test of a mutation's solos against the
+    background, at confidence `p` (a column where rows differ in it). R: the
+    share is above the background and so many resistant ones or more have less
+    than 1 - p. Otherwise, `strict`: S if the share is below and so few or
+    fewer have less than 1 - p, else U; not strict: S, unless shown otherwise."""
+    p = F.lit(p) if isinstance(p, float) else p
+    share, least = F.col("n_r") / F.col("n"), 1 - p - SLACK
+    rows = solos.withColumn("p_over", upper_tail(background)("n_r", "n")).withColumn("p_under", lower_tail(background)("n_r", "n"))
+    resistant = (share > background) & (F.col("p_over") < least)
+    susceptible = (share < background) & (F.col("p_under") < least) if strict else F.lit(True)
+    return rows.withColumn("prediction", F.when(resistant, "R").when(susceptible, "S").otherwise("U"))
+
+
+def peeled(samples: DataFrame, mutations: DataFrame, grading: Callable[[DataFrame], DataFrame]) -> Iterator[DataFrame]:
+    """The grades of each `round`, stored: mutations graded S leave, which makes
+    others solo, until none is S."""
+    left = mutations.select("drug", "uid", "mutation").distinct()
+    for k in count():
+        found = stored(grading(solo_counts(samples, left)).withColumn("round", F.lit(k)))
+        yield found
+        s = found.filter("prediction = 'S'")
+        if s.isEmpty():
+            return
+        left = stored(left.join(s.select("drug", "mutation"), ["drug", "mutation"], "left_anti"))
+
+
+def grade(samples: DataFrame, mutations: DataFrame, background: float = 0.05, strict: bool = False, p: float | None = None) -> DataFrame:
     """Our own definition of grading by solos: mutations graded S leave, which
     makes others solo, until no more are S, however many rounds that takes (each
-    has one mutation at least). Then R and U of the last counts.
+    has one mutation at least). Then R and U of the last counts. Grades are by
+    the 95 % interval, or where `p` is given by the exact test at `p`.
     `samples(drug, uid, phenotype)`, `mutations(drug, uid, mutation)`."""
-    left, benign = mutations.select("drug", "uid", "mutation").distinct(), None
-    for k in count():
-        found = stored(graded(solo_counts(samples, left), background, strict).withColumn("round", F.lit(k)))
+    by = (lambda solos: graded(solos, background, strict)) if p is None else (lambda solos: graded_exact(solos, background, p, strict))
+    benign = found = None
+    for found in peeled(samples, mutations, by):
         s = found.filter("prediction = 'S'")
-        if s.isEmpty():
-            break
         benign = s if benign is None else benign.unionByName(s)
-        left = stored(left.join(s.select("drug", "mutation"), ["drug", "mutation"], "left_anti"))
-    rest = found.filter("prediction <> 'S'")
-    return rest if benign is None else benign.unionByName(rest)
+    return benign.unionByName(found.filter("prediction <> 'S'"))
+
+
+def grade_rounds(samples: DataFrame, mutations: DataFrame, confidences: Sequence[float], rounds: int, background: float = 0.05, strict: bool = False) -> DataFrame:
+    """All grades of the first `rounds` rounds at each confidence: how a
+    catalogue comes about. The setting is a key of one job, `drug@p`."""
+    each = F.explode(F.array(*map(F.lit, confidences))).alias("p")
+    key = F.concat("drug", F.lit("@"), F.col("p").cast("string")).alias("drug")
+    s = samples.select("drug", "uid", "phenotype", each).select(key, "uid", "phenotype")
+    m = mutations.select("drug", "uid", "mutation", each).select(key, "uid", "mutation")
+    part = lambda k: F.split_part("drug", F.lit("@"), F.lit(k))
+    out = None
+    for k, found in enumerate(peeled(s, m, lambda solos: graded_exact(solos, background, part(2).cast("double"), strict))):
+        out = found if out is None else out.unionByName(found)
+        if k + 1 == rounds:
+            break
+    return out.withColumn("p", part(2).cast("double")).withColumn("drug", part(1))
 
 
 def grade_sweep(samples: DataFrame, mutations: DataFrame, taus: Sequence[float], background: float = 0.05) -> DataFrame:

@@ -137,7 +137,7 @@ def deployable(coefs: DataFrame, pairs: DataFrame, totals: DataFrame) -> DataFra
     return m.unionByName(base).withColumn("direction", F.when(F.col("coef") > 0, "R+").otherwise("S-"))
 
 
-def _top(df: DataFrame, by: Column, n: int) -> DataFrame:
+def top_features(df: DataFrame, by: Column, n: int) -> DataFrame:
     """The first `n` features of each drug: a drug has a pool's features."""
     w = Window.partitionBy("drug").orderBy(by, *FEATURE)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -146,7 +146,7 @@ def _top(df: DataFrame, by: Column, n: int) -> DataFrame:
 def variable_importance(rows: DataFrame, index: DataFrame, top: int = 30) -> DataFrame:
     fitted = learners(1)["forest"].fit(rows)
     imp = index.join(_named(rows.sparkSession, fitted.featureImportances.toArray(), "importance"), "i").filter("gene IS NOT NULL").drop("i")
-    return _top(imp, F.desc("importance"), top)
+    return top_features(imp, F.desc("importance"), top)
 
 
 def importance_vote(coefs: DataFrame, pairs: DataFrame, totals: DataFrame) -> DataFrame:
@@ -159,18 +159,6 @@ def importance_vote(coefs: DataFrame, pairs: DataFrame, totals: DataFrame) -> Da
     return out.select("drug", *FEATURE, "importance", (rank <= F.greatest(F.lit(1), F.floor(n / 2))).alias("important"))
 
 
-def cross_model(rows: DataFrame, index: DataFrame, n: int, mode: str = "intersect") -> DataFrame:
-    """Features in the top `n` of a forest and (or: union) of a linear model,
-    with the share of `n` that both have."""
-    key = ["drug", *FEATURE]
-    a = variable_importance(rows, index, n).select(*key, F.lit(True).alias("in_forest"))
-    b = _top(coefficients(rows, index).filter("gene IS NOT NULL"), F.desc(F.abs("coef")), n).select(*key, F.lit(True).alias("in_linear"))
-    both = a.join(b, key, "full_outer").na.fill(False)
-    agree = F.count_if(F.col("in_forest") & F.col("in_linear")).over(Window.partitionBy("drug")) / F.lit(n)
-    both = both.withColumn("agreement", F.round(agree, 6))
-    return both.filter("in_forest AND in_linear") if mode == "intersect" else both
-
-
 def nested_logo(rows: DataFrame, grid: Sequence[float], drugs: int, group: str = "lineage") -> DataFrame:
     """Regularisation chosen inside the training groups only: for each drug and
     held-out group, the value with the best mean inner AUC, and its outer AUC.
@@ -210,7 +198,7 @@ def surrogate(rows: DataFrame, index: DataFrame, scores: DataFrame, top: int = 2
     e = F.col("label") - F.col("prediction")
     r2 = fitted.transform(data).groupBy("drug").agg((1 - F.sum(e * e) / (F.var_pop("label") * F.count(F.lit(1)))).alias("r2"))
     terms = index.join(_named(rows.sparkSession, fitted.coefficients.toArray(), "term"), "i").filter("gene IS NOT NULL").drop("i")
-    return _top(terms, F.desc(F.abs("term")), top).join(F.broadcast(r2), "drug")  # a row for each drug
+    return top_features(terms, F.desc(F.abs("term")), top).join(F.broadcast(r2), "drug")  # a row for each drug
 
 
 def graded_regression(rows: DataFrame, graded: DataFrame) -> DataFrame:

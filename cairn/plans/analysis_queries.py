@@ -743,6 +743,32 @@ def grade(s, d):
     return G.grade(cohort(s, d).select("drug", "uid", "phenotype"), _gm(s, d))
 
 
+_EXACT_SOLO = "SELECT drug, mutation, count(*) AS n, count(*) FILTER (phenotype='R') AS n_r FROM (SELECT drug, uid, min(mutation) AS mutation FROM {m} GROUP BY ALL HAVING count(*) = 1) JOIN cohort USING (drug, uid) GROUP BY ALL"
+_EXACT = """SELECT drug, mutation, n, n_r, p, {k} AS round, CASE WHEN n_r > 0.05*n AND over < 1-p-1e-12 THEN 'R' ELSE 'S' END AS prediction FROM (SELECT *, CASE WHEN n_r = 0 THEN 1 ELSE
+  list_sum(list_transform(range(n_r, n+1), lambda j: exp(lgamma(n+1)-lgamma(j+1)-lgamma(n-j+1)+j*ln(0.05::DOUBLE)+(n-j)*ln(0.95::DOUBLE)))) END AS over FROM ({solos}))"""
+_AT = "(VALUES (0.9::DOUBLE), (0.95)) x(p)"
+_FIRST_ROUND = _EXACT.format(k=0, solos=f"SELECT * FROM ({_EXACT_SOLO.format(m='gm')}), {_AT}")
+_SECOND_MUTATIONS = "SELECT drug, p, uid, mutation FROM gm, {at} WHERE NOT EXISTS (SELECT 1 FROM r0 WHERE r0.drug=gm.drug AND r0.mutation=gm.mutation AND r0.p=x.p AND r0.prediction='S')".format(at=_AT)
+_SECOND_SOLO = "SELECT drug, p, mutation, count(*) AS n, count(*) FILTER (phenotype='R') AS n_r FROM (SELECT drug, p, uid, min(mutation) AS mutation FROM g1 GROUP BY ALL HAVING count(*) = 1) JOIN cohort USING (drug, uid) GROUP BY ALL"
+
+
+@query(
+    "grade_exact_rounds",
+    sql("SELECT drug, mutation, n, n_r, p, round, prediction FROM r0 UNION ALL SELECT drug, mutation, n, n_r, p, round, prediction FROM r1", "carriage", "determinants", "cohort",
+        gm=_GM, r0=_FIRST_ROUND, g1=_SECOND_MUTATIONS, r1=_EXACT.format(k=1, solos=_SECOND_SOLO)),
+)
+def grade_exact_rounds(s, d):
+    """The first two rounds of the exact test at two confidences."""
+    out = G.grade_rounds(cohort(s, d).select("drug", "uid", "phenotype"), _gm(s, d), [0.9, 0.95], 2)
+    return out.select("drug", "mutation", "n", "n_r", "p", "round", "prediction")
+
+
+@query("grade_exact")
+def grade_exact(s, d):
+    """Every drug's catalogue at the published settings: p 0.9, strict."""
+    return G.grade(cohort(s, d).select("drug", "uid", "phenotype"), _gm(s, d), strict=True, p=0.9)
+
+
 _SWEPT = "SELECT DISTINCT drug, tau, uid, gene||'@'||mutation AS mutation FROM mutations JOIN determinants USING (gene), (VALUES (0.0::DOUBLE), (0.5), (0.95)) x(tau) WHERE coalesce(frs, 0) >= tau"
 _SWEPT_SOLO = "SELECT drug, tau, mutation, count(*) AS n, count(*) FILTER (phenotype='R') AS n_r FROM (SELECT drug, tau, uid, min(mutation) AS mutation FROM gm GROUP BY ALL HAVING count(*) = 1) JOIN cohort USING (drug, uid) GROUP BY ALL"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.operators import agreement as A
 from cairn.operators import carriage as K
 from cairn.operators import derive as D
 from cairn.operators import evaluate as E
@@ -306,8 +307,16 @@ def variable_importance(s, d):
 
 @query("select_cross_model")
 def select_cross_model(s, d):
+    """Each drug's features in the top 20 of a forest and of a perceptron."""
     rows, index, _, _ = _rows(s, d)
-    return M.cross_model(rows, index, n=20)
+    return A.cross_model(rows, carried(s, d), index)
+
+
+@query("select_cross_model_held_out")
+def select_cross_model_held_out(s, d):
+    """Those of either model, neither of which has seen the first lineage."""
+    rows, index, _, _ = _rows(s, d)
+    return A.cross_model(rows, carried(s, d), index, mode="union", held_out="lineage1")
 
 
 def _panel(s, d):
