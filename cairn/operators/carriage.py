@@ -76,12 +76,6 @@ def feature_long(carried: DataFrame, universe: DataFrame, cohort: DataFrame) ->
     return rows.select("drug", "uid", F.concat("gene", F.lit("_"), "mutation").alias("feature"))
 
 
-def to_wide(long: DataFrame, features: Sequence[str], samples: DataFrame) -> DataFrame:
-    """Export only: 0/1 columns of the named features for every sample."""
-    wide = long.groupBy("uid").pivot("feature", list(features)).agg(F.lit(1).cast("byte"))
-    return samples.select("uid").distinct().join(wide, "uid", "left").na.fill(0)
-
-
 def gene_flags(carried: DataFrame) -> DataFrame:
     """Carriage at gene level: any mutation."""
     return carried.select("uid", "gene").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +92,8 @@ def fold_counts(folds: DataFrame) -> DataFrame:
     return folds.groupBy("drug", "fold", "phenotype").agg(F.count(F.lit(1)).alias("n"))
 
 
+LINEAGES = ("lineage1", "lineage2", "lineage3", "lineage4")
+
 #: Prefixes that a feature set drops, and strings that no model reads.
 FEATURE_SETS = {"de_novo": ("cat__", "cov__coresist_"), "models": ("cov__coresist_",), "all": ()}
 STRINGS = ("cov__lineage_raw", "cov__sublineage", "cov__country", "cov__dataset_version")
@@ -117,7 +119,20 @@ def profile(cohort: DataFrame) -> DataFrame:
     return cohort.groupBy("drug").agg(F.count(F.lit(1)).alias("n"), F.round(100 * r / F.count(F.lit(1)), 1).alias("pct_r"))
 
 
-def multidrug_mart(cohort: DataFrame, classes: dict[str, str]) -> DataFrame:
-    """One row per (isolate, drug), the drug and its class being features."""
+def multidrug_mart(cohort: DataFrame, classes: Mapping[str, str], carried: DataFrame, universe: DataFrame, lineages: Sequence[str] = LINEAGES) -> DataFrame:
+    """One row per (isolate, drug): label, the drug and its class, covariates,
+    and `features`, the names of the universe that the isolate carries, in
+    order. An isolate's features are gathered once, not once for each drug; one
+    that carries none has an empty array. Missing lineages are `unknown`,
+    missing countries empty."""
     named = F.create_map(*[F.lit(x) for kv in sorted(classes.items()) for x in kv])
-    return cohort.select("uid", "drug", F.coalesce(named[F.col("drug")], F.lit("other")).alias("drug_class"), (F.col("phenotype") == "R").cast("int").alias("y"), "lineage")
+    chosen = universe.select("gene", "mutation").distinct()
+    on = cohort.select("uid").distinct().join(carried.select("uid", "gene", "mutation").distinct().join(chosen, ["gene", "mutation"], "left_semi"), "uid")
+    on = on.groupBy("uid").agg(F.array_sort(F.collect_list(F.concat(F.lit("raw__"), "gene", F.lit("_"), "mutation"))).alias("features"))
+    one_hot = [F.coalesce((F.col("lineage") == name).cast("int"), F.lit(0)).alias(f"cov__lineage_L{k}") for k, name in enumerate(lineages, 1)]
+    rows = cohort.join(on, "uid", "left")
+    return rows.select(
+        "uid", "drug", F.coalesce(named[F.col("drug")], F.lit("other")).alias("drug_class"), (F.col("phenotype") == "R").cast("int").alias("y"), *one_hot,
+        F.coalesce("lineage", F.lit("unknown")).alias("lineage"), F.coalesce("country", F.lit("")).alias("country"), F.col("tb_depth").cast("float").alias("tb_depth"),
+        F.coalesce("features", F.array().cast("array<string>")).alias("features"),
+    )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.shared import hot_join, stored
+
 INSTANCE = "uid string, covariates struct<lineage: string, tb_depth: double>, variants array<struct<gene: string, mutation: string>>"
 LINEAGES = ("lineage1", "lineage2", "lineage3", "lineage4")
 # The roles, first to last, and the least effect of a passenger.
@@ -134,28 +136,37 @@ def explain(vectors: DataFrame, model: DataFrame, evidence: DataFrame, determina
     return out.withColumn("rank", F.row_number().over(w))
 
 
-def _adding(weights: Column):
-    return lambda total, name: total + F.coalesce(weights[name], F.lit(0.0))
+#: Features of a model that are broadcast, at most.
+BROADCAST_TERMS = 100_000
+
+
+def _terms_met(on: DataFrame, model: DataFrame) -> DataFrame:
+    """`on(feature, ...)` with `terms`, what each drug's model has for the
+    feature. A model that is too large to be broadcast meets the documents'
+    features in a shuffle, where the frequent ones are broadcast alone."""
+    term = F.struct("drug", "kind", "fill", "coef", "mean", "scale")
+    terms = stored(model.filter("kind <> 'intercept'").groupBy("feature").agg(F.collect_list(term).alias("terms")), "terms")  # a term for each drug
+    if terms.count() <= BROADCAST_TERMS:
+        return on.join(F.broadcast(terms), "feature")
+    on = stored(on, "present")
+    sizes = on.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    return hot_join(on, stored(terms.join(sizes, "feature"), "terms"), ["feature"], "_n").drop("_n")
 
 
 def predict(instances: DataFrame, model: DataFrame) -> DataFrame:
     """(uid, drug, logit, p_resistant, is_valid) of every document and drug;
-    documents that break a rule have no score. Only narrow steps, the model as
-    literals: the same for a stream. The driver reads the whole model."""
-    base, weights, depths = bases(model), {}, {}
-    for r in model.filter("kind <> 'intercept'").orderBy("drug", "feature").collect():
-        if r["kind"] == "coverage":
-            depth = F.coalesce(F.col("covariates.tb_depth"), F.lit(r["fill"]), F.lit(r["mean"])).cast("float").cast("double")
-            depths[r["drug"]] = F.lit(r["coef"]) * depth / F.lit(r["scale"])
-        else:
-            weights.setdefault(r["drug"], {})[r["feature"]] = r["coef"] / r["scale"]
-    scores = []
-    for drug, b in base.items():
-        own = F.create_map(*[F.lit(x) for kv in weights.get(drug, {"": 0.0}).items() for x in kv])
-        total = F.aggregate("_on", F.lit(float(b)), _adding(own))
-        scores.append(F.struct(F.lit(drug).alias("drug"), (total + depths.get(drug, F.lit(0.0))).alias("logit")))
-    none = F.struct(F.lit(None).cast("string").alias("drug"), F.lit(None).cast("double").alias("logit"))
+    documents that break a rule have no score. Documents that repeat a uid are
+    rows of their own. The model is a table that documents are joined with; the
+    driver sees one number for each drug."""
+    docs = stored(instances.select("*", F.monotonically_increasing_id().alias("_doc")), "documents")
     valid = ~(F.col("uid").isNull() | F.col("covariates").isNull() | F.col("variants").isNull())
-    out = instances.withColumn("_on", _present()).select("uid", valid.alias("is_valid"), F.inline(F.array(*(scores or [none]))))
-    x = F.when(F.col("is_valid"), F.col("logit"))
+    on = docs.filter(valid).select("_doc", F.col("covariates.tb_depth").alias("depth"), F.explode(_present()).alias("feature"))
+    hits = _terms_met(on, model).select("_doc", "depth", F.inline("terms"))
+    depth = F.coalesce("depth", "fill", "mean").cast("float").cast("double")
+    value = F.when(F.col("kind") == "coverage", depth).otherwise(1.0)
+    sums = hits.groupBy("_doc", "drug").agg(F.sum(F.col("coef") * value / F.col("scale")).alias("x"))
+    base = F.array(*[F.struct(F.lit(k).alias("drug"), F.lit(float(v)).alias("base")) for k, v in bases(model).items()])  # a row for each drug
+    every = docs.select("_doc", "uid", valid.alias("is_valid"), F.inline(base.cast("array<struct<drug: string, base: double>>")))
+    out = every.join(sums, ["_doc", "drug"], "left")
+    x = F.when(F.col("is_valid"), F.col("base") + F.coalesce("x", F.lit(0.0)))
     return out.select("uid", "drug", F.round(x, 5).alias("logit"), F.round(1 / (1 + F.exp(-x)), 5).alias("p_resistant"), "is_valid")

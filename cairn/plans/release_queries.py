@@ -9,6 +9,8 @@ from cairn.operators import carriage as K
 from cairn.operators import cohort as C
 from cairn.operators import integrity as V
 from cairn.operators import mart as M
+from cairn.operators import wide as W
+from cairn.operators.shared import new_path
 from cairn.plans import fixtures as X
 from cairn.plans.fixtures import sql
 from cairn.plans.registry import query
@@ -401,23 +403,41 @@ def mart_core(s, d):
     return _even(M.assemble(M.core(cohort(s, d)), M.raw_summary(X.mutations(s, d)), M.cat_counts(X.effects(s, d))))
 
 
-WIDE = [f"B1_K{k}E" for k in range(1, 11)] + [f"B1_{k}_del_a" for k in range(1, 11)]
+_LONG = f"SELECT c.drug, uid, 'raw__'||gene||'_'||mutation AS \"column\" FROM cohort c JOIN carriage k USING (uid) JOIN ({_SEEDED}) u USING (drug, gene, mutation)"
+
+
+def _wide(s, d):
+    """Every drug's wide mart of its seeded universe, written and read by name;
+    its cells as rows."""
+    path = new_path(s, "wide")
+    c = cohort(s, d)
+    W.write_wide(c, carried(s, d), seeded(s, d), path, block=60)
+    drugs = [r["drug"] for r in s.read.parquet(f"{path}/columns").select("drug").distinct().orderBy("drug").collect()]
+    out = None
+    for drug in drugs:
+        part = W.melted(W.read_wide(s, path, drug)).select(F.lit(drug).alias("drug"), "uid", "column", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("mart_wide", sql(_LONG, "cohort", "carriage", "pairs", "totals", "determinants", e=_ELIGIBLE))
+def mart_wide(s, d):
+    """The ones of all drugs' wide marts: the long form again."""
+    return _wide(s, d).filter("value = 1").select("drug", "uid", "column")
 
 
 @query(
-    "mart_wide",
-    sql("SELECT c.uid, " + ", ".join(f"max(CASE WHEN gene||'_'||mutation='{f}' THEN 1 ELSE 0 END) AS \"{f}\"" for f in WIDE) + " FROM (SELECT DISTINCT uid FROM cohort WHERE drug='D1') c LEFT JOIN carriage USING (uid) GROUP BY c.uid", "cohort", "carriage"),
+    "mart_wide_columns",
+    sql(f"SELECT u.drug, 'raw__'||gene||'_'||mutation AS \"column\", (SELECT count(*) FROM cohort c WHERE c.drug=u.drug) AS n_cells, (SELECT count(*) FROM lo WHERE lo.drug=u.drug AND lo.\"column\"='raw__'||gene||'_'||mutation) AS n_ones FROM ({_SEEDED}) u", "cohort", "carriage", "pairs", "totals", "determinants", e=_ELIGIBLE, lo=_LONG),
 )
-def mart_wide(s, d):
-    c = cohort(s, d).filter("drug = 'D1'")
-    long = carried(s, d).filter("gene = 'B1'").select("uid", F.concat("gene", F.lit("_"), "mutation").alias("feature"))
-    wide = K.to_wide(long, WIDE, c)
-    return wide.select("uid", *[F.col(f).cast("int").alias(f) for f in WIDE])
+def mart_wide_columns(s, d):
+    """Cells and ones of each column: every sample has a cell."""
+    return _wide(s, d).groupBy("drug", "column").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("value").cast("long")).alias("n_ones"))
 
 
-@query("mart_down_cast", sql("SELECT uid, coalesce(has,0)::TINYINT AS has, coalesce(n,0)::SMALLINT AS n FROM isolates LEFT JOIN (SELECT uid, 1 AS has, count(*) AS n FROM carriage WHERE gene='B1' GROUP BY uid) USING (uid)", "isolates", "carriage"))
+@query("mart_down_cast", sql("SELECT uid, coalesce(has,0)::TINYINT AS has, coalesce(n,0)::SMALLINT AS n FROM isolates LEFT JOIN (SELECT uid, 1 AS has, count(*) AS n FROM carriage GROUP BY uid) USING (uid)", "isolates", "carriage"))
 def mart_down_cast(s, d):
-    n = carried(s, d).filter("gene = 'B1'").groupBy("uid").agg(F.lit(1).alias("has"), F.count(F.lit(1)).alias("n"))
+    n = carried(s, d).groupBy("uid").agg(F.lit(1).alias("has"), F.count(F.lit(1)).alias("n"))
     return M.down_cast(X.isolates(s, d).select("uid").join(n, "uid", "left"), ["has"], ["n"])
 
 
@@ -455,9 +475,34 @@ def multidrug_profile(s, d):
 CLASSES = {"D1": "first line", "D2": "first line", "D3": "second line"}
 
 
-@query("multidrug_mart", sql("SELECT uid, drug, CASE WHEN drug IN ('D1','D2') THEN 'first line' WHEN drug='D3' THEN 'second line' ELSE 'other' END AS drug_class, (phenotype='R')::INT AS y, lineage FROM cohort", "cohort"))
+_UNION = f"SELECT DISTINCT gene, mutation FROM ({_SEEDED})"
+
+
+@query(
+    "multidrug_mart",
+    sql(
+        f"""SELECT uid, drug, CASE WHEN drug IN ('D1','D2') THEN 'first line' WHEN drug='D3' THEN 'second line' ELSE 'other' END AS drug_class, (phenotype='R')::INT AS y, coalesce(lineage,'unknown') AS lineage, coalesce(country,'') AS country,
+  {", ".join(f"coalesce((lineage='lineage{k}')::INT,0) AS cov__lineage_L{k}" for k in range(1, 5))}, round(tb_depth::FLOAT::DOUBLE,4) AS tb_depth, coalesce(n,0) AS n_features, coalesce(features,'') AS features
+  FROM cohort LEFT JOIN (SELECT uid, count(*) AS n, string_agg('raw__'||gene||'_'||mutation, ',' ORDER BY 'raw__'||gene||'_'||mutation) AS features FROM carriage JOIN ({_UNION}) USING (gene, mutation) GROUP BY uid) USING (uid)""",
+        "cohort", "carriage", "pairs", "totals", "determinants", e=_ELIGIBLE),
+)
 def multidrug_mart(s, d):
-    return M.multidrug_mart(cohort(s, d), CLASSES)
+    """All drugs' rows with the union of their universes as features."""
+    out = M.multidrug_mart(cohort(s, d), CLASSES, carried(s, d), seeded(s, d))
+    return out.select(*[c for c in out.columns if c not in ("features", "tb_depth")], F.round(F.col("tb_depth").cast("double"), 4).alias("tb_depth"), F.size("features").cast("long").alias("n_features"), F.array_join("features", ",").alias("features"))
+
+
+@query(
+    "multidrug_mart_folds",
+    sql(
+        """SELECT fold, drug, count(*) AS n, sum((phenotype='R')::INT)::BIGINT AS n_r FROM cohort JOIN (SELECT uid, ((row_number() OVER (PARTITION BY n_r ORDER BY md5(uid||'|7'), uid) - 1) % 5)::INT AS fold
+  FROM (SELECT uid, count(*) FILTER (phenotype='R') AS n_r FROM cohort GROUP BY uid)) USING (uid) GROUP BY ALL""", "cohort"),
+)
+def multidrug_mart_folds(s, d):
+    """Rows and resistant ones of each fold: an isolate's rows share a fold."""
+    mart = M.multidrug_mart(cohort(s, d), CLASSES, carried(s, d), seeded(s, d))
+    folds = M.stratified_group_folds(cohort(s, d), 5, 7).select("uid", "fold")
+    return mart.join(folds, "uid").groupBy("fold", "drug").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_r"))
 
 
 _COLUMNS = """SELECT DISTINCT 'raw__'||gene||'_'||mutation AS column_name FROM carriage UNION ALL SELECT DISTINCT 'cat__n_per_mut_'||prediction FROM effects UNION ALL SELECT DISTINCT 'cov__coresist_'||drug FROM cohort

@@ -19,6 +19,7 @@ from cairn.plans.registry import query
 from cairn.plans.release_queries import CLASSES, carried, cohort
 from cairn.sources import deposit as P
 from cairn.sources import release as S
+from cairn.streaming import predict as stream
 
 
 def instances(s, d):
@@ -137,6 +138,17 @@ def predict(s, d):
     return R.predict(instances(s, d), model(s, d)).select("uid", "drug", "logit", "is_valid")
 
 
+@query("predict_stream", sql(f"SELECT uid, drug, round(x,5) AS logit, true AS is_valid FROM ({_LOGIT})", *_NEEDS, **_SERVED))
+def predict_stream(s, d):
+    """Documents as JSON files, taken in batches of a few files by a stream
+    that ends when all are predicted."""
+    at = new_path(s, "arriving")
+    model(s, d).write.parquet(f"{at}/model")
+    instances(s, d).select(F.to_json(F.struct("uid", "covariates", "variants")).alias("value")).repartition(8).write.text(f"{at}/in")
+    stream.start(stream.read_stream(s, f"{at}/in", files=3), f"{at}/model", f"{at}/out", f"{at}/state").awaitTermination()
+    return s.read.parquet(f"{at}/out").select("uid", "drug", "logit", "is_valid")
+
+
 @query("class_weights", sql("SELECT drug, phenotype, round(sum(count(*)) OVER (PARTITION BY drug)/(2*count(*)),6) AS weight FROM cohort GROUP BY drug, phenotype", "cohort"))
 def class_weights(s, d):
     return M.class_weights(cohort(s, d))
@@ -204,8 +216,10 @@ def selections_union(s, d):
 
 @query("lookup", "SELECT n_name AS country_name, n_nationkey AS code FROM nation")
 def lookup(s, d):
-    """A lookup as its columns are projected and renamed."""
-    return X.table(s, d, "nation").select(F.col("n_name").alias("country_name"), F.col("n_nationkey").alias("code"))
+    """A lookup in CSV, its columns projected and renamed as it is read."""
+    at = new_path(s, "lookup")
+    X.table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(at)
+    return S.load_lookup(s, at, "n_nationkey int, n_name string, n_regionkey int", {"n_name": "country_name", "n_nationkey": "code"})
 
 
 @query("gff", "SELECT 'B'||p_partkey AS gene, p_partkey::INT*10 AS start, p_partkey::INT*10+p_size AS \"end\", p_type AS functional_category, p_type='SMALL' AS is_pseudogene, p_type='PROMO' AS essential_hint FROM part")
@@ -237,6 +251,19 @@ def verify_source(s, d):
     return S.verify_files(found, p.filter("name NOT LIKE '%0'"))
 
 
+@query(
+    "file_digests",
+    """SELECT p_size AS number, sum(strlen(line) + 1)::BIGINT AS size, sha256(string_agg(line || chr(10), '' ORDER BY line)) AS sha256 FROM (SELECT p_size, p_partkey||' '||p_name AS line FROM part) GROUP BY p_size""",
+)
+def file_digests(s, d):
+    """Parts written as a text file for each size, and those files' digests."""
+    at = new_path(s, "files")
+    lines = X.table(s, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(" "), "p_name").alias("line"), F.col("p_size").alias("number"))
+    lines.repartition("number").sortWithinPartitions("number", "line").write.partitionBy("number").text(at)
+    found = S.file_digests(s, at)
+    return found.select(F.regexp_extract("path", "/number=([0-9]+)/", 1).cast("int").alias("number"), "size", "sha256")
+
+
 @query("slim_release", sql("SELECT uid, drug, gene, mutation FROM effects", "effects"))
 def slim_release(s, d):
     kept, _ = S.slim_release({"effects": X.effects(s, d), "dst": X.dst(s, d)}, ["effects"], {"effects": ["prediction", "catalogue_name", "catalogue_version"]})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,10 +107,34 @@ def verify_files(found: DataFrame, expected: DataFrame, optional: Sequence[str]
     return both.select("name", "size", "found_size", "sha256", status.alias("status"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of each file. A file is one binary value, 2 GB at most."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def _opened(path: str):
+    """A stream of a file's bytes, wherever Arrow's file systems reach."""
+    from pyarrow import fs
+
+    local = re.sub("^file:/+", "/", path)
+    system, name = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name)
+
+
+def file_digests(spark: SparkSession, path: str, chunk: int = 1 << 23) -> DataFrame:
+    """Path, name, size and SHA-256 of each file under `path`. A task reads its
+    files in chunks, so a file may be of any size; files are dealt over tasks.
+    Spark lists no files without content."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in parts:
+            found = []
+            for name in files["path"]:
+                digest = hashlib.sha256()
+                with _opened(name) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                found.append(digest.hexdigest())
+            yield files.assign(sha256=found)
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")  # no content is read
+    rows = listed.repartition(F.col("path")).mapInPandas(run, "path string, length long, sha256 string")
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "sha256")
 
 
 def metadata(spark: SparkSession, items: Mapping[str, str]) -> DataFrame:

@@ -177,9 +177,31 @@ def test_documents(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "d.json").write_text("\n".join(map(json.dumps, docs)))
-    out = stream.predict_stream(stream.read_stream(spark, str(tmp_path / "in")), model)
-    stream.start(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
-    assert {r.uid: (r.logit, r.is_valid) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
+    model.write.parquet(str(tmp_path / "model"))
+    run = lambda: stream.start(stream.read_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "model"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    run()
+    shown = lambda: {r.uid: (r.logit, r.is_valid) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert shown() == batch
+    (tmp_path / "in" / "e.json").write_text(json.dumps(docs[0] | {"uid": "e"}))
+    run()  # only what has arrived since
+    assert shown() == batch | {"e": batch["a"]} and spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_a_large_model_is_joined(spark, monkeypatch):
+    """Ten thousand terms of two drugs, broadcast or shuffled; repeated documents
+    stay rows of their own."""
+    n = 10_000
+    terms = spark.range(n).select(F.explode(F.array(F.lit("D"), F.lit("E"))).alias("drug"), F.concat(F.lit("g@m"), "id").alias("feature"), F.lit("mutation").alias("kind"), (F.col("id") % 7 - 3).cast("double").alias("coef"))
+    model = terms.select("*", F.lit("g").alias("gene"), F.lit("m").alias("mutation"), F.lit(0.0).alias("fill"), F.lit(0.5).alias("mean"), F.lit(2.0).alias("scale"))
+    docs = [(f"u{i}", ("lineage1", 5.0), [("g", f"m{k}") for k in range(i, n, 97)]) for i in range(40)] + [("u1", ("lineage1", 5.0), [("g", "m5"), ("g", "m5")]), (None, ("x", 1.0), [])]
+    inst = spark.createDataFrame(docs, R.INSTANCE)
+    base = -sum((k % 7 - 3) * 0.5 / 2 for k in range(n))
+    want = sorted((u, round(base + sum((int(m[1:]) % 7 - 3) / 2 for m in {m for _, m in v}), 5)) for u, _, v in docs if u for _ in "DE")
+    for most in (R.BROADCAST_TERMS, 10):
+        monkeypatch.setattr(R, "BROADCAST_TERMS", most)
+        got = R.predict(inst, model).collect()
+        assert sorted((r.uid, r.logit) for r in got if r.is_valid) == want
+        assert [(r.uid, r.logit) for r in got if not r.is_valid] == [(None, None)] * 2
 
 
 def test_tiers(spark):
@@ -199,6 +221,12 @@ def test_sources(spark, tmp_path):
     assert release.load(spark, str(tmp_path / "rel"), "t").count() == 2
     got = {r.name: r.size for r in release.file_digests(spark, str(tmp_path / "a.csv")).collect()}
     assert got == {"a.csv": 18}
+    (tmp_path / "big").mkdir()
+    for name, size in (("a b.bin", 300_001), ("c.bin", 1)):
+        (tmp_path / "big" / name).write_bytes(bytes(i % 251 for i in range(size)))
+    for chunk in (1000, 1 << 23):
+        got = {r.name: (r.size, r.sha256) for r in release.file_digests(spark, str(tmp_path / "big"), chunk).collect()}
+        assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / "big").iterdir()}
     found = spark.createDataFrame([("x.parquet.gz", 5, "h"), ("z", 1, "h")], "name string, size long, sha256 string")
     want = spark.createDataFrame([("x.parquet", 9), ("y", 1), ("o", 1)], "name string, size long")
     assert {r.name: r.status for r in release.verify_files(found, want, ["o"]).collect()} == {"x.parquet": "ok", "y": "missing", "o": "optional", "z": "unexpected"}
@@ -325,3 +353,39 @@ def test_a_set_of_features_scores_as_alone(spark):
     alone = A.fold_scored(spark, sf, "lineage", drugs.join(only))
     got = {(r.drug.split("@")[0], r.uid): (r.fold, r.y, r.score) for r in every.collect()}
     assert got == {(r.drug, r.uid): (r.fold, r.y, r.score) for r in alone.collect()} and got
+
+
+def test_wide_mart(spark, tmp_path):
+    """Columns in blocks: any names, in any order, every sample, gene names
+    with the separator in them."""
+    from cairn.operators import wide
+
+    rng = random.Random(2)
+    names = [("D", "g_1", f"m{k}") for k in range(23)] + [("E", "h", f"K{k}.E") for k in range(3)]
+    cohort = spark.createDataFrame([(d, f"u{i}", "R") for d in "DE" for i in range(30 if d == "D" else 9)], "drug string, uid string, phenotype string")
+    carried = [(f"u{i}", g, m) for i in range(28) for _, g, m in names if rng.random() < 0.2] + [("u0", "other", "x")]
+    universe = spark.createDataFrame(names, "drug string, gene string, mutation string")
+    at = str(tmp_path / "mart")
+    wide.write_wide(cohort, spark.createDataFrame(carried, "uid string, gene string, mutation string"), universe, at, block=5)
+    assert {r.block for r in spark.read.parquet(f"{at}/columns").filter("drug = 'D'").collect()} == set(range(5))
+    got = wide.read_wide(spark, at, "D")
+    assert got.columns == ["uid", *sorted(f"raw__g_1_m{k}" for k in range(23))] and got.count() == 30
+    on = {(u, f"raw__{g}_{m}") for u, g, m in carried}
+    assert all(r["value"] == ((r["uid"], r["column"]) in on) for r in wide.melted(got).collect())
+    some = wide.read_wide(spark, at, "E", ["raw__h_K2.E", "raw__h_K0.E"])
+    assert some.columns == ["uid", "raw__h_K2.E", "raw__h_K0.E"] and some.count() == 9
+    assert all(r[c] == ((r["uid"], c) in on) for r in some.collect() for c in some.columns[1:])
+    with pytest.raises(KeyError):
+        wide.read_wide(spark, at, "D", ["raw__h_K0.E"])
+    with pytest.raises(ValueError):
+        wide.columns_of(spark.createDataFrame([("D", "a_b", "c"), ("D", "a", "b_c")], "drug string, gene string, mutation string"))
+
+
+def test_multidrug_mart(spark):
+    cohort = spark.createDataFrame([("D", "u", "R", "lineage1", "x", 3.0), ("E", "u", "S", "lineage1", "x", 3.0), ("E", "v", "S", None, None, None)], "drug string, uid string, phenotype string, lineage string, country string, tb_depth double")
+    carried = spark.createDataFrame([("u", "g", "b"), ("u", "g", "a"), ("u", "g", "a"), ("u", "h", "z"), ("w", "g", "a")], "uid string, gene string, mutation string")
+    universe = spark.createDataFrame([("D", "g", "a"), ("E", "g", "a"), ("E", "g", "b")], "drug string, gene string, mutation string")
+    got = {(r.drug, r.uid): r for r in M.multidrug_mart(cohort, {"D": "first"}, carried, universe).collect()}
+    assert len(got) == 3 and got["D", "u"].features == got["E", "u"].features == ["raw__g_a", "raw__g_b"] and got["E", "v"].features == []
+    assert (got["D", "u"].drug_class, got["E", "u"].drug_class, got["D", "u"].y, got["D", "u"].cov__lineage_L1) == ("first", "other", 1, 1)
+    assert (got["E", "v"].lineage, got["E", "v"].country, got["E", "v"].cov__lineage_L1) == ("unknown", "", 0)
