@@ -23,6 +23,28 @@ def cohort(phenotypes: DataFrame, predictions: DataFrame, isolates: DataFrame, c
     return truth.join(called.select("uid", "drug", "prediction"), ["uid", "drug"]).join(isolates.drop("ck"), "uid")
 
 
+# Columns that releases may lack, by table; numbers that are
+# lacking are left out, for a column of nulls is no covariate.
+GENOME_STRINGS = ("sublineage",)
+GENOME_NUMBERS = ("tb_depth", "tb_coverage")
+SAMPLE_STRINGS = ("country", "dataset")
+
+
+def drug_cohort(phenotypes: DataFrame, predictions: DataFrame, genomes: DataFrame, samples: DataFrame, catalogue: str, version: int, drug: str) -> tuple[DataFrame, list[str]]:
+    """The cohort of one drug and the columns that its release lacks. Truth and
+    call are both R or S; genomes must be there, `samples` may be missing for
+    an isolate. A missing string is null, a missing number no column. Raises
+    where no row is left."""
+    absent = [c for c in (*GENOME_STRINGS, *GENOME_NUMBERS) if c not in genomes.columns] + [c for c in SAMPLE_STRINGS if c not in samples.columns]
+    string = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    own = genomes.select("uid", "lineage", *[string(genomes, c) for c in GENOME_STRINGS], *[c for c in GENOME_NUMBERS if c in genomes.columns])
+    extra = samples.select("uid", *[string(samples, c) for c in SAMPLE_STRINGS])
+    called = predictions.filter((F.col("catalogue_name") == catalogue) & (F.col("catalogue_version") == version) & (F.col("drug") == drug) & F.col("prediction").isin("R", "S"))
+    truth = phenotypes.filter((F.col("drug") == drug) & F.col("phenotype").isin("R", "S"))
+    rows = truth.join(called.select("uid", "drug", "prediction"), ["uid", "drug"]).join(own, "uid").join(extra, "uid", "left")
+    return require_rows(rows, f"cohort of {drug}"), sorted(absent)
+
+
 def require_rows(df: DataFrame, what: str = "cohort") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"empty {what}")

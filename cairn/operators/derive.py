@@ -47,7 +47,7 @@ def category_burden(carried: DataFrame, features: DataFrame, annotations: DataFr
 
 def resgene_burden(carried: DataFrame, annotations: DataFrame, drug: str) -> DataFrame:
     """Mutations in genes whose curated list of drugs has this one."""
-    genes = annotations.filter(F.array_contains(F.split("resistance", ","), drug)).select("gene")
+    genes = annotations.filter(F.array_contains(F.split("drug_resistance", r"\s*,\s*"), drug)).select("gene").distinct()  # curated genes
     return carried.join(F.broadcast(genes), "gene", "left_semi").groupBy("uid").agg(F.count(F.lit(1)).alias("n_resgene"))
 
 

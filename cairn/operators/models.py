@@ -215,46 +215,6 @@ def graded_regression(rows: DataFrame, graded: DataFrame) -> DataFrame:
     return stored(out, "graded")
 
 
-def firth(rows: DataFrame, n_features: int, ridge: float = 1e-8, steps: int = 25, tolerance: float = 1e-6) -> np.ndarray:
-    """Firth's bias-reduced logistic regression by iterated weighted least
-    squares: X'WX and the corrected score are summed over partitions, only the
-    p x p system (a bounded pool's p, constants included) is solved on the driver."""
-    data = rows.select(vector_to_array("features").alias("x"), "label")
-    beta = np.zeros(n_features)
-    for _ in range(steps):
-        info = _summed(data, beta, None, n_features)
-        inverse = np.linalg.inv(info + ridge * np.eye(n_features))
-        score = _summed(data, beta, inverse, n_features)
-        step = inverse @ score
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < tolerance:
-            break
-    return beta
-
-
-def _summed(data: DataFrame, beta: np.ndarray, inverse: np.ndarray | None, p: int) -> np.ndarray:
-    """Information matrix, or with its inverse the modified score."""
-    import pandas as pd
-
-    def run(parts):
-        total = np.zeros((p, p) if inverse is None else p)
-        for pdf in parts:
-            if len(pdf):
-                x = np.stack(pdf["x"])
-                mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                w = mu * (1 - mu)
-                if inverse is None:
-                    total += (x * w[:, None]).T @ x
-                else:
-                    h = w * np.einsum("ij,jk,ik->i", x, inverse, x)
-                    total += x.T @ (pdf["label"].to_numpy() - mu + h * (0.5 - mu))
-        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
-
-    sums = data.mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    flat = np.array([r["v"] for r in sums])
-    return flat.reshape(p, p) if inverse is None else flat
-
-
 def transfer(rows: DataFrame, cohort: DataFrame, carried: DataFrame, pool: DataFrame, classes: Mapping[str, str], drugs: int) -> DataFrame:
     """One boosted model over (isolate, drug): features that drugs share, the
     drug and its class as categories. Its mean AUC on held-out lineages for
@@ -274,11 +234,40 @@ def transfer(rows: DataFrame, cohort: DataFrame, carried: DataFrame, pool: DataF
     return wide.select("drug", F.round("joint", 6).alias("mean_auc"), F.round(F.col("joint") - F.col("own"), 6).alias("delta"), "n_groups")
 
 
-def model_cards(models: DataFrame, tiers: DataFrame, cohort: DataFrame) -> DataFrame:
-    """One card for each drug: model, evaluation and cohort joined; a drug
-    without an evaluation keeps nulls."""
-    n = cohort.groupBy("drug").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("phenotype") == "R").alias("n_r"))
-    return models.join(n, "drug", "left").join(tiers.select("drug", "auc", "tier"), "drug", "left")
+def model_digest(model: DataFrame) -> DataFrame:
+    """(drug, model_sha256, n_features): a digest of each drug's terms, equal
+    for equal models to nine decimals, whatever the order of their rows."""
+    term = F.concat_ws("=", "feature", F.floor(F.col("coef") * 1e9 + 0.5).cast("string"))
+    g = model.groupBy("drug").agg(F.array_join(F.array_sort(F.collect_list(term)), ";").alias("terms"), F.count_if(F.col("kind") != "intercept").alias("n_features"))  # a model's
+    return g.select("drug", F.sha2("terms", 256).alias("model_sha256"), "n_features")
+
+
+def one_release(marts: DataFrame) -> str:
+    """The release that all of `marts(drug, release, fe_id)` come from, with
+    one way of making features; raises where it is not one, or not named."""
+    said = marts.agg(F.collect_set("release").alias("releases"), F.collect_set("fe_id").alias("ids"), F.count_if(F.col("release").isNull() | (F.col("release") == "")).alias("unnamed")).first()
+    if said["unnamed"]:
+        raise ValueError("a mart names no release")
+    if len(said["releases"]) != 1 or len(said["ids"]) != 1:
+        raise ValueError(f"one release and one way of making features a package, not {sorted(said['releases'])} and {sorted(said['ids'])}")
+    return said["releases"][0]
+
+
+def model_cards(model: DataFrame, tiers: DataFrame, cohort: DataFrame, mart_features: DataFrame, marts: DataFrame) -> DataFrame:
+    """One card for each drug of a fitted `model` (as serving reads it): its
+    digest and size, the features that the mart lacks, the largest terms, its
+    evaluation, its cohort, and the release and feature identity of its mart. A
+    drug without an evaluation keeps nulls."""
+    release = one_release(marts)
+    own = model.filter("kind = 'mutation'")
+    gone = own.join(mart_features.select(*FEATURE).distinct(), FEATURE, "left_anti").groupBy("drug").agg(F.count(F.lit(1)).alias("n_missing"), F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("missing"))
+    largest = top_features(own.withColumn("size", F.round(F.abs("coef"), 9)), F.desc("size"), 5).groupBy("drug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]), ",").alias("largest"))
+    fill = model.filter("kind = 'coverage'").groupBy("drug").agg(F.max("fill").alias("depth_fill"))
+    n = cohort.groupBy("drug").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("phenotype") == "R").alias("n_r")).withColumn("pct_r", F.round(100 * F.col("n_r") / F.col("n"), 1))
+    out = model_digest(model)
+    for part in (largest, fill, gone, n, tiers.select("drug", "auc", "tier", "stability_std"), marts.select("drug", "fe_id")):
+        out = out.join(part, "drug", "left")
+    return out.na.fill({"n_missing": 0, "missing": ""}).withColumn("release", F.lit(release))
 
 
 def fills(cohort: DataFrame) -> DataFrame:

@@ -119,10 +119,13 @@ def concordance(effect: DataFrame, residual: DataFrame, importance: DataFrame |
 
 
 def sensitivity(votes: DataFrame) -> DataFrame:
+    """How many features each rule of concordance would keep; with a vote of
+    importance, also that rule's."""
     n = F.col("n_votes")
+    more = [F.count_if(F.col("effect_significant") & F.col("important")).alias("n_effect_important")] if "important" in votes.columns else []
     return votes.groupBy("drug").agg(
         F.count_if(n >= 1).alias("n_any"), F.count_if(n >= 2).alias("n_two"), F.count_if(F.col("effect_significant")).alias("n_effect"),
-        F.count_if(F.col("effect_significant") & F.col("residual_survives")).alias("n_pair"), F.count_if(n >= 3).alias("n_three"), F.count(F.lit(1)).alias("n_candidates"),
+        F.count_if(F.col("effect_significant") & F.col("residual_survives")).alias("n_pair"), F.count_if(n >= 3).alias("n_three"), F.count(F.lit(1)).alias("n_candidates"), *more,
     )
 
 

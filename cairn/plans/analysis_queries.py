@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.functions.mutations import CLASSES, REGIONS, RESIDUES
+from cairn.functions.mutations import CLASSES, FAMILIES, REGIONS, RESIDUES
 from cairn.operators import carriage as K
 from cairn.operators import derive as D
 from cairn.operators import evaluate as E
@@ -15,8 +15,10 @@ from cairn.operators import stats as S
 from cairn.operators import steps as P
 from cairn.plans import fixtures as X
 from cairn.plans.fixtures import sql
+from cairn.plans.held import held
 from cairn.plans.registry import query
 from cairn.plans.release_queries import carried, cohort, labelled, pairs
+from cairn.sources.release import parse_gff
 
 TWO = "SELECT drug, gene, mutation, carriers, carriers_r AS a, carriers-carriers_r AS b, n_r-carriers_r AS c, n-n_r-carriers+carriers_r AS d FROM {p} JOIN {t} USING (drug{by})"
 CHI2 = "CASE WHEN (a+b)*(c+d)*(a+c)*(b+d) > 0 THEN (a+b+c+d)::DOUBLE*(a::DOUBLE*d-b::DOUBLE*c)*(a::DOUBLE*d-b::DOUBLE*c)/((a+b)::DOUBLE*(c+d)*(a+c)*(b+d)) ELSE 0 END"
@@ -55,9 +57,13 @@ def class_filter(s, d):
     return P.class_filter(features(s, d), drop=["synonymous"]).select("gene", "mutation")
 
 
-@query("region_filter", sql("SELECT gene, mutation FROM features WHERE gene NOT IN (SELECT gene FROM annotations WHERE is_hitchhiker)", "features", "annotations"))
+_FAMILY = " AND ".join(f"NOT regexp_matches(gene, '{p}')" for p in FAMILIES.values())
+_OUTSIDE = f"gene NOT IN (SELECT gene FROM annotations WHERE is_hitchhiker) AND {_FAMILY}"
+
+
+@query("region_filter", sql(f"SELECT gene, mutation FROM features WHERE {_OUTSIDE}", "features", "annotations"))
 def region_filter(s, d):
-    return P.region_filter(features(s, d), flagged=X.annotations(s).filter("is_hitchhiker")).select("gene", "mutation")
+    return P.region_filter(features(s, d), flagged=annotated(s).filter("is_hitchhiker_region")).select("gene", "mutation")
 
 
 _LOW = 'SELECT DISTINCT a.gene FROM annotations a JOIN low_confidence l ON a.start <= l."end" AND l.start <= a."end"'
@@ -70,7 +76,7 @@ def callability(s, d):
 
 @query(
     "step_chain",
-    sql(f"SELECT gene, mutation FROM features WHERE mut_class NOT IN ('synonymous') AND gene NOT IN ({_LOW}) AND gene NOT IN (SELECT gene FROM annotations WHERE is_hitchhiker)", "features", "annotations", "low_confidence"),
+    sql(f"SELECT gene, mutation FROM features WHERE mut_class NOT IN ('synonymous') AND gene NOT IN ({_LOW}) AND {_OUTSIDE}", "features", "annotations", "low_confidence"),
 )
 def step_chain(s, d):
     steps = [("class_filter", {"drop": ["synonymous"]}), ("region_filter", {"flagged": X.annotations(s).filter("is_hitchhiker")}), ("callability_filter", {"annotations": X.annotations(s), "spans": X.low_confidence(s)})]
@@ -200,12 +206,11 @@ _CTES = {"t": T, "q": _Q, "po": _POOL, "s": _STRATA}
 
 
 def counted(s, d):
-    """Strata, counts and pool, each stored once for all votes on them."""
-    base = stored(L.strata(cohort(s, d)), "strata")
-    n = stored(L.counts(base, carried(s, d)), "counts")
+    """Strata, counts and pool, each stored once for a release."""
+    base = held(s, d, "strata", lambda: L.strata(cohort(s, d)))
+    n = held(s, d, "counts", lambda: L.counts(base, carried(s, d)))
     t = base.groupBy("drug").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_r"))
-    candidates = stored(L.pool(L.feature_corr(L.pairs_of(n), t), 30, X.determinants(s)), "pool")
-    return base, n, candidates
+    return base, n, held(s, d, "pool", lambda: L.pool(L.feature_corr(L.pairs_of(n), t), 30, X.determinants(s)))
 
 
 def effect(s, d):
@@ -339,16 +344,24 @@ def category_burden(s, d):
     return D.category_burden(carried(s, d), features(s, d), X.annotations(s))
 
 
+def annotated(s):
+    """The fixture's annotations as lines of a file, parsed as such."""
+    a = X.annotations(s)
+    attr = F.concat(F.lit("Locus=L;Name="), "gene", F.lit(";Functional_Category="), F.when(F.col("is_hitchhiker"), "PE/PPE").otherwise("other"), F.lit(";Drug Resistance Mutations="), "resistance")
+    line = F.concat_ws("\t", F.lit("chr"), F.lit("src"), F.lit("CDS"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.lit("+"), F.lit("0"), attr)
+    return parse_gff(a.select(line.alias("value")))
+
+
 @query("resgene_burden", sql("SELECT uid, count(*) AS n_resgene FROM carriage WHERE gene IN (SELECT gene FROM annotations WHERE list_contains(string_split(resistance,','),'D2')) GROUP BY uid", "carriage", "annotations"))
 def resgene_burden(s, d):
-    return D.resgene_burden(carried(s, d), X.annotations(s), "D2")
+    return D.resgene_burden(carried(s, d), annotated(s), "D2")
 
 
-_SCORES = "SELECT gene, mutation, -(substr(gene,2)::INT) / 4 AS score FROM (SELECT DISTINCT gene, mutation FROM carriage)"
+_SCORES = "SELECT gene, mutation, -(regexp_extract(gene,'([0-9]+)$',1)::INT) / 4 AS score FROM (SELECT DISTINCT gene, mutation FROM carriage)"
 
 
 def scores(s, d):
-    return carried(s, d).select("gene", "mutation").distinct().withColumn("score", -F.substring("gene", 2, 9).cast("int") / 4)
+    return carried(s, d).select("gene", "mutation").distinct().withColumn("score", -F.regexp_extract("gene", "([0-9]+)$", 1).cast("int") / 4)
 
 
 @query("weighted_burden", sql("SELECT uid, round(sum(-score),4) AS burden FROM carriage JOIN sc USING (gene, mutation) GROUP BY uid", "carriage", sc=_SCORES))
@@ -526,20 +539,12 @@ def fold_scored(s, d, regime):
     return _fold_scores(base, base.join(carried(s, d), "uid"))
 
 
-def set_scored(s, d, regime, by, names):
-    """The same for each set of features, `by` a column of the feature
-    dimension with one of `names`: the set is a key of one job, `drug@set`."""
-    base = _with_folds(s, d, regime).withColumn("set", F.explode(F.array(*map(F.lit, names))))
-    base = base.withColumn("drug", F.concat_ws("@", "drug", "set"))
-    rows = base.join(carried(s, d).join(features(s, d).withColumnRenamed(by, "set"), ["gene", "mutation"]).select("uid", "gene", "mutation", "set"), ["uid", "set"])
-    return _fold_scores(base.drop("set"), rows.drop("set"))
-
-
-def chosen_scored(s, d, regime, sets, names):
-    """The same for sets of each drug's own features, (drug, gene, mutation,
-    set): a carried feature meets the sets that have it."""
+def set_scored(s, d, regime, sets, names):
+    """The same for `sets` of features, (gene, mutation, set) or each drug's
+    own: the set is a key of one job, `drug@set`, and a carried feature meets
+    the sets that have it."""
     base = _with_folds(s, d, regime)
-    rows = base.join(carried(s, d), "uid").join(sets, ["drug", "gene", "mutation"])
+    rows = base.join(carried(s, d), "uid").join(sets, [c for c in sets.columns if c != "set"])
     key = F.concat_ws("@", "drug", "set").alias("drug")
     base = base.withColumn("set", F.explode(F.array(*map(F.lit, names))))
     return _fold_scores(*[x.select(key, *[c for c in x.columns if c not in ("drug", "set")]) for x in (base, rows)])
@@ -591,33 +596,39 @@ def random_risk_score(s, d):
     return fold_summary(s, d, "random")
 
 
-def _set_sql(by, names, value):
+def _set_sql(by, names, sets):
     folds = lambda f: f"SELECT drug||'@'||name AS drug, uid, y, fold FROM ({f}), unnest([{', '.join(repr(n) for n in names)}]) x(name)"
-    keep = f"JOIN features USING (gene, mutation) WHERE {value} = split_part(drug, '@', 2)"
+    keep = f"JOIN features USING (gene, mutation) WHERE list_contains({sets}, split_part(drug, '@', 2))"
     return sql(
-        f"""SELECT split_part(drug, '@', 1) AS drug, split_part(drug, '@', 2) AS {by}, round(r.mean_auc, 4) AS random_auc, round(l.mean_auc, 4) AS logo_auc FROM ({_means("r")}) r JOIN ({_means("l")}) l USING (drug)""",
+        f"""SELECT split_part(drug, '@', 1) AS drug, split_part(drug, '@', 2) AS {by}, n_features, round(r.mean_auc, 4) AS random_auc, round(l.mean_auc, 4) AS logo_auc, round(r.mean_auc - l.mean_auc, 4) AS gap
+  FROM ({_means("r")}) r JOIN ({_means("l")}) l USING (drug) JOIN (SELECT drug, count(DISTINCT (gene, mutation)) AS n_features FROM rp GROUP BY drug) USING (drug)""",
         "cohort", "carriage", "features", **fold_ctes("r", folds(AT_RANDOM), keep), **fold_ctes("l", folds(BY_LINEAGE), keep))
 
 
-def _set_aucs(s, d, by, names):
-    """Mean AUC of each set of features under random folds and held-out lineages."""
-    mean = lambda regime, out: E.logo_summary(set_scored(s, d, regime, by, names)).select("drug", F.round("mean_auc", 4).alias(out))
-    both = mean("random", "random_auc").join(mean("lineage", "logo_auc"), "drug")
+def _set_aucs(s, d, by, sets, names):
+    """Mean AUC of each set of features under random folds and held-out
+    lineages, and the gap; sets of which a drug carries nothing are no rows."""
+    mean = lambda regime, out: E.logo_summary(set_scored(s, d, regime, sets, names)).select("drug", F.col("mean_auc").alias(out))
+    sized = labelled(s, d).join(sets, ["gene", "mutation"]).groupBy("drug", "set").agg(F.count_distinct("gene", "mutation").alias("n_features"))
+    sized = sized.select(F.concat_ws("@", "drug", "set").alias("drug"), "n_features")
+    both = mean("random", "r").join(mean("lineage", "l"), "drug").join(sized, "drug")
     part = lambda k: F.split_part("drug", F.lit("@"), F.lit(k))
-    return both.select(part(1).alias("drug"), part(2).alias(by), "random_auc", "logo_auc")
+    return both.select(part(1).alias("drug"), part(2).alias(by), "n_features", F.round("r", 4).alias("random_auc"), F.round("l", 4).alias("logo_auc"), F.round(F.col("r") - F.col("l"), 4).alias("gap"))
 
 
-@query("class_set_auc", _set_sql("mut_class", CLASSES, "mut_class"))
+@query("class_set_auc", _set_sql("mut_class", [*CLASSES, "all", "functional"], "[mut_class, 'all', CASE WHEN mut_class <> 'synonymous' THEN 'functional' END]"))
 def class_set_auc(s, d):
-    return _set_aucs(s, d, "mut_class", CLASSES)
+    """Each class alone, all, and all but synonymous."""
+    sets = F.array(F.col("mut_class"), F.lit("all"), F.when(F.col("mut_class") != "synonymous", "functional"))
+    chosen = stored(features(s, d).select("gene", "mutation", F.explode(F.array_compact(sets)).alias("set")), "sets")
+    return _set_aucs(s, d, "mut_class", chosen, [*CLASSES, "all", "functional"])
 
 
-_REGION_NAMES = [*REGIONS, "core"]
-
-
-@query("region_set_auc", _set_sql("region", _REGION_NAMES, _REGION))
+@query("region_set_auc", _set_sql("region", [*REGIONS, "core", "all"], f"[{_REGION}, 'all']"))
 def region_set_auc(s, d):
-    return _set_aucs(s, d, "region", _REGION_NAMES)
+    """Each region alone, and core genes against all."""
+    chosen = stored(features(s, d).select("gene", "mutation", F.explode(F.array(F.col("region"), F.lit("all"))).alias("set")), "sets")
+    return _set_aucs(s, d, "region", chosen, [*REGIONS, "core", "all"])
 
 
 _SELECTED = "JOIN (SELECT drug, gene, mutation FROM vo WHERE effect_significant AND residual_survives) USING (drug, gene, mutation)"
@@ -639,7 +650,7 @@ def headline(s, d):
     part = lambda k: F.split_part("drug", F.lit("@"), F.lit(k))
     cells = None
     for regime, name in (("random", "random"), ("lineage", "logo")):
-        means = E.logo_summary(chosen_scored(s, d, regime, sets, ["concordant", "de_novo"]))
+        means = E.logo_summary(set_scored(s, d, regime, sets, ["concordant", "de_novo"]))
         means = means.select(part(1).alias("drug"), F.concat_ws("_", part(2), F.lit(name)).alias("cell"), F.col("mean_auc").alias("auc"))
         cells = means if cells is None else cells.unionByName(means)
     return E.headline(cells)
@@ -672,13 +683,12 @@ def _folds(s, d):
     return own.join(random, "drug").join(seen, "drug")
 
 
-@query(
-    "tier_report",
-    sql(
-        """SELECT drug, count(*) AS n_folds, round(avg(auc),4) AS auc, CASE WHEN avg(auc) >= 0.88 THEN 'usable' WHEN avg(auc) >= 0.8 THEN 'moderate' ELSE 'at chance' END AS tier, CASE WHEN count(*) > 1 THEN round(stddev_pop(auc),4) END AS stability_std,
-  round(avg(random_auc) - avg(auc),4) AS inflation_vs_random, round(avg(mean_group_auc) - avg(auc),4) AS selection_leakage FROM f WHERE "group" = held_out AND auc IS NOT NULL GROUP BY drug""",
-        *_RISK, "carriage", t=T, w=_W, sc=_SCORED, **fold_ctes("l", BY_LINEAGE), **fold_ctes("r", AT_RANDOM), f=_FOLDS),
-)
+_TIERS = """SELECT drug, count(*) AS n_folds, round(avg(auc),4) AS auc, CASE WHEN avg(auc) >= 0.88 THEN 'usable' WHEN avg(auc) >= 0.8 THEN 'moderate' ELSE 'at chance' END AS tier, CASE WHEN count(*) > 1 THEN round(stddev_pop(auc),4) END AS stability_std,
+  round(avg(random_auc) - avg(auc),4) AS inflation_vs_random, round(avg(mean_group_auc) - avg(auc),4) AS selection_leakage FROM f WHERE "group" = held_out AND auc IS NOT NULL GROUP BY drug"""
+_TIER_CTES = {"t": T, "w": _W, "sc": _SCORED, **fold_ctes("l", BY_LINEAGE), **fold_ctes("r", AT_RANDOM), "f": _FOLDS}
+
+
+@query("tier_report", sql(_TIERS, *_RISK, "carriage", **_TIER_CTES))
 def tier_report(s, d):
     return E.tier_report(_folds(s, d))
 
@@ -780,3 +790,27 @@ _SWEPT_SOLO = "SELECT drug, tau, mutation, count(*) AS n, count(*) FILTER (pheno
 def grade_sweep(s, d):
     m = X.mutations(s, d).join(F.broadcast(X.determinants(s)), "gene").select("drug", "uid", F.concat("gene", F.lit("@"), "mutation").alias("mutation"), F.coalesce("frs", F.lit(0.0)).alias("frs"))
     return G.grade_sweep(cohort(s, d), m, [0.0, 0.5, 0.95])
+
+
+# the risk weights as a linear model: |w| times the mean absolute deviation of the column
+_IMPORTANT = """SELECT drug, gene, mutation, row_number() OVER (PARTITION BY drug ORDER BY abs(w)*2*p*(1-p) DESC, gene, mutation) <= greatest(1, floor(count(*) OVER (PARTITION BY drug)/2)) AS important
+  FROM (SELECT drug, gene, mutation, w, carriers::DOUBLE/(a+b+c+d) AS p FROM w JOIN t USING (drug, gene, mutation) JOIN po USING (drug, gene, mutation))"""
+_THREE = "SELECT *, effect_significant::INT + residual_survives::INT + important::INT AS n_votes FROM (SELECT drug, gene, mutation, coalesce(effect_significant,false) AS effect_significant, coalesce(residual_survives,false) AS residual_survives, coalesce(important,false) AS important FROM vo FULL JOIN im USING (drug, gene, mutation))"
+
+
+@query(
+    "sensitivity_three",
+    sql(
+        f"""SELECT drug, count(*) FILTER (n_votes>=1) AS n_any, count(*) FILTER (n_votes>=2) AS n_two, count(*) FILTER (effect_significant) AS n_effect, count(*) FILTER (effect_significant AND residual_survives) AS n_pair,
+  count(*) FILTER (n_votes>=3) AS n_three, count(*) AS n_candidates, count(*) FILTER (effect_significant AND important) AS n_effect_important FROM ({_THREE}) GROUP BY drug""",
+        *_NEED, **_CTES, vo=_VOTES, w=_W, im=_IMPORTANT),
+)
+def sensitivity_three(s, d):
+    """All three votes, that of importance by a closed-form linear model."""
+    from cairn.operators.models import importance_vote
+
+    base, n, candidates = counted(s, d)
+    p = L.pairs_of(n)
+    t = base.groupBy("drug").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_r"))
+    coefs = D.risk_weights(p, t).join(candidates.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"]).withColumnRenamed("w", "coef")
+    return L.sensitivity(L.concordance(L.vote_effect(base, n, candidates), L.vote_residual(base, n, candidates), importance_vote(coefs, p, t)))

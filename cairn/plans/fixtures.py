@@ -40,6 +40,21 @@ def _drug() -> Column:
     return F.concat(F.lit("D"), F.substring("o_orderpriority", 1, 1))
 
 
+#: Genes from this number on are of families that make up regions.
+FAMILY_FROM = {16: "PPE", 18: "PE", 20: "esx", 22: "IS", 24: "B"}
+
+
+def gene_name(number: Column) -> Column:
+    """`B` and the number, or the prefix of the family that has it."""
+    prefix = F.lit("B")
+    for first, name in FAMILY_FROM.items():
+        prefix = F.when(number >= first, name).otherwise(prefix)
+    return F.concat(prefix, number.cast("string"))
+
+
+GENE = "CASE " + " ".join(f"WHEN {{g}} >= {first} THEN '{name}'" for first, name in sorted(FAMILY_FROM.items(), reverse=True)) + " ELSE 'B' END||{g}"
+
+
 def mutation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutations with the drug of their order, for `effects`."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
@@ -56,7 +71,7 @@ def mutation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return rows.join(iso, F.col("o_custkey") == F.col("ck")).select(
         "uid",
-        F.replace("p_brand", F.lit("Brand#"), F.lit("B")).alias("gene"),
+        gene_name(F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")).alias("gene"),
         mutation.alias("mutation"),
         F.when(F.col("l_discount") != 0, 1 - F.col("l_discount")).alias("frs"),
         F.col("l_quantity").alias("coverage"),
@@ -81,7 +96,7 @@ def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per isolate and drug, `d` its number, `carrier` whether it has a planted determinant."""
     o = table(spark, sf_dir, "orders").select("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("d")).distinct()
     base = o.join(isolates(spark, sf_dir), F.col("o_custkey") == F.col("ck"))
-    causes = mutations(spark, sf_dir).filter("mutation LIKE 'K%' OR mutation LIKE '%\\\\_del\\\\_%'").select(F.col("uid").alias("cu"), F.substring("gene", 2, 9).cast("int").alias("g")).distinct()
+    causes = mutations(spark, sf_dir).filter("mutation LIKE 'K%' OR mutation LIKE '%\\\\_del\\\\_%'").select(F.col("uid").alias("cu"), F.expr("try_cast(substring(gene, 2) AS int)").alias("g")).distinct()
     hit = causes.filter("g <= 10").select("cu", F.when(F.col("g") > 5, F.col("g") - 5).otherwise(F.col("g")).alias("cd"), F.lit(True).alias("c")).distinct()
     return base.join(hit, (F.col("uid") == F.col("cu")) & (F.col("d") == F.col("cd")), "left").withColumn("carrier", F.coalesce("c", F.lit(False)))
 
@@ -115,7 +130,7 @@ def determinants(spark: SparkSession, sf_dir: str = "") -> DataFrame:
 def annotations(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     g = spark.range(1, 26).select(F.col("id").cast("int").alias("g"))
     return g.select(
-        F.concat(F.lit("B"), _s("g")).alias("gene"),
+        gene_name(F.col("g")).alias("gene"),
         (F.col("g") * 1000).alias("start"),
         (F.col("g") * 1000 + 900).alias("end"),
         (F.col("g") % 4).alias("category"),
@@ -144,7 +159,7 @@ CTES = {
     "isolates": """SELECT 'site.'||lpad(c_nationkey::VARCHAR,2,'0')||'.subj.'||c_custkey AS uid, c_custkey AS ck, 'lineage'||(n_regionkey+1) AS lineage,
   'lineage'||(n_regionkey+1)||'.'||(c_nationkey%3+1)||'.'||(c_custkey%4+1) AS sublineage, n_name AS country, abs(c_acctbal)/100 AS tb_depth, c_mktsegment AS dataset
   FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "mutation_rows": """SELECT uid, replace(p_brand,'Brand#','B') AS gene,
+    "mutation_rows": f"""SELECT uid, {GENE.format(g="replace(p_brand,'Brand#','')::INT")} AS gene,
   CASE p_type WHEN 'PROMO' THEN 'K'||(p_size%10+1)||'E' WHEN 'STANDARD' THEN 'S'||(p_size%10+1)||'L' WHEN 'SMALL' THEN 'F'||(p_size%10+1)||'F'
     WHEN 'MEDIUM' THEN 'a-'||(p_size%10+1)||'c' WHEN 'LARGE' THEN (p_size%10+1)||'_del_a' ELSE 'R'||(p_size%10+1)||'!' END AS mutation,
   CASE WHEN l_discount <> 0 THEN 1-l_discount END AS frs, l_quantity AS coverage, l_returnflag='R' AS is_minor, 'D'||substr(o_orderpriority,1,1) AS drug, l_returnflag, l_tax
@@ -161,7 +176,7 @@ CTES = {
     "effects": """SELECT uid, drug, gene, mutation, CASE WHEN l_tax=0 THEN 'F' WHEN l_returnflag='R' THEN 'R' WHEN l_returnflag='A' THEN 'S' ELSE 'U' END AS prediction,
   'CAT-1' AS catalogue_name, 1 AS catalogue_version FROM mutation_rows""",
     "determinants": "SELECT 'D'||d AS drug, 'B'||unnest([d, d+5]) AS gene FROM (SELECT range AS d FROM range(1,6))",
-    "annotations": """SELECT 'B'||g AS gene, g*1000 AS start, g*1000+900 AS \"end\", g%4 AS category, g%8=0 AS is_hitchhiker,
+    "annotations": f"""SELECT {GENE.format(g="g")} AS gene, g*1000 AS start, g*1000+900 AS \"end\", g%4 AS category, g%8=0 AS is_hitchhiker,
   CASE WHEN g<=10 THEN 'D'||(CASE WHEN g>5 THEN g-5 ELSE g END) ELSE '' END AS resistance FROM (SELECT range::INT AS g FROM range(1,26))""",
     "low_confidence": "SELECT s*2500 AS start, s*2500+300 AS \"end\" FROM (SELECT range::INT AS s FROM range(1,11))",
     "catalogue_a": """SELECT drug, gene||'@'||mutation AS mutation, 'R' AS prediction

@@ -13,17 +13,22 @@ from cairn.operators import wide as W
 from cairn.operators.shared import new_path
 from cairn.plans import fixtures as X
 from cairn.plans.fixtures import sql
+from cairn.plans.held import held
 from cairn.plans.registry import query
 
 DRUGS = ["D1", "D2", "D3", "D4", "D5"]
 
 
-def cohort(s: SparkSession, d: str) -> DataFrame:
+def made_cohort(s: SparkSession, d: str) -> DataFrame:
     return C.cohort(X.phenotypes(s, d), X.predictions(s, d), X.isolates(s, d), X.CATALOGUE, X.VERSION)
 
 
+def cohort(s: SparkSession, d: str) -> DataFrame:
+    return held(s, d, "cohort", lambda: made_cohort(s, d))
+
+
 def carried(s: SparkSession, d: str) -> DataFrame:
-    return K.carriage(X.mutations(s, d))
+    return held(s, d, "carriage", lambda: K.carriage(X.mutations(s, d)))
 
 
 def labelled(s: SparkSession, d: str) -> DataFrame:
@@ -215,7 +220,7 @@ def feature_frame(s, d):
 
 @query("cohort", sql("SELECT * FROM cohort", "cohort"))
 def cohort_query(s, d):
-    return cohort(s, d)
+    return made_cohort(s, d)
 
 
 @query(
@@ -238,6 +243,20 @@ def per_drug_lineage(s, d):
     return C.per_drug_lineage(cohort(s, d))
 
 
+@query(
+    "cohort_drug",
+    sql("SELECT uid, drug, phenotype, quality, prediction, lineage, sublineage, round(tb_depth,4) AS tb_depth, CASE WHEN tb_depth > 20 THEN country END AS country, NULL::VARCHAR AS dataset FROM (SELECT c.*, i.sublineage AS own FROM cohort c JOIN isolates i USING (uid)) WHERE drug = 'D2'", "cohort", "isolates"),
+)
+def cohort_drug(s, d):
+    """One drug's cohort from a release whose samples have no data set and are
+    missing for isolates of low depth: every isolate stays."""
+    iso = X.isolates(s, d)
+    samples = iso.filter("tb_depth > 20").select("uid", "country")
+    rows, absent = C.drug_cohort(X.phenotypes(s, d), X.predictions(s, d), iso.select("uid", "lineage", "sublineage", "tb_depth"), samples, X.CATALOGUE, X.VERSION, "D2")
+    assert absent == ["dataset", "tb_coverage"]
+    return rows.withColumn("tb_depth", F.round("tb_depth", 4))
+
+
 @query("cohort_counts", sql("SELECT count(*) AS n_rows, count(DISTINCT uid) AS n_uid, count(DISTINCT drug) AS n_drug FROM cohort", "cohort"))
 def cohort_counts(s, d):
     return C.cohort_counts(cohort(s, d))
@@ -302,7 +321,7 @@ def wildcards(s, d):
 
 @query("carriers", sql("SELECT * FROM carriage", "carriage"))
 def carriers(s, d):
-    return carried(s, d)
+    return K.carriage(X.mutations(s, d))
 
 
 _ELIGIBLE = "SELECT p.* FROM pairs p JOIN totals USING (drug) WHERE carriers BETWEEN 10 AND floor(0.5*n)"

@@ -10,11 +10,13 @@ from cairn.operators import derive as D
 from cairn.operators import evaluate as E
 from cairn.operators import models as M
 from cairn.operators import select as L
+from cairn.operators.firth import firth as firth_fit
 from cairn.operators import serve as R
 from cairn.operators.shared import new_path, stored
 from cairn.plans import fixtures as X
-from cairn.plans.analysis_queries import _EFFECT, _POOL, _Q, _STRATA, _W, T, _folds, corr, counted, effect, scored, totals, votes
+from cairn.plans.analysis_queries import _EFFECT, _POOL, _Q, _STRATA, _TIER_CTES, _TIERS, _W, T, _folds, corr, counted, effect, scored, totals, votes
 from cairn.plans.fixtures import sql
+from cairn.plans.held import held
 from cairn.plans.registry import query
 from cairn.plans.release_queries import CLASSES, carried, cohort
 from cairn.sources import deposit as P
@@ -23,13 +25,14 @@ from cairn.streaming import predict as stream
 
 
 def instances(s, d):
-    return R.assemble_instances(X.isolates(s, d), X.mutations(s, d))
+    return held(s, d, "instances", lambda: R.assemble_instances(X.isolates(s, d), X.mutations(s, d)))
 
 
 @query("assemble_instances", sql("SELECT uid, lineage, round(tb_depth,4) AS tb_depth, string_agg(gene||'@'||mutation, ';' ORDER BY gene, mutation) AS variants FROM isolates LEFT JOIN carriage USING (uid) GROUP BY ALL", "isolates", "carriage"))
 def assemble_instances(s, d):
+    docs = R.assemble_instances(X.isolates(s, d), X.mutations(s, d))
     text = F.array_join(F.transform("variants", lambda v: F.concat(v["gene"], F.lit("@"), v["mutation"])), ";")
-    return instances(s, d).select("uid", "covariates.lineage", F.round("covariates.tb_depth", 4).alias("tb_depth"), F.nullif(text, F.lit("")).alias("variants"))
+    return docs.select("uid", "covariates.lineage", F.round("covariates.tb_depth", 4).alias("tb_depth"), F.nullif(text, F.lit("")).alias("variants"))
 
 
 @query(
@@ -68,7 +71,11 @@ _LOGIT = f"""SELECT uid, drug, base + sum(coef*value/scale) AS x FROM ({_VECTOR}
 
 
 def model(s, d):
-    """One table with all that serving reads."""
+    """One table with all that serving reads, stored once for a release."""
+    return held(s, d, "model", lambda: _model(s, d))
+
+
+def _model(s, d):
     base, counts, candidates = counted(s, d)
     p = stored(L.pairs_of(counts), "pairs")
     t = totals(s, d)
@@ -82,7 +89,7 @@ def model(s, d):
     m = m.select("drug", "feature", "kind", "gene", "mutation", "fill", pick(F.col("w"), 0.25, -0.5).alias("coef"), pick(F.col("mean"), 0.2, 40.0).alias("mean"), pick(sd, 0.4, 20.0).alias("scale"))
     none = F.lit(None).cast("string")
     extra = t.select("drug", F.lit("intercept").alias("feature"), F.lit("intercept").alias("kind"), none.alias("gene"), none.alias("mutation"), F.lit(0.0).alias("fill"), F.lit(-0.5).alias("coef"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale"))
-    return stored(m.unionByName(extra), "model")
+    return m.unionByName(extra)
 
 
 @query("vectorize", sql(f"SELECT uid, drug, feature, round(value,3) AS value FROM ({_VECTOR})", *_NEEDS, **_SERVED))
@@ -222,14 +229,23 @@ def lookup(s, d):
     return S.load_lookup(s, at, "n_nationkey int, n_name string, n_regionkey int", {"n_name": "country_name", "n_nationkey": "code"})
 
 
-@query("gff", "SELECT 'B'||p_partkey AS gene, p_partkey::INT*10 AS start, p_partkey::INT*10+p_size AS \"end\", p_type AS functional_category, p_type='SMALL' AS is_pseudogene, p_type='PROMO' AS essential_hint FROM part")
+@query(
+    "gff",
+    """SELECT 'B'||p_partkey AS gene, p_partkey::INT*10 AS start, p_partkey::INT*10+p_size AS "end", CASE WHEN p_size%5=0 THEN 'PE/PPE' WHEN p_size%7=0 THEN 'insertion seqs and phages' ELSE p_type END AS functional_category, p_type='SMALL' AS is_pseudogene,
+  p_type IN ('PROMO','LARGE') AS essential_hint, p_size%5=0 OR p_size%7=0 AS is_hitchhiker_region, CASE WHEN p_size%3=0 THEN 'D1,D'||(p_size%4+2) ELSE '' END AS drug_resistance, CASE WHEN p_size%2=0 THEN 'PF'||p_size ELSE '' END AS pfam FROM part""",
+)
 def gff(s, d):
     """Annotation lines made of the parts, parsed."""
-    p = X.table(s, d, "part")
-    attr = F.concat(F.lit("Locus=L"), F.col("p_partkey"), F.lit(";Name=B"), F.col("p_partkey"), F.lit(";Functional_Category="), "p_type", F.lit(";Is_Pseudogene="), F.when(F.col("p_type") == "SMALL", "Yes").otherwise("No"), F.lit(";Comments="), F.when(F.col("p_type") == "PROMO", "Essential gene").otherwise("nonessential"))
+    p, size, text = X.table(s, d, "part"), F.col("p_size"), lambda t: F.lit(t)
+    category = F.when(size % 5 == 0, "PE/PPE").when(size % 7 == 0, "insertion seqs and phages").otherwise(F.col("p_type"))
+    attr = F.concat(
+        text("Locus=L"), F.col("p_partkey"), text(";Name=B"), F.col("p_partkey"), text(";Functional_Category="), category, text(";Is_Pseudogene="), F.when(F.col("p_type") == "SMALL", "Yes").otherwise("No"),
+        text(";Comments="), F.when(F.col("p_type") == "PROMO", "Essential gene").otherwise("nonessential"), F.when(F.col("p_type") == "LARGE", ";Product=an essential kinase").otherwise(""),
+        F.when(size % 3 == 0, F.concat(text(";Drug Resistance Mutations=D1,D"), (size % 4 + 2).cast("string"))).otherwise(""), F.when(size % 2 == 0, F.concat(text(";PFAM=PF"), size.cast("string"))).otherwise(""),
+    )
     start = F.col("p_partkey") * 10
     line = F.concat_ws("\t", F.lit("chr"), F.lit("src"), F.lit("CDS"), start.cast("string"), (start + F.col("p_size")).cast("string"), F.lit("."), F.lit("+"), F.lit("0"), attr)
-    return S.parse_gff(p.select(line.alias("value"))).select("gene", "start", "end", "functional_category", "is_pseudogene", "essential_hint")
+    return S.parse_gff(p.select(line.alias("value"))).select("gene", "start", "end", "functional_category", "is_pseudogene", "essential_hint", "is_hitchhiker_region", "drug_resistance", "pfam")
 
 
 @query("bed", "SELECT p_partkey::INT*10+1 AS start, p_partkey::INT*10+p_size AS \"end\" FROM part")
@@ -378,8 +394,12 @@ def nested_logo(s, d):
 
 @query("surrogate")
 def surrogate(s, d):
-    rows, index, _, _ = _rows(s, d)
-    return M.surrogate(rows, index, scored(s, d))
+    """What the best model of each drug's leaderboard says out of fold, as an
+    additive model: its largest terms and how much of it they explain."""
+    rows, index, drugs, _ = _rows(s, d)
+    oof = M.out_of_fold(rows, M.learners(index.count(), drugs))
+    best = E.best_candidate(oof).filter("is_best").select("drug", "model")
+    return M.surrogate(rows, index, oof.join(F.broadcast(best), ["drug", "model"])).join(F.broadcast(best), "drug")  # a row for each drug
 
 
 @query("eval_mic")
@@ -398,13 +418,9 @@ def eval_mic(s, d):
 
 @query("firth")
 def firth(s, d):
-    """Bias-reduced coefficients of each drug's five strongest features: a
-    small model is the feature."""
-    best = K.top_n(corr(s, d).filter("r IS NOT NULL"), 5, F.desc(F.abs("r")))
-    rows, index = M.design(cohort(s, d), carried(s, d), best)
-    beta = M.firth(rows, index.count())
-    coef = s.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "i int, coef double")
-    return index.join(coef, "i").select("drug", "gene", "mutation", "coef")
+    """Bias-reduced coefficients of each drug's whole candidate pool."""
+    _, _, candidates = counted(s, d)
+    return firth_fit(cohort(s, d), carried(s, d), candidates)
 
 
 @query("transfer_eval")
@@ -428,10 +444,24 @@ def elastic_net_overlap(s, d):
     return n.withColumns({"jaccard": F.round(F.col("n_both") / F.col("n_any"), 6), "reg": F.lit(best["reg"]), "l1": F.lit(best["l1"])})
 
 
-@query("model_cards")
+_CARD = """SELECT drug, sha256(string_agg(term, ';' ORDER BY term)) AS model_sha256, count(*) FILTER (kind <> 'intercept') AS n_features, string_agg(feature, ',' ORDER BY k) FILTER (kind = 'mutation' AND k <= 5) AS largest,
+  max(CASE WHEN kind='coverage' THEN fill END) AS depth_fill, count(*) FILTER (gone) AS n_missing, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (gone), '') AS missing
+  FROM (SELECT *, feature||'='||floor(coef*1e9+0.5)::BIGINT AS term, kind='mutation' AND feature LIKE '%9\\_del\\_%' ESCAPE '\\' AS gone, row_number() OVER (PARTITION BY drug, kind ORDER BY round(abs(coef),9) DESC, split_part(feature,'@',1), split_part(feature,'@',2)) AS k FROM md) GROUP BY drug"""
+
+
+@query(
+    "model_cards",
+    sql(
+        f"""SELECT c.*, n, n_r, round(100*n_r/n,1) AS pct_r, auc, tier, stability_std, '{P.fe_id({"release": "v1"}, {"least": 10}, [])}' AS fe_id, 'v1' AS release FROM ({_CARD}) c JOIN (SELECT drug, count(*) AS n, count(*) FILTER (phenotype='R') AS n_r FROM cohort GROUP BY drug) USING (drug)
+  LEFT JOIN (SELECT drug, auc, tier, stability_std FROM ({_TIERS})) USING (drug)""",
+        *_NEEDS, **{**_SERVED, **_TIER_CTES}),
+)
 def model_cards(s, d):
-    models = cohort(s, d).select("drug").distinct().withColumn("model", F.lit("risk score"))
-    return M.model_cards(models, E.tier_report(_folds(s, d)), cohort(s, d))
+    """Cards of the closed-form models, for a mart that lacks some features."""
+    m, c = model(s, d), cohort(s, d)
+    known = carried(s, d).select("gene", "mutation").distinct().filter("mutation NOT LIKE '%9\\_del\\_%'")
+    marts = c.select("drug").distinct().withColumns({"release": F.lit("v1"), "fe_id": F.lit(P.fe_id({"release": "v1"}, {"least": 10}, []))})
+    return M.model_cards(m, E.tier_report(_folds(s, d)), c, known, marts)
 
 
 @query("mlp_sweep")

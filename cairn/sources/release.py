@@ -55,6 +55,10 @@ def slim_release(tables: Mapping[str, DataFrame], keep: Sequence[str], drop: Map
     return {n: tables[n].drop(*drop.get(n, ())) for n in keep if n in tables}, sorted(lost)
 
 
+# Functional categories of regions that hitchhike.
+HITCHHIKERS = ("PE/PPE", "insertion seqs and phages")
+
+
 def gff_fields(value: Column) -> dict[str, Column]:
     """Columns of one annotation line: nine by tab, the last a key=value map."""
     part = F.split(value, "\t")
@@ -68,7 +72,10 @@ def gff_fields(value: Column) -> dict[str, Column]:
         "gene": F.coalesce(attr["Name"], attr["Locus"]),
         "functional_category": attr["Functional_Category"],
         "is_pseudogene": F.coalesce(F.lower(attr["Is_Pseudogene"]) == "yes", F.lit(False)),
-        "essential_hint": F.coalesce(attr["Comments"].rlike(r"(?i)\bessential\b"), F.lit(False)),
+        "essential_hint": F.concat_ws(" ", attr["Product"], attr["Comments"]).rlike(r"(?i)\bessential\b"),
+        "is_hitchhiker_region": F.coalesce(attr["Functional_Category"].isin(*HITCHHIKERS), F.lit(False)),
+        "drug_resistance": F.coalesce(attr["Drug Resistance Mutations"], F.lit("")),
+        "pfam": F.coalesce(attr["PFAM"], F.lit("")),
     }
 
 
