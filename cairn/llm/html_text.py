@@ -6,8 +6,9 @@ gives blocks too short to decide the label of the nearest decided neighbours,
 those of the same container before others.
 
 Names only hint at furniture: an element switched off by its class, id or role
-is read after all where the page has next to no prose elsewhere and the element
-holds most of its text, or an article that outweighs what is left.
+is read after all where it holds an article without such a name that outweighs
+what is left; never for want of other text. Furniture by its tag that is never
+closed ends where an article or main element begins.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW_TAGS = "script|style|noscript|template|iframe|title|textarea|select|button|svg|math|object|canvas|audio|video"
 OFF_TAGS = frozenset("nav footer aside form dialog menu head header".split())
+_OFF_TAG = re.compile(rf"<(/?)({'|'.join(sorted(OFF_TAGS, key=len, reverse=True))})(?![\w:-])", re.I)
 # What class, id and role call furniture: a whole token, or a part of one between hyphens or underscores.
 OFF_NAMES = re.compile(
     r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|"
@@ -43,8 +45,8 @@ OFF_NAMES = re.compile(
 )
 # These are whole tokens or nothing, and switch off only what is not running text.
 WEAK_NAMES = frozenset("alert login pager reply search side signup skip toolbar widget".split())
-# Parts that make the name after them a state of the page ("with-sidebar"), not what the element is.
-STATE = re.compile(r"(?:^|[_-])(?:with|without|has|have|no|not|show|hide|is)[_-]")
+# Parts that make a name a state of the page ("with-sidebar", "sidebar-layout"), not what the element is.
+STATE = re.compile(r"(?:^|[_-])(?:with|without|has|have|no|not|show|hide|is)[_-]|[_-](?:layout|theme|template|enabled)$|^(?:page|site|body)[_-].*[_-]fixed$")
 MAIN_TAGS = frozenset(("article", "main"))
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
@@ -89,6 +91,10 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
     names: tuple[int, ...] = ()
     weak: set[int] = set()
 
+    unclosed: dict[str, int] = {}
+    for m in _OFF_TAG.finditer(page):
+        unclosed[m[2].lower()] = unclosed.get(m[2].lower(), 0) + (-1 if m[1] else 1)
+
     def close() -> None:
         nonlocal linked
         if parts:
@@ -134,7 +140,12 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
         links = 0
         if ends:
             off, main, home, names = _leave(stack, tag, off, main, home, names)
-        elif tag not in VOID_TAGS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "html", "tbody", "thead", "tfoot"):
+            continue
+        if tag in MAIN_TAGS:
+            for left in [x[0] for x in stack if x[0] in OFF_TAGS and unclosed.get(x[0], 0) > 0]:
+                unclosed[left] -= 1
+                off, main, home, names = _leave(stack, left, off, main, home, names)
+        if tag not in VOID_TAGS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "html", "tbody", "thead", "tfoot"):
             stack.append((tag, off, main, home, names))
             opened += 1
             home = opened
@@ -204,18 +215,6 @@ def _read_after_all(blocks: list[Block], weak: set[int], any_language: bool) ->
     best = max(inside, key=inside.get, default=())
     if inside.get(best, 0) > kept:
         read.update(best)
-    total = sum(len(b.text) - b.linked for b in seen)
-    while sum(b.prose(any_language) for b in seen if read.issuperset(b.names)) < LONG:
-        share: dict[int, list[int]] = {}
-        for b in named:
-            for k in {*b.names} - read:
-                x = share.setdefault(k, [0, 0])
-                x[0] += len(b.text) - b.linked
-                x[1] += b.prose(any_language)
-        most = [k for k, (n, prose) in share.items() if prose >= LONG and 2 * n > total]
-        if not most:
-            break
-        read.add(min(most))
     return read
 
 
@@ -273,7 +272,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Null or empty HTML, and pages all furniture, have the empty text; nothing
     is capped. Where no block has the stop words of the four languages, length
     and links decide. Broken markup is read on: an unclosed tag ends with its block,
-    an unclosed script or comment with the page. A page without any decided
+    an unclosed script or comment with the page, unclosed furniture at the next
+    article or main element. A page without any decided
     block keeps its undecided ones. Repeated rows and null ids stay as they
     are; other columns are not read. Pages are independent: one narrow pass,
     no shuffle, one Arrow batch in memory.

@@ -54,6 +54,22 @@ def test_names_do_not_lose_the_main_text():
     assert html_text.main_text(f"<body><div class=menu><a href=a>{PROSE}</a></div></body>") == ""
 
 
+def test_furniture_is_never_read_for_want_of_other_text():
+    short, filler = "The river and the house are in the garden that was there for the people of the town.", f"<p>{PROSE}</p>" * 4
+    for name in ("sidebar", "comment-list", "cookie-banner", "newsletter", "related-posts"):
+        assert html_text.main_text(f"<body><div id=content><p>{short}</p></div><div class={name}>{filler}</div></body>") == short
+        assert html_text.main_text(f"<body><div id=content><p>Soon.</p></div><div class={name}>{filler}</div></body>") in ("Soon.", "")
+        assert html_text.main_text(f"<body><div class={name}>{filler}</div></body>") == ""
+
+
+def test_unclosed_furniture_ends_where_an_article_begins():
+    for tag in ("nav", "aside", "header", "menu", "form"):
+        assert html_text.main_text(f"<body><{tag}><a href=a>Home</a><article>{PARAGRAPHS}</article></body>") == BODY, tag
+        assert html_text.main_text(f"<body><{tag}><ul><li>Home<main>{PARAGRAPHS}</main><{tag}>More</{tag}></body>") == BODY, tag
+    closed = f"<body><aside><article><p>{PROSE}</p></article></aside><article>{PARAGRAPHS}</article></body>"
+    assert html_text.main_text(closed) == BODY
+
+
 def test_a_card_is_not_the_main_text():
     card = "<article><h3>Card</h3><p>Short teaser.</p></article>"
     assert BODY in html_text.main_text(f"<body><div id=content>{PARAGRAPHS}</div>{card}</body>")
