@@ -1,12 +1,14 @@
 """Token counts that follow edits.
 
-A text is cut into leaves where a letter or digit meets a blank or line feed:
-no word of the tokenizer's pattern spans such a place, so leaves can be counted
-on their own. A segment tree over the leaves holds sums of characters and
-tokens. An edit is found by descending the character sums; only the leaves
-that it touches, and the next one where it touches a leaf's edge, are encoded
-again, and the sums above them change. Trees are results: a later edit takes the
-tree that an earlier one left.
+A text's pre-tokens are grouped into leaves, cut where a letter or digit meets
+a blank, a line feed or a mark: there a pre-token ends whatever stands around
+the two characters, so leaves can be counted on their own. A segment tree over
+the leaves holds sums of characters and tokens. An edit is found by descending
+the character sums; only the leaves that it touches, and the next one where it
+touches a leaf's edge, are encoded again, cut into leaves anew, and the sums
+above them change; where they became more leaves, the tree is balanced again
+over the kept counts. Trees are results: a later edit takes the tree that an
+earlier one left. One pre-token is never cut, however long it is.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF_CHARS = 256  #: a leaf ends at the first safe place from here
-_SAFE = re.compile(r"(?<=[^\W_])[ \n]")
+#: Marks that begin a pre-token after a letter or digit, in patterns that never
+#: add a mark to the letters before it; the apostrophe may begin a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~，。、；：？！「」『』（）《》【】…—“”·"
+_SAFE = re.compile(rf"(?<=[^\W_])[ \n{re.escape(_MARKS)}]")
 #: What `redactions` replaces: mail addresses, and digit runs as in phone or card numbers.
 PERSONAL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d ()-]{7,}\d")
 EDITS = "array<struct<at: int, cut: int, put: string>>"
@@ -50,6 +55,15 @@ def leaves(text: str) -> list[int]:
     return out
 
 
+def counted(text: str, count: Callable[[str], int]) -> tuple[list[int], list[int]]:
+    """Characters and tokens of a text's leaves."""
+    sizes, held, at = leaves(text), [], 0
+    for n in sizes:
+        held.append(count(text[at : at + n]))
+        at += n
+    return sizes, held
+
+
 class Tree:
     """Sums over a text's leaves: node 1 is the root, 2i and 2i + 1 below i."""
 
@@ -58,15 +72,19 @@ class Tree:
 
     @classmethod
     def of(cls, text: str, count: Callable[[str], int]) -> Tree:
-        sizes = leaves(text)
+        return cls.over(*counted(text, count))
+
+    @classmethod
+    def over(cls, sizes: list[int], held: list[int]) -> Tree:
+        """Balanced over leaves of so many characters and tokens."""
         width = 1 << max(0, len(sizes) - 1).bit_length()
         chars, tokens = np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64)
-        at = 0
-        for i, n in enumerate(sizes):
-            chars[width + i], tokens[width + i] = n, count(text[at : at + n])
-            at += n
-        for i in range(width - 1, 0, -1):
-            chars[i], tokens[i] = chars[2 * i : 2 * i + 2].sum(), tokens[2 * i : 2 * i + 2].sum()
+        for sums, own in ((chars, sizes), (tokens, held)):
+            sums[width : width + len(own)] = own
+            at = width
+            while at > 1:
+                sums[at // 2 : at] = sums[at : 2 * at : 2] + sums[at + 1 : 2 * at : 2]
+                at //= 2
         return cls(chars, tokens)
 
     def leaf(self, at: int) -> tuple[int, int]:
@@ -80,10 +98,23 @@ class Tree:
                 i += 1
         return i - self.width, start
 
-    def put(self, first: int, last: int, chars: int, tokens: int) -> None:
-        """Leaves `first` to `last` become one; its ancestors' sums change."""
-        for i in range(first, last + 1):
-            self._set(i + self.width, chars if i == first else 0, tokens if i == first else 0)
+    def put(self, regions: list[tuple[int, int, list[int], list[int]]]) -> None:
+        """For each region, in order: its first and last leaf become leaves of
+        so many characters and tokens. Sums change along their paths, or the
+        tree is balanced again where a region has more leaves than before."""
+        if all(len(sizes) <= last - first + 1 for first, last, sizes, _ in regions):
+            for first, last, sizes, held in regions:
+                for k, i in enumerate(range(first, last + 1)):
+                    self._set(i + self.width, *((sizes[k], held[k]) if k < len(sizes) else (0, 0)))
+            return
+        parts: list[tuple] = []
+        done, leaves_ = 0, slice(self.width, 2 * self.width)
+        for first, last, sizes, held in [*regions, (self.width, self.width, [], [])]:
+            parts += [(self.chars[leaves_][done:first], self.tokens[leaves_][done:first]), (sizes, held)]
+            done = last + 1
+        sizes, held = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in (0, 1))
+        new = Tree.over(sizes[sizes > 0].tolist(), held[sizes > 0].tolist())
+        self.chars, self.tokens, self.width = new.chars, new.tokens, new.width
 
     def _set(self, i: int, chars: int, tokens: int) -> None:
         dc, dt = chars - self.chars[i], tokens - self.tokens[i]
@@ -118,7 +149,7 @@ def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], count: Callab
             regions[-1][4].append((at, cut, put))
         else:
             regions.append([first, last, start, end, [(at, cut, put)]])
-    done = 0
+    done, changed = 0, []
     for first, last, start, end, own in regions:
         part, at = [], start
         for p, cut, put in own:
@@ -126,11 +157,12 @@ def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], count: Callab
             at = p + cut
         part.append(text[at:end])
         new = "".join(part)
-        tree.put(first, last, len(new), count(new))
+        changed.append((first, last, *counted(new, count)))
         again += len(new)
         out += [text[done:start], new]
         done = end
     out.append(text[done:])
+    tree.put(changed)
     return "".join(out), again
 
 

@@ -145,7 +145,7 @@ def test_given_pages_against_a_plain_parser(spark):
 
 
 def random_text(rng, n):
-    return "".join(rng.choice(["the", "a ", "  ", "\n", "x9", "'s", "é", "!!", " word", "\t", "12"]) for _ in range(n))
+    return "".join(rng.choice(["the", "a ", "  ", "\n", "x9", "'s", "é", "!!", " word", "\t", "12", "中", "，", "½", "_", "e\u0301", "\u2019"]) for _ in range(n))
 
 
 def test_edits_against_full_count():
@@ -171,6 +171,26 @@ def test_edits_against_full_count():
         assert tree.tokens[1] == count(new) and tree.chars[1] == len(new) and again <= len(new)
 
 
+def test_leaves_are_pre_tokens_and_stay_small():
+    """Text without blanks; an insertion far larger than the text."""
+    count, rng = token_counts.counter(*tokenizer()), random.Random(3)
+    chinese = "".join(rng.choice("的一是不了人我在有他这中大来上国") if k % 23 else rng.choice("，。！") for k in range(300_000))
+    tree = token_counts.Tree.of(chinese, count)
+    new, again = token_counts.edit(chinese, tree, [(150_000, 1, "好")], count)
+    assert again < 2000 and tree.tokens[1] == count(new)
+    tree = token_counts.Tree.of("short text", count)
+    large, again = token_counts.edit("short text", tree, [(5, 0, "many more words, and marks; " * 15_000)], count)
+    assert again == len(large) and tree.tokens[1] == count(large) and (tree.chars[tree.width :].max() < 2000) and tree.width <= 4096
+    for at in (1, 9, 200_000, len(large) - 3):
+        large, again = token_counts.edit(large, tree, [(at, 1, "x")], count)
+        assert again < 2000 and tree.tokens[1] == count(large) and tree.chars[1] == len(large)
+    gone, again = token_counts.edit(large, tree, [(3, len(large) - 6, "")], count)
+    assert gone == large[:3] + large[-3:] and tree.tokens[1] == count(gone) and again == len(gone)
+    one = "x" * 5000  # a pre-token is never cut
+    tree = token_counts.Tree.of(one, count)
+    assert tree.width == 1 and tree.tokens[1] == count(one)
+
+
 def test_counts_on_spark(spark):
     far = "words of a text " * 4000
     rows = [(1, far + "me@example.org " + far, None), (1, far, None), (None, None, None), (2, "", [(5, 3, "put in")]), (3, "abc", [(1, 1, None)])]
