@@ -178,4 +178,25 @@ near AS (
   SELECT q.vec_id AS query_id, o.vec_id, list_reduce(list_transform(list_zip(q.e, o.e), lambda z: z[1] * z[2]), lambda s, x: s + x, 0.0::DOUBLE) AS score
   FROM good q JOIN good o ON q.vec_id % 20 = 0 AND q.vec_id <> o.vec_id AND len(q.e) = len(o.e))
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 20""",
+    "op4_sharding": r"""
+WITH steps AS (
+  SELECT list(list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, n::BIGINT) ORDER BY n) AS step FROM range(256) r(n)),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, strlen(coalesce(text, '')) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, key, size, xor(list_reduce(bytes, lambda h, b: xor(h >> 8, step[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d, steps),
+s AS (
+  SELECT *, ('0x' || md5(key)[1:15])::BIGINT AS h, list_transform(range(41), lambda i: -1.0::DOUBLE / ln(least((('0x' || md5(key || '#' || i)[1:15])::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE, (1 - power(2, -53))::DOUBLE))) AS scores FROM c),
+p AS (SELECT *, (list_position(scores[1:40], list_max(scores[1:40])) - 1)::INT AS shard, (list_position(scores, list_max(scores)) - 1)::INT AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p""",
+    "op2_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 100 * common >= 75 * (n + m - common)),
+each_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN each_way l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) ON a = doc_id""",
 }
