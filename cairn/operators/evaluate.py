@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.shared import at_once
 from cairn.operators.stats import auc
 
 # The tiers and their floors.
@@ -26,13 +28,14 @@ def auc_by(scored: DataFrame, by: Sequence[str], least_rows: int = 0) -> DataFra
 
 def cv_folds(rows: DataFrame, fold: str, fit_score: Callable[[DataFrame, DataFrame], DataFrame], folds: Sequence) -> DataFrame:
     """Out-of-fold scores: each fold scored by what the others fit. The fits
-    are Spark jobs; the driver only goes through the folds."""
-    out = None
-    for f in folds:
+    are Spark jobs, some at a time; None without folds."""
+
+    def scored(f) -> DataFrame:
         test = rows.filter(F.col(fold) == F.lit(f))
-        part = fit_score(rows.filter(F.col(fold) != F.lit(f)), test).withColumn("fold", F.lit(f).cast("string"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return fit_score(rows.filter(F.col(fold) != F.lit(f)), test).withColumn("fold", F.lit(f).cast("string"))
+
+    parts = at_once(scored, folds)
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def usable_for_logo(rows: DataFrame, group: str, least: int = 20) -> list[str]:

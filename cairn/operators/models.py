@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -12,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.shared import stored
+from cairn.operators.shared import at_once, stored
 from cairn.operators.stats import auc
 
 FEATURE = ["gene", "mutation"]
@@ -166,15 +167,16 @@ def nested_logo(rows: DataFrame, grid: Sequence[float], drugs: int, group: str =
     from cairn.operators.evaluate import usable_for_logo
 
     groups = usable_for_logo(rows, group)
-    out = None
-    for reg in grid:
-        for k, a in enumerate(groups):
-            for b in groups[k:]:
-                part = fit_score(logistic(reg, 0.0, drugs, 20))(rows.filter(~F.col(group).isin(a, b)), rows.filter(F.col(group).isin(a, b)))
-                # held out `a`, scored on `b`, and the other way round; a pair of one group is the outer fit
-                other = F.when(F.col("lineage") == a, b).otherwise(a)
-                part = part.withColumns({"held_out": other if a != b else F.lit(a), "outer": F.lit(a == b), "reg": F.lit(reg)})
-                out = part if out is None else out.unionByName(part)
+
+    def scored(setting: tuple[float, str, str]) -> DataFrame:
+        reg, a, b = setting
+        part = fit_score(logistic(reg, 0.0, drugs, 20))(rows.filter(~F.col(group).isin(a, b)), rows.filter(F.col(group).isin(a, b)))
+        # held out `a`, scored on `b`, and the other way round; a pair of one group is the outer fit
+        other = F.when(F.col("lineage") == a, b).otherwise(a)
+        return part.withColumns({"held_out": other if a != b else F.lit(a), "outer": F.lit(a == b), "reg": F.lit(reg)})
+
+    parts = at_once(scored, [(reg, a, b) for reg in grid for k, a in enumerate(groups) for b in groups[k:]])
+    out = reduce(DataFrame.unionByName, parts) if parts else None
     if out is None:
         return rows.sparkSession.createDataFrame([], "drug string, held_out string, reg double, inner_auc double, outer_auc double")
     each = auc(stored(out, "nested"), "score", F.col("y") == 1, ["drug", "held_out", "outer", "reg", "lineage"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +48,11 @@ def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> Da
     hot = F.broadcast(groups.filter(F.col(size) * HOT > total))
     cold = rows.join(hot.select(*on), on, "left_anti").join(groups.filter(F.col(size) * HOT <= total), on)
     return rows.join(hot, on).unionByName(cold)
+
+
+def at_once(run: Callable, items: Iterable, most: int = 4) -> list:
+    """What `run` makes of each item, in order: fits of separate folds or
+    settings are Spark jobs that need not wait for each other. The driver only
+    starts them."""
+    with ThreadPoolExecutor(most) as pool:
+        return list(pool.map(run, items))
