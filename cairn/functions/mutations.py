@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,23 +21,29 @@ RESIDUES = {
 }
 
 
-#: What `mut_class` returns.
+# The classes in the order in which they are tried, what names an
+# insertion or deletion, the form of a single substitution, and stop codons.
 CLASSES = ("minor_indel", "indel", "other", "promoter_nt", "nonsense_Z", "synonymous", "nonsynonymous")
+MINOR_INDEL, INDELS = "minorindel", ("_ins_", "_del_", "indel")
+SUBSTITUTION = "^[A-Za-z][0-9-]+[A-Za-z*!]$"
+STOPS = ("Z", "*", "!")
 
 
 def mut_class(mutation: Column) -> Column:
     """Consequence class: an insertion or deletion first, then single
     substitutions by case and letters, `other` for the rest."""
     first, last = F.substring(mutation, 1, 1), F.substring(mutation, -1, 1)
-    return (
-        F.when(mutation.contains("minorindel"), "minor_indel")
-        .when(mutation.contains("_ins_") | mutation.contains("_del_") | mutation.contains("indel"), "indel")
-        .when(~mutation.rlike("^[A-Za-z][0-9-]+[A-Za-z*!]$"), "other")
-        .when(first.rlike("[a-z]") | last.rlike("[a-z]"), "promoter_nt")
-        .when(last.isin("Z", "*", "!"), "nonsense_Z")
-        .when(first == last, "synonymous")
-        .otherwise("nonsynonymous")
-    )
+    is_indel = reduce(Column.__or__, [mutation.contains(x) for x in INDELS])
+    kinds = {
+        "minor_indel": mutation.contains(MINOR_INDEL),
+        "indel": is_indel,
+        "other": ~mutation.rlike(SUBSTITUTION),
+        "promoter_nt": first.rlike("[a-z]") | last.rlike("[a-z]"),
+        "nonsense_Z": last.isin(*STOPS),
+        "synonymous": first == last,
+        "nonsynonymous": F.lit(True),
+    }
+    return F.coalesce(*[F.when(kinds[c], c) for c in CLASSES])
 
 
 def region(gene: Column, families: Mapping[str, str] = REGIONS) -> Column:

@@ -32,7 +32,7 @@ def quality_gate(values: DataFrame, taus: Sequence[float] = (0.0, 0.25, 0.5, 0.7
 
 def gene_burden(carried: DataFrame, features: DataFrame, determinants: DataFrame) -> DataFrame:
     """Functional and loss-of-function mutations per isolate and determinant gene."""
-    rows = carried.join(features, FEATURE).join(F.broadcast(determinants), "gene")
+    rows = carried.join(features, FEATURE).join(F.broadcast(determinants), "gene")  # curated genes
     return rows.groupBy("drug", "uid", "gene").agg(F.count_if(F.col("mut_class").isin(FUNCTIONAL)).alias("n_functional"), F.count_if(F.col("mut_class").isin(LOSS)).alias("n_loss"))
 
 
@@ -41,14 +41,14 @@ def radical_burden(carried: DataFrame) -> DataFrame:
 
 
 def category_burden(carried: DataFrame, features: DataFrame, annotations: DataFrame) -> DataFrame:
-    rows = carried.join(features, FEATURE).filter(F.col("mut_class").isin("nonsynonymous")).join(F.broadcast(annotations.select("gene", "category")), "gene")
+    rows = carried.join(features, FEATURE).filter(F.col("mut_class").isin("nonsynonymous")).join(F.broadcast(annotations.select("gene", "category")), "gene")  # curated genes
     return rows.groupBy("uid", "category").agg(F.count(F.lit(1)).alias("n_nonsynonymous"))
 
 
 def resgene_burden(carried: DataFrame, annotations: DataFrame, drug: str) -> DataFrame:
     """Mutations in genes whose curated list of drugs has this one."""
     genes = annotations.filter(F.array_contains(F.split("drug_resistance", r"\s*,\s*"), drug)).select("gene").distinct()  # curated genes
-    return carried.join(F.broadcast(genes), "gene", "left_semi").groupBy("uid").agg(F.count(F.lit(1)).alias("n_resgene"))
+    return carried.join(F.broadcast(genes), "gene", "left_semi").groupBy("uid").agg(F.count(F.lit(1)).alias("n_resgene"))  # curated genes
 
 
 def weighted_burden(carried: DataFrame, scores: DataFrame) -> DataFrame:
