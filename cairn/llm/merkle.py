@@ -96,7 +96,8 @@ def build(leaves: DataFrame, order: Sequence[str]) -> Manifest:
     ranked = numbered(leaves, ["tree"], [F.col(c) for c in order], "rank").withColumn("rank", F.col("rank") - 1)
     ranked = stored(ranked, "ranked")
     sizes = ranked.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-    ranked = stored(ranked.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_RECORDS else sizes, "tree"), "leaves")
+    few = sizes.count() <= BROADCAST_RECORDS
+    ranked = stored(ranked.join(F.broadcast(sizes), "tree") if few else salted_join(ranked, sizes, "tree", "rank"), "leaves")
     trees = grow(ranked.select("tree", "rank", "digest", "n"))
     subroots = stored(numbered(trees.roots, [], [F.col("tree")], "rank").withColumn("rank", F.col("rank") - 1), "subroots")
     top = grow(subroots.select(F.lit("").alias("tree"), "rank", "digest", F.lit(subroots.count()).cast("long").alias("n")))
@@ -137,7 +138,8 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     """The proof of each of `requests`: tree, rank and `ask`, a struct that
     comes back. Returns `ask`, `leaf` as the records have it, `subroot`, and
     `path`: from the leaf to the root, the digests on the `left` and `right` of
-    the node in its run. Requests may repeat; those of no leaf get no row."""
+    the node in its run. Requests may repeat, but those of one run meet in a
+    row: ask for a leaf a few times only. Requests of no leaf get no row."""
     trees, top = manifest.trees, manifest.top
     runs = requests.groupBy("tree", F.shiftright("rank", BITS).alias("rank")).agg(F.collect_list(F.struct((F.col("rank") % FAN).cast("int").alias("digit"), "ask")).alias("asks"))
     runs = stored(runs, "runs")
