@@ -532,14 +532,21 @@ BY_SITE = "SELECT drug, uid, (phenotype='R')::INT AS y, regexp_extract(uid,'^sit
 AT_RANDOM = "SELECT drug, uid, (phenotype='R')::INT AS y, ((row_number() OVER (PARTITION BY drug, phenotype ORDER BY md5(uid||'|7'), uid) - 1) % 5)::VARCHAR AS fold FROM cohort"
 
 
-def fold_scored(s, d, regime):
+def fold_scored(s, d, regime, only=None):
     """Fold-internal scores: each fold by weights of the others, all folds and
     drugs at once by subtraction. `regime`: `random`, or a column of groups."""
     base = _with_folds(s, d, regime)
-    return _fold_scores(base, base.join(carried(s, d), "uid"))
+    rows = base.join(carried(s, d), "uid")
+    return _fold_scores(base, rows if only is None else rows.join(only.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"], "left_semi"))
 
 
-def set_scored(s, d, regime, sets, names):
+def set_scored(s, d, regime, by, names):
+    """The same for each set of features, `by` a column of the feature
+    dimension with one of `names`."""
+    return chosen_scored(s, d, regime, features(s, d).select("gene", "mutation", F.col(by).alias("set")), names)
+
+
+def chosen_scored(s, d, regime, sets, names):
     """The same for `sets` of features, (gene, mutation, set) or each drug's
     own: the set is a key of one job, `drug@set`, and a carried feature meets
     the sets that have it."""
@@ -608,7 +615,7 @@ def _set_sql(by, names, sets):
 def _set_aucs(s, d, by, sets, names):
     """Mean AUC of each set of features under random folds and held-out
     lineages, and the gap; sets of which a drug carries nothing are no rows."""
-    mean = lambda regime, out: E.logo_summary(set_scored(s, d, regime, sets, names)).select("drug", F.col("mean_auc").alias(out))
+    mean = lambda regime, out: E.logo_summary(chosen_scored(s, d, regime, sets, names)).select("drug", F.col("mean_auc").alias(out))
     sized = labelled(s, d).join(sets, ["gene", "mutation"]).groupBy("drug", "set").agg(F.count_distinct("gene", "mutation").alias("n_features"))
     sized = sized.select(F.concat_ws("@", "drug", "set").alias("drug"), "n_features")
     both = mean("random", "r").join(mean("lineage", "l"), "drug").join(sized, "drug")
@@ -650,7 +657,7 @@ def headline(s, d):
     part = lambda k: F.split_part("drug", F.lit("@"), F.lit(k))
     cells = None
     for regime, name in (("random", "random"), ("lineage", "logo")):
-        means = E.logo_summary(set_scored(s, d, regime, sets, ["concordant", "de_novo"]))
+        means = E.logo_summary(chosen_scored(s, d, regime, sets, ["concordant", "de_novo"]))
         means = means.select(part(1).alias("drug"), F.concat_ws("_", part(2), F.lit(name)).alias("cell"), F.col("mean_auc").alias("auc"))
         cells = means if cells is None else cells.unionByName(means)
     return E.headline(cells)
