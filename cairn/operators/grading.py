@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.tails import lower_tail, upper_tail
-from cairn.operators.shared import stored
+from cairn.operators.shared import in_shuffle, stored
 
 Z95 = 1.959963984540054
 
@@ -24,7 +24,7 @@ def wilson(r: Column, n: Column) -> tuple[Column, Column]:
 def solo_counts(samples: DataFrame, mutations: DataFrame) -> DataFrame:
     """Mutations that are the only ones of a sample, with R and S samples."""
     one = mutations.groupBy("drug", "uid").agg(F.count(F.lit(1)).alias("k"), F.min("mutation").alias("mutation")).filter("k = 1")
-    g = one.join(samples, ["drug", "uid"]).groupBy("drug", "mutation")
+    g = one.join(in_shuffle(samples), ["drug", "uid"]).groupBy("drug", "mutation")
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("phenotype") == "R").alias("n_r"))
 
 

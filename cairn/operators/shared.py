@@ -35,6 +35,14 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_shuffle(df: DataFrame) -> DataFrame:
+    """`df`, which has a row for each sample or more, for a join that deals it
+    by its key. Spark takes a scan to be as large as its files: stored rows of
+    few distinct values or of bytes are many times that when they are read, and
+    would be broadcast through the driver."""
+    return df.hint("merge")
+
+
 #: A group that holds more than one row of so many is hot.
 HOT = 1000
 
