@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.mutations import mut_class, region
+from cairn.operators.shared import in_shuffle
 
 FEATURE = ["gene", "mutation"]
 
@@ -23,9 +24,12 @@ def feature_dimension(carried: DataFrame) -> DataFrame:
 
 
 def labelled(cohort: DataFrame, carried: DataFrame) -> DataFrame:
-    """A row for each feature that a cohort row carries, for all drugs."""
+    """A row for each feature that a cohort row carries, for all drugs;
+    `carried` in long form or gathered."""
     core = cohort.select("drug", "uid", "lineage", "sublineage", (F.col("phenotype") == "R").cast("int").alias("y"))
-    return core.join(carried, "uid")
+    if "on" in carried.columns:
+        return core.join(in_shuffle(carried), "uid").select(*core.columns, F.inline("on"))
+    return in_shuffle(core).join(carried, "uid")
 
 
 def totals(cohort: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -76,6 +80,12 @@ def feature_long(carried: DataFrame, universe: DataFrame, cohort: DataFrame) ->
     return rows.select("drug", "uid", F.concat("gene", F.lit("_"), "mutation").alias("feature"))
 
 
+def gathered(carried: DataFrame) -> DataFrame:
+    """(uid, on): what each sample carries, as one row: a table that meets the
+    rows of all drugs in one shuffle of samples instead of one of features."""
+    return carried.groupBy("uid").agg(F.collect_list(F.struct(*FEATURE)).alias("on"))
+
+
 def gene_flags(carried: DataFrame) -> DataFrame:
     """Carriage at gene level: any mutation."""
     return carried.select("uid", "gene").distinct()

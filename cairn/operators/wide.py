@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.ranks import numbered
-from cairn.operators.shared import stored
+from cairn.operators.shared import in_shuffle, stored
 
 BLOCK = 400  #: columns of a block, at most
 FEATURE = ["gene", "mutation"]
@@ -42,7 +42,7 @@ def write_wide(cohort: DataFrame, carried: DataFrame, universe: DataFrame, path:
     columns = spark.read.parquet(f"{path}/columns")
     samples = cohort.select("drug", "uid").distinct()
     samples.write.partitionBy("drug").parquet(f"{path}/samples")
-    ones = samples.join(carried.select("uid", *FEATURE).distinct(), "uid").join(columns, ["drug", *FEATURE])
+    ones = in_shuffle(samples).join(carried.select("uid", *FEATURE).distinct(), "uid").join(columns, ["drug", *FEATURE])
     # dealt by block once: the job of a block reads no other's rows
     ones.select("drug", "block", "uid", "column").write.partitionBy("drug", "block").parquet(f"{path}/ones")
     ones = spark.read.schema("uid string, column string, drug string, block int").parquet(f"{path}/ones")
@@ -66,7 +66,8 @@ def read_wide(spark: SparkSession, path: str, drug: str, names: Sequence[str] |
     out = spark.read.parquet(f"{path}/samples").filter(F.col("drug") == drug).select("uid")
     for number in sorted({at[n] for n in names}):
         own = [n for n in names if at[n] == number]
-        out = out.join(spark.read.parquet(f"{path}/cells/{drug}/{number}").select("uid", *[F.col(f"`{n}`") for n in own]), "uid", "left")
+        cells = spark.read.parquet(f"{path}/cells/{drug}/{number}").select("uid", *[F.col(f"`{n}`") for n in own])
+        out = out.join(in_shuffle(cells), "uid", "left")
     return out.select("uid", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("byte").alias(n) for n in names])
 
 
@@ -74,3 +75,11 @@ def melted(wide: DataFrame) -> DataFrame:
     """(uid, column, value) of every cell of a wide mart."""
     names = [c for c in wide.columns if c != "uid"]
     return wide.unpivot("uid", [F.col(f"`{n}`") for n in names], "column", "value")
+
+
+def column_sums(wide: DataFrame) -> DataFrame:
+    """(column, n_cells, n_ones) of a wide mart: sums of its columns, without a
+    row for each cell."""
+    names = [c for c in wide.columns if c != "uid"]
+    one = wide.agg(F.count(F.lit(1)).alias("n_cells"), *[F.coalesce(F.sum(F.col(f"`{n}`").cast("long")), F.lit(0).cast("long")).alias(n) for n in names])
+    return one.unpivot("n_cells", [F.col(f"`{n}`") for n in names], "column", "n_ones").select("column", "n_cells", "n_ones")

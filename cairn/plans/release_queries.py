@@ -31,12 +31,16 @@ def carried(s: SparkSession, d: str) -> DataFrame:
     return held(s, d, "carriage", lambda: K.carriage(X.mutations(s, d)))
 
 
+def gathered(s: SparkSession, d: str) -> DataFrame:
+    return held(s, d, "gathered", lambda: K.gathered(carried(s, d)))
+
+
 def labelled(s: SparkSession, d: str) -> DataFrame:
-    return K.labelled(cohort(s, d), carried(s, d))
+    return K.labelled(cohort(s, d), gathered(s, d))
 
 
 def pairs(s: SparkSession, d: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return K.pair_counts(labelled(s, d), by)
+    return held(s, d, "-".join(("pairs", *by)), lambda: K.pair_counts(labelled(s, d), by))
 
 
 @query("fx_isolates", sql("SELECT * FROM isolates", "isolates"))
@@ -425,16 +429,18 @@ def mart_core(s, d):
 _LONG = f"SELECT c.drug, uid, 'raw__'||gene||'_'||mutation AS \"column\" FROM cohort c JOIN carriage k USING (uid) JOIN ({_SEEDED}) u USING (drug, gene, mutation)"
 
 
-def _wide(s, d):
-    """Every drug's wide mart of its seeded universe, written and read by name;
-    its cells as rows."""
+def _wide(s, d, what):
+    """`what` of every drug's wide mart, its seeded universe written in blocks
+    and read by name, with the drug; a plan has a block's columns."""
     path = new_path(s, "wide")
     c = cohort(s, d)
     W.write_wide(c, carried(s, d), seeded(s, d), path, block=60)
-    drugs = [r["drug"] for r in s.read.parquet(f"{path}/columns").select("drug").distinct().orderBy("drug").collect()]
+    blocks = {}
+    for r in s.read.parquet(f"{path}/columns").orderBy("drug", "column").collect():  # the columns of the mart
+        blocks.setdefault((r["drug"], r["block"]), []).append(r["column"])
     out = None
-    for drug in drugs:
-        part = W.melted(W.read_wide(s, path, drug)).select(F.lit(drug).alias("drug"), "uid", "column", "value")
+    for (drug, _), names in blocks.items():
+        part = what(W.read_wide(s, path, drug, names)).select(F.lit(drug).alias("drug"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -442,7 +448,7 @@ def _wide(s, d):
 @query("mart_wide", sql(_LONG, "cohort", "carriage", "pairs", "totals", "determinants", e=_ELIGIBLE))
 def mart_wide(s, d):
     """The ones of all drugs' wide marts: the long form again."""
-    return _wide(s, d).filter("value = 1").select("drug", "uid", "column")
+    return _wide(s, d, W.melted).filter("value = 1").select("drug", "uid", "column")
 
 
 @query(
@@ -451,7 +457,7 @@ def mart_wide(s, d):
 )
 def mart_wide_columns(s, d):
     """Cells and ones of each column: every sample has a cell."""
-    return _wide(s, d).groupBy("drug", "column").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("value").cast("long")).alias("n_ones"))
+    return _wide(s, d, W.column_sums).select("drug", "column", "n_cells", "n_ones")
 
 
 @query("mart_down_cast", sql("SELECT uid, coalesce(has,0)::TINYINT AS has, coalesce(n,0)::SMALLINT AS n FROM isolates LEFT JOIN (SELECT uid, 1 AS has, count(*) AS n FROM carriage GROUP BY uid) USING (uid)", "isolates", "carriage"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from cairn.operators import carriage as K
 from cairn.operators import grading as G
+from cairn.operators import wide
 from cairn.operators.shared import stored
 
 
@@ -17,3 +19,21 @@ def test_samples_are_not_broadcast(spark):
     mutations = stored(n.select(F.lit("D").alias("drug"), F.col("id").cast("string").alias("uid"), F.lit("g@m").alias("mutation")))
     solos = G.solo_counts(samples, mutations)
     assert "BroadcastHashJoin" not in plan(solos) and [tuple(r) for r in solos.collect()] == [("D", "g@m", 2000, 2000)]
+
+
+def test_cells_are_not_broadcast_and_sum_by_column(spark, tmp_path):
+    cohort = spark.createDataFrame([("D", f"u{i}") for i in range(9)], "drug string, uid string")
+    carried = spark.createDataFrame([(f"u{i}", "g", f"m{i % 3}") for i in range(7)], "uid string, gene string, mutation string")
+    universe = spark.createDataFrame([("D", "g", f"m{k}") for k in range(4)], "drug string, gene string, mutation string")
+    at = str(tmp_path / "mart")
+    wide.write_wide(cohort, carried, universe, at, block=3)
+    own = wide.read_wide(spark, at, "D")
+    assert "BroadcastHashJoin" not in plan(own)
+    assert {tuple(r) for r in wide.column_sums(own).collect()} == {("raw__g_m0", 9, 3), ("raw__g_m1", 9, 2), ("raw__g_m2", 9, 2), ("raw__g_m3", 9, 0)}
+
+
+def test_gathered_carriage_is_the_long_form(spark):
+    cohort = spark.createDataFrame([("D", "u", "l", "l.1", "R"), ("E", "u", "l", "l.1", "S"), ("D", "v", "l", "l.1", "S")], "drug string, uid string, lineage string, sublineage string, phenotype string")
+    carried = spark.createDataFrame([("u", "g", "a"), ("u", "g", "b"), ("w", "g", "a")], "uid string, gene string, mutation string")
+    long, on = K.labelled(cohort, carried), K.labelled(cohort, K.gathered(carried)).select(K.labelled(cohort, carried).columns)
+    assert sorted(map(tuple, long.collect())) == sorted(map(tuple, on.collect())) and long.count() == 4
