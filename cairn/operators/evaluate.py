@@ -52,12 +52,17 @@ def cv_logo(rows: DataFrame, group: str, fit_score, least: int = 20, named_only:
     return cv_folds(base, group, fit_score, groups)
 
 
+def fold_means(scored: DataFrame, by: Sequence[str] = ("drug",)) -> DataFrame:
+    """`logo_summary` without the pooled AUC, for those who do not ask for it."""
+    groups = auc(scored, "score", F.col("y") == 1, [*by, "fold"])
+    return groups.groupBy(*by).agg(F.count("auc").alias("n_groups"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
+
+
 def logo_summary(scored: DataFrame, by: Sequence[str] = ("drug",)) -> DataFrame:
     """Unweighted mean of group AUCs beside the pooled one, not rounded: what
     is made of them is rounded once, at its end."""
-    groups = auc(scored, "score", F.col("y") == 1, [*by, "fold"])
     pooled = auc(scored, "score", F.col("y") == 1, list(by)).select(*by, F.col("auc").alias("pooled_auc"))
-    return groups.groupBy(*by).agg(F.count("auc").alias("n_groups"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc")).join(pooled, list(by))
+    return fold_means(scored, by).join(pooled, list(by))
 
 
 def headline(results: DataFrame) -> DataFrame:

@@ -37,3 +37,17 @@ def test_gathered_carriage_is_the_long_form(spark):
     carried = spark.createDataFrame([("u", "g", "a"), ("u", "g", "b"), ("w", "g", "a")], "uid string, gene string, mutation string")
     long, on = K.labelled(cohort, carried), K.labelled(cohort, K.gathered(carried)).select(K.labelled(cohort, carried).columns)
     assert sorted(map(tuple, long.collect())) == sorted(map(tuple, on.collect())) and long.count() == 4
+
+
+def test_sets_and_regimes_share_one_pass(spark):
+    """Scores of two regimes at once are those of either alone."""
+    from cairn.plans import analysis_queries as A
+
+    sf = "/root/testdata/sf0.001"
+    sets = A.features(spark, sf).select("gene", "mutation", F.lit("all").alias("set"))
+    both = A.chosen_scored(spark, sf, ["random", "lineage"], sets, ["all", "none"])
+    for regime in ("random", "lineage"):
+        got = {(r.drug, r.uid): (r.fold, r.y, r.score) for r in both.filter(F.col("regime") == regime).collect()}
+        alone = {(f"{r.drug}@all", r.uid): (r.fold, r.y, r.score) for r in A.fold_scored(spark, sf, regime).collect()}
+        assert alone and {k: v for k, v in got.items() if k[0].endswith("@all")} == alone
+        assert all(v[2] == 0 for k, v in got.items() if k[0].endswith("@none")) and len(got) == 2 * len(alone)
