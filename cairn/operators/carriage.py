@@ -3,13 +3,15 @@ group it; it becomes wide only for export."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.mutations import mut_class, region
-from cairn.operators.shared import in_shuffle
+from cairn.operators.ranks import numbered
+from cairn.operators.shared import FEW, few, in_shuffle, stored
 
 FEATURE = ["gene", "mutation"]
 
@@ -86,6 +88,63 @@ def gathered(carried: DataFrame) -> DataFrame:
     return carried.groupBy("uid").agg(F.collect_list(F.struct(*FEATURE)).alias("on"))
 
 
+#: Rows of carriage that one task gathers, about.
+GATHERED_ROWS = 1_000_000
+
+
+def numbered_features(named: DataFrame) -> DataFrame:
+    """(f, gene, mutation): the distinct features of `named`, numbered from 0."""
+    rows = stored(named.select(*FEATURE).distinct(), "named")
+    return numbered(rows, [], [F.col(c) for c in FEATURE], "f").select((F.col("f") - 1).cast("int").alias("f"), *FEATURE)
+
+
+def gathered_codes(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(`key`, on): the distinct numbers `f` of each key's `n` rows in all. As
+    many tasks as rows ask for: one never holds more because there are more."""
+    dealt = rows.repartition(max(1, math.ceil(n / GATHERED_ROWS)), key)
+    return dealt.groupBy(key).agg(F.collect_set("f").alias("on"))
+
+
+def coded(carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long carriage as (uid, on) of numbers and the features they stand for."""
+    features = stored(numbered_features(carried), "features")
+    f = features.alias("f")
+    rows = carried.alias("c").join(few(f), F.col("c.gene").eqNullSafe(F.col("f.gene")) & F.col("c.mutation").eqNullSafe(F.col("f.mutation"))).select("uid", "f.f")
+    return stored(gathered_codes(rows, "uid", carried.count()), "coded"), features
+
+
+def decoded(codes: DataFrame, features: DataFrame) -> DataFrame:
+    """Carriage in long form of what `coded` makes."""
+    return codes.select("uid", F.explode("on").alias("f")).join(few(features), "f").select("uid", *FEATURE)
+
+
+def coded_counts(rows: DataFrame, codes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, f, n1, r1): carriers, and those with label `y` 1, of each feature
+    in each group of `rows(uid, y, *by)`. Groups are few (of drugs, lineages,
+    strata): rows that carry features are counted by two numbers, not by names."""
+    groups = stored(rows.select(*by).distinct().withColumn("_g", F.monotonically_increasing_id()), "groups")
+    same = None
+    for c in by:
+        one = F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}"))
+        same = one if same is None else same & one
+    met = rows.alias("r").join(few(groups).alias("g"), same).select("r.uid", (F.col("g._g") * 2 + F.col("r.y")).alias("_k"))
+    met = met.groupBy("uid").agg(F.collect_list("_k").alias("_ks"))  # a row for each drug
+    met = in_shuffle(met).join(codes, "uid").select(F.explode("on").alias("f"), "_ks").select("f", F.explode("_ks").alias("_k"))
+    n = met.groupBy("_k", "f").agg(F.count(F.lit(1)).alias("n"))
+    n = n.groupBy(F.shiftright("_k", 1).alias("_g"), "f").agg(F.sum("n").alias("n1"), F.sum(F.when(F.col("_k") % 2 == 1, F.col("n")).otherwise(0)).alias("r1"))
+    return n.join(few(groups), "_g").select(*by, "f", "n1", "r1")
+
+
+def gene_flags_coded(codes: DataFrame, features: DataFrame) -> DataFrame:
+    """The same as `gene_flags` of coded carriage: an isolate's genes are made
+    distinct in its own row, so no row is dealt."""
+    if features.count() > FEW:
+        return gene_flags(decoded(codes, features))
+    named = features.agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "gene"))), lambda x: x["gene"]).alias("genes"))
+    own = F.array_distinct(F.transform("on", lambda f: F.get("genes", f)))
+    return codes.crossJoin(F.broadcast(named)).select("uid", F.explode(own).alias("gene"))  # one row
+
+
 def gene_flags(carried: DataFrame) -> DataFrame:
     """Carriage at gene level: any mutation."""
     return carried.select("uid", "gene").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.mutations import radicalness
 from cairn.operators.carriage import FEATURE, two_by_two
+from cairn.operators.shared import few, in_shuffle, stored
 from cairn.operators.stats import log_odds, odds_ratio, phi
 
 FUNCTIONAL = ["nonsynonymous", "indel", "minor_indel", "nonsense_Z", "promoter_nt"]
@@ -157,6 +158,19 @@ def risk_score(cohort: DataFrame, carried: DataFrame, weights: DataFrame) -> Dat
     return out.select("drug", "uid", "lineage", "y", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("score"))
 
 
+def coded_score(cohort: DataFrame, codes: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same as `risk_score` of carriage as numbers. Weights of all drugs
+    are sums of one pass over an isolate's features, a column each; an isolate's
+    rows then meet its sums, not its features."""
+    drugs = [r[0] for r in weights.select("drug").distinct().orderBy("drug").collect()]  # few by nature
+    w = weights.join(few(features), FEATURE).groupBy("f").agg(*[F.sum(F.when(F.col("drug") == x, F.col("w"))).alias(f"w{k}") for k, x in enumerate(drugs)])
+    on = codes.select("uid", F.explode("on").alias("f")).join(few(stored(w, "weights")), "f")
+    sums = on.groupBy("uid").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(drugs))])
+    base = cohort.select("drug", "uid", "lineage", (F.col("phenotype") == "R").cast("int").alias("y")).join(in_shuffle(sums), "uid", "left")
+    s = F.coalesce(*[F.when(F.col("drug") == x, F.col(f"w{k}")) for k, x in enumerate(drugs)], F.lit(0.0))
+    return base.select("drug", "uid", "lineage", "y", F.round(s, 4).alias("score"))
+
+
 def usable_groups(cohort: DataFrame, least: int = 100, least_class: int = 15) -> DataFrame:
     """Sites, read off the isolate's id, with enough rows of both labels."""
     g = cohort.withColumn("site", F.regexp_extract("uid", r"^site\.(\d+)\.", 1)).groupBy("drug", "site")

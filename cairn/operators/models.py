@@ -13,7 +13,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.shared import at_once, stored
+from cairn.operators.carriage import coded
+from cairn.operators.shared import at_once, in_shuffle, stored
 from cairn.operators.stats import auc
 
 FEATURE = ["gene", "mutation"]
@@ -28,22 +29,42 @@ def design(cohort: DataFrame, carried: DataFrame, pool: DataFrame) -> tuple[Data
     each drug the same say. The vectors are made in the JVM; the driver holds
     the pool's names, as many as a model has coefficients.
     """
+    return coded_design(cohort, *coded(carried), pool)
+
+
+def coded_design(cohort: DataFrame, codes: DataFrame, features: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of carriage as numbers. A row's columns are looked up in its
+    drug's pool by number, in the row: nothing is dealt but the cohort, once.
+    Rows also have `columns`, those that are 1."""
     constant = cohort.select("drug", F.lit(None).cast("string").alias("gene"), F.lit(None).cast("string").alias("mutation")).distinct()
-    named = pool.select("drug", *FEATURE).distinct().unionByName(constant)
+    named = stored(pool.select("drug", *FEATURE).distinct().unionByName(constant), "pool")
     name = F.concat_ws("@", "drug", "gene", "mutation")
-    vocabulary = [tuple(r) for r in named.select(name.alias("k"), "drug", *FEATURE).orderBy("k").collect()]
+    vocabulary = named.join(features, FEATURE, "left").select(name.alias("k"), "drug", *FEATURE, "f").orderBy("k").collect()
     spark = cohort.sparkSession
-    index = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(vocabulary)], "i int, drug string, gene string, mutation string")
-    on = cohort.select("drug", "uid").join(carried, "uid").join(F.broadcast(index), ["drug", *FEATURE])  # a pool's names
-    on = on.groupBy("drug", "uid").agg(F.collect_list(name).alias("on"))
+    index = spark.createDataFrame([(i, *r[1:4]) for i, r in enumerate(vocabulary)], "i int, drug string, gene string, mutation string")
+    size = features.count()
+    at = {r["drug"]: [None] * size for r in vocabulary}  # a number for each feature and drug
+    first = {}
+    for i, r in enumerate(vocabulary):
+        if r["gene"] is None:
+            first[r["drug"]] = i
+        elif r["f"] is not None:
+            at[r["drug"]][r["f"]] = i
+    places = spark.createDataFrame([(k, first[k], v) for k, v in at.items() if k in first], "drug string, _first int, _at array<int>")
     n = cohort.groupBy("drug").agg(F.count(F.lit(1)).alias("n"))
     total, drugs = n.agg(F.sum("n"), F.count("n")).first()
     base = cohort.select("drug", "uid", F.coalesce("lineage", F.lit("unknown")).alias("lineage"), (F.col("phenotype") == "R").cast("int").alias("y"))
     base = base.join(F.broadcast(n.select("drug", (F.lit(float(total or 0)) / drugs / F.col("n")).alias("weight"))), "drug")  # a row for each drug
-    rows = base.join(on, ["drug", "uid"], "left").withColumn("_names", F.array_append(F.coalesce("on", F.array().cast("array<string>")), F.col("drug")))
-    counter = CountVectorizerModel.from_vocabulary([r[0] for r in vocabulary] or ["none"], inputCol="_names", outputCol="features").setBinary(True)
-    out = counter.transform(rows).withColumn("label", F.col("y").cast("double")).select("drug", "uid", "lineage", "y", "label", "weight", "features")
-    return stored(out, "design"), index
+    rows = in_shuffle(base).join(codes, "uid", "left").join(F.broadcast(places), "drug")  # a row for each drug
+    on = F.transform(F.coalesce("on", F.array().cast("array<int>")), lambda f: F.get("_at", f))
+    rows = rows.select(*base.columns, F.array_sort(F.array_append(F.filter(on, lambda i: i.isNotNull()), F.col("_first"))).alias("columns"))
+    return stored(vectors(rows, len(vocabulary)).withColumn("label", F.col("y").cast("double")).select("drug", "uid", "lineage", "y", "label", "weight", "features", "columns"), "design"), index
+
+
+def vectors(rows: DataFrame, size: int) -> DataFrame:
+    """`rows` with `features`, the vector of their `columns`; made in the JVM."""
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)] or ["none"], inputCol="_names", outputCol="features").setBinary(True)
+    return counter.transform(rows.withColumn("_names", F.col("columns").cast("array<string>"))).drop("_names")
 
 
 def logistic(reg: float = 0.05, l1: float = 0.0, drugs: int = 1, steps: int = 40) -> LogisticRegression:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators import carriage
 from cairn.operators.carriage import FEATURE, top_n, two_by_two
 from cairn.operators.ranks import by_hash, numbered, tile
-from cairn.operators.shared import stored
+from cairn.operators.shared import few, stored
 from cairn.operators.stats import phi
 
 KEY = ["drug", *FEATURE]
@@ -48,6 +49,12 @@ def counts(strata_: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY, "lineage", "stratum").agg(F.count(F.lit(1)).alias("n1"), F.sum("y").alias("r1"))
 
 
+def coded_counts(strata_: DataFrame, codes: DataFrame, features: DataFrame) -> DataFrame:
+    """The same as `counts` of carriage as numbers."""
+    n = carriage.coded_counts(strata_, codes, ["drug", "lineage", "stratum"]).join(few(features), "f")
+    return n.select(*KEY, "lineage", "stratum", "n1", "r1")
+
+
 def pairs_of(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counted.groupBy(*KEY, *by).agg(F.sum("n1").alias("carriers"), F.sum("r1").alias("carriers_r"))
 

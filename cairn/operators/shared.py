@@ -43,6 +43,15 @@ def in_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of a dimension (features, terms) that are broadcast, at most.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A stored `df`, broadcast where it has `FEW` rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 #: A group that holds more than one row of so many is hot.
 HOT = 1000
 

@@ -10,7 +10,7 @@ from cairn.operators import cohort as C
 from cairn.operators import integrity as V
 from cairn.operators import mart as M
 from cairn.operators import wide as W
-from cairn.operators.shared import new_path
+from cairn.operators.shared import few, new_path
 from cairn.plans import fixtures as X
 from cairn.plans.fixtures import sql
 from cairn.plans.held import held
@@ -20,15 +20,32 @@ DRUGS = ["D1", "D2", "D3", "D4", "D5"]
 
 
 def made_cohort(s: SparkSession, d: str) -> DataFrame:
-    return C.cohort(X.phenotypes(s, d), X.predictions(s, d), X.isolates(s, d), X.CATALOGUE, X.VERSION)
+    rows = held(s, d, "tested", lambda: X.tested(s, d, carried(s, d)))
+    return C.cohort(X.phenotypes(s, d, rows), X.predictions(s, d, rows), X.isolates(s, d), X.CATALOGUE, X.VERSION)
 
 
 def cohort(s: SparkSession, d: str) -> DataFrame:
     return held(s, d, "cohort", lambda: made_cohort(s, d))
 
 
+def coded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Carriage as numbers, and the parts' features that they stand for."""
+    features = held(s, d, "numbers", lambda: K.numbered_features(X.parts(s, d)))
+    return held(s, d, "coded", lambda: X.coded_carriage(s, d, features)), features
+
+
 def carried(s: SparkSession, d: str) -> DataFrame:
-    return held(s, d, "carriage", lambda: K.carriage(X.mutations(s, d)))
+    return K.decoded(*coded(s, d))
+
+
+def carried_features(s: SparkSession, d: str) -> DataFrame:
+    """(gene, mutation) that some isolate carries, a row each."""
+
+    def made() -> DataFrame:
+        on, features = coded(s, d)
+        return on.select(F.explode("on").alias("f")).distinct().join(features, "f").select(*K.FEATURE)
+
+    return held(s, d, "features", made)
 
 
 def gathered(s: SparkSession, d: str) -> DataFrame:
@@ -40,7 +57,13 @@ def labelled(s: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(s: SparkSession, d: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return held(s, d, "-".join(("pairs", *by)), lambda: K.pair_counts(labelled(s, d), by))
+    def made() -> DataFrame:
+        on, features = coded(s, d)
+        rows = cohort(s, d).select("uid", "drug", *by, (F.col("phenotype") == "R").cast("int").alias("y"))
+        n = K.coded_counts(rows, on, ["drug", *by]).join(few(features), "f")
+        return n.select("drug", *K.FEATURE, *by, F.col("n1").alias("carriers"), F.col("r1").alias("carriers_r"))
+
+    return held(s, d, "-".join(("pairs", *by)), made)
 
 
 @query("fx_isolates", sql("SELECT * FROM isolates", "isolates"))
@@ -368,7 +391,7 @@ def feature_long(s, d):
 
 @query("gene_flags", sql("SELECT DISTINCT uid, gene FROM carriage", "carriage"))
 def gene_flags(s, d):
-    return K.gene_flags(carried(s, d))
+    return K.gene_flags_coded(*coded(s, d))
 
 
 def _even(df):

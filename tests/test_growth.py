@@ -51,3 +51,64 @@ def test_sets_and_regimes_share_one_pass(spark):
         alone = {(f"{r.drug}@all", r.uid): (r.fold, r.y, r.score) for r in A.fold_scored(spark, sf, regime).collect()}
         assert alone and {k: v for k, v in got.items() if k[0].endswith("@all")} == alone
         assert all(v[2] == 0 for k, v in got.items() if k[0].endswith("@none")) and len(got) == 2 * len(alone)
+
+
+def small(spark):
+    rows = [("D", "u", "l", "a", 1), ("E", "u", None, "a", 0), ("D", "v", "l", "b", 0), ("D", "w", "l", "b", 1)]
+    strata = spark.createDataFrame(rows, "drug string, uid string, lineage string, stratum string, y int")
+    carried = spark.createDataFrame([("u", "g", "x"), ("u", "h", "y"), ("v", "g", "x"), ("w", "g", None), ("w", "g", "z"), ("z", "g", "x")], "uid string, gene string, mutation string")
+    return strata, carried
+
+
+def test_counts_by_numbers_are_those_by_names(spark):
+    from cairn.operators import select as L
+
+    strata, carried = small(spark)
+    codes, features = K.coded(carried)
+    assert sorted(map(str, K.decoded(codes, features).collect())) == sorted(map(str, carried.collect()))
+    want = L.counts(strata, carried)
+    got = L.coded_counts(strata, codes, features).select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 7
+
+
+def test_a_task_gathers_no_more_rows_of_more(spark, monkeypatch):
+    monkeypatch.setattr(K, "GATHERED_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 50).alias("ck"), F.col("id").cast("int").alias("f"))
+    out = K.gathered_codes(rows, "ck", 1000)
+    assert "REPARTITION_BY_NUM" in plan(out) and out.rdd.getNumPartitions() == 10 and {len(r.on) for r in out.collect()} == {20}
+
+
+def test_gene_flags_deal_no_rows(spark, monkeypatch):
+    _, carried = small(spark)
+    codes, features = K.coded(carried)
+    flags = K.gene_flags_coded(codes, features)
+    own = flags._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(uid" not in own
+    want = sorted(map(tuple, K.gene_flags(carried).collect()))
+    assert sorted(map(tuple, flags.collect())) == want
+    monkeypatch.setattr(K, "FEW", 1)
+    assert sorted(map(tuple, K.gene_flags_coded(codes, features).collect())) == want
+
+
+def test_scores_by_numbers_are_those_by_names(spark):
+    from cairn.operators import derive as D
+
+    strata, carried = small(spark)
+    cohort = strata.select("drug", "uid", "lineage", F.when(F.col("y") == 1, "R").otherwise("S").alias("phenotype"))
+    weights = spark.createDataFrame([("D", "g", "x", 0.25), ("D", "h", "y", 0.5), ("E", "g", "x", -1.0)], "drug string, gene string, mutation string, w double")
+    got = D.coded_score(cohort, *K.coded(carried), weights)
+    assert sorted(map(str, got.collect())) == sorted(map(str, D.risk_score(cohort, carried, weights).collect()))
+
+
+def test_documents_meet_a_small_model_without_a_shuffle(spark):
+    from cairn.operators import serve as R
+
+    isolates = spark.createDataFrame([("u", "lineage1", 3.0), ("v", "lineage2", None), ("n", None, 1.0)], "uid string, lineage string, tb_depth double")
+    carried = spark.createDataFrame([("u", "g", "m"), ("u", "g", "a"), ("v", "g", "m")], "uid string, gene string, mutation string")
+    docs = R.coded_instances(isolates, *K.coded(carried))
+    assert sorted(map(str, docs.collect())) == sorted(map(str, R.assemble_instances(isolates, carried).collect()))
+    terms = [("D", "g@m", "mutation", 0.0, 1.0, 0.5, 2.0), ("E", "g@m", "mutation", 0.0, 3.0, 0.5, 1.0), ("D", "tb_depth", "coverage", 40.0, 0.5, 1.0, 1.0), ("D", "intercept", "intercept", 0.0, 1.0, 0.0, 1.0)]
+    model = stored(spark.createDataFrame(terms, "drug string, feature string, kind string, fill double, coef double, mean double, scale double"))
+    vectors = R.vectorize(stored(docs), model)
+    assert "SortMergeJoin" not in plan(vectors)
+    assert sorted((r.uid, r.drug, r.feature, r.value) for r in vectors.collect()) == [("n", "D", "tb_depth", 1.0), ("u", "D", "g@m", 1.0), ("u", "D", "tb_depth", 3.0), ("u", "E", "g@m", 1.0), ("v", "D", "g@m", 1.0), ("v", "D", "tb_depth", 40.0), ("v", "E", "g@m", 1.0)]
