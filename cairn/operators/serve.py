@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.shared import hot_join, stored
+from cairn.operators.carriage import decoded
+from cairn.operators.shared import FEW, few, hot_join, in_shuffle, stored
 
 INSTANCE = "uid string, covariates struct<lineage: string, tb_depth: double>, variants array<struct<gene: string, mutation: string>>"
 LINEAGES = ("lineage1", "lineage2", "lineage3", "lineage4")
@@ -25,6 +26,17 @@ def assemble_instances(isolates: DataFrame, mutations: DataFrame, uids: DataFram
     return out.select("uid", "covariates", F.coalesce("variants", F.array().cast("array<struct<gene: string, mutation: string>>")).alias("variants"))
 
 
+def coded_instances(isolates: DataFrame, codes: DataFrame, features: DataFrame) -> DataFrame:
+    """The same of carriage as numbers: names come in within a document's row."""
+    none = F.array().cast("array<struct<gene: string, mutation: string>>")
+    if features.count() > FEW:
+        return assemble_instances(isolates, decoded(codes, features))
+    named = features.agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "gene", "mutation"))), lambda x: F.struct(x["gene"].alias("gene"), x["mutation"].alias("mutation"))).alias("names"))
+    variants = codes.crossJoin(F.broadcast(named)).select("uid", F.array_sort(F.transform("on", lambda f: F.get("names", f))).alias("variants"))  # one row
+    out = isolates.select("uid", F.struct("lineage", "tb_depth").alias("covariates")).join(in_shuffle(variants), "uid", "left")
+    return out.select("uid", "covariates", F.coalesce("variants", none).alias("variants"))
+
+
 def exemplars(mutations: DataFrame, wanted: Column, unwanted: Column, least: int, most: int) -> DataFrame:
     """The first isolate with a wanted mutation, no unwanted one, and a number
     of mutations in the range."""
@@ -71,7 +83,7 @@ def vectorize(instances: DataFrame, model: DataFrame) -> DataFrame:
     many rows as it has features, whatever the model's size: an equality join.
     `model(drug, feature, kind, gene, mutation, fill, coef, mean, scale)`."""
     docs = instances.select("uid", F.col("covariates.tb_depth").alias("depth"), F.explode(_present()).alias("feature"))
-    both = docs.join(model.filter("kind <> 'intercept'").select("drug", "feature", "kind", "fill"), "feature")
+    both = docs.join(few(model.filter("kind <> 'intercept'").select("drug", "feature", "kind", "fill")), "feature")
     value = F.when(F.col("kind") == "coverage", F.coalesce("depth", "fill")).otherwise(1.0)
     return both.select("uid", "drug", "feature", "kind", value.cast("float").alias("value"))
 
@@ -100,7 +112,7 @@ def roundtrip(served: DataFrame, trained: DataFrame) -> DataFrame:
 def contributions(vectors: DataFrame, model: DataFrame) -> DataFrame:
     """coef * value / scale of each feature that is not 0; a missing value
     counts as the mean. What centring takes off is in `bases`."""
-    v = vectors.select("uid", "drug", "feature", "value").join(model.select("drug", "feature", "kind", "coef", "mean", "scale"), ["drug", "feature"])
+    v = vectors.select("uid", "drug", "feature", "value").join(few(model.select("drug", "feature", "kind", "coef", "mean", "scale")), ["drug", "feature"])
     return v.select("uid", "drug", "feature", "kind", (F.col("coef") * F.coalesce(F.col("value").cast("double"), "mean") / F.col("scale")).alias("contribution"), "value")
 
 

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import agreement as A
-from cairn.operators import carriage as K
 from cairn.operators import derive as D
 from cairn.operators import evaluate as E
 from cairn.operators import models as M
 from cairn.operators import select as L
 from cairn.operators.firth import firth as firth_fit
 from cairn.operators import serve as R
-from cairn.operators.shared import new_path, stored
+from cairn.operators.shared import few, new_path, stored
 from cairn.plans import fixtures as X
 from cairn.plans.analysis_queries import _EFFECT, _POOL, _Q, _STRATA, _TIER_CTES, _TIERS, _W, T, _folds, corr, counted, effect, scored, totals, votes
 from cairn.plans.fixtures import sql
 from cairn.plans.held import held
 from cairn.plans.registry import query
-from cairn.plans.release_queries import CLASSES, carried, cohort
+from cairn.plans.release_queries import CLASSES, carried, carried_features, coded, cohort
 from cairn.sources import deposit as P
 from cairn.sources import release as S
 from cairn.streaming import predict as stream
 
 
 def instances(s, d):
-    return held(s, d, "instances", lambda: R.assemble_instances(X.isolates(s, d), X.mutations(s, d)))
+    return held(s, d, "instances", lambda: R.coded_instances(X.isolates(s, d), *coded(s, d)))
 
 
 @query("assemble_instances", sql("SELECT uid, lineage, round(tb_depth,4) AS tb_depth, string_agg(gene||'@'||mutation, ';' ORDER BY gene, mutation) AS variants FROM isolates LEFT JOIN carriage USING (uid) GROUP BY ALL", "isolates", "carriage"))
@@ -81,7 +80,7 @@ def _model(s, d):
     t = totals(s, d)
     weights = D.risk_weights(p, t).join(candidates.select("drug", "gene", "mutation"), ["drug", "gene", "mutation"])
     share = p.join(F.broadcast(t), "drug").select("drug", "gene", "mutation", (F.col("carriers") / F.col("n")).alias("mean"))  # a row for each drug
-    schema = R.feature_schema(weights, carried(s, d).select("gene", "mutation").distinct(), 40.0)
+    schema = R.feature_schema(weights, carried_features(s, d), 40.0)
     m = schema.join(weights, ["drug", "gene", "mutation"], "left").join(share, ["drug", "gene", "mutation"], "left")
     is_m, is_l = F.col("kind") == "mutation", F.col("kind") == "lineage"
     pick = lambda a, b, c: F.when(is_m, a).when(is_l, b).otherwise(c)
@@ -109,8 +108,7 @@ def roundtrip(s, d):
     m = model(s, d)
     docs = R.read_instances(instances(s, d).select(F.to_json(F.struct("uid", "covariates", "variants")).alias("value")))
     served = stored(R.vectorize(docs, m).filter("kind = 'mutation'").select("uid", "drug", "feature", "value"), "served")
-    grid = X.isolates(s, d).select("uid").join(K.carriage(X.mutations(s, d)), "uid")
-    mart = grid.join(m.filter("kind = 'mutation'").select("drug", "gene", "mutation", "feature"), ["gene", "mutation"])
+    mart = carried(s, d).join(few(m.filter("kind = 'mutation'").select("drug", "gene", "mutation", "feature")), ["gene", "mutation"])
     trained = stored(mart.select("uid", "drug", "feature", F.lit(1.0).cast("float").alias("value")), "mart")
     key = lambda df: df.select(F.concat_ws("|", "uid", "drug").alias("uid"), "feature", "value")
     wrong = R.roundtrip(key(served), key(trained)).groupBy(F.split_part("uid", F.lit("|"), F.lit(2)).alias("drug"), "feature").agg(F.count(F.lit(1)).alias("n_mismatches"))
@@ -300,7 +298,7 @@ def table_checksum(s, d):
 def _rows(s, d):
     """Rows and column index of all drugs' models, and how many drugs."""
     base, counts, candidates = counted(s, d)
-    rows, index = M.design(cohort(s, d), carried(s, d), candidates)
+    rows, index = M.coded_design(cohort(s, d), *coded(s, d), candidates)
     return rows, index, index.filter("gene IS NULL").count(), L.pairs_of(counts)
 
 
@@ -337,7 +335,7 @@ def vote_importance(s, d):
 def concordance_three(s, d):
     """All three votes; two of them make a feature concordant."""
     base, counts, candidates = counted(s, d)
-    rows, index = M.design(cohort(s, d), carried(s, d), candidates)
+    rows, index = M.coded_design(cohort(s, d), *coded(s, d), candidates)
     important = stored(M.importance_vote(M.coefficients(rows, index), L.pairs_of(counts), totals(s, d)), "importance")
     return L.concordance(L.vote_effect(base, counts, candidates), L.vote_residual(base, counts, candidates), important)
 
@@ -426,7 +424,7 @@ def firth(s, d):
 @query("transfer_eval")
 def transfer_eval(s, d):
     base, counts, candidates = counted(s, d)
-    rows, index = M.design(cohort(s, d), carried(s, d), candidates)
+    rows, index = M.coded_design(cohort(s, d), *coded(s, d), candidates)
     return M.transfer(rows, cohort(s, d), carried(s, d), candidates, CLASSES, index.filter("gene IS NULL").count())
 
 
@@ -459,7 +457,7 @@ _CARD = """SELECT drug, sha256(string_agg(term, ';' ORDER BY term)) AS model_sha
 def model_cards(s, d):
     """Cards of the closed-form models, for a mart that lacks some features."""
     m, c = model(s, d), cohort(s, d)
-    known = carried(s, d).select("gene", "mutation").distinct().filter("mutation NOT LIKE '%9\\_del\\_%'")
+    known = carried_features(s, d).filter("mutation NOT LIKE '%9\\_del\\_%'")
     marts = c.select("drug").distinct().withColumns({"release": F.lit("v1"), "fe_id": F.lit(P.fe_id({"release": "v1"}, {"least": 10}, []))})
     return M.model_cards(m, E.tier_report(_folds(s, d)), c, known, marts)
 
