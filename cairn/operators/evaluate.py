@@ -26,13 +26,15 @@ def auc_by(scored: DataFrame, by: Sequence[str], least_rows: int = 0) -> DataFra
     return auc(scored, "score", F.col("y") == 1, by, least_rows).withColumn("auc", F.round("auc", 6))
 
 
-def cv_folds(rows: DataFrame, fold: str, fit_score: Callable[[DataFrame, DataFrame], DataFrame], folds: Sequence) -> DataFrame:
+def cv_folds(rows: DataFrame, fold: str, fit_score: Callable[[DataFrame, DataFrame], DataFrame], folds: Sequence, seen: DataFrame | None = None) -> DataFrame:
     """Out-of-fold scores: each fold scored by what the others fit. The fits
-    are Spark jobs, some at a time; None without folds."""
+    are Spark jobs, some at a time; None without folds. `seen`: the same rows
+    as fits take them, equal ones as one with their weight."""
+    train = rows if seen is None else seen
 
     def scored(f) -> DataFrame:
         test = rows.filter(F.col(fold) == F.lit(f))
-        return fit_score(rows.filter(F.col(fold) != F.lit(f)), test).withColumn("fold", F.lit(f).cast("string"))
+        return fit_score(train.filter(F.col(fold) != F.lit(f)), test).withColumn("fold", F.lit(f).cast("string"))
 
     parts = at_once(scored, folds)
     return reduce(DataFrame.unionByName, parts) if parts else None
@@ -44,12 +46,12 @@ def usable_for_logo(rows: DataFrame, group: str, least: int = 20) -> list[str]:
     return sorted(r[0] for r in g.filter((F.col("n") >= least) & (F.col("n_r") > 0) & (F.col("n_r") < F.col("n"))).collect())
 
 
-def cv_logo(rows: DataFrame, group: str, fit_score, least: int = 20, named_only: bool = True) -> DataFrame:
+def cv_logo(rows: DataFrame, group: str, fit_score, least: int = 20, named_only: bool = True, seen: DataFrame | None = None) -> DataFrame:
     """Leave each group out. `named_only`: rows of no usable group never train
     (lineages); otherwise all others do (sites)."""
     groups = usable_for_logo(rows, group, least)
-    base = rows.filter(F.col(group).isin(groups)) if named_only else rows
-    return cv_folds(base, group, fit_score, groups)
+    named = lambda df: df if df is None or not named_only else df.filter(F.col(group).isin(groups))
+    return cv_folds(named(rows), group, fit_score, groups, named(seen))
 
 
 def fold_means(scored: DataFrame, by: Sequence[str] = ("drug",)) -> DataFrame:

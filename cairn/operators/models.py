@@ -67,6 +67,20 @@ def vectors(rows: DataFrame, size: int) -> DataFrame:
     return counter.transform(rows.withColumn("_names", F.col("columns").cast("array<string>"))).drop("_names")
 
 
+def merged(rows: DataFrame, *more: str) -> DataFrame:
+    """Design rows that are equal in drug, lineage, label and columns (and
+    `more`) as one, stored, with the sum of their weights. A loss that is a
+    weighted sum over rows is the same, so linear models and boosted trees that
+    see all rows fit the same; forests, which draw rows, and perceptrons, which
+    take no weights, need the rows themselves."""
+    g = rows.groupBy("drug", "lineage", "y", "label", "columns", *more)
+    return stored(g.agg(F.sum("weight").alias("weight"), F.first("features").alias("features")), "merged")
+
+
+def takes_merged(learner) -> bool:
+    return isinstance(learner, LogisticRegression | GBTClassifier) and learner.isSet("weightCol") and (not isinstance(learner, GBTClassifier) or learner.getSubsamplingRate() == 1.0)
+
+
 def logistic(reg: float = 0.05, l1: float = 0.0, drugs: int = 1, steps: int = 40) -> LogisticRegression:
     """`reg` is what each drug's own fit has: the joint loss averages drugs. The
     constant of a single drug does not vary, which the solver leaves out: there
@@ -97,9 +111,9 @@ def out_of_fold(rows: DataFrame, panel: Mapping[str, object], group: str = "line
     """Scores of each model on each usable group by what the others fit."""
     from cairn.operators.evaluate import cv_logo
 
-    out = None
+    out, seen = None, merged(rows) if group == "lineage" and any(map(takes_merged, panel.values())) else None
     for name, learner in panel.items():
-        part = cv_logo(rows, group, fit_score(learner)).withColumn("model", F.lit(name))
+        part = cv_logo(rows, group, fit_score(learner), seen=seen if takes_merged(learner) else None).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return stored(out, "oof")
 
@@ -138,7 +152,7 @@ def coefficients(rows: DataFrame, index: DataFrame, reg: float = 0.01, l1: float
     """(drug, gene, mutation, coef) of one fit of all drugs; a drug's constant
     has no gene."""
     drugs = index.filter("gene IS NULL").count()
-    fitted = logistic(reg, l1, drugs).fit(rows)
+    fitted = logistic(reg, l1, drugs).fit(merged(rows))
     out = index.join(_named(rows.sparkSession, fitted.coefficients.toArray(), "coef"), "i").drop("i")
     return out.withColumn("coef", F.when(F.col("gene").isNull(), F.col("coef") + F.lit(float(fitted.intercept))).otherwise(F.col("coef")))
 
@@ -187,11 +201,11 @@ def nested_logo(rows: DataFrame, grid: Sequence[float], drugs: int, group: str =
     A fit without two groups serves both orders of the pair."""
     from cairn.operators.evaluate import usable_for_logo
 
-    groups = usable_for_logo(rows, group)
+    groups, seen = usable_for_logo(rows, group), merged(rows)
 
     def scored(setting: tuple[float, str, str]) -> DataFrame:
         reg, a, b = setting
-        part = fit_score(logistic(reg, 0.0, drugs, 20))(rows.filter(~F.col(group).isin(a, b)), rows.filter(F.col(group).isin(a, b)))
+        part = fit_score(logistic(reg, 0.0, drugs, 20))(seen.filter(~F.col(group).isin(a, b)), rows.filter(F.col(group).isin(a, b)))
         # held out `a`, scored on `b`, and the other way round; a pair of one group is the outer fit
         other = F.when(F.col("lineage") == a, b).otherwise(a)
         return part.withColumns({"held_out": other if a != b else F.lit(a), "outer": F.lit(a == b), "reg": F.lit(reg)})
@@ -216,8 +230,9 @@ def class_weights(cohort: DataFrame) -> DataFrame:
 def surrogate(rows: DataFrame, index: DataFrame, scores: DataFrame, top: int = 20) -> DataFrame:
     """Additive models of another model's scores (drug, uid, score): the
     largest terms of each drug and how much of its scores they explain."""
-    data = stored(rows.select("drug", "uid", "features").join(scores.select("drug", "uid", F.col("score").alias("label")), ["drug", "uid"]), "surrogate")
-    fitted = LinearRegression(regParam=0.001, fitIntercept=False, standardization=False).fit(data)
+    data = stored(rows.select("drug", "uid", "features", "columns").join(scores.select("drug", "uid", F.col("score").alias("label")), ["drug", "uid"]), "surrogate")
+    once = stored(data.groupBy("columns", "label").agg(F.count(F.lit(1)).cast("double").alias("n"), F.first("features").alias("features")), "surrogate")
+    fitted = LinearRegression(regParam=0.001, fitIntercept=False, standardization=False, weightCol="n").fit(once)
     e = F.col("label") - F.col("prediction")
     r2 = fitted.transform(data).groupBy("drug").agg((1 - F.sum(e * e) / (F.var_pop("label") * F.count(F.lit(1)))).alias("r2"))
     terms = index.join(_named(rows.sparkSession, fitted.coefficients.toArray(), "term"), "i").filter("gene IS NOT NULL").drop("i")
@@ -230,9 +245,11 @@ def graded_regression(rows: DataFrame, graded: DataFrame) -> DataFrame:
     from cairn.operators.evaluate import usable_for_logo
 
     data = stored(rows.drop("label").join(graded.select("drug", "uid", F.col("value").alias("label")), ["drug", "uid"]), "graded")
-    out = None
+    # squared errors of rows with equal columns are those of their mean, and what no tree can change
+    means = data.groupBy("lineage", "columns").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n"), F.first("features").alias("features"))
+    means, out = stored(means, "means"), None
     for g in usable_for_logo(data, "lineage"):
-        fitted = GBTRegressor(maxIter=8, maxDepth=5, seed=7).fit(data.filter(F.col("lineage") != g))
+        fitted = GBTRegressor(maxIter=8, maxDepth=5, seed=7, weightCol="n").fit(means.filter(F.col("lineage") != g))
         part = fitted.transform(data.filter(F.col("lineage") == g)).select("drug", "uid", "lineage", "y", "label", "prediction")
         out = part if out is None else out.unionByName(part)
     return stored(out, "graded")
@@ -250,7 +267,7 @@ def transfer(rows: DataFrame, cohort: DataFrame, carried: DataFrame, pool: DataF
     data = rows.drop("features").join(on, "uid", "left").withColumn("_names", F.concat(F.coalesce("on", F.array().cast("array<string>")), kinds))
     extra = sorted({f"drug {r[0]}" for r in cohort.select("drug").distinct().collect()} | {f"class {c}" for c in [*classes.values(), "other"]})
     counter = CountVectorizerModel.from_vocabulary(names + extra, inputCol="_names", outputCol="features").setBinary(True)
-    data = stored(counter.transform(data).drop("_names", "on"), "transfer")
+    data = stored(counter.transform(data).withColumn("columns", F.array_sort("_names")).drop("_names", "on"), "transfer")
     both = out_of_fold(data, {"joint": GBTClassifier(maxIter=10, maxDepth=5, seed=7, weightCol="weight")}).unionByName(out_of_fold(rows, {"own": logistic(0.01, 0.0, drugs)}))
     mean = auc(both, "score", F.col("y") == 1, ["drug", "model", "lineage"]).groupBy("drug", "model").agg(F.avg("auc").alias("m"), F.count("auc").alias("n"))
     wide = mean.groupBy("drug").agg(*[F.max(F.when(F.col("model") == m, F.col("m"))).alias(m) for m in ("joint", "own")], F.max("n").alias("n_groups"))
@@ -318,7 +335,8 @@ def cv_random(rows: DataFrame, learner, folds: DataFrame, k: int) -> DataFrame:
     from cairn.operators.evaluate import cv_folds
 
     folded = stored(rows.join(folds.select("drug", "uid", "fold"), ["drug", "uid"]), "folded")
-    return auc(cv_folds(folded, "fold", fit_score(learner), range(k)), "score", F.col("y") == 1, ["drug"])
+    seen = merged(folded, "fold") if takes_merged(learner) else None
+    return auc(cv_folds(folded, "fold", fit_score(learner), range(k), seen), "score", F.col("y") == 1, ["drug"])
 
 
 def impute_confounders(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("drug",)) -> DataFrame:

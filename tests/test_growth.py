@@ -112,3 +112,27 @@ def test_documents_meet_a_small_model_without_a_shuffle(spark):
     vectors = R.vectorize(stored(docs), model)
     assert "SortMergeJoin" not in plan(vectors)
     assert sorted((r.uid, r.drug, r.feature, r.value) for r in vectors.collect()) == [("n", "D", "tb_depth", 1.0), ("u", "D", "g@m", 1.0), ("u", "D", "tb_depth", 3.0), ("u", "E", "g@m", 1.0), ("v", "D", "g@m", 1.0), ("v", "D", "tb_depth", 40.0), ("v", "E", "g@m", 1.0)]
+
+
+def test_equal_rows_fit_as_one(spark):
+    """Six copies of each isolate: fits see each once, and are the same."""
+    import random
+
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier
+
+    from cairn.operators import models as M
+
+    rng = random.Random(3)
+    isolates = [(f"u{i}", f"l{i % 3}", {m for m in "abcde" if rng.random() < 0.4}) for i in range(90)]
+    cohort = spark.createDataFrame([("D", f"{u}-{k}", x, "R" if ("a" in on) != (rng.random() < 0.1) else "S") for u, x, on in isolates for k in range(6)], "drug string, uid string, lineage string, phenotype string")
+    carried = spark.createDataFrame([(f"{u}-{k}", "g", m) for u, _, on in isolates for k in range(6) for m in on], "uid string, gene string, mutation string")
+    rows, _ = M.design(cohort, carried, spark.createDataFrame([("D", "g", m) for m in "abcde"], "drug string, gene string, mutation string"))
+    once = M.merged(rows)
+    assert rows.count() == 540 and once.count() < 200 and abs(once.agg(F.sum("weight")).first()[0] - rows.agg(F.sum("weight")).first()[0]) < 1e-6
+    net = M.logistic(0.01, 0.5)
+    assert np.allclose(net.fit(once).coefficients.toArray(), net.fit(rows).coefficients.toArray(), atol=1e-5)
+    trees = GBTClassifier(maxIter=3, maxDepth=3, seed=7, weightCol="weight")
+    a, b = (M.fit_score(trees)(train, rows).select("uid", "score") for train in (once, rows))
+    assert a.join(b.withColumnRenamed("score", "other"), "uid").filter(F.abs(F.col("score") - F.col("other")) > 1e-9).isEmpty()
+    assert M.takes_merged(trees) and M.takes_merged(net) and not M.takes_merged(M.learners(6)["forest"]) and not M.takes_merged(M.learners(6)["mlp"])
