@@ -9,42 +9,17 @@ which is a permutation. All features and repeats are rows of one job."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.models import FEATURE, top_features, variable_importance
+from cairn.operators.perceptron import Net, Perceptron, fitted, taken
 from cairn.operators.ranks import by_hash
 from cairn.operators.shared import stored
 
 
-@dataclass(frozen=True)
-class Perceptron:
-    """One hidden layer of logistic units over 0/1 columns: `into` has a row of
-    weights for each column, `margin` what each unit adds to label 1's lead."""
-
-    into: np.ndarray
-    shift: np.ndarray
-    margin: np.ndarray
-    lead: float
-
-    def says(self, z: list[Column]) -> Column:
-        """The label for a row whose units get `z`."""
-        total = F.lit(float(self.lead))
-        for x, m in zip(z, self.margin, strict=True):
-            total = total + F.lit(float(m)) / (1 + F.exp(-x))
-        return (total > 0).cast("int")
-
-
 def fit_perceptron(rows: DataFrame, n_features: int, hidden: int = 16, steps: int = 60, seed: int = 7) -> Perceptron:
-    fitted = MultilayerPerceptronClassifier(layers=[max(1, n_features), hidden, 2], maxIter=steps, seed=seed).fit(rows)
-    w, p = fitted.weights.toArray(), max(1, n_features)
-    into, rest = w[: p * hidden].reshape(p, hidden), w[p * hidden :]
-    out, lead = rest[hidden : hidden * 3].reshape(hidden, 2), rest[hidden * 3 :]
-    return Perceptron(into, rest[:hidden], out[:, 1] - out[:, 0], float(lead[1] - lead[0]))
+    return fitted(taken(rows), {"net": Net(max(1, n_features), hidden, steps, seed)})["net"]
 
 
 def carriers(rows: DataFrame, carried: DataFrame, index: DataFrame) -> DataFrame:

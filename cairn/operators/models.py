@@ -6,13 +6,14 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators import perceptron
 from cairn.operators.carriage import coded
 from cairn.operators.shared import at_once, in_shuffle, stored
 from cairn.operators.stats import auc
@@ -95,7 +96,7 @@ def learners(n_features: int, drugs: int = 1, seed: int = 7) -> dict[str, Callab
         "elastic_net": logistic(0.01, 0.5, drugs),
         "forest": RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed, weightCol="weight"),
         "boosted": GBTClassifier(maxIter=8, maxDepth=5, seed=seed, weightCol="weight"),
-        "mlp": MultilayerPerceptronClassifier(layers=[max(1, n_features), 8, 2], maxIter=30, seed=seed),
+        "mlp": perceptron.Net(max(1, n_features), 8, 30, seed),
     }
 
 
@@ -107,12 +108,28 @@ def fit_score(learner) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return run
 
 
+def fit_score_nets(nets: Mapping[str, perceptron.Net], spark) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """All of `nets` of a fold, which see its rows in the same form."""
+    starts = {name: net.start(spark) for name, net in nets.items()}
+
+    def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        data = perceptron.taken(train)
+        return perceptron.scores(test, perceptron.fitted(data, nets, starts))
+
+    return run
+
+
 def out_of_fold(rows: DataFrame, panel: Mapping[str, object], group: str = "lineage") -> DataFrame:
     """Scores of each model on each usable group by what the others fit."""
     from cairn.operators.evaluate import cv_logo
 
     out, seen = None, merged(rows) if group == "lineage" and any(map(takes_merged, panel.values())) else None
+    nets = {name: x for name, x in panel.items() if isinstance(x, perceptron.Net)}
+    if nets:
+        out = cv_logo(rows, group, fit_score_nets(nets, rows.sparkSession))
     for name, learner in panel.items():
+        if name in nets:
+            continue
         part = cv_logo(rows, group, fit_score(learner), seen=seen if takes_merged(learner) else None).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return stored(out, "oof")
@@ -317,7 +334,7 @@ def fills(cohort: DataFrame) -> DataFrame:
 def mlp_sweep(rows: DataFrame, n_features: int, widths: Sequence[int] = (4, 16), iterations: Sequence[int] = (20, 40)) -> DataFrame:
     """Perceptrons by width and iterations (Spark ML has no L2 knob for them):
     mean AUC over drugs and held-out lineages, the best first."""
-    panel = {f"{w}x{i}": MultilayerPerceptronClassifier(layers=[max(1, n_features), w, 2], maxIter=i, seed=7) for w in widths for i in iterations}
+    panel = {f"{w}x{i}": perceptron.Net(max(1, n_features), w, i) for w in widths for i in iterations}
     a = auc(out_of_fold(rows, panel), "score", F.col("y") == 1, ["model", "drug", "lineage"])
     return a.groupBy("model").agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.count("auc").alias("n_folds")).orderBy(F.desc("mean_auc"), "model")
 
