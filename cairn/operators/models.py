@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -100,9 +101,22 @@ def learners(n_features: int, drugs: int = 1, seed: int = 7) -> dict[str, Callab
     }
 
 
+#: Rows of a design that a task of a tree's fit holds, about: Spark ML keeps a number for every column of each.
+TREE_ROWS = 100_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """What a tree's fit reads of design rows, dealt again where tasks would
+    hold more than `TREE_ROWS`: stored rows are a few bytes each, so a task that
+    scans a file of them can get millions."""
+    tasks = math.ceil(rows.count() / TREE_ROWS)
+    own = rows.select("label", "weight", "features")
+    return own.repartition(tasks) if tasks > rows.rdd.getNumPartitions() else rows
+
+
 def fit_score(learner) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        out = learner.fit(train).transform(test)
+        out = learner.fit(dealt(train) if isinstance(learner, RandomForestClassifier | GBTClassifier) else train).transform(test)
         return out.select("drug", "uid", "lineage", "y", vector_to_array("probability")[1].alias("score"))
 
     return run
@@ -197,7 +211,7 @@ def top_features(df: DataFrame, by: Column, n: int) -> DataFrame:
 
 
 def variable_importance(rows: DataFrame, index: DataFrame, top: int = 30) -> DataFrame:
-    fitted = learners(1)["forest"].fit(rows)
+    fitted = learners(1)["forest"].fit(dealt(rows))
     imp = index.join(_named(rows.sparkSession, fitted.featureImportances.toArray(), "importance"), "i").filter("gene IS NOT NULL").drop("i")
     return top_features(imp, F.desc("importance"), top)
 

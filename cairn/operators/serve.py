@@ -131,6 +131,30 @@ def score(vectors: DataFrame, instances: DataFrame, model: DataFrame) -> DataFra
     return out.withColumn("p_resistant", 1 / (1 + F.exp(-F.col("logit"))))
 
 
+def score_documents(instances: DataFrame, model: DataFrame) -> DataFrame:
+    """`score` of what `vectorize` makes of the documents, without a row for
+    each drug and feature: a feature has its weight for every drug in one row,
+    a document's sums are made once, and only they are dealt."""
+    base = bases(model)  # a number for each drug
+    weight = F.col("coef") / F.col("scale")
+    fixed = model.filter("kind NOT IN ('intercept', 'coverage')").groupBy("feature").agg(*[F.sum(F.when(F.col("drug") == d, weight)).alias(f"w{k}") for k, d in enumerate(base)])
+    covered = {r["drug"]: r for r in model.filter("kind = 'coverage' AND feature = 'tb_depth'").collect()}  # a row for each drug
+    on = instances.select("uid", F.col("covariates.tb_depth").alias("depth"), F.explode(_present()).alias("feature"))
+    fixed = stored(fixed.withColumn("hit", F.lit(True)), "terms")
+    hits = on.join(few(fixed), "feature", "left").filter("hit OR feature = 'tb_depth'")  # a document has a row, whatever it carries
+    sums = hits.groupBy("uid").agg(F.max("depth").alias("depth"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(len(base))])
+
+    def of_depth(drug: str) -> Column:
+        if drug not in covered:
+            return F.lit(0.0)
+        r = covered[drug]
+        value = F.coalesce("depth", F.lit(r["fill"]).cast("double")).cast("float").cast("double")
+        return F.lit(r["coef"]) * F.coalesce(value, F.lit(r["mean"])) / F.lit(r["scale"])
+
+    each = [F.struct(F.lit(d).alias("drug"), (F.lit(float(b)) + F.col(f"w{k}") + of_depth(d)).alias("logit")) for k, (d, b) in enumerate(base.items())]
+    return sums.select("uid", F.inline(F.array(*each))).withColumn("p_resistant", 1 / (1 + F.exp(-F.col("logit"))))
+
+
 def explain(vectors: DataFrame, model: DataFrame, evidence: DataFrame, determinants: DataFrame) -> DataFrame:
     """Fired mutations of each document and drug with role and order: primary
     drivers, then co-selected passengers, then weak ones, by coefficient.

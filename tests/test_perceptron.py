@@ -52,3 +52,28 @@ def test_gradient_by_differences(spark):
     for k in range(len(w)):
         e = np.eye(len(w))[k] * 1e-6
         assert abs((f(w + e)[0] - f(w - e)[0]) / 2e-6 - g[k]) < 1e-7
+
+
+def test_a_task_of_a_tree_holds_so_many_rows(spark, design, monkeypatch):
+    """Rows of a few bytes lie in one file; a fit's tasks hold no more than they may."""
+    rows, _ = design
+    assert M.dealt(rows).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(M, "TREE_ROWS", 60)
+    own = M.dealt(rows)
+    n = own.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(n) == rows.count() == 420 and len(n) == 7 and max(n) <= 70
+
+
+def test_documents_are_scored_without_vectors(spark):
+    """Sums by document are those of its vectors, of documents without a hit, depth or lineage too."""
+    from cairn.operators import serve as R
+
+    docs = [("u", ("lineage1", 3.3), [("g", "m"), ("g", "a"), ("g", "m")]), ("v", ("lineage2", None), [("g", "m"), ("h", "tX")]), ("n", (None, 1.0), []), ("o", None, None)]
+    docs = spark.createDataFrame(docs, R.INSTANCE)
+    terms = [("D", "g@m", "mutation", 0.0, 1.0, 0.5, 2.0), ("E", "g@m", "mutation", 0.0, 3.0, 0.5, 1.0), ("E", "lineage1", "lineage", 0.0, 0.25, 0.2, 0.4), ("D", "tb_depth", "coverage", 40.0, 0.5, 1.0, 1.5), ("D", "h@tX", "mutation", 0.0, 9.0, 0.5, 1.0), ("D", "intercept", "intercept", 0.0, 1.0, 0.0, 1.0), ("F", "intercept", "intercept", 0.0, -1.0, 0.0, 1.0)]
+    model = spark.createDataFrame(terms, "drug string, feature string, kind string, fill double, coef double, mean double, scale double")
+    of = lambda df: {(r.uid, r.drug): (round(r.logit, 9), round(r.p_resistant, 9)) for r in df.collect()}
+    got = of(R.score_documents(docs, model))
+    assert len(got) == 12 and got == of(R.score(R.vectorize(docs, model), docs, model))
+    own = R.score_documents(docs, model)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in own
