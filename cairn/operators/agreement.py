@@ -9,54 +9,59 @@ which is a permutation. All features and repeats are rows of one job."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.models import FEATURE, top_features, variable_importance
 from cairn.operators.perceptron import Net, Perceptron, fitted, taken
 from cairn.operators.ranks import by_hash
-from cairn.operators.shared import stored
+from cairn.operators.shared import in_shuffle, stored
 
 
 def fit_perceptron(rows: DataFrame, n_features: int, hidden: int = 16, steps: int = 60, seed: int = 7) -> Perceptron:
     return fitted(taken(rows), {"net": Net(max(1, n_features), hidden, steps, seed)})["net"]
 
 
-def carriers(rows: DataFrame, carried: DataFrame, index: DataFrame) -> DataFrame:
-    """(drug, uid, i) for each 1 of the design's rows, constants left out."""
-    return rows.select("drug", "uid").join(carried.select("uid", *FEATURE).distinct(), "uid").join(index.filter("gene IS NOT NULL"), ["drug", *FEATURE]).select("drug", "uid", "i")
+#: Changes of a row's features that a task looks at, about.
+CHANGES = 2_000_000
 
 
-def moved(carried: DataFrame, ranked: DataFrame, repeats: int, seed: int) -> DataFrame:
-    """(drug, i, turn, uid, change): rows that lose (-1) or gain (1) a feature
-    in each of `repeats` permutations. `ranked` has every row's `place`, from
-    1, and the drug's number of rows `n`."""
+def moved(ones: DataFrame, repeats: int, seed: int, tasks: int) -> DataFrame:
+    """(drug, place, i, turn, change): rows that lose (-1) or gain (1) a feature
+    in each of `repeats` permutations, dealt by row. `ones(drug, place, n, i)`
+    has a row for each 1, `place` its row's, from 1, of the drug's `n`."""
     turn = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn")
-    ones = carried.join(ranked, ["drug", "uid"]).select("drug", "i", "uid", "place", "n", turn)
+    each = ones.select("drug", "i", "place", "n", turn)
     offset = 1 + F.pmod(F.xxhash64("i", "turn", F.lit(seed)), F.greatest(F.col("n") - 1, F.lit(1)))
     to = F.pmod(F.col("place") - 1 + offset, F.col("n")) + 1
-    gains = ones.select("drug", "i", "turn", to.alias("place")).join(ranked.select("drug", "place", "uid"), ["drug", "place"])
-    both = ones.select("drug", "i", "turn", "uid", F.lit(-1).alias("change")).unionByName(gains.select("drug", "i", "turn", "uid", F.lit(1).alias("change")))
-    return both.groupBy("drug", "i", "turn", "uid").agg(F.sum("change").cast("int").alias("change")).filter("change <> 0")
+    change = lambda at, c: F.struct(at.cast("long").alias("place"), F.lit(c).alias("change"))
+    both = each.select("drug", "i", "turn", F.inline(F.array(change(F.col("place"), -1), change(to, 1)))).repartition(tasks, "drug", "place")
+    return both.groupBy("drug", "place", "i", "turn").agg(F.sum("change").cast("int").alias("change")).filter("change <> 0")
 
 
-def permutation_importance(rows: DataFrame, carried: DataFrame, index: DataFrame, net: Perceptron, repeats: int = 3, seed: int = 42) -> DataFrame:
+def permutation_importance(rows: DataFrame, carried: DataFrame | None, index: DataFrame, net: Perceptron, repeats: int = 3, seed: int = 42) -> DataFrame:
     """(drug, gene, mutation, importance): accuracy on the drug's rows less
     that with the feature's values permuted, mean over `repeats`. A feature
-    that no row carries has 0."""
+    that no row carries has 0. A row's ones are the design's columns, so long
+    `carried` is not read; changes are dealt once, to the row that they are of."""
     units = range(len(net.shift))
     n = rows.groupBy("drug").agg(F.count(F.lit(1)).alias("n"))
-    ranked = by_hash(stored(rows.select("drug", "uid"), "places"), ["drug"], seed, "place").join(F.broadcast(n), "drug")  # a row for each drug
-    ranked = stored(ranked, "ranked")
-    weights = rows.sparkSession.createDataFrame([(i, [float(x) for x in w]) for i, w in enumerate(net.into)], "i int, w array<double>")
-    ones = stored(carriers(rows, carried, index), "ones")
-    sums = ones.join(weights, "i").groupBy("drug", "uid").agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in units])
-    constant = index.filter("gene IS NULL").join(weights, "i").select("drug", F.col("w").alias("c"))
-    state = rows.select("drug", "uid", "y").join(F.broadcast(constant), "drug").join(sums, ["drug", "uid"], "left")  # a row for each drug
+    ranked = by_hash(stored(rows.select("drug", "uid", "y", "columns"), "places"), ["drug"], seed, "place").join(F.broadcast(n), "drug")  # a row for each drug
+    ranked = stored(ranked.select("drug", "place", "n", "y", "columns"), "ranked")
+    weights = F.broadcast(rows.sparkSession.createDataFrame([(i, [float(x) for x in w]) for i, w in enumerate(net.into)], "i int, w array<double>"))  # a model's
+    constant = F.broadcast(index.filter("gene IS NULL").select("drug", F.col("i").alias("c")))  # a row for each drug
+    ones = stored(ranked.select("drug", "place", "n", F.explode("columns").alias("i")).join(constant, "drug").filter("i <> c").drop("c"), "ones")
+    count = ones.count()
+    tasks = max(1, math.ceil(2 * repeats * count / CHANGES))
+    sums = ones.repartition(tasks, "drug", "place").join(weights, "i").groupBy("drug", "place").agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in units])
+    shift = index.filter("gene IS NULL").join(weights, "i").select("drug", F.col("w").alias("c"))
+    state = ranked.select("drug", "place", "y").repartition(tasks, "drug", "place").join(sums, ["drug", "place"], "left").join(F.broadcast(shift), "drug")  # a row for each drug
     z = [F.coalesce(f"z{k}", F.lit(0.0)) + F.col("c")[k] + F.lit(float(net.shift[k])) for k in units]
-    state = stored(state.select("drug", "uid", "y", F.array(*z).alias("z"), net.says(z).alias("said")), "units")
+    state = stored(state.select("drug", "place", "y", F.array(*z).alias("z"), net.says(z).alias("said")), "units")
 
-    changed = moved(ones, ranked, repeats, seed).join(state, ["drug", "uid"]).join(weights, "i")
+    changed = in_shuffle(moved(ones, repeats, seed, tasks)).join(state.repartition(tasks, "drug", "place"), ["drug", "place"]).join(weights, "i")
     now = net.says([F.col("z")[k] + F.col("change") * F.col("w")[k] for k in units])
     right = lambda said: (said == F.col("y")).cast("int")
     lost = changed.groupBy("drug", "i").agg(F.sum(right(F.col("said")) - right(now)).alias("lost"))

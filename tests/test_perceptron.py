@@ -77,3 +77,17 @@ def test_documents_are_scored_without_vectors(spark):
     assert len(got) == 12 and got == of(R.score(R.vectorize(docs, model), docs, model))
     own = R.score_documents(docs, model)._jdf.queryExecution().toString()
     assert "SortMergeJoin" not in own
+
+
+def test_changes_are_dealt_once_and_names_are_not_read(spark, design):
+    """Importance needs no long carriage, and changes meet their rows where they were summed."""
+    from cairn.operators import agreement as A
+
+    rows, index = design
+    net = A.fit_perceptron(rows, index.count(), hidden=4, steps=8)
+    got = {(r.drug, r.mutation): r.importance for r in A.permutation_importance(rows, None, index, net).collect()}
+    assert len(got) == 10 and got["D", "a"] > 0.1 and got["E", "a"] > 0.1
+    ones = spark.createDataFrame([("D", k, 9, 0) for k in range(1, 5)], "drug string, place long, n long, i int")
+    own = A.moved(ones, 2, 42, 3)
+    executed = own._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 1 and own.agg(F.sum("change")).first()[0] == 0
