@@ -4,8 +4,10 @@ group it; it becomes wide only for export."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,38 @@ def decoded(codes: DataFrame, features: DataFrame) -> DataFrame:
     return codes.select("uid", F.explode("on").alias("f")).join(few(features), "f").select("uid", *FEATURE)
 
 
+#: Pairs of a feature and a group that a task counts at once, about.
+TALLIED_PAIRS = 2_000_000
+
+
+def tallied(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(_k, f, n) of rows (on, _ks): how often each number of `_ks` meets each
+    of `on` in one row, about `most` pairs at once. No row is made for a pair;
+    what leaves is summed again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on, ks = batch.column("on"), batch.column("_ks")
+            f, k = on.values.to_numpy(), ks.values.to_numpy()
+            on_at, ks_at = on.offsets.to_numpy().astype(np.int64), ks.offsets.to_numpy().astype(np.int64)
+            upto = np.cumsum(np.diff(on_at) * np.diff(ks_at))
+            start = 0
+            while start < len(upto):
+                done = upto[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(upto, done + most, "right")))
+                groups, each = np.unique(k[ks_at[start] : ks_at[stop]], return_inverse=True)
+                row = np.repeat(np.arange(start, stop), np.diff(ks_at[start : stop + 1]))
+                size = on_at[row + 1] - on_at[row]
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(on_at[row], size)
+                if len(place):
+                    width = int(f.max()) + 1
+                    pair, n = np.unique(np.repeat(each, size) * width + f[place], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(groups[pair // width]), pa.array((pair % width).astype(np.int32)), pa.array(n)], ["_k", "f", "n"])
+                start = stop
+
+    return run
+
+
 def coded_counts(rows: DataFrame, codes: DataFrame, by: Sequence[str]) -> DataFrame:
     """(*by, f, n1, r1): carriers, and those with label `y` 1, of each feature
     in each group of `rows(uid, y, *by)`. Groups are few (of drugs, lineages,
@@ -129,9 +163,8 @@ def coded_counts(rows: DataFrame, codes: DataFrame, by: Sequence[str]) -> DataFr
         same = one if same is None else same & one
     met = rows.alias("r").join(few(groups).alias("g"), same).select("r.uid", (F.col("g._g") * 2 + F.col("r.y")).alias("_k"))
     met = met.groupBy("uid").agg(F.collect_list("_k").alias("_ks"))  # a row for each drug
-    met = in_shuffle(met).join(codes, "uid").select(F.explode("on").alias("f"), "_ks").select("f", F.explode("_ks").alias("_k"))
-    n = met.groupBy("_k", "f").agg(F.count(F.lit(1)).alias("n"))
-    n = n.groupBy(F.shiftright("_k", 1).alias("_g"), "f").agg(F.sum("n").alias("n1"), F.sum(F.when(F.col("_k") % 2 == 1, F.col("n")).otherwise(0)).alias("r1"))
+    met = in_shuffle(met).join(codes, "uid").select("on", "_ks").mapInArrow(tallied(TALLIED_PAIRS), "_k long, f int, n long")
+    n = met.groupBy(F.shiftright("_k", 1).alias("_g"), "f").agg(F.sum("n").alias("n1"), F.sum(F.when(F.col("_k") % 2 == 1, F.col("n")).otherwise(0)).alias("r1"))
     return n.join(few(groups), "_g").select(*by, "f", "n1", "r1")
 
 

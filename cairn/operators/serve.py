@@ -131,18 +131,15 @@ def score(vectors: DataFrame, instances: DataFrame, model: DataFrame) -> DataFra
     return out.withColumn("p_resistant", 1 / (1 + F.exp(-F.col("logit"))))
 
 
-def score_documents(instances: DataFrame, model: DataFrame) -> DataFrame:
-    """`score` of what `vectorize` makes of the documents, without a row for
-    each drug and feature: a feature has its weight for every drug in one row,
-    a document's sums are made once, and only they are dealt."""
-    base = bases(model)  # a number for each drug
-    weight = F.col("coef") / F.col("scale")
-    fixed = model.filter("kind NOT IN ('intercept', 'coverage')").groupBy("feature").agg(*[F.sum(F.when(F.col("drug") == d, weight)).alias(f"w{k}") for k, d in enumerate(base)])
+def _weights(model: DataFrame, drugs: Sequence[str]) -> DataFrame:
+    """(feature, w0, w1, ...), stored: what having a feature adds for each of `drugs`."""
+    own = [F.sum(F.when(F.col("drug") == d, F.col("coef") / F.col("scale"))).alias(f"w{k}") for k, d in enumerate(drugs)]
+    return stored(model.filter("kind NOT IN ('intercept', 'coverage')").groupBy("feature").agg(*own), "terms")
+
+
+def _scored(sums: DataFrame, model: DataFrame, base: dict[str, float]) -> DataFrame:
+    """(uid, drug, logit, p_resistant) of `sums(uid, depth, w0, w1, ...)`, the drugs those of `base`."""
     covered = {r["drug"]: r for r in model.filter("kind = 'coverage' AND feature = 'tb_depth'").collect()}  # a row for each drug
-    on = instances.select("uid", F.col("covariates.tb_depth").alias("depth"), F.explode(_present()).alias("feature"))
-    fixed = stored(fixed.withColumn("hit", F.lit(True)), "terms")
-    hits = on.join(few(fixed), "feature", "left").filter("hit OR feature = 'tb_depth'")  # a document has a row, whatever it carries
-    sums = hits.groupBy("uid").agg(F.max("depth").alias("depth"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(len(base))])
 
     def of_depth(drug: str) -> Column:
         if drug not in covered:
@@ -155,6 +152,42 @@ def score_documents(instances: DataFrame, model: DataFrame) -> DataFrame:
     return sums.select("uid", F.inline(F.array(*each))).withColumn("p_resistant", 1 / (1 + F.exp(-F.col("logit"))))
 
 
+def score_documents(instances: DataFrame, model: DataFrame) -> DataFrame:
+    """`score` of what `vectorize` makes of the documents, without a row for
+    each drug and feature: a feature has its weight for every drug in one row,
+    a document's sums are made once, and only they are dealt."""
+    base = bases(model)  # a number for each drug
+    on = instances.select("uid", F.col("covariates.tb_depth").alias("depth"), F.explode(_present()).alias("feature"))
+    fixed = _weights(model, list(base)).withColumn("hit", F.lit(True))
+    hits = on.join(few(fixed), "feature", "left").filter("hit OR feature = 'tb_depth'")  # a document has a row, whatever it carries
+    sums = hits.groupBy("uid").agg(F.max("depth").alias("depth"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(len(base))])
+    return _scored(sums, model, base)
+
+
+def score_coded(isolates: DataFrame, codes: DataFrame, features: DataFrame, model: DataFrame) -> DataFrame:
+    """`score_documents` of the documents that `coded_instances` makes, which
+    are not spelt out: a feature's weights are looked up by its number within
+    an isolate's row, and only sums are dealt. Uids are distinct."""
+    names = stored(features.select("f", F.when(~F.col("mutation").rlike("[Xx]$"), F.concat("gene", F.lit("@"), "mutation")).alias("feature")), "names")
+    n = names.agg(F.count(F.lit(1)).alias("all"), F.count("feature").alias("named"), F.count_distinct("feature").alias("distinct")).first()
+    if n["all"] > FEW or n["named"] > n["distinct"]:  # a name of two features counts once in a document
+        return score_documents(coded_instances(isolates, codes, features), model)
+    base = bases(model)  # a number for each drug
+    ws, fixed = [f"w{k}" for k in range(len(base))], _weights(model, list(base))
+    zero = F.lit(0.0)
+    in_order = F.array_sort(F.collect_list(F.struct("f", *[F.coalesce(w, zero).alias(w) for w in ws])))
+    line = names.join(few(fixed), "feature", "left").agg(in_order.alias("line")).select(*[F.col(f"line.{w}").alias(f"_{w}") for w in ws])
+
+    def of(w: str) -> Column:
+        return F.aggregate("on", zero, lambda x, f: x + F.get(f"_{w}", f)).alias(f"_{w}")
+
+    carried = codes.crossJoin(F.broadcast(line)).select("uid", *[of(w) for w in ws])  # one row
+    of_lineage = few(fixed).withColumnRenamed("feature", "lineage")
+    docs = isolates.select("uid", "lineage", F.col("tb_depth").alias("depth")).join(of_lineage, "lineage", "left").join(in_shuffle(carried), "uid", "left")
+    sums = docs.select("uid", "depth", *[(F.coalesce(w, zero) + F.coalesce(f"_{w}", zero)).alias(w) for w in ws])
+    return _scored(sums, model, base)
+
+
 def explain(vectors: DataFrame, model: DataFrame, evidence: DataFrame, determinants: DataFrame) -> DataFrame:
     """Fired mutations of each document and drug with role and order: primary
     drivers, then co-selected passengers, then weak ones, by coefficient.

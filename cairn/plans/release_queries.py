@@ -20,7 +20,7 @@ DRUGS = ["D1", "D2", "D3", "D4", "D5"]
 
 
 def made_cohort(s: SparkSession, d: str) -> DataFrame:
-    rows = held(s, d, "tested", lambda: X.tested(s, d, carried(s, d)))
+    rows = held(s, d, "tested", lambda: X.tested(s, d, carried(s, d)).select("uid", "ck", "d", "carrier"))
     return C.cohort(X.phenotypes(s, d, rows), X.predictions(s, d, rows), X.isolates(s, d), X.CATALOGUE, X.VERSION)
 
 

@@ -118,7 +118,7 @@ def roundtrip(s, d):
 
 @query("score_contributions", sql(f"SELECT uid, drug, round(x+1e-9,5) AS logit, round(1/(1+exp(-x))+1e-9,5) AS p_resistant FROM ({_LOGIT})", *_NEEDS, **_SERVED))
 def score_contributions(s, d):
-    out = R.score_documents(instances(s, d), model(s, d))
+    out = R.score_coded(X.isolates(s, d), *coded(s, d), model(s, d))
     return out.select("uid", "drug", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("logit", "p_resistant")])
 
 
@@ -320,7 +320,7 @@ def coefficient_catalogue(s, d):
 @query("predict_fitted")
 def predict_fitted(s, d):
     """Every isolate's documents scored by every drug's fitted model."""
-    return R.score_documents(instances(s, d), stored(fitted(s, d), "model"))
+    return R.score_coded(X.isolates(s, d), *coded(s, d), stored(fitted(s, d), "model"))
 
 
 @query("vote_importance")

@@ -150,3 +150,51 @@ def test_sums_of_fold_scores_stay_in_their_task(spark, monkeypatch):
     own = met.groupBy("drug", "uid", "y", "lineage").agg(F.sum("f"))
     executed = own._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" not in executed
+
+
+def test_scores_by_numbers_are_those_of_documents(spark, monkeypatch):
+    """No document is spelt out and no row made for a feature: sums of weights looked up by number are those of the documents."""
+    from cairn.operators import serve as R
+
+    isolates = spark.createDataFrame([("u", "lineage1", 3.3), ("v", "lineage2", None), ("n", None, 1.0), ("x", "lineage1", 2.0)], "uid string, lineage string, tb_depth double")
+    on = [("u", "g", "m"), ("u", "g", "a"), ("u", "g", "tX"), ("v", "g", "m"), ("v", "h", "tX"), ("x", "g", None), ("x", None, "m"), ("x", "g", "a")]
+    terms = [("D", "g@m", "mutation", 0.0, 1.0, 0.5, 2.0), ("E", "g@m", "mutation", 0.0, 3.0, 0.5, 1.0), ("E", "g@a", "mutation", 0.0, -0.7, 0.5, 1.0), ("E", "lineage1", "lineage", 0.0, 0.25, 0.2, 0.4), ("D", "tb_depth", "coverage", 40.0, 0.5, 1.0, 1.5), ("D", "h@tX", "mutation", 0.0, 9.0, 0.5, 1.0), ("D", "gone@m", "mutation", 0.0, 5.0, 0.5, 1.0)]
+    terms += [(d, "intercept", "intercept", 0.0, c, 0.0, 1.0) for d, c in (("D", 1.0), ("E", 0.0), ("F", -1.0))]
+    model = spark.createDataFrame(terms, "drug string, feature string, kind string, fill double, coef double, mean double, scale double")
+    of = lambda df: {(r.uid, r.drug): (round(r.logit, 9), round(r.p_resistant, 9)) for r in df.collect()}
+
+    def both(rows):
+        carried = stored(spark.createDataFrame(rows, "uid string, gene string, mutation string"))
+        codes, features = K.coded(carried)
+        want = of(R.score_documents(R.assemble_instances(isolates, carried), model))
+        got = R.score_coded(isolates, codes, features, model)
+        assert len(want) == 12 and of(got) == want
+        return plan(got)
+
+    assert "Generate explode" not in both(on)
+    assert "Generate explode" in both([*on, ("x", "g@m", "b"), ("x", "g", "m@b")])  # two features of one name
+    monkeypatch.setattr(R, "FEW", 1)
+    assert "Generate explode" in both(on)
+
+
+def test_scoring_stores_no_documents(spark):
+    from cairn.plans import held as H
+    from cairn.plans.service_queries import score_contributions
+
+    sf = "/root/testdata/sf0.001"
+    H._HELD.pop((spark.sparkContext.applicationId, sf, "instances"), None)
+    assert score_contributions(spark, sf).count() > 0
+    assert (spark.sparkContext.applicationId, sf, "instances") not in H._HELD
+
+
+def test_pairs_of_features_and_groups_are_counted_without_rows(spark, monkeypatch):
+    """However many pairs a task counts at once."""
+    rows = spark.range(200).select(F.col("id").cast("string").alias("uid"), F.explode(F.array(F.lit("D"), F.lit("E"), F.lit(None))).alias("drug"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    rows = stored(rows.withColumn("y", F.when(F.col("uid") != "7", F.col("y"))))  # an unknown label counts nowhere
+    codes = stored(spark.range(250).select(F.col("id").cast("string").alias("uid"), F.when(F.col("id") % 10 > 0, F.sequence(F.lit(0), (F.col("id") % 10).cast("int"))).otherwise(F.array().cast("array<int>")).alias("on")))
+    flat = rows.filter("y IS NOT NULL").join(codes, "uid").select("drug", "y", F.explode("on").alias("f"))
+    want = sorted(map(str, flat.groupBy("drug", "f").agg(F.count(F.lit(1)).alias("n1"), F.sum("y").alias("r1")).collect()))
+    for most in (1, 17, 2_000_000):
+        monkeypatch.setattr(K, "TALLIED_PAIRS", most)
+        got = K.coded_counts(rows, codes, ["drug"])
+        assert "Generate" not in plan(got) and sorted(map(str, got.collect())) == want and len(want) == 30
