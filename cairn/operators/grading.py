@@ -84,7 +84,8 @@ def grade(samples: DataFrame, mutations: DataFrame, background: float = 0.05, st
 
 def grade_rounds(samples: DataFrame, mutations: DataFrame, confidences: Sequence[float], rounds: int, background: float = 0.05, strict: bool = False) -> DataFrame:
     """All grades of the first `rounds` rounds at each confidence: how a
-    catalogue comes about. The setting is a key of one job, `drug@p`."""
+    catalogue comes about. Where none is S no mutation leaves, and the rounds
+    that follow grade the same again. The setting is a key of one job, `drug@p`."""
     each = F.explode(F.array(*map(F.lit, confidences))).alias("p")
     key = F.concat("drug", F.lit("@"), F.col("p").cast("string")).alias("drug")
     s = samples.select("drug", "uid", "phenotype", each).select(key, "uid", "phenotype")
@@ -95,6 +96,8 @@ def grade_rounds(samples: DataFrame, mutations: DataFrame, confidences: Sequence
         out = found if out is None else out.unionByName(found)
         if k + 1 == rounds:
             break
+    for later in range(k + 1, rounds):
+        out = out.unionByName(found.withColumn("round", F.lit(later)))
     return out.withColumn("p", part(2).cast("double")).withColumn("drug", part(1))
 
 

@@ -121,3 +121,12 @@ def test_confidence_and_strictness_decide_grades(spark):
     pairs = [("D", f"u{i}", "x") for i in range(3, 80)] + [("D", "u0", "y"), ("D", "u0", "x"), ("D", "u1", "y")]
     out = {r.mutation: (r.round, r.prediction) for r in G.grade(samples, spark.createDataFrame(pairs, "drug string, uid string, mutation string"), strict=True, p=0.9).collect()}
     assert out == {"x": (0, "S"), "y": (1, "R")}  # y's second sample is solo once x has left
+
+
+def test_rounds_go_on_where_nothing_leaves(spark):
+    """Every mutation is graded R at once: the second round grades the same again, as its SQL does."""
+    samples = spark.createDataFrame([("D", f"u{i}", "R" if i < 30 else "S") for i in range(60)], "drug string, uid string, phenotype string")
+    mutations = spark.createDataFrame([("D", f"u{i}", "xy"[i % 2]) for i in range(60)], "drug string, uid string, mutation string")
+    rounds = lambda n: sorted((r.round, r.p, r.mutation, r.n, r.n_r, r.prediction) for r in G.grade_rounds(samples, mutations, [0.9, 0.95], n).collect())
+    first = [(0, p, m, 30, 15, "R") for p in (0.9, 0.95) for m in "xy"]
+    assert rounds(1) == first and rounds(3) == [(k, *r[1:]) for k in range(3) for r in first]
