@@ -10,11 +10,11 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators import perceptron
+from cairn.operators import perceptron, trees
 from cairn.operators.carriage import coded
 from cairn.operators.shared import at_once, in_shuffle, stored
 from cairn.operators.stats import auc
@@ -95,8 +95,8 @@ def learners(n_features: int, drugs: int = 1, seed: int = 7) -> dict[str, Callab
     return {
         "logistic_l2": logistic(0.01, 0.0, drugs),
         "elastic_net": logistic(0.01, 0.5, drugs),
-        "forest": RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed, weightCol="weight"),
-        "boosted": GBTClassifier(maxIter=8, maxDepth=5, seed=seed, weightCol="weight"),
+        "forest": trees.Forest(max(1, n_features), 20, 8, seed),
+        "boosted": trees.Boosted(max(1, n_features), 8, 5),
         "mlp": perceptron.Net(max(1, n_features), 8, 30, seed),
     }
 
@@ -135,14 +135,19 @@ def fit_score_nets(nets: Mapping[str, perceptron.Net], spark) -> Callable[[DataF
 
 def out_of_fold(rows: DataFrame, panel: Mapping[str, object], group: str = "lineage") -> DataFrame:
     """Scores of each model on each usable group by what the others fit."""
-    from cairn.operators.evaluate import cv_logo
+    from cairn.operators.evaluate import cv_logo, usable_for_logo
 
     out, seen = None, merged(rows) if group == "lineage" and any(map(takes_merged, panel.values())) else None
     nets = {name: x for name, x in panel.items() if isinstance(x, perceptron.Net)}
+    grown = {name: x for name, x in panel.items() if isinstance(x, trees.Forest | trees.Boosted)}
     if nets:
         out = cv_logo(rows, group, fit_score_nets(nets, rows.sparkSession))
+    if grown:
+        groups = usable_for_logo(rows, group)
+        part = trees.scores(rows, trees.fitted(rows, grown, groups, group), groups, group)
+        out = part if out is None else out.unionByName(part)
     for name, learner in panel.items():
-        if name in nets:
+        if name in nets or name in grown:
             continue
         part = cv_logo(rows, group, fit_score(learner), seen=seen if takes_merged(learner) else None).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -159,19 +164,19 @@ def stack(oof: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFrame:
     its bases."""
     from pyspark.ml.feature import VectorAssembler
 
-    out = []
+    from cairn.operators.evaluate import cv_folds
+
+    every = sorted({m for models in sets.values() for m in models})
+    wide = oof.groupBy("drug", "uid", "lineage", "fold", "y").pivot("model", every).agg(F.max("score")).na.fill(0.5, every)
+    wide = stored(wide.withColumn("label", F.col("y").cast("double")), "stack")
+    base = {r["model"]: r["auc"] for r in auc(oof.filter(F.col("model").isin(every)), "score", F.col("y") == 1, ["model"]).collect()}
+    folds, out = [r[0] for r in wide.select("fold").distinct().orderBy("fold").collect()], []  # groups, few
     for name, models in sets.items():
-        wide = oof.groupBy("drug", "uid", "lineage", "fold", "y").pivot("model", list(models)).agg(F.max("score")).na.fill(0.5, list(models))
-        rows = stored(VectorAssembler(inputCols=list(models), outputCol="features").transform(wide).withColumn("label", F.col("y").cast("double")), "stack")
+        rows = VectorAssembler(inputCols=list(models), outputCol="features").transform(wide)
         meta = LogisticRegression(regParam=0.01)
         weights = meta.fit(rows).coefficients.toArray().tolist()
-        whole = F.lit("all").alias("g")
-        folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # groups, few
-        from cairn.operators.evaluate import cv_folds
-
-        own = auc(cv_folds(rows, "fold", fit_score(meta), folds).select("*", whole), "score", F.col("y") == 1, ["g"]).first()["auc"]
-        base = {r["model"]: r["auc"] for r in auc(oof.filter(F.col("model").isin(list(models))), "score", F.col("y") == 1, ["model"]).collect()}
-        out += [(name, m, float(w), own, base[m], own - max(base.values())) for m, w in zip(models, weights, strict=True)]
+        own = auc(cv_folds(rows, "fold", fit_score(meta), folds).select("*", F.lit("all").alias("g")), "score", F.col("y") == 1, ["g"]).first()["auc"]
+        out += [(name, m, float(w), own, base[m], own - max(base[x] for x in models)) for m, w in zip(models, weights, strict=True)]
     return oof.sparkSession.createDataFrame(out, "model_set string, model string, weight double, stack_auc double, base_auc double, lift double")
 
 
@@ -211,8 +216,10 @@ def top_features(df: DataFrame, by: Column, n: int) -> DataFrame:
 
 
 def variable_importance(rows: DataFrame, index: DataFrame, top: int = 30) -> DataFrame:
-    fitted = learners(1)["forest"].fit(dealt(rows))
-    imp = index.join(_named(rows.sparkSession, fitted.featureImportances.toArray(), "importance"), "i").filter("gene IS NOT NULL").drop("i")
+    p = index.count()
+    spec = learners(p)["forest"]
+    grown = trees.forest(trees.drawn(trees.taken(rows), spec), spec)
+    imp = index.join(_named(rows.sparkSession, trees.importances(grown, p), "importance"), "i").filter("gene IS NOT NULL").drop("i")
     return top_features(imp, F.desc("importance"), top)
 
 
@@ -276,30 +283,33 @@ def graded_regression(rows: DataFrame, graded: DataFrame) -> DataFrame:
     from cairn.operators.evaluate import usable_for_logo
 
     data = stored(rows.drop("label").join(graded.select("drug", "uid", F.col("value").alias("label")), ["drug", "uid"]), "graded")
-    # squared errors of rows with equal columns are those of their mean, and what no tree can change
-    means = data.groupBy("lineage", "columns").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n"), F.first("features").alias("features"))
-    means, out = stored(means, "means"), None
-    for g in usable_for_logo(data, "lineage"):
-        fitted = GBTRegressor(maxIter=8, maxDepth=5, seed=7, weightCol="n").fit(means.filter(F.col("lineage") != g))
-        part = fitted.transform(data.filter(F.col("lineage") == g)).select("drug", "uid", "lineage", "y", "label", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return stored(out, "graded")
+    groups = usable_for_logo(data, "lineage")
+    p = 1 + (data.select(F.max(F.array_max("columns"))).first()[0] or 0)
+    grown = trees.boosted(trees.means_taken(data, groups), trees.Boosted(p, 8, 5, values=True), range(len(groups)))
+    out = trees.scores(data, {"graded": grown}, groups, keys=["drug", "uid", "lineage", "y", "label"])
+    return stored(out.withColumnRenamed("score", "prediction").drop("model", "fold"), "graded")
 
 
-def transfer(rows: DataFrame, cohort: DataFrame, carried: DataFrame, pool: DataFrame, classes: Mapping[str, str], drugs: int) -> DataFrame:
+def transfer(rows: DataFrame, codes: DataFrame, features: DataFrame, pool: DataFrame, classes: Mapping[str, str], drugs: int) -> DataFrame:
     """One boosted model over (isolate, drug): features that drugs share, the
     drug and its class as categories. Its mean AUC on held-out lineages for
-    each drug, and how far that is from the drugs' own linear models."""
-    shared = pool.select(*FEATURE).distinct()
-    names = [r[0] for r in shared.select(F.concat_ws("@", *FEATURE).alias("k")).orderBy("k").collect()]  # the pool's
-    on = carried.join(F.broadcast(shared), FEATURE).groupBy("uid").agg(F.collect_list(F.concat_ws("@", *FEATURE)).alias("on"))
-    named = F.create_map(*[F.lit(x) for kv in sorted(classes.items()) for x in kv])
-    kinds = F.array(F.concat(F.lit("drug "), "drug"), F.concat(F.lit("class "), F.coalesce(named[F.col("drug")], F.lit("other"))))
-    data = rows.drop("features").join(on, "uid", "left").withColumn("_names", F.concat(F.coalesce("on", F.array().cast("array<string>")), kinds))
-    extra = sorted({f"drug {r[0]}" for r in cohort.select("drug").distinct().collect()} | {f"class {c}" for c in [*classes.values(), "other"]})
-    counter = CountVectorizerModel.from_vocabulary(names + extra, inputCol="_names", outputCol="features").setBinary(True)
-    data = stored(counter.transform(data).withColumn("columns", F.array_sort("_names")).drop("_names", "on"), "transfer")
-    both = out_of_fold(data, {"joint": GBTClassifier(maxIter=10, maxDepth=5, seed=7, weightCol="weight")}).unionByName(out_of_fold(rows, {"own": logistic(0.01, 0.0, drugs)}))
+    each drug, and how far that is from the drugs' own linear models. Carriage
+    is `codes` of `features`, as `coded` makes it."""
+    spark = rows.sparkSession
+    shared = features.join(F.broadcast(pool.select(*FEATURE).distinct()), FEATURE, "left_semi").orderBy(*FEATURE).select("f").collect()  # the pool's
+    names = [r[0] for r in rows.select("drug").distinct().orderBy("drug").collect()]
+    kinds = sorted({*classes.values(), "other"})
+    at = [None] * features.count()  # a number for each feature
+    for i, r in enumerate(shared):
+        at[r["f"]] = i
+    first = len(shared) + len(names)
+    own = [(d, at, [len(shared) + k, first + kinds.index(classes.get(d, "other"))]) for k, d in enumerate(names)]
+    places = spark.createDataFrame(own, "drug string, _at array<int>, _kinds array<int>")
+    data = in_shuffle(rows.drop("features", "columns")).join(codes, "uid", "left").join(F.broadcast(places), "drug")  # a row for each drug
+    on = F.filter(F.transform(F.coalesce("on", F.array().cast("array<int>")), lambda f: F.get("_at", f)), lambda i: i.isNotNull())
+    data = stored(data.withColumn("columns", F.array_sort(F.concat(on, "_kinds"))).drop("on", "_at", "_kinds"), "transfer")
+    joint = trees.Boosted(first + len(kinds), 10, 5)
+    both = out_of_fold(data, {"joint": joint}).unionByName(out_of_fold(rows, {"own": logistic(0.01, 0.0, drugs)}))
     mean = auc(both, "score", F.col("y") == 1, ["drug", "model", "lineage"]).groupBy("drug", "model").agg(F.avg("auc").alias("m"), F.count("auc").alias("n"))
     wide = mean.groupBy("drug").agg(*[F.max(F.when(F.col("model") == m, F.col("m"))).alias(m) for m in ("joint", "own")], F.max("n").alias("n_groups"))
     return wide.select("drug", F.round("joint", 6).alias("mean_auc"), F.round(F.col("joint") - F.col("own"), 6).alias("delta"), "n_groups")

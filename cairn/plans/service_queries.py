@@ -423,7 +423,7 @@ def firth(s, d):
 def transfer_eval(s, d):
     base, counts, candidates = counted(s, d)
     rows, index = M.coded_design(cohort(s, d), *coded(s, d), candidates)
-    return M.transfer(rows, cohort(s, d), carried(s, d), candidates, CLASSES, index.filter("gene IS NULL").count())
+    return M.transfer(rows, *coded(s, d), candidates, CLASSES, index.filter("gene IS NULL").count())
 
 
 @query("elastic_net_overlap")
