@@ -84,6 +84,39 @@ def taken(rows: DataFrame) -> DataFrame:
     return stored(once.repartition(max(1, math.ceil(once.count() / FILE_ROWS))), "taken")
 
 
+def packed(data: DataFrame) -> DataFrame:
+    """`data` of `taken` as a fit reads it again and again, stored: a row for
+    each batch, of rows by how many ones they have: `sizes` has these numbers
+    and how many rows have each, then come their columns, labels and weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ones, n = _rows_of(batch)
+            order = np.argsort(n, kind="stable")
+            sizes, many = np.unique(n, return_counts=True)
+            start = (np.cumsum(n) - n)[order]
+            size = n[order]
+            own = ones[np.arange(len(ones)) - np.repeat(np.cumsum(size) - size - start, size)]
+            y, w = (batch.column(batch.schema.get_field_index(c)).to_numpy()[order] for c in ("y", "w"))
+            parts = np.stack([sizes, many]).astype(np.int64), own.astype(np.int32), y.astype(np.int8), w.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["sizes", "ones", "y", "w"])
+
+    return stored(data.mapInArrow(run, "sizes binary, ones binary, y binary, w binary"), "packed")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns, a row of them for each place; labels; weights) of rows with as
+    many ones, of each row of `packed`."""
+    for r in batch.to_pylist():
+        sizes, many = np.frombuffer(r["sizes"], np.int64).reshape(2, -1)
+        ones, y, w = np.frombuffer(r["ones"], np.int32), np.frombuffer(r["y"], np.int8), np.frombuffer(r["w"])
+        at = row = 0
+        for size, k in zip(sizes.tolist(), many.tolist(), strict=True):
+            own = ones[at : at + size * k].reshape(k, size).T.astype(np.intp)
+            yield own, y[row : row + k].astype(np.intp), w[row : row + k]
+            at, row = at + size * k, row + k
+
+
 def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All ones of a batch's rows, and how many each row has."""
     lists = batch.column(batch.schema.get_field_index("columns"))
@@ -102,35 +135,40 @@ def _units(at: np.ndarray, n: np.ndarray, into: np.ndarray, shift: np.ndarray) -
 def loss_and_gradient(data: DataFrame, p: int, hidden: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
     """The mean cross entropy of `data` of `taken`, and its gradient, at given
     weights. Each task sums its rows; a model's numbers leave it."""
-    total = data.agg(F.sum("w")).first()[0]
+    total, read = data.agg(F.sum("w")).first()[0], packed(data)
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             into, shift, out, lead = parts(w, p, hidden)
             loss, g = 0.0, np.zeros(len(w))
             g_into, g_shift, g_out, g_lead = parts(g, p, hidden)
+            gain, ahead = out[:, 1] - out[:, 0], lead[1] - lead[0]  # two labels: what one leads by decides
+            by_unit = np.zeros((hidden, p))
             with np.errstate(over="ignore"):
                 for batch in batches:
-                    ones, n = _rows_of(batch)
-                    y, weight = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("y", "w"))
-                    a = _units(ones, n, into, shift)
-                    o = a @ out + lead
-                    o -= o.max(axis=1, keepdims=True)
-                    o -= np.log(np.exp(o).sum(axis=1, keepdims=True))
-                    row = np.arange(len(y))
-                    loss -= float((weight * o[row, y]).sum())
-                    d = np.exp(o)
-                    d[row, y] -= 1
-                    d *= weight[:, None]
-                    g_out += a.T @ d
-                    g_lead += d.sum(axis=0)
-                    d = (d @ out.T) * a * (1 - a)
-                    g_shift += d.sum(axis=0)
-                    for k in range(hidden):
-                        g_into[:, k] += np.bincount(ones, np.repeat(d[:, k], n), p)
+                    for columns, y, weight in _unpacked(batch):
+                        z = np.tile(shift, (len(y), 1))
+                        for c in columns:
+                            z += into.take(c, axis=0)
+                        a = 1 / (1 + np.exp(-z))
+                        o = a @ gain + ahead
+                        loss += float(weight @ np.logaddexp(0, np.where(y == 1, -o, o)))
+                        d = weight * (1 / (1 + np.exp(-o)) - y)
+                        g_out[:, 1] += d @ a
+                        g_lead[1] += d.sum()
+                        a *= 1 - a
+                        a *= d[:, None]
+                        a *= gain
+                        g_shift += a.sum(axis=0)
+                        a = np.ascontiguousarray(a.T)
+                        for c in columns:
+                            for k in range(hidden):
+                                by_unit[k] += np.bincount(c, a[k], p)
+            g_into += by_unit.T
+            g_out[:, 0], g_lead[0] = -g_out[:, 1], -g_lead[1]
             yield pa.RecordBatch.from_pylist([{"sums": np.append(g, loss).tobytes()}], pa.schema([("sums", pa.binary())]))
 
-        got = [np.frombuffer(r["sums"]) for r in data.mapInArrow(sums, "sums binary").collect()]  # a row for each task
+        got = [np.frombuffer(r["sums"]) for r in read.mapInArrow(sums, "sums binary").collect()]  # a row for each task
         all_ = np.sum(got, axis=0) / total
         return float(all_[-1]), all_[:-1]
 

@@ -58,8 +58,7 @@ class Grown:
     log_odds: bool = False
 
     def says(self, x: np.ndarray) -> np.ndarray:
-        at = _down(x, self.column, _depth(self.column))
-        out = self.value.ravel().take(np.arange(len(self.column)) * self.column.shape[1] + at) @ self.scale
+        out = self.value.ravel().take(_down(x, self.column, _depth(self.column))) @ self.scale
         return 1 / (1 + np.exp(-2 * out)) if self.log_odds else out
 
 
@@ -68,36 +67,57 @@ def _depth(column: np.ndarray) -> int:
 
 
 def _down(x: np.ndarray, column: np.ndarray, steps: int) -> np.ndarray:
-    """The nodes of each tree that rows get to (rows x trees)."""
+    """The nodes of each tree that rows get to (rows x trees), counted through
+    all trees. The last column of `x` is 0: what a leaf asks for."""
     trees, size = column.shape
-    flat, cells = column.ravel(), x.ravel()
-    tree, row = np.arange(trees) * size, np.arange(len(x))[:, None] * x.shape[1]
-    at = np.zeros((len(x), trees), np.int64)
+    first, inner = np.arange(trees) * size, column >= 0
+    asks = np.where(inner, column, x.shape[1] - 1).ravel().astype(np.int64)
+    then = (np.where(inner, 2 * np.arange(size) + 1, np.arange(size)) + first[:, None]).ravel()
+    cells, row = x.ravel(), np.arange(len(x))[:, None] * x.shape[1]
+    at = np.broadcast_to(first, (len(x), trees))
     for _ in range(steps):
-        c = flat.take(tree + at)
-        at = np.where(c >= 0, 2 * at + 1 + cells.take(row + np.maximum(c, 0)), at)
+        at = then.take(at) + cells.take(row + asks.take(at))
     return at
 
 
 #: Cells of the matrix of some rows that a task looks at, about.
-CELLS = 2_000_000
+CELLS = 600_000
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Some rows at a time: their batch, matrix, ones in a row, and how many each has."""
-    room = max(1, CELLS // p)
-    x = np.zeros((room, p), np.uint8)
-    for batch in batches:
-        ones, n = _rows_of(batch)
+def _blocks(batches: Iterator[tuple], p: int) -> Iterator[tuple]:
+    """Some rows at a time of (ones in a row, how many each row has, fields):
+    the same of these rows, and their matrix, with a column of 0 more."""
+    room = max(1, CELLS // (p + 1))
+    x = np.zeros((room, p + 1), np.uint8)
+    for ones, n, *fields in batches:
         ends = np.cumsum(n)
-        for a in range(0, batch.num_rows, room):
-            b = min(a + room, batch.num_rows)
-            own, row = ones[ends[a] - n[a] : ends[b - 1]], np.repeat(np.arange(b - a), n[a:b])
+        for a in range(0, len(n), room):
+            b = min(a + room, len(n))
+            own, row = ones[ends[a] - n[a] : ends[b - 1]].astype(np.int64), np.repeat(np.arange(b - a), n[a:b])
             x[row, own] = 1
-            yield batch.slice(a, b - a), x[: b - a], own, n[a:b]
+            yield x[: b - a], own, row, n[a:b], *[f[a:b] for f in fields]
             x[row, own] = 0
 
 
+#: What a fit reads of rows, and how it is packed; `draws` and `said` have numbers for each tree or fold.
+PACKED = {"ones": np.int32, "n": np.int32, "g": np.int32, "y": np.float64, "w": np.float64, "draws": np.int32, "said": np.float64}
+
+
+def _packed(**fields: np.ndarray) -> pa.RecordBatch:
+    """Rows as one row of bytes: a fit reads them again and again."""
+    own = [pa.array([fields[k].astype(t).tobytes() if k in fields else None], pa.binary()) for k, t in PACKED.items()]
+    return pa.RecordBatch.from_arrays(own, list(PACKED))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: np.frombuffer(v, t) for name, t in PACKED.items() if (v := batch.column(name)[k].as_py()) is not None}
+
+
+_BYTES = ", ".join(f"{k} binary" for k in PACKED)
+
+
 def _field(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
@@ -109,13 +129,15 @@ def _own_ones(ones: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return ones[np.arange(len(whose)) - np.repeat(np.cumsum(size) - size - start, size)], whose
 
 
-def _summed(data: DataFrame, p: int, size: int, add: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
-    """The sums that `add` makes of all blocks of `data`; what is not 0 leaves a task."""
+def _summed(data: DataFrame, p: int, size: int, read: Callable[[dict], tuple], add: Callable) -> np.ndarray:
+    """The sums that `add` makes of all blocks of packed `data`, of whose rows
+    it takes what `read` says; what is not 0 leaves a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size)
-        for block in _blocks(batches, p):
-            add(*block, sums)
+        with np.errstate(over="ignore"):
+            for block in _blocks(((r["ones"], r["n"], *read(r)) for r in _unpacked(batches)), p):
+                add(*block, sums)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pylist([{"at": at.tobytes(), "sums": sums[at].tobytes()}], pa.schema([("at", pa.binary()), ("sums", pa.binary())]))
 
@@ -172,18 +194,18 @@ def _uniform(h: np.ndarray, trees: int, seed: int) -> np.ndarray:
 
 
 def drawn(data: DataFrame, forest: Forest) -> DataFrame:
-    """`data` of `taken` with `draws`, stored: how often each tree sees a row.
-    Of so many equal rows a bootstrap takes a Poisson number of that mean."""
+    """`data` of `taken` packed, stored, with `draws`: how often each tree sees
+    a row. Of so many equal rows a bootstrap takes a Poisson number of that mean."""
     trees, seed = forest.trees, forest.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = _poisson(_uniform(_field(batch, "_h"), trees, seed), _field(batch, "n"))
-            lists = pa.ListArray.from_arrays(np.arange(0, k.size + 1, trees, dtype=np.int32), k.ravel())
-            yield batch.select(["columns", "g", "y", "w", "n"]).append_column("draws", lists)
+        for batch in filter(len, batches):
+            ones, n = _rows_of(batch)
+            many = _field(batch, "n")
+            draws = _poisson(_uniform(_field(batch, "_h"), trees, seed), many)
+            yield _packed(ones=ones, n=n, g=_field(batch, "g"), y=_field(batch, "y"), w=_field(batch, "w") / many, draws=draws)
 
-    hashed = data.withColumn("_h", F.xxhash64("columns", "g", "y"))
-    return stored(hashed.mapInArrow(run, "columns array<int>, g int, y double, w double, n long, draws array<int>"), "drawn")
+    return stored(data.withColumn("_h", F.xxhash64("columns", "g", "y")).mapInArrow(run, _BYTES), "drawn")
 
 
 #: Gains below this are what sums of doubles leave.
@@ -201,7 +223,6 @@ def forest(data: DataFrame, spec: Forest, fold: int = -2) -> Grown:
     rng, m = np.random.default_rng([spec.seed, fold + 2]), max(1, math.ceil(math.sqrt(p)))
     column, gain, weights = np.full((trees, size), -1, np.int32), np.zeros((trees, size)), np.zeros((trees, size, 2))
     open_ = np.array([(t, 0) for t in range(trees)])
-    train = data.filter(F.col("g") != fold).select("columns", "y", (F.col("w") / F.col("n")).alias("w"), "draws")
     for level in range(spec.depth):
         if not len(open_):
             break
@@ -210,12 +231,10 @@ def forest(data: DataFrame, spec: Forest, fold: int = -2) -> Grown:
         slot = np.full((trees, size), -1, np.int64)
         slot[open_[:, 0], open_[:, 1]] = np.arange(nodes)
 
-        def add(batch, x, ones, n, sums, chosen=chosen, slot=slot, column=column.copy(), nodes=nodes, level=level) -> None:
-            at = _down(x, column, level)
-            draws = batch.column(batch.schema.get_field_index("draws")).flatten().to_numpy().reshape(-1, trees)
-            s = np.where(draws > 0, slot.ravel().take(np.arange(trees) * size + at), -1)
+        def add(x, ones, _, n, g, y, w, draws, sums, chosen=chosen, slot=slot, column=column.copy(), nodes=nodes, level=level) -> None:
+            s = np.where((draws > 0) & (g != fold)[:, None], slot.ravel().take(_down(x, column, level)), -1)
             i, t = np.nonzero(s >= 0)
-            k, d, y, w = s[i, t], draws[i, t].astype(float), _field(batch, "y").astype(np.int64)[i], _field(batch, "w")[i]
+            k, d, y, w = s[i, t], draws[i, t].astype(float), y.astype(np.int64)[i], w[i]
             whole, each = sums[: 4 * nodes].reshape(2, 2 * nodes), sums[4 * nodes :].reshape(2, 2 * nodes * m)
             whole[0] += np.bincount(2 * k + y, d, 2 * nodes)
             whole[1] += np.bincount(2 * k + y, d * w, 2 * nodes)
@@ -228,7 +247,7 @@ def forest(data: DataFrame, spec: Forest, fold: int = -2) -> Grown:
             each[0] += np.bincount(q + y[whose], d[whose], 2 * nodes * m)
             each[1] += np.bincount(q + y[whose], d[whose] * w[whose], 2 * nodes * m)
 
-        sums = _summed(train, p, 4 * nodes * (m + 1), add)
+        sums = _summed(data, p, 4 * nodes * (m + 1), lambda r: (r["g"], r["y"], r["w"], r["draws"].reshape(-1, trees)), add)
         n, w = sums[: 4 * nodes].reshape(2, nodes, 1, 2)
         n1, w1 = sums[4 * nodes :].reshape(2, nodes, m, 2)
         if level == 0 and not n.any():
@@ -257,39 +276,70 @@ def forest(data: DataFrame, spec: Forest, fold: int = -2) -> Grown:
     return Grown(column, weights[..., 1] / np.maximum(weights.sum(-1), 1e-300), gain, np.full(trees, 1 / trees))
 
 
+class _Nothing:
+    """What no tree has said yet, of any rows."""
+
+    def __getitem__(self, _) -> None:
+        return None
+
+
+def _started(data: DataFrame) -> DataFrame:
+    """`data` of `taken` packed, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            ones, n = _rows_of(batch)
+            yield _packed(ones=ones, n=n, **{k: _field(batch, k) for k in ("g", "y", "w")})
+
+    return stored(data.mapInArrow(run, _BYTES), "boosted")
+
+
+def _said(state: DataFrame, p: int, many: int, column: np.ndarray, value: np.ndarray, scale: float) -> DataFrame:
+    """Packed rows with what a tree of each fold adds to what those before say, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _unpacked(batches):
+            more = [value.ravel().take(_down(x, column, _depth(column))) for x, *_ in _blocks([(r["ones"], r["n"])], p)]
+            said = np.concatenate(more) * scale + (r["said"].reshape(-1, many) if "said" in r else 0.0)
+            yield _packed(**(r | {"said": said}))
+
+    return stored(state.mapInArrow(run, _BYTES), "boosted")
+
+
 def boosted(data: DataFrame, spec: Boosted, folds: Sequence[int] = (-2,)) -> list[Grown]:
     """For each of `folds` the boosted trees of `data` of `taken`, rows of that
     group left out; all grow in the same jobs."""
     p, size, many = spec.columns, 2 ** (spec.depth + 1) - 1, len(folds)
     column, value, gain = np.full((many, spec.rounds, size), -1, np.int32), np.zeros((many, spec.rounds, size)), np.zeros((many, spec.rounds, size))
     scale, held = np.array([1.0] + [spec.step] * (spec.rounds - 1)), np.array(folds)
+    state = _started(data)
     for turn in range(spec.rounds):
+        if turn:
+            state = _said(state, p, many, column[:, turn - 1].copy(), value[:, turn - 1].copy(), scale[turn - 1])
         open_ = np.array([(f, 0) for f in range(many)])
-        before, told = column[:, :turn].reshape(-1, size).copy(), value[:, :turn].reshape(-1, size).copy()
         for level in range(spec.depth):
             if not len(open_):
                 break
             nodes = len(open_)
-            slot = np.full((many, size), -1, np.int64)
+            slot = np.full((many, size), nodes, np.int64)
             slot[open_[:, 0], open_[:, 1]] = np.arange(nodes)
 
-            def add(batch, x, ones, n, sums, turn=turn, before=before, told=told, slot=slot, own=column[:, turn].copy(), nodes=nodes, level=level) -> None:
-                y = _field(batch, "y")[:, None]
-                left = np.broadcast_to(y if spec.values else 2 * y - 1, (len(x), many))
-                if turn:
-                    said = told.ravel().take(np.arange(len(before)) * size + _down(x, before, spec.depth))
-                    said = said.reshape(-1, many, turn) @ scale[:turn]
-                    left = 2 * (left - said) if spec.values else 4 * left / (1 + np.exp(2 * left * said))
-                s = slot.ravel().take(np.arange(many) * size + _down(x, own, level))
-                s = np.where(_field(batch, "g")[:, None] != held, s, -1)
-                i, f = np.nonzero(s >= 0)
-                k, r, w = s[i, f], left[i, f], _field(batch, "w")[i]
-                c, whose = _own_ones(ones, n, i)
-                q = k[whose] * (p + 1) + c
-                for part, v in zip(sums.reshape(3, nodes * (p + 1)), (np.ones(len(i)), w, w * r), strict=True):
-                    part += np.bincount(q, v[whose], len(part)) + np.bincount(k * (p + 1) + p, v, len(part))
-
-            n, w, r = _summed(data, p, 3 * nodes * (p + 1), add).reshape(3, nodes, p + 1)
+            def add(x, ones, whose, _, g, y, w, said, sums, slot=slot, own=column[:, turn].copy(), nodes=nodes, level=level) -> None:
+                s = slot.ravel().take(_down(x, own, level))
+                sums = sums.reshape(3, nodes + 1, p + 1)
+                for f in range(many):
+                    k = np.where(g == held[f], nodes, s[:, f])  # what grows no more, or is left out, comes last
+                    t = y if spec.values else 2 * y - 1
+                    if said is not None:
+                        t = 2 * (t - said[:, f]) if spec.values else 4 * t / (1 + np.exp(2 * t * said[:, f]))
+                    r = w * t
+                    q = k.take(whose) * (p + 1) + ones
+                    for part, v in zip(sums, (None, w, r), strict=True):
+                        part += np.bincount(q, v if v is None else v.take(whose), part.size).reshape(part.shape)
+                        part[:, p] += np.bincount(k, v, nodes + 1)
+
+            read = lambda r: (r["g"], r["y"], r["w"], r["said"].reshape(-1, many) if "said" in r else _Nothing())
+            n, w, r = _summed(state, p, 3 * (nodes + 1) * (p + 1), read, add).reshape(3, nodes + 1, p + 1)[:, :nodes]
             if turn == level == 0 and not n[:, p].all():
                 raise ValueError("no rows to fit on")
             n1, w1, r1 = n[:, :p], w[:, :p], r[:, :p]
@@ -330,15 +380,18 @@ def scores(rows: DataFrame, models: Mapping[str, Sequence[Grown]], groups: Seque
     names = np.array(list(map(str, groups)), object)
 
     def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, x, _, _ in _blocks(batches, p):
+        for batch in batches:
             g = _field(batch, "_g")
             fold = batch.select(list(keys)).append_column("fold", pa.array(names[g], pa.string()))
-            for name, grown in models.items():
-                score = np.zeros(len(g))
-                for k in np.unique(g):
-                    mine = g == k
-                    score[mine] = grown[k].says(x[mine])
-                yield fold.append_column("model", pa.array([name] * len(g), pa.string())).append_column("score", pa.array(score))
+            score = {name: [np.zeros(0)] for name in models}
+            for x, _, _, _, own in _blocks([(*_rows_of(batch), g)], p):
+                for name, grown in models.items():
+                    score[name].append(np.zeros(len(own)))
+                    for k in np.unique(own):
+                        mine = own == k
+                        score[name][-1][mine] = grown[k].says(x[mine])
+            for name, parts in score.items():
+                yield fold.append_column("model", pa.array([name] * len(g), pa.string())).append_column("score", pa.array(np.concatenate(parts)))
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
     return own.mapInArrow(said, f"{shape}, fold string, model string, score double")

@@ -49,8 +49,9 @@ def test_forest_sees_rows_by_their_number_and_ranks_features(spark, design):
     rows, index = design
     p = index.count()
     data = T.drawn(T.taken(rows), T.Forest(p, 40))
-    got = data.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.aggregate("draws", F.lit(0), lambda a, x: a + x))).first()
-    assert got[0] < got[1] == 900 and abs(got[2] / 40 - 900) < 25
+    taken = T.taken(rows).agg(F.count(F.lit(1)), F.sum("n")).first()
+    draws = np.concatenate([np.frombuffer(r.draws, np.int32) for r in data.collect()])
+    assert taken[0] < taken[1] == 900 and len(draws) == 40 * taken[0] and abs(draws.sum() / 40 - 900) < 25
     score = {r.uid: (r.y, r.score) for r in M.out_of_fold(rows, {"forest": T.Forest(p)}).collect()}
     r, s = ([x for y, x in score.values() if y == k] for k in (1, 0))
     assert len(score) == 900 and all(0 <= x <= 1 for x in r + s)
@@ -62,7 +63,7 @@ def test_forest_sees_rows_by_their_number_and_ranks_features(spark, design):
 def test_a_plain_forest_by_hand():
     """The leaves of one tree that sees every row once and both columns."""
     grown = T.Grown(np.array([[1, -1, 0, -1, -1, -1, -1]], np.int32), np.array([[0.5, 0.1, 0.0, 0.0, 0.0, 0.3, 0.9]]), np.zeros((1, 7)), np.array([1.0]))
-    x = np.array([[0, 0], [1, 0], [0, 1], [1, 1]], np.uint8)
+    x = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0]], np.uint8)  # and a column of 0
     assert grown.says(x).tolist() == [0.1, 0.1, 0.3, 0.9]
 
 
