@@ -316,45 +316,51 @@ def boosted(data: DataFrame, spec: Boosted, folds: Sequence[int] = (-2,)) -> lis
     for turn in range(spec.rounds):
         if turn:
             state = _said(state, p, many, column[:, turn - 1].copy(), value[:, turn - 1].copy(), scale[turn - 1])
-        open_ = np.array([(f, 0) for f in range(many)])
+        open_, parents = np.array([(f, 0) for f in range(many)]), []
         for level in range(spec.depth):
             if not len(open_):
                 break
-            nodes = len(open_)
+            seen = open_[len(open_) // 2 :] if level else open_  # second children; the first have what these leave
+            nodes = len(seen)
             slot = np.full((many, size), nodes, np.int64)
-            slot[open_[:, 0], open_[:, 1]] = np.arange(nodes)
+            slot[seen[:, 0], seen[:, 1]] = np.arange(nodes)
 
-            def add(x, ones, whose, _, g, y, w, said, sums, slot=slot, own=column[:, turn].copy(), nodes=nodes, level=level) -> None:
+            def add(x, ones, whose, size_of, g, y, w, said, sums, slot=slot, own=column[:, turn].copy(), nodes=nodes, level=level) -> None:
                 s = slot.ravel().take(_down(x, own, level))
                 sums = sums.reshape(3, nodes + 1, p + 1)
                 for f in range(many):
-                    k = np.where(g == held[f], nodes, s[:, f])  # what grows no more, or is left out, comes last
-                    t = y if spec.values else 2 * y - 1
+                    mine = np.flatnonzero((s[:, f] < nodes) & (g != held[f]))
+                    if not len(mine):
+                        continue
+                    k, t, own_w = s[mine, f], y[mine] if spec.values else 2 * y[mine] - 1, w[mine]
                     if said is not None:
-                        t = 2 * (t - said[:, f]) if spec.values else 4 * t / (1 + np.exp(2 * t * said[:, f]))
-                    r = w * t
-                    q = k.take(whose) * (p + 1) + ones
-                    for part, v in zip(sums, (None, w, r), strict=True):
-                        part += np.bincount(q, v if v is None else v.take(whose), part.size).reshape(part.shape)
+                        before = said[mine, f]
+                        t = 2 * (t - before) if spec.values else 4 * t / (1 + np.exp(2 * t * before))
+                    c, whose_ = (ones, whose) if len(mine) == len(g) else _own_ones(ones, size_of, mine)
+                    q = k.take(whose_) * (p + 1) + c
+                    for part, v in zip(sums, (None, own_w, own_w * t), strict=True):
+                        part += np.bincount(q, v if v is None else v.take(whose_), part.size).reshape(part.shape)
                         part[:, p] += np.bincount(k, v, nodes + 1)
 
             read = lambda r: (r["g"], r["y"], r["w"], r["said"].reshape(-1, many) if "said" in r else _Nothing())
             n, w, r = _summed(state, p, 3 * (nodes + 1) * (p + 1), read, add).reshape(3, nodes + 1, p + 1)[:, :nodes]
             if turn == level == 0 and not n[:, p].all():
                 raise ValueError("no rows to fit on")
+            if level:
+                n, w, r = (np.concatenate([a - b, b]) for a, b in zip(parents, (n, w, r), strict=True))
             n1, w1, r1 = n[:, :p], w[:, :p], r[:, :p]
             n0, w0, r0 = n[:, p:] - n1, w[:, p:] - w1, r[:, p:] - r1
             can = (n0 > 0) & (n1 > 0)
             mean0, mean1 = r0 / np.where(can, w0, 1), r1 / np.where(can, w1, 1)
             g = np.where(can, (r0 * mean0 + r1 * mean1 - r[:, p:] ** 2 / w[:, p:]) / w[:, p:], -1.0)
             best = g.argmax(1)
-            k, f, h = np.arange(nodes), open_[:, 0], open_[:, 1]
+            k, f, h = np.arange(len(open_)), open_[:, 0], open_[:, 1]
             value[f, turn, h] = r[:, p] / w[:, p]
             split = g[k, best] > LEAST
             k, f, h, best = k[split], f[split], h[split], best[split]
             column[f, turn, h], gain[f, turn, h] = best, g[k, best] * w[k, p]
             value[f, turn, 2 * h + 1], value[f, turn, 2 * h + 2] = mean0[k, best], mean1[k, best]
-            open_ = np.concatenate([np.stack([f, 2 * h + 1], axis=1), np.stack([f, 2 * h + 2], axis=1)])
+            open_, parents = np.concatenate([np.stack([f, 2 * h + 1], axis=1), np.stack([f, 2 * h + 2], axis=1)]), [n[k], w[k], r[k]]
     return [Grown(column[f], value[f], gain[f], scale, not spec.values) for f in range(many)]
 
 
